@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.functions.domains import reverse_domain
-from linkweave.operators.joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small
+from linkweave.operators.joins import DEFAULT_BROADCAST_ROWS, broadcast_when, is_small
 
 DEFAULT_BUCKETS = 1000
 
@@ -25,19 +25,20 @@ def bucket_of(id_col, n: int = DEFAULT_BUCKETS):
 
 
 def resolve_targets(targets: DataFrame, vertices: DataFrame,
-                    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, small: bool | None = None) -> DataFrame:
     """(target) -> (target, target_id). Unknown targets drop out (zero results).
 
-    Duplicate vertex names give several ids; all of them contribute.
+    Duplicate vertex names give several ids; all of them contribute. ``small``
+    skips the size check when the caller has already made it.
     """
     t = targets.select("target").distinct().select("target", reverse_domain(F.col("target")).alias("rev_domain"))
-    t = broadcast_if_small(t, max_broadcast_rows)
+    t = broadcast_when(t, is_small(t, max_broadcast_rows) if small is None else small)
     v = vertices.select(F.col("id").alias("target_id"), "rev_domain")
     return v.join(t, "rev_domain").select("target", "target_id")
 
 
 def edges_into(edges: DataFrame, resolved: DataFrame, n_buckets: int = DEFAULT_BUCKETS,
-               max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+               max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, small: bool | None = None) -> DataFrame:
     """Edges whose to_id is a resolved target -> (target, from_id).
 
     When the edge table carries the `bucket` partition column the join key
@@ -51,7 +52,8 @@ def edges_into(edges: DataFrame, resolved: DataFrame, n_buckets: int = DEFAULT_B
     else:
         cond = ["to_id"]
         e = edges.select("from_id", "to_id")
-    r = broadcast_if_small(r.withColumnRenamed("target_id", "to_id"), max_broadcast_rows)
+    r = r.withColumnRenamed("target_id", "to_id")
+    r = broadcast_when(r, is_small(r, max_broadcast_rows) if small is None else small)
     return e.join(r, cond).select("target", "from_id")
 
 
@@ -67,9 +69,13 @@ def inbound(edges: DataFrame, vertices: DataFrame, targets: DataFrame,
     Output: target, linking_domain, num_hosts. Linker ids without a vertex drop
     out (inner join). A (target, linking_domain) pair appears once; duplicate
     edges or duplicate vertex names keep the largest host count.
+
+    The size check is made once on the target list: vertex names are unique, so
+    the resolved (target, id) set is no larger than the list.
     """
-    resolved = resolve_targets(targets, vertices, max_broadcast_rows)
-    into = edges_into(edges, resolved, n_buckets, max_broadcast_rows)
+    small = is_small(targets, max_broadcast_rows)
+    resolved = resolve_targets(targets, vertices, max_broadcast_rows, small)
+    into = edges_into(edges, resolved, n_buckets, max_broadcast_rows, small)
     v = vertices.select(F.col("id").alias("from_id"), "rev_domain", "num_hosts")
     joined = into.join(v, "from_id")
     return (joined.groupBy("target", reverse_domain(F.col("rev_domain")).alias("linking_domain"))

@@ -24,7 +24,7 @@ from linkweave.operators.usage import admit, usage_by_month, usage_by_payer, usa
 from linkweave.plans import fixtures as fx
 from linkweave.plans.convert import convert_graph
 from linkweave.plans.reports import backlinks_report, bundle_report, nested_report, preview_report
-from linkweave.session import scratch_path
+from linkweave.session import literal_rows, scratch_path
 from linkweave.sinks.layout import store_status
 from linkweave.sources.responses import parse_match_responses
 from linkweave.sources.tables import read_graph
@@ -61,7 +61,7 @@ def _fx(spark: SparkSession, sf_dir: str) -> fx.Fixture:
 def q_normalize_domains(spark, sf_dir):
     f = _fx(spark, sf_dir)
     urls = f.table("pages").select("page_id", "url").unionByName(
-        spark.createDataFrame(URL_LITERALS, "page_id long, url string"))
+        literal_rows(spark, URL_LITERALS, "page_id long, url string"))
     host = url_to_domain(F.col("url"))
     return urls.select("page_id", "url", host.alias("host"), valid_domain(host).alias("valid_host"),
                        loose_domain(host).alias("loose_host"))
@@ -70,14 +70,14 @@ def q_normalize_domains(spark, sf_dir):
 def q_reverse_domains(spark, sf_dir):
     f = _fx(spark, sf_dir)
     v = f.vertices.select("id", "rev_domain").unionByName(
-        spark.createDataFrame(REVERSE_LITERALS, "id long, rev_domain string"))
+        literal_rows(spark, REVERSE_LITERALS, "id long, rev_domain string"))
     return v.select("id", "rev_domain", reverse_domain(F.col("rev_domain")).alias("domain"))
 
 
 def q_scores(spark, sf_dir):
     f = _fx(spark, sf_dir)
     rows = f.rank_rows.select("domain", "harmonic_rank", "n_hosts").unionByName(
-        spark.createDataFrame(SCORE_LITERALS, "domain string, harmonic_rank long, n_hosts long"))
+        literal_rows(spark, SCORE_LITERALS, "domain string, harmonic_rank long, n_hosts long"))
     return rows.select("domain", "harmonic_rank", "n_hosts",
                        derive_dr(F.col("harmonic_rank"), f.rank_total).alias("dr_score"),
                        authority_score(F.col("n_hosts")).alias("authority_score"),
@@ -97,14 +97,14 @@ def _lines(df: DataFrame, cols: list[str]) -> DataFrame:
 def q_scan_vertices_text(spark, sf_dir):
     f = _fx(spark, sf_dir)
     lines = _lines(f.vertices, ["id", "rev_domain", "num_hosts"]).unionByName(
-        spark.createDataFrame([(x,) for x in VERTEX_BAD_LINES], "value string"))
+        literal_rows(spark, [(x,) for x in VERTEX_BAD_LINES], "value string"))
     return parse_vertex_lines(lines)
 
 
 def q_scan_edges_text(spark, sf_dir):
     f = _fx(spark, sf_dir)
     lines = _lines(f.edges, ["from_id", "to_id"]).unionByName(
-        spark.createDataFrame([(x,) for x in EDGE_BAD_LINES], "value string"))
+        literal_rows(spark, [(x,) for x in EDGE_BAD_LINES], "value string"))
     return parse_edge_lines(lines)
 
 
@@ -139,7 +139,7 @@ def q_inbound(spark, sf_dir):
 
 
 def q_crawl_store(spark, sf_dir):
-    return _fx(spark, sf_dir).crawls
+    return _fx(spark, sf_dir).crawled[0]
 
 
 def q_backlinks(spark, sf_dir):
@@ -201,9 +201,9 @@ def q_upsert_backlinks(spark, sf_dir):
 
 def _seeded(spark, sf_dir):
     f = _fx(spark, sf_dir)
-    live_c, live_b = f.crawl_rel2
-    seed_c, seed_b = f.crawl_rel1
-    return merge_seed(live_c, live_b, seed_c, seed_b)
+    rel = lambda df, r: df.where(F.col("release") == r)
+    return merge_seed(rel(f.crawls, fx.REL2), rel(f.backlinks, fx.REL2),
+                      rel(f.crawls, fx.REL1), rel(f.backlinks, fx.REL1))
 
 
 def q_merge_seed(spark, sf_dir):

@@ -66,3 +66,16 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.abspath(path)
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str):
+    """A small literal DataFrame as a local relation (exact size statistics, no RDD behind it)."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import _parse_datatype_string
+
+    st = _parse_datatype_string(schema)
+    names = [f.name for f in st.fields]
+    if not rows:
+        return spark.createDataFrame([], st)
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, st.fields)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs))).select(*names)
