@@ -16,6 +16,8 @@ from linkweave.functions.util import as_col
 # cannot slip through.
 DOMAIN_PATTERN = r"^[a-zA-Z0-9]([a-zA-Z0-9\-]*[a-zA-Z0-9])?(\.[a-zA-Z0-9]([a-zA-Z0-9\-]*[a-zA-Z0-9])?)*\z"
 MAX_DOMAIN_LENGTH = 253
+# The same rule with the length bound as a look-ahead, so one regex pass decides validity.
+VALID_DOMAIN_PATTERN = r"^(?=.{1,253}\z)" + DOMAIN_PATTERN[1:]
 # Characters removed by Python's str.strip(): Unicode white space plus \x1c-\x1f.
 STRIP_PATTERN = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 # URL-ish input: scheme prefix and everything from the first slash on.
@@ -36,9 +38,7 @@ def loose_domain(c) -> Column:
 
 def valid_domain(c) -> Column:
     """normalised domain, or NULL when it is not a valid domain name."""
-    d = loose_domain(c)
-    return (F.when(F.length(d) > MAX_DOMAIN_LENGTH, F.lit(None).cast("string"))
-            .when(d.rlike(DOMAIN_PATTERN), d))
+    return F.nullif(F.regexp_extract(loose_domain(c), VALID_DOMAIN_PATTERN, 0), F.lit(""))
 
 
 def invalid_domains(df: DataFrame, col: str = "target") -> DataFrame:

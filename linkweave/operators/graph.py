@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 
 from linkweave.functions.domains import reverse_domain
 from linkweave.operators.joins import DEFAULT_BROADCAST_ROWS, broadcast_when, is_small
+from linkweave.session import literal_rows
 
 DEFAULT_BUCKETS = 1000
+# Up to this many targets the names are inlined as a literal IN filter on the vertex scan:
+# Parquet then prunes row groups on rev_domain, and the edge scan gets dynamic partition
+# pruning on `bucket` (only the targets' bucket directories are read). Larger lists are
+# broadcast (when size-checked) and joined instead.
+INLINE_TARGETS = 10_000
 
 
 def bucket_of(id_col, n: int = DEFAULT_BUCKETS):
@@ -24,16 +30,31 @@ def bucket_of(id_col, n: int = DEFAULT_BUCKETS):
     return F.pmod(c, F.lit(n)).cast("int")
 
 
+def _inline_targets(targets: DataFrame, limit: int) -> list[tuple[str, str]] | None:
+    """(target, rev_domain) pairs when there are at most ``limit`` distinct targets, else None."""
+    if limit <= 0:
+        return None
+    got = (targets.select("target").distinct().select("target", reverse_domain(F.col("target")).alias("rev"))
+           .limit(limit + 1).collect())
+    return None if len(got) > limit else [(r.target, r.rev) for r in got]
+
+
 def resolve_targets(targets: DataFrame, vertices: DataFrame,
-                    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, small: bool | None = None) -> DataFrame:
+                    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, small: bool | None = None,
+                    inline_limit: int = INLINE_TARGETS) -> DataFrame:
     """(target) -> (target, target_id). Unknown targets drop out (zero results).
 
     Duplicate vertex names give several ids; all of them contribute. ``small``
     skips the size check when the caller has already made it.
     """
+    v = vertices.select(F.col("id").alias("target_id"), "rev_domain")
+    pairs = _inline_targets(targets, inline_limit)
+    if pairs is not None:
+        t = literal_rows(targets.sparkSession, pairs, "target string, rev_domain string")
+        picked = v.where(F.col("rev_domain").isin(sorted({rev for _, rev in pairs})))
+        return picked.join(F.broadcast(t), "rev_domain").select("target", "target_id")
     t = targets.select("target").distinct().select("target", reverse_domain(F.col("target")).alias("rev_domain"))
     t = broadcast_when(t, is_small(t, max_broadcast_rows) if small is None else small)
-    v = vertices.select(F.col("id").alias("target_id"), "rev_domain")
     return v.join(t, "rev_domain").select("target", "target_id")
 
 
@@ -63,7 +84,8 @@ def bucket_range(edges: DataFrame, first: int, end: int) -> DataFrame:
 
 
 def inbound(edges: DataFrame, vertices: DataFrame, targets: DataFrame,
-            n_buckets: int = DEFAULT_BUCKETS, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+            n_buckets: int = DEFAULT_BUCKETS, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+            inline_limit: int = INLINE_TARGETS) -> DataFrame:
     """For each target, the linking domains and their host counts.
 
     Output: target, linking_domain, num_hosts. Linker ids without a vertex drop
@@ -71,12 +93,19 @@ def inbound(edges: DataFrame, vertices: DataFrame, targets: DataFrame,
     edges or duplicate vertex names keep the largest host count.
 
     The size check is made once on the target list: vertex names are unique, so
-    the resolved (target, id) set is no larger than the list.
+    the resolved (target, id) set is no larger than the list. Beyond the bound,
+    the inbound edges meet the vertices in a shuffle join on the linker id.
     """
     small = is_small(targets, max_broadcast_rows)
-    resolved = resolve_targets(targets, vertices, max_broadcast_rows, small)
+    resolved = resolve_targets(targets, vertices, max_broadcast_rows, small, inline_limit)
     into = edges_into(edges, resolved, n_buckets, max_broadcast_rows, small)
     v = vertices.select(F.col("id").alias("from_id"), "rev_domain", "num_hosts")
+    if small:
+        # Few targets: materialise their inbound edges once (a reliable checkpoint in the
+        # shared folder), then stream the vertex table past them when they are few enough
+        # to broadcast -- the 1e8-row vertex table is then scanned once and never shuffled.
+        into = into.checkpoint(eager=True)
+        into = broadcast_when(into, into.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows)
     joined = into.join(v, "from_id")
     return (joined.groupBy("target", reverse_domain(F.col("rev_domain")).alias("linking_domain"))
             .agg(F.max("num_hosts").alias("num_hosts")))

@@ -26,6 +26,7 @@ from linkweave.plans.convert import convert_graph
 from linkweave.plans.reports import backlinks_report, bundle_report, nested_report, preview_report
 from linkweave.session import literal_rows, scratch_path
 from linkweave.sinks.layout import store_status
+from linkweave.sinks.store import _committed
 from linkweave.sources.responses import parse_match_responses
 from linkweave.sources.tables import read_graph
 from linkweave.sources.text import parse_edge_lines, parse_rank_lines, parse_vertex_lines
@@ -111,10 +112,13 @@ def q_scan_edges_text(spark, sf_dir):
 def _converted_store(spark, sf_dir) -> str:
     """Q9 end to end: fixture graph -> gzip text dumps -> bucketed Parquet store."""
     f = _fx(spark, sf_dir)
-    base = scratch_path(spark, "graph")
-    _lines(f.vertices, ["id", "rev_domain", "num_hosts"]).write.option("compression", "gzip") \
+    base = f.shared_root("graph")
+    if _committed(spark, f"{base}/store/edges"):
+        return f"{base}/store"
+    _lines(f.vertices, ["id", "rev_domain", "num_hosts"]).write.mode("overwrite").option("compression", "gzip") \
         .text(f"{base}/dump/vertices")
-    _lines(f.edges, ["from_id", "to_id"]).write.option("compression", "gzip").text(f"{base}/dump/edges")
+    _lines(f.edges, ["from_id", "to_id"]).write.mode("overwrite").option("compression", "gzip") \
+        .text(f"{base}/dump/edges")
     return convert_graph(spark, f"{base}/dump/vertices", f"{base}/dump/edges", f"{base}/store", fx.BUCKETS)
 
 

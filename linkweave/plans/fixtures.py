@@ -21,7 +21,7 @@ from linkweave.operators.crawls import crawl_and_store
 from linkweave.operators.ranks import ranks_from_rows
 from linkweave.session import checkpoint_dir, literal_rows
 from linkweave.sinks.layout import write_ranks
-from linkweave.sinks.store import _committed, latest_version, read_version, write_version
+from linkweave.sinks.store import _committed, latest_version, read_version, write_crawl_runs
 from linkweave.sources.tables import read_rank_tables
 
 # --- Fixture parameters (shared with the SQL oracle) -----------------------------
@@ -200,7 +200,7 @@ class Fixture:
         c2, b2 = self.crawl_rel2
         return c1.unionByName(c2), b1.unionByName(b2)
 
-    def _shared_root(self, name: str) -> str:
+    def shared_root(self, name: str) -> str:
         """A per-application folder under the shared checkpoint dir for materialised fixture tables."""
         key = hashlib.sha1(f"{self.sf_dir}|{FIXTURE_VERSION}".encode()).hexdigest()[:16]
         app = self.spark.sparkContext.applicationId
@@ -209,10 +209,14 @@ class Fixture:
     @cached_property
     def store(self) -> tuple[DataFrame, DataFrame]:
         """The crawl store as the service keeps it: crawled once, written, then read by every report."""
-        root = self._shared_root("crawl-store")
+        root = self.shared_root("crawl-store")
         path = latest_version(self.spark, root)
         if path is None:
-            path = write_version(*self.crawled, root)
+            runs = [dict(targets=self.targets, vertices=self.vertices, edges=self.early_edges,
+                         release=REL1, as_of=REL1_AT),
+                    dict(targets=self.supplier_targets(F.col("s_nationkey") < 13), vertices=self.vertices,
+                         edges=self.edges, release=REL2, as_of=REL2_AT)]
+            path = write_crawl_runs(root, runs)
         return read_version(self.spark, path)
 
     @property
@@ -226,7 +230,7 @@ class Fixture:
     @cached_property
     def rank_tables(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """ranks, majestic and tranco written once as Parquet tables (K7) and read back."""
-        root = self._shared_root("rank-tables")
+        root = self.shared_root("rank-tables")
         if not _committed(self.spark, f"{root}/tranco"):
             write_ranks(self.ranks_computed, f"{root}/ranks")
             write_ranks(self.majestic_computed, f"{root}/majestic")

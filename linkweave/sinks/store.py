@@ -13,9 +13,12 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linkweave.operators.crawls import BACKLINK_COLS, CRAWL_COLS
-from linkweave.sources.tables import read_backlinks, read_crawls
+from linkweave.operators.crawls import (BACKLINK_COLS, CRAWL_COLS, crawl_counts, normalise_targets,
+                                        upsert_crawls)
+from linkweave.operators.graph import DEFAULT_BUCKETS, inbound
+from linkweave.sources.tables import BACKLINKS_SCHEMA, read_backlinks, read_crawls
 
 
 def _fs(spark: SparkSession, path: str):
@@ -49,13 +52,32 @@ def latest_version(spark: SparkSession, root: str) -> str | None:
     return v[-1] if v else None
 
 
+def _new_version_path(root: str) -> str:
+    return f"{root.rstrip('/')}/v={int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
+
+
+def _write_crawls(crawls: DataFrame, path: str) -> None:
+    crawls.select(*CRAWL_COLS).write.option("compression", "zstd").partitionBy("release").parquet(path)
+
+
+def _write_backlinks(backlinks: DataFrame, path: str) -> None:
+    # Rebalance: even files, and a hot target is split by AQE instead of landing in one task.
+    (backlinks.select(*BACKLINK_COLS).hint("rebalance").sortWithinPartitions("target")
+     .write.option("compression", "zstd").partitionBy("release").parquet(path))
+
+
+def _rename(spark: SparkSession, src: str, dst: str) -> None:
+    jvm = spark.sparkContext._jvm
+    s, d = jvm.org.apache.hadoop.fs.Path(src), jvm.org.apache.hadoop.fs.Path(dst)
+    if not s.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(s, d):
+        raise OSError(f"could not move {src} to {dst}")
+
+
 def write_version(crawls: DataFrame, backlinks: DataFrame, root: str) -> str:
     """Write a new store version and return its path."""
-    path = f"{root.rstrip('/')}/v={int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
-    (crawls.select(*CRAWL_COLS).write.option("compression", "zstd")
-     .partitionBy("release").parquet(f"{path}/crawls"))
-    (backlinks.select(*BACKLINK_COLS).hint("rebalance").sortWithinPartitions("target").write.option("compression", "zstd")
-     .partitionBy("release").parquet(f"{path}/backlinks"))
+    path = _new_version_path(root)
+    _write_crawls(crawls, f"{path}/crawls")
+    _write_backlinks(backlinks, f"{path}/backlinks")
     return path
 
 
@@ -66,3 +88,42 @@ def read_version(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def read_latest(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame] | None:
     p = latest_version(spark, root)
     return read_version(spark, p) if p else None
+
+
+def write_crawl_runs(root: str, runs: list[dict], existing: tuple[DataFrame, DataFrame] | None = None,
+                     n_buckets: int = DEFAULT_BUCKETS) -> str:
+    """Q10 + K6 as one batch job: crawl several (targets, graph, release) runs into a new store version.
+
+    Each run is a dict with targets, vertices, edges, release, as_of (one release per run).
+    The backlinks of all runs are written first; the crawl rows (with zero-result
+    crawls) are then counted from the written backlinks instead of re-running the
+    graph joins. With ``existing`` (crawls, backlinks) the runs replace their
+    (target, release) keys in it.
+    """
+    spark = runs[0]["vertices"].sparkSession
+    path = _new_version_path(root)
+    links = None
+    for r in runs:
+        t = normalise_targets(r["targets"])
+        b = inbound(r["edges"], r["vertices"], t, n_buckets).select(
+            "target", F.lit(r["release"]).alias("release"), "linking_domain",
+            F.col("num_hosts").cast("long").alias("num_hosts"), F.lit(None).cast("double").alias("page_rank"))
+        links = b if links is None else links.unionByName(b)
+    staged = f"{path}/_staged_backlinks"
+    _write_backlinks(links, staged)
+    new_b = spark.read.schema(BACKLINKS_SCHEMA).parquet(staged).select(*BACKLINK_COLS)
+    new_c = None
+    for r in runs:
+        c = crawl_counts(normalise_targets(r["targets"]), new_b.where(F.col("release") == r["release"]),
+                         r["release"], r["as_of"])
+        new_c = c if new_c is None else new_c.unionByName(c)
+    if existing is None:
+        crawls, backlinks = new_c, new_b
+    else:
+        crawls, backlinks = upsert_crawls(existing[0], existing[1], new_c, new_b)
+    _write_crawls(crawls, f"{path}/crawls")
+    if existing is None:
+        _rename(spark, staged, f"{path}/backlinks")
+    else:
+        _write_backlinks(backlinks, f"{path}/backlinks")
+    return path

@@ -32,12 +32,17 @@ RANK_LINE_SCHEMA = T.StructType([
     T.StructField("n_hosts", T.LongType()),
 ])
 
-_TRIM = r"^\s+|\s+\z"
-_DUMP_INT = r"^\s*[+-]?\d+\s*\z"
-# Python int()/float() grammar (ASCII digits; single underscores between digits are removed first).
-_PY_INT = r"^\s*[+-]?\d+\s*\z"
-_PY_FLOAT = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)\s*\z"
-_DIGIT_UNDERSCORE = r"(?<=\d)_(?=\d)"
+# Line grammars. Each dump line is validated by one regex, then split once.
+# DuckDB-style dump fields: empty (NULL) or an integer with optional blanks and sign.
+_DUMP_INT = r"(?:\s*[+-]?\d+\s*)?"
+_DUMP_STR = r"[^\t]*"
+# Python int()/float() grammar: digit groups may be joined by single underscores.
+_DP = r"\d(?:_?\d)*"
+_PY_INT = rf"\s*[+-]?{_DP}\s*"
+_PY_FLOAT = (rf"\s*[+-]?(?:(?:{_DP}\.(?:{_DP})?|\.{_DP}|{_DP})(?:[eE][+-]?{_DP})?"
+             r"|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*")
+RANK_LINE_PATTERN = "^" + "\t".join([_PY_INT, _PY_FLOAT, _PY_INT, _PY_FLOAT, r"[^\t]*", _PY_INT]) + r"(?:\t[\s\S]*)?\z"
+_BLANKS = " \t\n\r\f\u000b"
 COMPRESSED_SUFFIXES = (".gz", ".bz2", ".zst", ".deflate", ".lz4", ".snappy")
 
 
@@ -56,32 +61,34 @@ def read_text_lines(spark: SparkSession, path: str, partitions: int | None = Non
     return df
 
 
-def _dump_long(s: Column) -> tuple[Column, Column]:
-    """A field of a DuckDB-style dump: empty -> NULL (accepted), else must be an integer."""
-    ok = (s == "") | s.rlike(_DUMP_INT)
-    val = F.when(s != "", F.regexp_replace(s, _TRIM, "").try_cast("bigint"))
-    return val, ok & ((s == "") | val.isNotNull())
+def _num(field: Column, to: str, underscores: bool = False) -> Column:
+    if underscores:
+        field = F.regexp_replace(field, "_", "")
+    return F.trim(field, F.lit(_BLANKS)).try_cast(to)
 
 
 def _parse_dump(lines: DataFrame, kinds: list[tuple[str, str]], strict: bool, what: str) -> DataFrame:
-    parts = F.split(F.col("value"), "\t", -1)
-    cols, oks = [], [F.size(parts) == len(kinds)]
+    """One regex decides whether a line has the right field count and field syntax;
+    the fields are then split out once. An integer that overflows 64 bits drops the line."""
+    pattern = "^" + "\t".join(_DUMP_INT if k == "long" else _DUMP_STR for _, k in kinds) + r"\z"
+    v = F.col("value")
+    if strict:
+        guard = F.when(~v.rlike(pattern), F.raise_error(F.concat(F.lit(f"malformed {what} line: "), v)))
+        lines = lines.where(F.coalesce(guard.cast("boolean"), F.lit(True)))
+    parts = F.split(v, "\t", -1)
+    cols, overflow = [], []
     for i, (name, kind) in enumerate(kinds):
         field = F.get(parts, i)
         if kind == "long":
-            val, ok = _dump_long(field)
+            cols.append(F.when(field != "", _num(field, "bigint")).alias(name))
+            cols.append((field != "").alias(f"_set{i}"))
+            overflow.append(F.col(name).isNotNull() | ~F.col(f"_set{i}"))
         else:
-            val, ok = F.nullif(field, F.lit("")), F.lit(True)
-        cols.append(val.alias(name))
-        oks.append(ok)
-    ok_all = oks[0]
-    for o in oks[1:]:
-        ok_all = ok_all & o
-    parsed = lines.select(*cols, ok_all.alias("_ok"), F.col("value").alias("_line"))
-    if strict:
-        guard = F.when(~F.col("_ok"), F.raise_error(F.concat(F.lit(f"malformed {what} line: "), F.col("_line"))))
-        parsed = parsed.where(F.coalesce(guard.cast("boolean"), F.lit(True)))
-    return parsed.where("_ok").drop("_ok", "_line")
+            cols.append(F.nullif(field, F.lit("")).alias(name))
+    parsed = lines.where(v.rlike(pattern)).select(*cols)
+    for ok in overflow:
+        parsed = parsed.where(ok)
+    return parsed.select(*[name for name, _ in kinds])
 
 
 def parse_vertex_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
@@ -113,11 +120,6 @@ def read_rank_lines(spark: SparkSession, path: str, partitions: int | None = Non
     return read_text_lines(spark, path, partitions)
 
 
-def _py_number(s: Column, pattern: str, to: str) -> Column:
-    clean = F.regexp_replace(s, _DIGIT_UNDERSCORE, "")
-    return F.when(clean.rlike(pattern), F.regexp_replace(clean, _TRIM, "").try_cast(to))
-
-
 def parse_rank_lines(lines: DataFrame) -> DataFrame:
     """rank lines -> (domain, harmonic_rank, harmonic_val, pr_rank, pr_val, n_hosts).
 
@@ -127,12 +129,16 @@ def parse_rank_lines(lines: DataFrame) -> DataFrame:
     """
     v = F.col("value")
     parts = F.split(v, "\t", -1)
-    typed = lines.where((v != "") & ~v.startswith("#") & (F.size(parts) >= 6)).select(
+    typed = lines.where(v.rlike(RANK_LINE_PATTERN)).select(
         host_rev_to_domain(F.get(parts, 4)).alias("domain"),
-        _py_number(F.get(parts, 0), _PY_INT, "bigint").alias("harmonic_rank"),
-        _py_number(F.get(parts, 1), _PY_FLOAT, "double").alias("harmonic_val"),
-        _py_number(F.get(parts, 2), _PY_INT, "bigint").alias("pr_rank"),
-        _py_number(F.get(parts, 3), _PY_FLOAT, "double").alias("pr_val"),
-        _py_number(F.get(parts, 5), _PY_INT, "bigint").alias("n_hosts"),
+        _num(F.get(parts, 0), "bigint", True).alias("harmonic_rank"),
+        _num(F.get(parts, 1), "double", True).alias("harmonic_val"),
+        _num(F.get(parts, 2), "bigint", True).alias("pr_rank"),
+        _num(F.get(parts, 3), "double", True).alias("pr_val"),
+        _num(F.get(parts, 5), "bigint", True).alias("n_hosts"),
     )
-    return typed.dropna(subset=["harmonic_rank", "harmonic_val", "pr_rank", "pr_val", "n_hosts"])
+    # Not dropna(): that would also drop NaN values, which Python's float() accepts.
+    keep = F.lit(True)
+    for c in ("harmonic_rank", "harmonic_val", "pr_rank", "pr_val", "n_hosts"):
+        keep = keep & F.col(c).isNotNull()
+    return typed.where(keep)
