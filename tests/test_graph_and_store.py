@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from linkweave.operators.crawls import (crawl_and_store, latest_crawl, list_domains, merge_seed,
                                         upsert_crawls)
 from linkweave.operators.dedupe import key_violations
-from linkweave.operators.graph import bucket_of, inbound
+from linkweave.operators.graph import bucket_of, edges_into, inbound, resolve_targets
 from linkweave.plans.convert import convert_graph
 from linkweave.sinks.layout import store_status, write_edges, write_missing_buckets
 from linkweave.sinks.store import latest_version, read_version, write_crawl_runs, write_version
@@ -154,3 +154,22 @@ def test_store_versions(spark, tmp_dir):
     nc, nb = read_version(spark, p2)
     assert rows(nc, "target", "release", "result_count") == [
         ("a.com", "r1", 2), ("a.com", "r2", 1), ("b.com", "r1", 1), ("nobody.com", "r1", 0), ("target.com", "r1", 2)]
+
+
+def test_inbound_plan_prunes_buckets_and_never_shuffles_edges(spark, tmp_dir):
+    vertices = spark.createDataFrame([(i, f"com.d{i}", i) for i in range(200)], "id long, rev_domain string, num_hosts long")
+    e = spark.createDataFrame([(i, (i * 7) % 200) for i in range(2000)], "from_id long, to_id long")
+    write_edges(e, f"{tmp_dir}/edges", n_buckets=50)
+    vertices.write.parquet(f"{tmp_dir}/vertices")
+    vv, ee = read_graph(spark, tmp_dir)
+    t = spark.createDataFrame([("d3.com",), ("d9.com",)], "target string")
+    df = inbound(ee, vv, t, n_buckets=50)
+    assert df.count() == 2   # linkers 29 and 63; ids >= 200 have no vertex and drop out
+    # The inbound edges were materialised by a checkpoint; the vertices are streamed past them.
+    assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    into = edges_into(ee, resolve_targets(t, vv), n_buckets=50)
+    into.collect()
+    plan = into._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruningexpression(bucket" in plan            # only the targets' buckets are read
+    assert "PushedFilters: [In(rev_domain" in plan              # target lookup pruned by Parquet statistics
+    assert "SortMergeJoin" not in plan                           # edges go through broadcast joins only
