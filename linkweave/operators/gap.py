@@ -15,6 +15,7 @@ from linkweave.functions.domains import loose_domain
 from linkweave.functions.scores import authority_or_null
 from linkweave.operators.crawls import latest_crawl
 from linkweave.operators.enrich import with_majestic, with_tranco
+from linkweave.operators.joins import broadcast_when, is_small
 
 PAIR = ["yours", "competitor"]
 
@@ -30,18 +31,23 @@ def _side(pairs: DataFrame, latest: DataFrame, side: str) -> DataFrame:
                       side)
 
 
-def _linkers(pairs_rel: DataFrame, backlinks: DataFrame, side: str, cols: list[str]) -> DataFrame:
+def _linkers(pairs_rel: DataFrame, backlinks: DataFrame, side: str, cols: list[str], small: bool) -> DataFrame:
     b = backlinks.select(F.col("target").alias(side), F.col("release").alias(f"{side}_release"), *cols)
-    return pairs_rel.join(b, [side, f"{side}_release"])
+    # A size-checked pair list is broadcast, so the backlinks are never shuffled by a
+    # (possibly very popular) target; otherwise AQE splits a skewed target partition.
+    return b.join(broadcast_when(pairs_rel, small), [side, f"{side}_release"])
 
 
 def gap_sets(pairs: DataFrame, crawls: DataFrame, backlinks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(resolved pairs, own linker sets, competitor linker sets) per pair."""
     latest = latest_crawl(crawls)
     p = normalise_pairs(pairs)
+    # Each side resolves to at most one latest crawl, so the resolved list is no larger than the input.
+    small = is_small(p)
     resolved = _side(_side(p, latest, "yours"), latest, "competitor")
-    own = _linkers(resolved, backlinks, "yours", ["linking_domain"]).select(*PAIR, "linking_domain").distinct()
-    comp = (_linkers(resolved, backlinks, "competitor", ["linking_domain", "num_hosts", "page_rank"])
+    own = (_linkers(resolved, backlinks, "yours", ["linking_domain"], small)
+           .select(*PAIR, "linking_domain").distinct())
+    comp = (_linkers(resolved, backlinks, "competitor", ["linking_domain", "num_hosts", "page_rank"], small)
             .select(*PAIR, "linking_domain", "num_hosts", "page_rank"))
     return resolved.select(*PAIR), own, comp
 
