@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from linkweave.functions.domains import reverse_domain
 from linkweave.operators.joins import DEFAULT_BROADCAST_ROWS, broadcast_when, is_small
-from linkweave.session import literal_rows
+from linkweave.session import materialize
 
 DEFAULT_BUCKETS = 1000
 # Up to this many targets the names are inlined as a literal IN filter on the vertex scan:
@@ -30,13 +30,24 @@ def bucket_of(id_col, n: int = DEFAULT_BUCKETS):
     return F.pmod(c, F.lit(n)).cast("int")
 
 
-def _inline_targets(targets: DataFrame, limit: int) -> list[tuple[str, str]] | None:
-    """(target, rev_domain) pairs when there are at most ``limit`` distinct targets, else None."""
+def _inline_targets(targets: DataFrame, limit: int) -> list[str] | None:
+    """Reversed names of the distinct targets when there are at most ``limit``, else None."""
     if limit <= 0:
         return None
-    got = (targets.select("target").distinct().select("target", reverse_domain(F.col("target")).alias("rev"))
+    got = (targets.select(reverse_domain(F.col("target")).alias("rev")).distinct()
            .limit(limit + 1).collect())
-    return None if len(got) > limit else [(r.target, r.rev) for r in got]
+    return None if len(got) > limit else sorted(r.rev for r in got)
+
+
+def _sql_string(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _in_list(col: str, values: list[str]):
+    """`col IN (...)` built as one SQL expression (one call instead of one per literal)."""
+    if not values:
+        return F.lit(False)
+    return F.expr(f"`{col}` IN ({', '.join(_sql_string(v) for v in values)})")
 
 
 def resolve_targets(targets: DataFrame, vertices: DataFrame,
@@ -45,14 +56,14 @@ def resolve_targets(targets: DataFrame, vertices: DataFrame,
     """(target) -> (target, target_id). Unknown targets drop out (zero results).
 
     Duplicate vertex names give several ids; all of them contribute. ``small``
-    skips the size check when the caller has already made it.
+    skips the size check when the caller has already made it. Reversing a
+    reversed name gives the name back, so an inlined lookup needs no join.
     """
     v = vertices.select(F.col("id").alias("target_id"), "rev_domain")
-    pairs = _inline_targets(targets, inline_limit)
-    if pairs is not None:
-        t = literal_rows(targets.sparkSession, pairs, "target string, rev_domain string")
-        picked = v.where(F.col("rev_domain").isin(sorted({rev for _, rev in pairs})))
-        return picked.join(F.broadcast(t), "rev_domain").select("target", "target_id")
+    revs = _inline_targets(targets, inline_limit)
+    if revs is not None:
+        return (v.where(_in_list("rev_domain", revs))
+                .select(reverse_domain(F.col("rev_domain")).alias("target"), "target_id"))
     t = targets.select("target").distinct().select("target", reverse_domain(F.col("target")).alias("rev_domain"))
     t = broadcast_when(t, is_small(t, max_broadcast_rows) if small is None else small)
     return v.join(t, "rev_domain").select("target", "target_id")
@@ -101,10 +112,10 @@ def inbound(edges: DataFrame, vertices: DataFrame, targets: DataFrame,
     into = edges_into(edges, resolved, n_buckets, max_broadcast_rows, small)
     v = vertices.select(F.col("id").alias("from_id"), "rev_domain", "num_hosts")
     if small:
-        # Few targets: materialise their inbound edges once (a reliable checkpoint in the
-        # shared folder), then stream the vertex table past them when they are few enough
+        # Few targets: materialise their inbound edges once (a table in the shared
+        # checkpoint folder), then stream the vertex table past them when they are few enough
         # to broadcast -- the 1e8-row vertex table is then scanned once and never shuffled.
-        into = into.checkpoint(eager=True)
+        into = materialize(into, "inbound-edges")
         into = broadcast_when(into, into.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows)
     joined = into.join(v, "from_id")
     return (joined.groupBy("target", reverse_domain(F.col("rev_domain")).alias("linking_domain"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from linkweave.functions.scores import TOTAL_DOMAINS, derive_dr
@@ -38,3 +38,14 @@ def ranks_from_rows(rows: DataFrame, limit=DEFAULT_RANK_LIMIT, total=TOTAL_DOMAI
 def ingest_ranks(lines: DataFrame, limit=DEFAULT_RANK_LIMIT, total=TOTAL_DOMAINS, as_of=None) -> DataFrame:
     """Q8: rank lines (`value`) -> ranks table rows."""
     return ranks_from_rows(parse_rank_lines(lines), limit, total, as_of).select(*RANK_COLS)
+
+
+def ingest_ranks_observed(lines: DataFrame, limit=DEFAULT_RANK_LIMIT, total=TOTAL_DOMAINS,
+                          as_of=None) -> tuple[DataFrame, Observation]:
+    """Q8 + A10: the ingest plus an Observation that reports `rows_kept` once the result is written.
+
+    The count rides along with the write job (no second pass over the data).
+    """
+    obs = Observation("rank_ingest")
+    df = ingest_ranks(lines, limit, total, as_of).observe(obs, F.count(F.lit(1)).alias("rows_kept"))
+    return df, obs

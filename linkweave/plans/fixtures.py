@@ -239,8 +239,14 @@ class Fixture:
 
     @cached_property
     def recrawl(self) -> tuple[DataFrame, DataFrame]:
-        return crawl_and_store(self.supplier_targets(F.col("s_nationkey") >= 10), self.vertices, self.edges,
-                               REL2, RECRAWL_AT)
+        """A later crawl of release 2 for part of the targets, written once like the store."""
+        root = self.shared_root("recrawl")
+        path = latest_version(self.spark, root)
+        if path is None:
+            path = write_crawl_runs(root, [dict(targets=self.supplier_targets(F.col("s_nationkey") >= 10),
+                                                vertices=self.vertices, edges=self.edges, release=REL2,
+                                                as_of=RECRAWL_AT)])
+        return read_version(self.spark, path)
 
     # ---- gap pairs ---------------------------------------------------------------
     @cached_property

@@ -79,3 +79,14 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: str):
         return spark.createDataFrame([], st)
     structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, st.fields)]) for r in rows]
     return spark.range(1).select(F.inline(F.array(*structs))).select(*names)
+
+
+def materialize(df, name: str):
+    """Write ``df`` once to a fresh folder under the shared checkpoint dir and read it back.
+
+    Cuts lineage (a lost executor does not recompute upstream stages) with a single
+    job, and the re-read table has exact size statistics for the planner.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -103,3 +103,11 @@ def test_ingest_last_write_wins_and_unsorted_input(spark):
     assert out["dup.com"] == (5, 1, 65)       # the later (larger-rank) duplicate wins
     assert out["zero.com"][2] == 100          # rank <= 0 passes the limit and scores 100
     assert "late.com" not in out and "other.com" in out
+
+
+def test_ingest_observed_count(spark, tmp_dir):
+    from linkweave.operators.ranks import ingest_ranks_observed
+    lines = _lines(spark, ["1\t1.0\t1\t0.1\tcom.a\t3", "2\t1.0\t1\t0.1\tcom.b\t3", "bad"])
+    df, obs = ingest_ranks_observed(lines, limit=10, total=100)
+    df.write.parquet(f"{tmp_dir}/ranks")
+    assert obs.get["rows_kept"] == 2
