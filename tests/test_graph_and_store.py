@@ -173,3 +173,44 @@ def test_inbound_plan_prunes_buckets_and_never_shuffles_edges(spark, tmp_dir):
     assert "dynamicpruningexpression(bucket" in plan            # only the targets' buckets are read
     assert "PushedFilters: [In(rev_domain" in plan              # target lookup pruned by Parquet statistics
     assert "SortMergeJoin" not in plan                           # edges go through broadcast joins only
+
+
+def test_inline_lookup_handles_quotes_and_large_lists(spark):
+    from linkweave.operators.graph import resolve_targets
+    v = spark.createDataFrame([(1, "com.o'neil", 1), (2, "com.back\\slash", 1), (3, "com.plain", 1)],
+                              "id long, rev_domain string, num_hosts long")
+    t = spark.createDataFrame([("o'neil.com",), ("back\\slash.com",), ("plain.com",)], "target string")
+    assert set(rows(resolve_targets(t, v), "target", "target_id")) == {
+        ("back\\slash.com", 2), ("o'neil.com", 1), ("plain.com", 3)}
+    # Above the inline limit the same answer comes from a broadcast join.
+    assert rows(resolve_targets(t, v, inline_limit=1), "target", "target_id") == rows(resolve_targets(t, v), "target", "target_id")
+    assert set(rows(resolve_targets(t, v, inline_limit=0, max_broadcast_rows=0), "target")) == {
+        ("back\\slash.com",), ("o'neil.com",), ("plain.com",)}
+
+
+def test_ensure_crawled_only_crawls_new_targets(spark):
+    from linkweave.plans.reports import ensure_crawled
+    v, e = _graph(spark)
+    c, b = _store(spark)
+    t = spark.createDataFrame([("a.com",), ("TARGET.com",)], "target string")
+    c2, b2 = ensure_crawled(t, c, b, v, e, "r5", "2026-07-01 00:00:00")
+    assert rows(c2, "target", "release", "result_count") == [
+        ("a.com", "r1", 2), ("a.com", "r2", 1), ("b.com", "r1", 1), ("target.com", "r5", 2)]
+    assert b2.count() == b.count() + 2
+
+
+def test_invalid_domains_and_compaction(spark, tmp_dir):
+    from linkweave.functions import invalid_domains
+    from linkweave.sinks.layout import append_lookups, compact
+    t = spark.createDataFrame([("ok.com",), ("bad_name.com",), ("http://x.com",)], "target string")
+    assert rows(invalid_domains(t), "target") == [("bad_name.com",), ("http://x.com",)]
+    df = spark.range(100).select((F.col("id") % 3).cast("int").alias("bucket"), "id").repartition(7)
+    compact(df, f"{tmp_dir}/compact")
+    for bkt in range(3):
+        files = [x for x in os.listdir(f"{tmp_dir}/compact/bucket={bkt}") if x.endswith(".parquet")]
+        assert len(files) == 1
+    lk = spark.createDataFrame([("a", "b", "c.com", "", "", "", "")],
+                               "first_name string, last_name string, domain string, email string, confidence string, title string, company string")
+    append_lookups(lk, f"{tmp_dir}/lookups")
+    append_lookups(lk, f"{tmp_dir}/lookups")
+    assert spark.read.parquet(f"{tmp_dir}/lookups").count() == 2

@@ -78,3 +78,16 @@ def test_gap(spark):
     s = rows(gap_summary(pairs, c, b), "competitor", "your_backlinks", "competitor_backlinks", "gap_count")
     assert s == [("empty.com", 1, 0, 0), ("them.com", 1, 3, 2)]
     assert rows(gap_missing(pairs, c), "competitor", "missing") == [("never.com", "competitor")]
+
+
+def test_orderings(spark):
+    from linkweave.operators.enrich import order_backlinks
+    from linkweave.operators.graph import order_inbound
+    df = spark.createDataFrame([("t", "b.org", 5, None), ("t", "a.org", 5, None), ("t", "c.org", 1, 40),
+                                ("t", "d.org", 9, 40), ("s", "z.org", 1, None)],
+                               "target string, linking_domain string, num_hosts long, dr_score int")
+    assert [r.linking_domain for r in order_backlinks(df).collect()] == ["z.org", "d.org", "c.org", "a.org", "b.org"]
+    assert [r.linking_domain for r in order_inbound(df).collect()] == ["z.org", "d.org", "a.org", "b.org", "c.org"]
+    g = spark.createDataFrame([("y", "c", "b.org", None), ("y", "c", "a.org", 0), ("y", "c", "c.org", 2)],
+                              "yours string, competitor string, domain string, num_hosts long")
+    assert [r.domain for r in order_gap(g).collect()] == ["c.org", "a.org", "b.org"]
