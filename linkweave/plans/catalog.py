@@ -30,7 +30,7 @@ from linkweave.sinks.layout import store_status
 from linkweave.sinks.store import _committed
 from linkweave.sources.responses import parse_match_responses
 from linkweave.sources.tables import read_graph
-from linkweave.sources.text import parse_edge_lines, parse_rank_lines, parse_vertex_lines
+from linkweave.sources.text import parse_rank_lines, read_edges, read_vertices
 from linkweave.streaming.crawls import read_crawl_log, run_crawl_stream
 from linkweave.streaming.ranks import rank_line_stream, read_rank_log, run_rank_stream
 from linkweave.streaming.usage import run_usage_stream, usage_counts
@@ -96,31 +96,33 @@ def _lines(df: DataFrame, cols: list[str]) -> DataFrame:
                      .alias("value"))
 
 
-def q_scan_vertices_text(spark, sf_dir):
+def _dumps(spark, sf_dir) -> tuple[str, str]:
+    """The fixture graph as gzip text dumps (plus malformed lines), written once per session."""
     f = _fx(spark, sf_dir)
-    lines = _lines(f.vertices, ["id", "rev_domain", "num_hosts"]).unionByName(
-        literal_rows(spark, [(x,) for x in VERTEX_BAD_LINES], "value string"))
-    return parse_vertex_lines(lines)
+    base = f.shared_root("dumps")
+    for name, df, cols, bad in (("vertices", f.vertices, ["id", "rev_domain", "num_hosts"], VERTEX_BAD_LINES),
+                                ("edges", f.edges, ["from_id", "to_id"], EDGE_BAD_LINES)):
+        if not _committed(spark, f"{base}/{name}"):
+            lines = _lines(df, cols).unionByName(literal_rows(spark, [(x,) for x in bad], "value string"))
+            lines.write.mode("overwrite").option("compression", "gzip").text(f"{base}/{name}")
+    return f"{base}/vertices", f"{base}/edges"
+
+
+def q_scan_vertices_text(spark, sf_dir):
+    return read_vertices(spark, _dumps(spark, sf_dir)[0])
 
 
 def q_scan_edges_text(spark, sf_dir):
-    f = _fx(spark, sf_dir)
-    lines = _lines(f.edges, ["from_id", "to_id"]).unionByName(
-        literal_rows(spark, [(x,) for x in EDGE_BAD_LINES], "value string"))
-    return parse_edge_lines(lines)
+    return read_edges(spark, _dumps(spark, sf_dir)[1])
 
 
 def _converted_store(spark, sf_dir) -> str:
-    """Q9 end to end: fixture graph -> gzip text dumps -> bucketed Parquet store."""
-    f = _fx(spark, sf_dir)
-    base = f.shared_root("graph")
+    """Q9 end to end: gzip text dumps -> bucketed Parquet store (written once per session)."""
+    base = _fx(spark, sf_dir).shared_root("graph")
     if _committed(spark, f"{base}/store/edges"):
         return f"{base}/store"
-    _lines(f.vertices, ["id", "rev_domain", "num_hosts"]).write.mode("overwrite").option("compression", "gzip") \
-        .text(f"{base}/dump/vertices")
-    _lines(f.edges, ["from_id", "to_id"]).write.mode("overwrite").option("compression", "gzip") \
-        .text(f"{base}/dump/edges")
-    return convert_graph(spark, f"{base}/dump/vertices", f"{base}/dump/edges", f"{base}/store", fx.BUCKETS)
+    vertices_dump, edges_dump = _dumps(spark, sf_dir)
+    return convert_graph(spark, vertices_dump, edges_dump, f"{base}/store", fx.BUCKETS)
 
 
 def q_bucketed_edges(spark, sf_dir):

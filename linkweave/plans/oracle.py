@@ -272,10 +272,11 @@ FROM {_values([(3, None, 4), (None, 'com.noid', 5), (8, 'com.space', 9)], ['id',
 SELECT from_id, to_id FROM edges
 UNION ALL SELECT CAST(from_id AS BIGINT), CAST(to_id AS BIGINT)
 FROM {_values([(4, None), (5, 6)], ['from_id', 'to_id'])}"""
-    sql["bucketed_edges"] = _with("edges") + f"""
+    sql["bucketed_edges"] = _with("edges") + f""",
+dumped AS (SELECT from_id, to_id FROM edges UNION ALL SELECT 5, 6)   -- the one malformed-looking line that parses
 SELECT CAST(to_id % {fx.BUCKETS} AS INTEGER) AS bucket, count(*) AS n_edges, count(DISTINCT to_id) AS n_targets,
        min(to_id) AS min_to_id, max(to_id) AS max_to_id
-FROM edges WHERE to_id % {fx.BUCKETS} < {fx.BUCKETS // 2} GROUP BY 1"""
+FROM dumped WHERE to_id % {fx.BUCKETS} < {fx.BUCKETS // 2} GROUP BY 1"""
     sql["inbound"] = _with("vertices", "edges", "targets1") + f"""
 SELECT t.target, {_rev('v.rev_domain')} AS linking_domain, max(v.num_hosts) AS num_hosts
 FROM targets1 t JOIN vertices tv ON tv.rev_domain = {_rev('t.target')}

@@ -103,7 +103,7 @@ def store_status(spark: SparkSession, root: str, n_buckets: int = DEFAULT_BUCKET
     v_bytes = vfiles.agg(F.sum("length")).scalar()
     v_files = vfiles.agg(F.count(F.lit(1))).scalar()
     e = (_files(spark, f"{root}/edges")
-         .withColumn("bucket", F.regexp_extract("path", r"/bucket=(\d+)/", 1).cast("int"))
+         .withColumn("bucket", F.regexp_extract("path", r"/bucket=(\d+)/", 1).try_cast("int"))
          .agg(F.count(F.lit(1)).alias("edge_files"),
               F.count_distinct("bucket").alias("edge_bucket_count"),
               F.sum("length").alias("e_bytes"),
