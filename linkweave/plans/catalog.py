@@ -30,7 +30,7 @@ from linkweave.sinks.layout import store_status
 from linkweave.sinks.store import _committed
 from linkweave.sources.responses import parse_match_responses
 from linkweave.sources.tables import read_graph
-from linkweave.sources.text import parse_rank_lines, read_edges, read_vertices
+from linkweave.sources.text import parse_rank_lines, read_edges, read_rank_lines, read_vertices
 from linkweave.streaming.crawls import read_crawl_log, run_crawl_stream
 from linkweave.streaming.ranks import rank_line_stream, read_rank_log, run_rank_stream
 from linkweave.streaming.usage import run_usage_stream, usage_counts
@@ -88,7 +88,8 @@ def q_scores(spark, sf_dir):
 
 def q_parse_ranks(spark, sf_dir):
     f = _fx(spark, sf_dir)
-    return ingest_ranks(f.rank_lines, limit=f.rank_total, total=f.rank_total, as_of=fx.RANKS_AT)
+    return ingest_ranks(read_rank_lines(spark, f.rank_dump), limit=f.rank_total, total=f.rank_total,
+                        as_of=fx.RANKS_AT)
 
 
 def _lines(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -229,7 +230,7 @@ def q_key_violations(spark, sf_dir):
          .select(F.concat_ws("|", "target", "release").alias("key"), "n_rows")),
         ("backlinks", key_violations(f.backlinks.unionByName(f.recrawl[1]), ["target", "release", "linking_domain"])
          .select(F.concat_ws("|", "target", "release", "linking_domain").alias("key"), "n_rows")),
-        ("rank_lines", key_violations(parse_rank_lines(f.rank_lines), ["domain"])
+        ("rank_lines", key_violations(parse_rank_lines(read_rank_lines(spark, f.rank_dump)), ["domain"])
          .select(F.col("domain").alias("key"), "n_rows")),
     ]
     out = None
@@ -318,9 +319,9 @@ def q_stream_crawls(spark, sf_dir):
 def q_stream_ranks(spark, sf_dir):
     f = _fx(spark, sf_dir)
     base = scratch_path(spark, "stream-ranks")
-    f.rank_lines.write.text(f"{base}/landing")
     total = lambda s: _fx(s, sf_dir).rank_total
-    run_rank_stream(rank_line_stream(spark, f"{base}/landing"), f"{base}/log", f"{base}/checkpoint",
+    # The dump folder doubles as the landing folder: every file in it is a new arrival.
+    run_rank_stream(rank_line_stream(spark, f.rank_dump), f"{base}/log", f"{base}/checkpoint",
                     limit=total, total=total, as_of=fx.RANKS_AT)
     return read_rank_log(spark, f"{base}/log")
 

@@ -154,6 +154,14 @@ class Fixture:
         literal = literal_rows(self.spark, [(v,) for v in RANK_LITERAL_LINES], "value string")
         return line(rows).unionByName(line(dup)).unionByName(literal)
 
+    @cached_property
+    def rank_dump(self) -> str:
+        """``rank_lines`` written once per session as a gzip text file set (the shape of the real dump)."""
+        path = f"{self.shared_root('rank-dump')}/lines"
+        if not _committed(self.spark, path):
+            self.rank_lines.coalesce(4).write.mode("overwrite").option("compression", "gzip").text(path)
+        return path
+
     @cached_property
     def majestic_computed(self) -> DataFrame:
         return self.table("part").where(F.col("p_size") <= 30).select(
