@@ -52,6 +52,11 @@ def backlink_projection(df: DataFrame) -> DataFrame:
     )
 
 
+def backlink_order() -> list:
+    """Sort order of the response (for `with_positions`)."""
+    return [F.desc_nulls_last("dr_score"), F.desc("num_hosts"), F.asc("linking_domain")]
+
+
 def order_backlinks(df: DataFrame) -> DataFrame:
     """O2: dr_score DESC NULLS LAST, num_hosts DESC, linking_domain (per target)."""
     return df.orderBy("target", F.desc_nulls_last("dr_score"), F.desc("num_hosts"), "linking_domain")

@@ -63,6 +63,11 @@ def gap(pairs: DataFrame, crawls: DataFrame, backlinks: DataFrame, majestic: Dat
                            "page_rank", F.col("global_rank").alias("majestic_rank"), "tranco_rank")
 
 
+def gap_order() -> list:
+    """Sort order of the response (for `with_positions`)."""
+    return [F.desc(F.coalesce(F.col("num_hosts"), F.lit(0))), F.asc("domain")]
+
+
 def order_gap(df: DataFrame) -> DataFrame:
     """num_hosts DESC with NULL as 0, then domain."""
     return df.orderBy(*PAIR, F.desc(F.coalesce(F.col("num_hosts"), F.lit(0))), "domain")

@@ -122,6 +122,11 @@ def inbound(edges: DataFrame, vertices: DataFrame, targets: DataFrame,
             .agg(F.max("num_hosts").alias("num_hosts")))
 
 
+def inbound_order() -> list:
+    """Sort order of the response (for `with_positions`)."""
+    return [F.desc("num_hosts"), F.asc("linking_domain")]
+
+
 def order_inbound(df: DataFrame) -> DataFrame:
     """O1: num_hosts DESC, linking_domain (per target)."""
     return df.orderBy("target", F.desc("num_hosts"), "linking_domain")

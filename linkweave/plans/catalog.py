@@ -17,9 +17,10 @@ from linkweave.functions.scores import authority_or_null, authority_score, deriv
 from linkweave.operators.crawls import latest_crawl, list_domains, merge_seed, upsert_crawls
 from linkweave.operators.contacts import contacts_to_fetch, enrich_contacts, lookup_rows
 from linkweave.operators.dedupe import key_violations
-from linkweave.operators.enrich import order_backlinks
-from linkweave.operators.gap import gap, gap_missing, gap_summary, order_gap
-from linkweave.operators.graph import bucket_range, inbound, order_inbound
+from linkweave.operators.enrich import backlink_order
+from linkweave.operators.gap import gap, gap_order, gap_missing, gap_summary
+from linkweave.operators.graph import bucket_range, inbound, inbound_order
+from linkweave.operators.ordering import with_positions
 from linkweave.operators.ranks import ingest_ranks
 from linkweave.operators.usage import admit, usage_by_month, usage_by_payer, usage_merge
 from linkweave.plans import fixtures as fx
@@ -143,7 +144,7 @@ def q_store_status(spark, sf_dir):
 def q_inbound(spark, sf_dir):
     f = _fx(spark, sf_dir)
     t = f.targets.select(valid_domain(F.col("target")).alias("target")).where(F.col("target").isNotNull())
-    return order_inbound(inbound(f.edges, f.vertices, t))
+    return with_positions(inbound(f.edges, f.vertices, t), ["target"], inbound_order())
 
 
 def q_crawl_store(spark, sf_dir):
@@ -152,7 +153,8 @@ def q_crawl_store(spark, sf_dir):
 
 def q_backlinks(spark, sf_dir):
     f = _fx(spark, sf_dir)
-    return order_backlinks(backlinks_report(f.crawls, f.backlinks, f.ranks, f.majestic, f.tranco))
+    return with_positions(backlinks_report(f.crawls, f.backlinks, f.ranks, f.majestic, f.tranco), ["target"],
+                          backlink_order())
 
 
 def q_bundle(spark, sf_dir):
@@ -172,7 +174,8 @@ def q_preview(spark, sf_dir):
 
 def q_gap(spark, sf_dir):
     f = _fx(spark, sf_dir)
-    return order_gap(gap(f.pairs, f.crawls, f.backlinks, f.majestic, f.tranco))
+    return with_positions(gap(f.pairs, f.crawls, f.backlinks, f.majestic, f.tranco), ["yours", "competitor"],
+                          gap_order())
 
 
 def q_gap_summary(spark, sf_dir):

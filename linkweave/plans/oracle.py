@@ -278,12 +278,16 @@ SELECT CAST(to_id % {fx.BUCKETS} AS INTEGER) AS bucket, count(*) AS n_edges, cou
        min(to_id) AS min_to_id, max(to_id) AS max_to_id
 FROM dumped WHERE to_id % {fx.BUCKETS} < {fx.BUCKETS // 2} GROUP BY 1"""
     sql["inbound"] = _with("vertices", "edges", "targets1") + f"""
+SELECT *, row_number() OVER (PARTITION BY target ORDER BY num_hosts DESC, linking_domain ASC) AS pos FROM (
 SELECT t.target, {_rev('v.rev_domain')} AS linking_domain, max(v.num_hosts) AS num_hosts
 FROM targets1 t JOIN vertices tv ON tv.rev_domain = {_rev('t.target')}
 JOIN edges e ON e.to_id = tv.id JOIN vertices v ON v.id = e.from_id
-GROUP BY t.target, linking_domain"""
+GROUP BY t.target, linking_domain)"""
     sql["crawl_store"] = _with(*STORE) + "SELECT * FROM crawls"
-    sql["backlinks"] = _with(*STORE, *RANKS, "latest", "latest_links", "report") + "SELECT * FROM report"
+    sql["backlinks"] = _with(*STORE, *RANKS, "latest", "latest_links", "report") + """
+SELECT *, row_number() OVER (PARTITION BY target ORDER BY dr_score DESC NULLS LAST, num_hosts DESC,
+                             linking_domain ASC) AS pos
+FROM report"""
     sql["bundle"] = _with(*STORE, *RANKS, "latest") + """
 SELECT l.target, l.release, l.crawled_at, l.result_count AS backlink_count, r.dr_score AS target_dr_score,
        r.harmonic_rank AS target_harmonic_rank, r.pr_val AS target_pagerank, r.n_hosts AS target_n_hosts
@@ -308,12 +312,14 @@ FROM latest l LEFT JOIN ranks r ON r.domain = l.target LEFT JOIN showing s ON s.
 LEFT JOIN shown sh ON sh.target = l.target"""
     gap_base = _with(*STORE, "majestic", "tranco", "latest", "pairs")
     sql["gap"] = gap_base + f"""
+SELECT *, row_number() OVER (PARTITION BY yours, competitor ORDER BY coalesce(num_hosts, 0) DESC, domain ASC) AS pos
+FROM (
 SELECT c.yours, c.competitor, c.linking_domain AS domain, c.num_hosts,
        CASE WHEN c.num_hosts IS NOT NULL AND c.num_hosts <> 0 THEN {_auth('c.num_hosts')} END AS authority_score,
        c.page_rank, m.global_rank AS majestic_rank, t.tranco_rank
 FROM comp c LEFT JOIN majestic m ON m.domain = c.linking_domain LEFT JOIN tranco t ON t.domain = c.linking_domain
 WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.yours = c.yours AND o.competitor = c.competitor
-                  AND o.linking_domain = c.linking_domain)"""
+                  AND o.linking_domain = c.linking_domain))"""
     sql["gap_summary"] = gap_base + """,
 cset AS (SELECT DISTINCT yours, competitor, linking_domain FROM comp)
 SELECT r.yours, r.competitor,
