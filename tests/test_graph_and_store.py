@@ -214,3 +214,14 @@ def test_invalid_domains_and_compaction(spark, tmp_dir):
     append_lookups(lk, f"{tmp_dir}/lookups")
     append_lookups(lk, f"{tmp_dir}/lookups")
     assert spark.read.parquet(f"{tmp_dir}/lookups").count() == 2
+
+
+def test_duplicate_vertex_names_all_contribute(spark):
+    # Two ids share a name -> both ids' inbound edges count; a linker reached twice appears once.
+    v = spark.createDataFrame([(1, "com.t", 1), (7, "com.t", 1), (2, "org.a", 5), (3, "org.a", 9), (4, "org.b", 2)],
+                              "id long, rev_domain string, num_hosts long")
+    e = spark.createDataFrame([(2, 1), (3, 7), (4, 7)], "from_id long, to_id long")
+    t = spark.createDataFrame([("t.com",)], "target string")
+    for limit in (10, 0):   # inlined lookup and broadcast-join lookup
+        got = rows(inbound(e, v, t, inline_limit=limit), "target", "linking_domain", "num_hosts")
+        assert got == [("t.com", "a.org", 9), ("t.com", "b.org", 2)]
