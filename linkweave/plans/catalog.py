@@ -25,7 +25,8 @@ from linkweave.operators.ranks import ingest_ranks
 from linkweave.operators.usage import admit, usage_by_month, usage_by_payer, usage_merge
 from linkweave.plans import fixtures as fx
 from linkweave.plans.convert import convert_graph
-from linkweave.plans.reports import backlinks_report, bundle_report, nested_report, preview_report
+from linkweave.plans.reports import (backlinks_report, bundle_report, ensure_crawled, nested_report,
+                                     preview_report)
 from linkweave.session import literal_rows, scratch_path
 from linkweave.sinks.layout import store_status
 from linkweave.sinks.store import _committed
@@ -157,6 +158,15 @@ def q_backlinks(spark, sf_dir):
                           backlink_order())
 
 
+def q_backlinks_on_demand(spark, sf_dir):
+    """Q1 with its whole lifecycle: targets without a stored crawl are crawled first (Q10/K6)."""
+    f = _fx(spark, sf_dir)
+    rel2 = lambda df: df.where(F.col("release") == fx.REL2)
+    crawls, backlinks = ensure_crawled(f.targets, rel2(f.crawls), rel2(f.backlinks), f.vertices, f.edges,
+                                       fx.REL3, fx.STREAM_AT)
+    return backlinks_report(crawls, backlinks, f.ranks, f.majestic, f.tranco)
+
+
 def q_bundle(spark, sf_dir):
     f = _fx(spark, sf_dir)
     return bundle_report(f.crawls, f.ranks)
@@ -341,6 +351,7 @@ QUERIES: dict[str, Query] = {
     "inbound": q_inbound,
     "crawl_store": q_crawl_store,
     "backlinks": q_backlinks,
+    "backlinks_on_demand": q_backlinks_on_demand,
     "bundle": q_bundle,
     "backlinks_nested": q_backlinks_nested,
     "preview": q_preview,

@@ -288,6 +288,21 @@ GROUP BY t.target, linking_domain)"""
 SELECT *, row_number() OVER (PARTITION BY target ORDER BY dr_score DESC NULLS LAST, num_hosts DESC,
                              linking_domain ASC) AS pos
 FROM report"""
+    sql["backlinks_on_demand"] = _with(*STORE, *RANKS) + f""",
+targets_m AS (SELECT target FROM targets1 WHERE target NOT IN (SELECT target FROM c_2)),
+{_crawl('m', 'targets_m', 'edges', fx.REL3, fx.STREAM_AT)},
+od_crawls AS (SELECT * FROM c_2 UNION ALL SELECT * FROM c_m),
+od_links AS (SELECT * FROM bl_2 UNION ALL SELECT * FROM bl_m),
+od_latest AS (
+  SELECT target, release, crawled_at FROM (
+    SELECT *, row_number() OVER (PARTITION BY target ORDER BY crawled_at DESC, release DESC,
+                                 result_count DESC) AS rn FROM od_crawls) WHERE rn = 1)
+SELECT b.target, b.release, l.crawled_at, b.linking_domain, b.num_hosts, r.dr_score, r.harmonic_rank,
+       r.pr_val AS pagerank, {_auth('b.num_hosts')} AS authority_score, m.global_rank AS majestic_rank,
+       m.ref_subnets, m.ref_ips, t.tranco_rank
+FROM od_latest l JOIN od_links b ON b.target = l.target AND b.release = l.release
+LEFT JOIN ranks r ON r.domain = b.linking_domain
+LEFT JOIN majestic m ON m.domain = b.linking_domain LEFT JOIN tranco t ON t.domain = b.linking_domain"""
     sql["bundle"] = _with(*STORE, *RANKS, "latest") + """
 SELECT l.target, l.release, l.crawled_at, l.result_count AS backlink_count, r.dr_score AS target_dr_score,
        r.harmonic_rank AS target_harmonic_rank, r.pr_val AS target_pagerank, r.n_hosts AS target_n_hosts
