@@ -29,7 +29,7 @@ from linkweave.plans.reports import (backlinks_report, bundle_report, ensure_cra
                                      preview_report)
 from linkweave.session import literal_rows, scratch_path
 from linkweave.sinks.layout import store_status
-from linkweave.sinks.store import _committed
+from linkweave.sinks.store import write_once
 from linkweave.sources.responses import parse_match_responses
 from linkweave.sources.tables import read_graph
 from linkweave.sources.text import parse_rank_lines, read_edges, read_rank_lines, read_vertices
@@ -102,12 +102,14 @@ def _lines(df: DataFrame, cols: list[str]) -> DataFrame:
 def _dumps(spark, sf_dir) -> tuple[str, str]:
     """The fixture graph as gzip text dumps (plus malformed lines), written once per session."""
     f = _fx(spark, sf_dir)
-    base = f.shared_root("dumps")
-    for name, df, cols, bad in (("vertices", f.vertices, ["id", "rev_domain", "num_hosts"], VERTEX_BAD_LINES),
-                                ("edges", f.edges, ["from_id", "to_id"], EDGE_BAD_LINES)):
-        if not _committed(spark, f"{base}/{name}"):
+
+    def write(path: str) -> None:
+        for name, df, cols, bad in (("vertices", f.vertices, ["id", "rev_domain", "num_hosts"], VERTEX_BAD_LINES),
+                                    ("edges", f.edges, ["from_id", "to_id"], EDGE_BAD_LINES)):
             lines = _lines(df, cols).unionByName(literal_rows(spark, [(x,) for x in bad], "value string"))
-            lines.write.mode("overwrite").option("compression", "gzip").text(f"{base}/{name}")
+            lines.write.option("compression", "gzip").text(f"{path}/{name}")
+
+    base = write_once(spark, f.shared_root("dumps"), write)
     return f"{base}/vertices", f"{base}/edges"
 
 
@@ -121,11 +123,10 @@ def q_scan_edges_text(spark, sf_dir):
 
 def _converted_store(spark, sf_dir) -> str:
     """Q9 end to end: gzip text dumps -> bucketed Parquet store (written once per session)."""
-    base = _fx(spark, sf_dir).shared_root("graph")
-    if _committed(spark, f"{base}/store/edges"):
-        return f"{base}/store"
     vertices_dump, edges_dump = _dumps(spark, sf_dir)
-    return convert_graph(spark, vertices_dump, edges_dump, f"{base}/store", fx.BUCKETS)
+    base = write_once(spark, _fx(spark, sf_dir).shared_root("graph"),
+                      lambda path: convert_graph(spark, vertices_dump, edges_dump, f"{path}/store", fx.BUCKETS))
+    return f"{base}/store"
 
 
 def q_bucketed_edges(spark, sf_dir):

@@ -21,7 +21,7 @@ from linkweave.operators.crawls import crawl_and_store
 from linkweave.operators.ranks import ranks_from_rows
 from linkweave.session import checkpoint_dir, literal_rows
 from linkweave.sinks.layout import write_ranks
-from linkweave.sinks.store import _committed, latest_version, read_version, write_crawl_runs
+from linkweave.sinks.store import latest_version, read_version, write_crawl_runs, write_once
 from linkweave.sources.tables import read_rank_tables
 
 # --- Fixture parameters (shared with the SQL oracle) -----------------------------
@@ -157,10 +157,9 @@ class Fixture:
     @cached_property
     def rank_dump(self) -> str:
         """``rank_lines`` written once per session as a gzip text file set (the shape of the real dump)."""
-        path = f"{self.shared_root('rank-dump')}/lines"
-        if not _committed(self.spark, path):
-            self.rank_lines.coalesce(4).write.mode("overwrite").option("compression", "gzip").text(path)
-        return path
+        def write(path: str) -> None:
+            self.rank_lines.coalesce(4).write.option("compression", "gzip").text(f"{path}/lines")
+        return write_once(self.spark, self.shared_root("rank-dump"), write) + "/lines"
 
     @cached_property
     def majestic_computed(self) -> DataFrame:
@@ -238,12 +237,11 @@ class Fixture:
     @cached_property
     def rank_tables(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """ranks, majestic and tranco written once as Parquet tables (K7) and read back."""
-        root = self.shared_root("rank-tables")
-        if not _committed(self.spark, f"{root}/tranco"):
-            write_ranks(self.ranks_computed, f"{root}/ranks")
-            write_ranks(self.majestic_computed, f"{root}/majestic")
-            write_ranks(self.tranco_computed, f"{root}/tranco")
-        return read_rank_tables(self.spark, root)
+        def write(path: str) -> None:
+            write_ranks(self.ranks_computed, f"{path}/ranks")
+            write_ranks(self.majestic_computed, f"{path}/majestic")
+            write_ranks(self.tranco_computed, f"{path}/tranco")
+        return read_rank_tables(self.spark, write_once(self.spark, self.shared_root("rank-tables"), write))
 
     @cached_property
     def recrawl(self) -> tuple[DataFrame, DataFrame]:

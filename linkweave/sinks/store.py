@@ -127,3 +127,31 @@ def write_crawl_runs(root: str, runs: list[dict], existing: tuple[DataFrame, Dat
     else:
         _write_backlinks(backlinks, f"{path}/backlinks")
     return path
+
+
+def write_once(spark: SparkSession, root: str, write) -> str:
+    """Materialise a derived table set once under ``root`` and return its folder.
+
+    ``write(path)`` writes everything into a fresh ``v=...`` folder; a ``_COMMITTED``
+    marker is created only after it returns. Concurrent or retried callers each write
+    their own folder and all read the oldest committed one, so a half-written folder
+    (lost executor, killed job) is never read and never overwritten.
+    """
+    done = _committed_folders(spark, root)
+    if done:
+        return done[0]
+    path = _new_version_path(root)
+    write(path)
+    jp, fs = _fs(spark, f"{path}/_COMMITTED")
+    fs.create(jp, True).close()
+    return _committed_folders(spark, root)[0]
+
+
+def _committed_folders(spark: SparkSession, root: str) -> list[str]:
+    jp, fs = _fs(spark, root)
+    if not fs.exists(jp):
+        return []
+    jvm = spark.sparkContext._jvm
+    return sorted(st.getPath().toString() for st in fs.listStatus(jp)
+                  if st.isDirectory() and st.getPath().getName().startswith("v=")
+                  and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_COMMITTED")))
