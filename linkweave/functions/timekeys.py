@@ -18,13 +18,17 @@ def month_of(ts) -> Column:
 def as_of(value=None) -> Column:
     """F16: ingest stamp. An explicit value keeps runs deterministic; None means now (UTC)."""
     if value is None:
-        return F.current_timestamp().cast("timestamp_ntz")
+        # UTC wall clock of the current instant, whatever the session time zone.
+        return F.convert_timezone(None, F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz"))
     if isinstance(value, Column):
         return value.cast("timestamp_ntz")
     if isinstance(value, str):
         return F.lit(value).cast("timestamp_ntz")
     if isinstance(value, _dt.datetime):
-        return F.lit(value.replace(tzinfo=None)).cast("timestamp_ntz")
+        if value.tzinfo is not None:
+            value = value.astimezone(_dt.timezone.utc).replace(tzinfo=None)
+        # Through text: a Python datetime literal would be shifted by the session time zone.
+        return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
     raise TypeError(f"unsupported as_of value: {value!r}")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from linkweave.functions.contacts import payer_of
 from linkweave.functions.domains import reverse_domain
+from linkweave.functions.timekeys import as_of as as_of_col
 from linkweave.operators.crawls import crawl_and_store
 from linkweave.operators.ranks import ranks_from_rows
 from linkweave.session import checkpoint_dir, literal_rows
@@ -47,7 +48,8 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def ts(value: dt.datetime):
-    return F.lit(value).cast("timestamp_ntz")
+    """A UTC wall-clock literal; built from text so the session time zone cannot shift it."""
+    return as_of_col(value)
 
 
 def _s(c):
