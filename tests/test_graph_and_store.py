@@ -225,3 +225,19 @@ def test_duplicate_vertex_names_all_contribute(spark):
     for limit in (10, 0):   # inlined lookup and broadcast-join lookup
         got = rows(inbound(e, v, t, inline_limit=limit), "target", "linking_domain", "num_hosts")
         assert got == [("t.com", "a.org", 9), ("t.com", "b.org", 2)]
+
+
+def test_write_once_ignores_half_written_folders(spark, tmp_dir):
+    from linkweave.sinks.store import write_once
+    root = f"{tmp_dir}/once"
+    os.makedirs(f"{root}/v=000000000000001-dead")          # a crashed writer left this behind
+    calls = []
+
+    def write(path):
+        calls.append(path)
+        spark.range(3).write.parquet(f"{path}/t")
+
+    first = write_once(spark, root, write)
+    again = write_once(spark, root, write)
+    assert first == again and len(calls) == 1 and "dead" not in first
+    assert spark.read.parquet(f"{first}/t").count() == 3
