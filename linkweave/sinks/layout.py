@@ -19,7 +19,19 @@ from linkweave.operators.graph import DEFAULT_BUCKETS, bucket_of
 PARQUET_OPTIONS = {"compression": "zstd"}
 
 
-def _writer(df: DataFrame, mode: str):
+def _refuse_self_overwrite(df: DataFrame, path: str) -> None:
+    """Overwriting a folder the plan itself reads deletes the input mid-job (data loss); refuse it."""
+    sc = df.sparkSession.sparkContext
+    jp = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target = jp.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(jp).toUri().toString().rstrip("/")
+    for f in df.inputFiles():
+        if f.rstrip("/") == target or f.startswith(target + "/"):
+            raise ValueError(f"refusing to overwrite {path}: the DataFrame reads from it; write a new folder")
+
+
+def _writer(df: DataFrame, mode: str, path: str | None = None):
+    if mode == "overwrite" and path is not None:
+        _refuse_self_overwrite(df, path)
     w = df.write.mode(mode)
     for k, v in PARQUET_OPTIONS.items():
         w = w.option(k, v)
@@ -34,7 +46,7 @@ def write_vertices(df: DataFrame, path: str, mode: str = "errorifexists") -> Non
     target, even when a gzip source had to be re-spread after its scan.
     """
     v = df.select("id", "rev_domain", "num_hosts")
-    _writer(v.repartitionByRange("rev_domain").sortWithinPartitions("rev_domain"), mode).parquet(path)
+    _writer(v.repartitionByRange("rev_domain").sortWithinPartitions("rev_domain"), mode, path).parquet(path)
 
 
 def with_bucket(edges: DataFrame, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
@@ -45,7 +57,7 @@ def with_bucket(edges: DataFrame, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame
 def write_edges(edges: DataFrame, path: str, n_buckets: int = DEFAULT_BUCKETS, mode: str = "errorifexists") -> None:
     """K2-K4: edges partitioned by bucket, one (or, for a huge bucket, a few) sorted file(s) each."""
     b = with_bucket(edges, n_buckets).hint("rebalance", "bucket").sortWithinPartitions("bucket", "to_id", "from_id")
-    _writer(b, mode).partitionBy("bucket").parquet(path)
+    _writer(b, mode, path).partitionBy("bucket").parquet(path)
 
 
 def existing_buckets(spark: SparkSession, path: str) -> DataFrame:
@@ -72,12 +84,12 @@ def write_missing_buckets(edges: DataFrame, path: str, n_buckets: int = DEFAULT_
 
 def compact(df: DataFrame, path: str, by: str = "bucket", mode: str = "errorifexists") -> None:
     """K4 on its own: rewrite a partitioned table with one file per partition value."""
-    _writer(df.hint("rebalance", by), mode).partitionBy(by).parquet(path)
+    _writer(df.hint("rebalance", by), mode, path).partitionBy(by).parquet(path)
 
 
 def write_ranks(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K7: (re)create a rank table; sorted by domain so domain lookups prune row groups."""
-    _writer(df.repartitionByRange("domain").sortWithinPartitions("domain"), mode).parquet(path)
+    _writer(df.repartitionByRange("domain").sortWithinPartitions("domain"), mode, path).parquet(path)
 
 
 def append_lookups(df: DataFrame, path: str) -> None:

@@ -241,3 +241,16 @@ def test_write_once_ignores_half_written_folders(spark, tmp_dir):
     again = write_once(spark, root, write)
     assert first == again and len(calls) == 1 and "dead" not in first
     assert spark.read.parquet(f"{first}/t").count() == 3
+
+
+def test_overwrite_of_own_input_is_refused(spark, tmp_dir):
+    import pytest
+    from linkweave.sinks.layout import write_ranks
+    df = spark.createDataFrame([("a.com", 1)], "domain string, harmonic_rank long")
+    write_ranks(df, f"{tmp_dir}/ranks")
+    back = spark.read.parquet(f"{tmp_dir}/ranks")
+    with pytest.raises(ValueError, match="refusing to overwrite"):
+        write_ranks(back.where("harmonic_rank > 0"), f"{tmp_dir}/ranks")
+    assert spark.read.parquet(f"{tmp_dir}/ranks").count() == 1
+    write_ranks(back, f"{tmp_dir}/ranks2")
+    assert spark.read.parquet(f"{tmp_dir}/ranks2").count() == 1
