@@ -1,10 +1,13 @@
 """Graph operators: resolve targets (J1/P1), edges into targets (J2/P2/P3), inbound linkers.
 
-Plan shape at scale: the (small, size-checked) target set is broadcast twice --
-once against the vertex scan to get ids, once against the edge scan on
-(bucket, to_id) so only the targets' bucket directories are read. The inbound
-edge set, already shrunk to the targets, meets the vertex table in a shuffle
-join on the linker id; vertices are never broadcast (they are ~1e8 rows).
+Plan shape at scale, for a size-checked target list:
+  * up to INLINE_TARGETS names become an IN filter on the vertex scan (Parquet
+    statistics prune files and row groups of the name-sorted vertex table);
+  * the resolved ids are broadcast into the edge scan on (bucket, to_id), and
+    dynamic partition pruning reads only the targets' bucket directories;
+  * the inbound edges are written once and, when few enough, broadcast past a
+    single scan of the vertex table (which is never shuffled or broadcast).
+Larger target lists take the same joins as shuffle joins (AQE splits skew).
 """
 
 from __future__ import annotations
@@ -60,12 +63,15 @@ def resolve_targets(targets: DataFrame, vertices: DataFrame,
     reversed name gives the name back, so an inlined lookup needs no join.
     """
     v = vertices.select(F.col("id").alias("target_id"), "rev_domain")
-    revs = _inline_targets(targets, inline_limit)
+    if small is None:
+        small = is_small(targets, max_broadcast_rows)
+    # Only a list already proven small is distinct-ed and collected for inlining.
+    revs = _inline_targets(targets, inline_limit) if small else None
     if revs is not None:
         return (v.where(_in_list("rev_domain", revs))
                 .select(reverse_domain(F.col("rev_domain")).alias("target"), "target_id"))
     t = targets.select("target").distinct().select("target", reverse_domain(F.col("target")).alias("rev_domain"))
-    t = broadcast_when(t, is_small(t, max_broadcast_rows) if small is None else small)
+    t = broadcast_when(t, small)
     return v.join(t, "rev_domain").select("target", "target_id")
 
 
