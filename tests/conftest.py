@@ -13,7 +13,6 @@ if ROOT not in sys.path:
 def spark():
     from pyspark.sql import SparkSession
 
-    ckpt = tempfile.mkdtemp(prefix="linkweave-test-ckpt-")
     builder = (SparkSession.builder.master("local[4]")
                .config("spark.sql.shuffle.partitions", "8")
                .config("spark.ui.enabled", "false")
@@ -22,8 +21,8 @@ def spark():
                .config("spark.sql.adaptive.enabled", "true"))
     s = builder.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", ckpt)
+    from linkweave.session import checkpoint_dir
+    checkpoint_dir(s)   # reads spark.checkpoint.dir; a temporary folder only when it is unset
     yield s
 
 
