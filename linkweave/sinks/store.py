@@ -155,3 +155,37 @@ def _committed_folders(spark: SparkSession, root: str) -> list[str]:
     return sorted(st.getPath().toString() for st in fs.listStatus(jp)
                   if st.isDirectory() and st.getPath().getName().startswith("v=")
                   and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_COMMITTED")))
+
+
+def append_crawl_runs(log_root: str, runs: list[dict], n_buckets: int = DEFAULT_BUCKETS) -> int:
+    """Q10 + K6 without copying the store: append the runs as one epoch of the crawl log.
+
+    Same layout as the streaming crawl feed (``streaming.crawls``): backlinks and
+    crawl rows under ``epoch=<n>``; ``streaming.crawls.read_crawl_log`` gives, per
+    (target, release), the newest epoch -- the replace semantics of K6 -- so the
+    cost of a run is the size of the run, not of the store. Backlinks are written
+    before the crawl rows, and the reader picks epochs from the crawl rows, so a
+    run that dies half-way is invisible.
+    """
+    spark = runs[0]["vertices"].sparkSession
+    root = log_root.rstrip("/")
+    epoch = int(time.time() * 1000)
+    while _fs(spark, f"{root}/crawls/epoch={epoch}")[1].exists(_fs(spark, f"{root}/crawls/epoch={epoch}")[0]):
+        epoch += 1
+    links, targets = None, []
+    for r in runs:
+        t = normalise_targets(r["targets"])
+        targets.append((t, r))
+        b = inbound(r["edges"], r["vertices"], t, n_buckets).select(
+            "target", F.lit(r["release"]).alias("release"), "linking_domain",
+            F.col("num_hosts").cast("long").alias("num_hosts"), F.lit(None).cast("double").alias("page_rank"))
+        links = b if links is None else links.unionByName(b)
+    b_path = f"{root}/backlinks/epoch={epoch}"
+    links.write.parquet(b_path)
+    written = spark.read.parquet(b_path)
+    crawls = None
+    for t, r in targets:
+        c = crawl_counts(t, written.where(F.col("release") == r["release"]), r["release"], r["as_of"])
+        crawls = c if crawls is None else crawls.unionByName(c)
+    crawls.write.parquet(f"{root}/crawls/epoch={epoch}")
+    return epoch

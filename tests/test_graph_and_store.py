@@ -254,3 +254,18 @@ def test_overwrite_of_own_input_is_refused(spark, tmp_dir):
     assert spark.read.parquet(f"{tmp_dir}/ranks").count() == 1
     write_ranks(back, f"{tmp_dir}/ranks2")
     assert spark.read.parquet(f"{tmp_dir}/ranks2").count() == 1
+
+
+def test_append_crawl_runs_replaces_by_key_without_copying(spark, tmp_dir):
+    from linkweave.sinks.store import append_crawl_runs
+    from linkweave.streaming.crawls import read_crawl_log
+    v, e = _graph(spark)
+    log = f"{tmp_dir}/log"
+    t1 = spark.createDataFrame([("target.com",), ("self.com",)], "target string")
+    append_crawl_runs(log, [dict(targets=t1, vertices=v, edges=e, release="r1", as_of="2026-01-01 00:00:00")])
+    e2 = e.where("from_id <> 3")                                  # the graph changed
+    t2 = spark.createDataFrame([("target.com",)], "target string")
+    append_crawl_runs(log, [dict(targets=t2, vertices=v, edges=e2, release="r1", as_of="2026-02-01 00:00:00")])
+    c, b = read_crawl_log(spark, log)
+    assert rows(c, "target", "result_count") == [("self.com", 1), ("target.com", 1)]
+    assert rows(b.where("target = 'target.com'"), "linking_domain") == [("linker.org",)]
