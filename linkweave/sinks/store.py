@@ -165,13 +165,22 @@ def append_crawl_runs(log_root: str, runs: list[dict], n_buckets: int = DEFAULT_
     (target, release), the newest epoch -- the replace semantics of K6 -- so the
     cost of a run is the size of the run, not of the store. Backlinks are written
     before the crawl rows, and the reader picks epochs from the crawl rows, so a
-    run that dies half-way is invisible.
+    run that dies half-way is invisible. Epochs here are millisecond stamps; do not
+    mix this writer with a streaming feed (whose epochs are batch ids) on one log.
     """
     spark = runs[0]["vertices"].sparkSession
     root = log_root.rstrip("/")
     epoch = int(time.time() * 1000)
     while _fs(spark, f"{root}/crawls/epoch={epoch}")[1].exists(_fs(spark, f"{root}/crawls/epoch={epoch}")[0]):
         epoch += 1
+    write_crawl_epoch(root, epoch, runs, n_buckets)
+    return epoch
+
+
+def write_crawl_epoch(log_root: str, epoch: int, runs: list[dict], n_buckets: int = DEFAULT_BUCKETS) -> None:
+    """Write the runs as epoch ``epoch`` of a crawl log; rewriting the same epoch is idempotent."""
+    spark = runs[0]["vertices"].sparkSession
+    root = log_root.rstrip("/")
     links, targets = None, []
     for r in runs:
         t = normalise_targets(r["targets"])
@@ -181,11 +190,10 @@ def append_crawl_runs(log_root: str, runs: list[dict], n_buckets: int = DEFAULT_
             F.col("num_hosts").cast("long").alias("num_hosts"), F.lit(None).cast("double").alias("page_rank"))
         links = b if links is None else links.unionByName(b)
     b_path = f"{root}/backlinks/epoch={epoch}"
-    links.write.parquet(b_path)
+    links.write.mode("overwrite").parquet(b_path)
     written = spark.read.parquet(b_path)
     crawls = None
     for t, r in targets:
         c = crawl_counts(t, written.where(F.col("release") == r["release"]), r["release"], r["as_of"])
         crawls = c if crawls is None else crawls.unionByName(c)
-    crawls.write.parquet(f"{root}/crawls/epoch={epoch}")
-    return epoch
+    crawls.write.mode("overwrite").parquet(f"{root}/crawls/epoch={epoch}")

@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.operators.crawls import BACKLINK_COLS, CRAWL_COLS, crawl_counts, normalise_targets
-from linkweave.operators.graph import DEFAULT_BUCKETS, inbound
+from linkweave.operators.crawls import BACKLINK_COLS, CRAWL_COLS
+from linkweave.operators.graph import DEFAULT_BUCKETS
+from linkweave.sinks.store import write_crawl_epoch
 
 
 def run_crawl_stream(targets: DataFrame, vertices: DataFrame, edges: DataFrame, log_root: str, release: str,
@@ -22,16 +23,9 @@ def run_crawl_stream(targets: DataFrame, vertices: DataFrame, edges: DataFrame,
     log_root = log_root.rstrip("/")
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        t = normalise_targets(batch)
-        links = inbound(edges, vertices, t, n_buckets).select(
-            "target", F.lit(release).alias("release"), "linking_domain",
-            F.col("num_hosts").cast("long").alias("num_hosts"), F.lit(None).cast("double").alias("page_rank"))
-        # Backlinks first; the crawl rows are counted from what was written (no second graph join).
-        b_path = f"{log_root}/backlinks/epoch={epoch_id}"
-        links.write.mode("overwrite").parquet(b_path)
-        written = spark.read.parquet(b_path)
-        crawl_counts(t, written, release, as_of).write.mode("overwrite").parquet(f"{log_root}/crawls/epoch={epoch_id}")
+        # A replayed batch rewrites its own epoch (idempotent sink).
+        write_crawl_epoch(log_root, epoch_id, [dict(targets=batch, vertices=vertices, edges=edges,
+                                                    release=release, as_of=as_of)], n_buckets)
 
     q = (targets.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
