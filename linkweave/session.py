@@ -47,12 +47,17 @@ _LOCAL_FALLBACK: dict[str, str] = {}
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting is always present and only read. When it is unset
-    (a laptop test session) a temporary folder is used instead and registered as
-    the context's checkpoint dir; the static setting itself cannot change at runtime.
+    On a cluster the setting must be present and is only read; without it this
+    raises, because a machine-local folder is not shared between executors. Only a
+    single-JVM ``local`` session (a laptop, tests) gets a temporary folder instead,
+    registered as the context's checkpoint dir; the static setting itself cannot
+    change at runtime.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         d = _LOCAL_FALLBACK.get(app)
         if d is None:
@@ -97,4 +102,24 @@ def materialize(df, name: str):
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _SCRATCH.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.parquet(path)
+
+
+_SCRATCH: dict[str, list[str]] = {}
+
+
+def scratch_tables(spark: SparkSession) -> list[str]:
+    """Folders that ``materialize`` has written in this application and nobody has released yet."""
+    return list(_SCRATCH.get(spark.sparkContext.applicationId, []))
+
+
+def release_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables once every result that reads them has been written."""
+    known = _SCRATCH.get(spark.sparkContext.applicationId, [])
+    sc = spark.sparkContext
+    for p in paths:
+        if p in known:
+            jp = sc._jvm.org.apache.hadoop.fs.Path(p)
+            jp.getFileSystem(sc._jsc.hadoopConfiguration()).delete(jp, True)
+            known.remove(p)
