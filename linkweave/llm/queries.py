@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm import line_dedup, mixing, token_output
+from linkweave.llm import jaccard_join, line_dedup, mixing, token_output
 from linkweave.llm.tables import table
 from linkweave.session import scratch_path
 
 END_ID = 0
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document: 3-word shingles, similarity 0.9 or more."""
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cell, weight, rate and draw of every document under tempered source, language and topic marginals."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -41,6 +46,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_jaccard_join": op4_jaccard_join,
     "op7_mix_sources": op7_mix_sources,
     "op8_token_output": op8_token_output,
     "op10_line_dedup": op10_line_dedup,
