@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm import jaccard_join, line_dedup, mixing, token_output
+from linkweave.llm import chunk_dedup, decontaminate, jaccard_join, line_dedup, mixing, token_output
 from linkweave.llm.tables import table
 from linkweave.session import scratch_path
 
 END_ID = 0
 
 
+def op2_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that an earlier document holds already."""
+    return chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document: 3-word shingles, similarity 0.9 or more."""
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and its containment."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cell, weight, rate and draw of every document under tempered source, language and topic marginals."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -46,7 +56,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_chunk_dedup": op2_chunk_dedup,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_decontaminate": op5_decontaminate,
     "op7_mix_sources": op7_mix_sources,
     "op8_token_output": op8_token_output,
     "op10_line_dedup": op10_line_dedup,
@@ -111,7 +123,46 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM marked GROUP BY doc_id
 """
 
+_WORDS = r"""
+w AS (
+  SELECT {id} AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM {table})"""
+
+
+def _shingle_sql(name: str, id_col: str, source: str, k: int) -> str:
+    """``name(id, shingle)``: distinct k-word shingles, or all words of a shorter text."""
+    words = _WORDS.format(id=id_col, table=source).strip().removeprefix("w AS ")
+    return f"""{name}_w AS {words},
+{name} AS (
+  SELECT DISTINCT id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {k} THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - {k} + 2), lambda i: array_to_string(words[i:i + {k} - 1], ' ')) END) AS shingle
+  FROM {name}_w)"""
+
+
+_CONTAINED_SQL = f"""
+WITH {_shingle_sql("d", "doc_id", "documents", 5)},
+{_shingle_sql("i", "item_id", "benchmark", 5)},
+n AS (SELECT id, count(*) AS n_item FROM i GROUP BY id),
+c AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_common FROM d JOIN i USING (shingle) GROUP BY ALL)
+SELECT doc_id, item_id, n_common::BIGINT AS n_common, n_item::BIGINT AS n_item, n_common / n_item AS containment
+FROM c JOIN n ON c.item_id = n.id WHERE 10 * n_common >= 8 * n_item
+"""
+
+_CLASSES_SQL = f"""
+WITH RECURSIVE {_shingle_sql("s", "doc_id", "documents", 3)},
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS m FROM s a JOIN s b ON a.shingle = b.shingle AND a.id < b.id GROUP BY ALL),
+link AS (SELECT a, b FROM c JOIN n x ON a = x.id JOIN n y ON b = y.id WHERE 100 * m >= 90 * (x.n + y.n - m)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(r.low, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON d.doc_id = n.id
+LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON d.doc_id = r.a
+"""
+
 ORACLE_SQL = {
+    "op4_jaccard_join": _CLASSES_SQL,
+    "op5_decontaminate": _CONTAINED_SQL,
     "op7_mix_sources": _mixing_sql(),
     "op10_line_dedup": _LINES_SQL,
 }
