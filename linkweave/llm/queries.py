@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm import chunk_dedup, decontaminate, jaccard_join, line_dedup, mixing, token_output
+from linkweave.llm import chunk_dedup, decontaminate, hmm, jaccard_join, line_dedup, mixing, token_output
 from linkweave.llm.tables import table
 from linkweave.session import scratch_path
 
 END_ID = 0
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and hidden Markov score of every whole text."""
+    return hmm.score(hmm.hold_out(table(spark, sf_dir, "documents")), "hmm_held_out")
+
+
 def op2_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of every document that an earlier document holds already."""
     return chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
@@ -56,6 +61,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_chunk_dedup": op2_chunk_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_decontaminate": op5_decontaminate,
