@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm import chunk_dedup, decontaminate, hmm, jaccard_join, line_dedup, mixing, token_output
-from linkweave.llm.tables import table
+from linkweave.llm import (chunk_dedup, decontaminate, embedding_dedup, hmm, html_extract, jaccard_join, langid, line_dedup,
+                           mixing, token_output)
+from linkweave.llm.tables import hash_fold, table
 from linkweave.session import scratch_path
 
 END_ID = 0
@@ -22,6 +23,11 @@ def op2_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector: cosine 0.9 or more in double precision."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document: 3-word shingles, similarity 0.9 or more."""
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
@@ -32,6 +38,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cell, weight, rate and draw of every document under tempered source, language and topic marginals."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -54,6 +66,15 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digests(spark.read.parquet(path))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every whole text, learnt from three of four folds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(hash_fold("doc_id", 4) == 2, F.lit(False))
+    model = langid.train(docs.where(~held))
+    out = langid.predict(docs.select("doc_id", held.alias("held_out"), "text"), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document before and after the global line deduplication."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
@@ -63,10 +84,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_chunk_dedup": op2_chunk_dedup,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_decontaminate": op5_decontaminate,
+    "op6_html_extract": op6_html_extract,
     "op7_mix_sources": op7_mix_sources,
     "op8_token_output": op8_token_output,
+    "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
 }
 
