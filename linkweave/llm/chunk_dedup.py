@@ -136,6 +136,8 @@ def drop_spans(docs: DataFrame, spans_found: DataFrame) -> DataFrame:
     cuts = spans_found.groupBy(F.col("doc_id").alias("cut_id")).agg(
         F.array_sort(F.collect_list(F.struct("start_byte", "end_byte"))).alias("cut_spans"))
 
+    names = list(docs.columns)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
@@ -149,7 +151,7 @@ def drop_spans(docs: DataFrame, spans_found: DataFrame) -> DataFrame:
                 out.append(text)
             at = b.schema.get_field_index("text")
             b = b.set_column(at, "text", pa.array(out, pa.string()))
-            yield b.select(docs.columns)
+            yield b.select(names)
 
     joined = docs.join(cuts, docs["doc_id"] == cuts["cut_id"], "left").select(*[docs[c] for c in docs.columns], "cut_spans")
     return joined.mapInArrow(cut, docs.schema)

@@ -195,6 +195,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, k: i
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.8, k: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` whose document holds no item; rows with a null ``doc_id`` are judged by their text's row alike."""
-    bad = contaminated(docs, items, threshold, k).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    """The rows of ``docs`` whose text holds no item; judged by the text alone, so ids may be null or repeated."""
+    text = next(c for c in docs.columns if c.lower() == "text")
+    keyed = docs.withColumn("decontaminate_key", F.xxhash64(F.col(f"`{text}`").cast("string")))
+    bad = contaminated(keyed.select(F.col("decontaminate_key").alias("doc_id"), F.col(f"`{text}`").alias("text")), items, threshold, k)
+    bad = bad.select(F.col("doc_id").alias("decontaminate_key")).distinct()
+    return keyed.join(bad, "decontaminate_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

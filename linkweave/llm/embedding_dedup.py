@@ -42,7 +42,7 @@ SHARD = 600
 OVERLAP = 3
 BLOCK = 1024
 MAX_CENTROIDS = 1024
-MERGE = 0.8
+MERGE = 0.97
 NEAR, FAR, ALPHA = 16, 8, 1.2
 BEAM = 24
 THRESHOLD = 0.9
@@ -336,26 +336,32 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 def audit(vectors: DataFrame, result: DataFrame, modulo: int = 20, threshold: float = THRESHOLD) -> DataFrame:
     """``(n_queries, true_links, found_links, recall)``: brute force for every vector whose id is divisible by ``modulo``.
 
-    The queries are read in blocks of 512, and every task compares its vectors with one block at a time.
+    Queries are dealt to blocks of about 512; every vector is compared with one block at a time.
     """
-    rows = clean(vectors).where("vector IS NOT NULL AND vec_id IS NOT NULL")
-    queries = rows.where(F.pmod("vec_id", F.lit(modulo)) == 0).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-    blocks = queries.groupBy("part").agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))
-    spread = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    rows = materialize(clean(vectors).where("vector IS NOT NULL AND vec_id IS NOT NULL"), "audit-vectors")
+    queries = rows.where(F.pmod("vec_id", F.lit(modulo)) == 0)
+    parts = max(1, math.ceil(queries.count() / 512))
+    queries = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"),
+                             F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("block"))
+    spread = rows.select("vec_id", "vector", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"),
+                         F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(64)).alias("slice"))
+    sliced = queries.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(63).cast("bigint"))))
 
     def compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        total: dict[int, int] = {}
-        if left.num_rows and right.num_rows:
-            listed = left.column("queries")[0].as_py()
-            q, ids = np.array([r["vector"] for r in listed]), np.array([r["vec_id"] for r in listed])
-            x, other = _matrix(right.column("vector"), q.shape[1]), right.column("vec_id").to_numpy()
+        n = left.num_rows
+        total = np.zeros(n, np.int64)
+        ids = left.column("query_id").to_numpy()
+        if n and right.num_rows:
+            dims = len(left.column("query")[0])
+            q, x = _matrix(left.column("query"), dims), right.column("vector").combine_chunks()
+            fits = np.diff(x.offsets.to_numpy()) == dims
+            x, other = _matrix(x.filter(pa.array(fits)), dims), right.column("vec_id").to_numpy()[fits]
             for lo in range(0, len(x), 4096):
-                ok = (q @ x[lo:lo + 4096].T >= threshold) & (ids[:, None] != other[lo:lo + 4096])
-                for i, c in zip(ids.tolist(), ok.sum(axis=1).tolist()):
-                    total[i] = total.get(i, 0) + c
-        return pa.table({"vec_id": pa.array(list(total), pa.int64()), "true_links": pa.array(list(total.values()), pa.int64())})
+                total += ((q @ x[lo:lo + 4096].T >= threshold) & (ids[:, None] != other[lo:lo + 4096])).sum(axis=1)
+        return pa.table({"vec_id": pa.array(ids, pa.int64()), "true_links": pa.array(total)})
 
-    truth = blocks.groupBy("part").cogroup(spread.groupBy("part")).applyInArrow(compare, "vec_id bigint, true_links bigint")
+    truth = (sliced.groupBy("block", "slice").cogroup(spread.groupBy("part", "slice"))
+             .applyInArrow(compare, "vec_id bigint, true_links bigint").groupBy("vec_id").agg(F.sum("true_links").alias("true_links")))
     both = truth.join(result.select("vec_id", "n_links"), "vec_id")
     return both.agg(F.count(F.lit(1)).alias("n_queries"), F.sum("true_links").alias("true_links"),
                     F.sum(F.least("true_links", "n_links")).alias("found_links")).withColumn(

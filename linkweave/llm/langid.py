@@ -200,10 +200,11 @@ def predict(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
             lettered = b.column("lang_lettered").to_numpy(zero_copy_only=False).astype(bool)
             names = [net.languages[i] if ok else UNDETERMINED for i, ok in zip(best.tolist(), lettered.tolist())]
             score = np.where(lettered, np.clip(p[np.arange(len(best)), best], 0, 1), 0.0)
-            cols = [b.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(names, pa.string()), pa.array(score)], names=out_names)
+            cols = [b.column(c) for c in in_names]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(names, pa.string()), pa.array(score)], out_names)
 
-    out_names = [*docs.columns, "lang_pred", "score"]
+    in_names = list(docs.columns)
+    out_names = [*in_names, "lang_pred", "score"]
     schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
     lettered = F.coalesce(F.col(f"`{text}`").rlike("\\p{L}"), F.lit(False))
     return docs.withColumn("lang_lettered", lettered).mapInArrow(label, schema)
