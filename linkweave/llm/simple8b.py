@@ -18,18 +18,27 @@ ESCAPE = 15
 # Fixed values of the format: values per word and bits per value of selectors 0 to 14.
 COUNTS = np.array([120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
+NARROW = 7  # the selectors up to this one hold NARROW_COUNT values or more
+NARROW_COUNT = int(COUNTS[NARROW])
 _U = np.uint64
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
     """Number of bits of each value."""
-    out = np.zeros(len(values), np.int64)
-    rest = values.astype(_U)
-    for step in (32, 16, 8, 4, 2, 1):
-        big = rest >= (_U(1) << _U(step))
-        out += step * big
-        rest = np.where(big, rest >> _U(step), rest)
-    return out + (rest > 0)
+    high = values >> _U(32)
+    out = np.frexp((values & _U(0xFFFFFFFF)).astype(np.float64))[1]
+    return np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, out)
+
+
+def _fitting(bits: np.ndarray, here: np.ndarray, stop: np.ndarray, window: int, selectors: range) -> np.ndarray:
+    """The first of the selectors (by descending count) whose width holds the values that follow; else the escape."""
+    at = here[:, None] + np.arange(window)
+    widest = np.where(at < stop[:, None], bits[np.minimum(at, len(bits) - 1)], 0)
+    np.maximum.accumulate(widest, axis=1, out=widest)
+    choice = np.full(len(here), ESCAPE, np.int64)
+    for s in reversed(selectors):
+        choice[widest[:, COUNTS[s] - 1] <= WIDTHS[s]] = s
+    return choice
 
 
 def block_bounds(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,29 +56,26 @@ def encode(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     values, lengths = values.astype(_U), lengths.astype(np.int64)
     start, end, seq = block_bounds(lengths)
     bits = _bits(values)
-    index = np.arange(len(values), dtype=np.int32)
-    reach = []  # per selector: the first value at or after each place that is too wide
-    for w in WIDTHS:
-        nxt = np.where(bits > w, index, np.int32(len(values)))
-        reach.append(np.minimum.accumulate(nxt[::-1])[::-1])
-    at, block, sel = [], [], []
+    steps = []
     p, live = start.copy(), np.arange(len(start))
-    while len(live):
+    n_words = np.zeros(len(start), np.int64)
+    while len(live):  # the next word of every block that has values left
         here, stop = p[live], end[live]
-        choice = np.full(len(live), ESCAPE, np.int64)
-        for s in range(len(WIDTHS) - 1, -1, -1):
-            fits = reach[s][here] >= np.minimum(here + COUNTS[s], stop)
-            choice[fits] = s
-        at.append(here)
-        block.append(live)
-        sel.append(choice)
-        p[live] = np.minimum(here + np.append(COUNTS, 1)[choice], stop)
-        live = live[p[live] < stop]
-    if not at:
-        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(len(lengths), np.int64)
-    at, block, sel = np.concatenate(at), np.concatenate(block), np.concatenate(sel)
-    order = np.argsort(at, kind="stable")
-    at, block, sel = at[order], block[order], sel[order]
+        choice = _fitting(bits, here, stop, NARROW_COUNT, range(NARROW, len(WIDTHS)))
+        dense = np.flatnonzero(choice == NARROW)  # as many as fit there: look further ahead
+        if len(dense):
+            choice[dense] = _fitting(bits, here[dense], stop[dense], int(COUNTS[0]), range(NARROW + 1))
+        steps.append((live, here, choice))
+        n_words[live] += 1
+        after = np.minimum(here + np.append(COUNTS, 1)[choice], stop)
+        p[live] = after
+        live = live[after < stop]
+    total = int(n_words.sum())
+    at, sel, block = np.empty(total, np.int64), np.empty(total, np.int64), np.repeat(np.arange(len(start)), n_words)
+    first_word = np.cumsum(n_words) - n_words
+    for t, (rows, here, choice) in enumerate(steps):
+        at[first_word[rows] + t] = here
+        sel[first_word[rows] + t] = choice
     words = np.zeros(len(at), _U)
     padded = np.append(values, np.zeros(COUNTS[0], _U))
     for s in range(len(WIDTHS)):
@@ -89,7 +95,7 @@ def encode(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     n_wide = np.bincount(of, minlength=len(lengths)) if len(wide) else np.zeros(len(lengths), np.int64)
     nth = np.arange(len(wide)) - (np.cumsum(n_wide) - n_wide)[of] if len(wide) else wide
     words[wide] = (_U(ESCAPE) << _U(60)) | nth.astype(_U)
-    return words, np.bincount(block, minlength=len(start)), values[at[wide]], n_wide
+    return words, n_words, values[at[wide]], n_wide
 
 
 def decode(words: np.ndarray, words_per_block: np.ndarray, lengths: np.ndarray, wide: np.ndarray,

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -122,13 +123,13 @@ class PieceTable:
         rest = [i for i, x in enumerate(ids) if x is None]
         for i, x in zip(rest, self.encode([plain[i] for i in rest])):
             ids[i] = x
-        n = np.array([len(x) for x in ids], np.int64)
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
         k, total = len(self.rows), int(n.sum())
         while len(self.first) < k + len(keys):
             self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
         while len(self.flat) < self.used + total:
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used:self.used + total] = np.concatenate([np.array(x, np.uint32) for x in ids])
+        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.count[k:k + len(keys)] = n
         self.first[k:k + len(keys)] = self.used + np.cumsum(n) - n
         self.rows.update(zip(keys, range(k, k + len(keys))))
@@ -140,13 +141,13 @@ class PieceTable:
         keys = h.tolist()
         if len(self.rows) + len(keys) > KNOWN_PIECES:
             self.clear()
-        missing = [i for i, k in enumerate(keys) if k not in self.rows]
+        known = self.rows
+        missing = [i for i, k in enumerate(keys) if k not in known]
         if missing:
             data = raw.tobytes()
             s, e = starts[at[missing]].tolist(), ends[at[missing]].tolist()
             self._learn([keys[i] for i in missing], [data[a:b] for a, b in zip(s, e)])
-        get = self.rows.__getitem__
-        row = np.fromiter((get(k) for k in keys), np.int64, len(keys))[back]
+        row = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))[back]
         n = self.count[row]
         shift = self.first[row] - (np.cumsum(n) - n)
         return self.flat[np.repeat(shift, n) + np.arange(int(n.sum()))], n
