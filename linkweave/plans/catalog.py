@@ -35,7 +35,7 @@ from linkweave.sources.tables import read_graph
 from linkweave.sources.text import parse_rank_lines, read_edges, read_rank_lines, read_vertices
 from linkweave.streaming.crawls import read_crawl_log, run_crawl_stream
 from linkweave.streaming.ranks import rank_line_stream, read_rank_log, run_rank_stream
-from linkweave.streaming.usage import run_usage_stream, usage_counts
+from linkweave.streaming.usage import charged_calls, run_usage_stream, usage_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,8 +52,8 @@ URL_LITERALS = [
 REVERSE_LITERALS = [(-1, "a..b."), (-2, ""), (-3, "com"), (-4, "uk.co.bbc")]
 SCORE_LITERALS = [("zero.example", 0, 0), ("negative.example", -5, -1), ("huge.example", 10 ** 12, 10 ** 15)]
 VERTEX_BAD_LINES = ["x\tcom.bad\t1", "1\tcom.short", "", "2\tcom.extra\t3\t4", "3\t\t4", "\tcom.noid\t5",
-                    "7\tcom.float\t1.5", " 8 \tcom.space\t 9 "]
-EDGE_BAD_LINES = ["1", "1\t2\t3", "a\t2", "", "4\t", " 5 \t6", "7\t8.0"]
+                    "7\tcom.float\t1.5", " 8 \tcom.space\t 9 ", "1\tcom.tab\t\t5", "\t9\tcom.tab"]
+EDGE_BAD_LINES = ["1", "1\t2\t3", "a\t2", "", "4\t", " 5 \t6", "7\t8.0", "1\t\t2", "\t1\t2", "1\t2\t"]
 
 
 def _fx(spark: SparkSession, sf_dir: str) -> fx.Fixture:
@@ -323,8 +323,24 @@ def q_stream_usage(spark, sf_dir):
     log = events.select("event_id", "ts", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("payer"),
                         (F.col("event_type") == "purchase").alias("charged"))
     base = scratch_path(spark, "stream-usage")
-    final = run_usage_stream(usage_counts(log), f"{base}/out", f"{base}/checkpoint")
-    return spark.read.parquet(final)
+    run_usage_stream(charged_calls(log), f"{base}/out", f"{base}/checkpoint")
+    return usage_counts(spark, f"{base}/out")
+
+
+def q_stream_usage_batches(spark, sf_dir):
+    """ST1 over three arrivals on one checkpoint: a third of the calls, then repeats with another third (as late
+    as the first ones), then everything again."""
+    f = _fx(spark, sf_dir)
+    base = scratch_path(spark, "stream-usage-batches")
+    events = f.table("events").select("event_id", "ts", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("payer"),
+                                      (F.col("event_type") == "purchase").alias("charged"))
+    third = F.pmod("event_id", F.lit(3))
+    for i, part in enumerate((third == 2, (third == 0) | (third == 2), F.lit(True))):
+        events.where(part).write.parquet(f"{base}/arrivals/batch={i}")
+        feed = (spark.readStream.schema(events.schema).option("recursiveFileLookup", "true")
+                .option("pathGlobFilter", "*.parquet").parquet(f"{base}/arrivals"))
+        run_usage_stream(charged_calls(feed), f"{base}/out", f"{base}/checkpoint")
+    return usage_counts(spark, f"{base}/out")
 
 
 def q_stream_crawls(spark, sf_dir):
@@ -348,6 +364,22 @@ def q_stream_ranks(spark, sf_dir):
     return read_rank_log(spark, f"{base}/log")
 
 
+def q_stream_ranks_batches(spark, sf_dir):
+    """ST3 over two arrivals: part of the domains come again with a better or a worse rank, which replaces the first."""
+    f = _fx(spark, sf_dir)
+    base = scratch_path(spark, "stream-ranks-batches")
+    total = lambda s: _fx(s, sf_dir).rank_total
+    again = f.rank_rows.where(F.col("pr_rank") % 3 == 0).withColumn(
+        "harmonic_rank", F.when(F.col("pr_rank") % 2 == 0, F.lit(1)).otherwise(F.col("harmonic_rank") + 1))
+    for i, rows in enumerate((f.rank_rows, again)):
+        line = F.concat_ws("\t", *[F.col(c).cast("string") for c in ("harmonic_rank", "harmonic_val", "pr_rank", "pr_val")],
+                           reverse_domain(F.col("domain")), F.col("n_hosts").cast("string"))
+        rows.select(line.alias("value")).write.text(f"{base}/landing/batch={i}")
+        feed = spark.readStream.option("lineSep", "\n").option("recursiveFileLookup", "true").text(f"{base}/landing")
+        run_rank_stream(feed, f"{base}/log", f"{base}/checkpoint", limit=total, total=total, as_of=fx.RANKS_AT)
+    return read_rank_log(spark, f"{base}/log")
+
+
 QUERIES: dict[str, Query] = {
     "normalize_domains": q_normalize_domains,
     "reverse_domains": q_reverse_domains,
@@ -386,6 +418,8 @@ QUERIES: dict[str, Query] = {
     "usage_merge": q_usage_merge,
     "admit": q_admit,
     "stream_usage": q_stream_usage,
+    "stream_usage_batches": q_stream_usage_batches,
+    "stream_ranks_batches": q_stream_ranks_batches,
     "stream_crawls": q_stream_crawls,
     "stream_ranks": q_stream_ranks,
 }

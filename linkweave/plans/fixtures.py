@@ -309,7 +309,11 @@ class Fixture:
         c = self.table("customer")
         k = _s("c_custkey")
         seg = F.col("c_mktsegment")
-        body = (F.when(seg == "AUTOMOBILE", F.lit('{"person": null}'))
+        odd = F.col("c_custkey") % 11
+        body = (F.when(odd == 0, F.lit("<html>busy</html>")).when(odd == 1, F.lit('["person"]'))
+                .when(odd == 2, F.lit('{"person": ""}'))
+                .when(odd == 3, F.lit('{"person": {"email": null, "email_status": null, "first_name": null, "title": null}}'))
+                .when(seg == "AUTOMOBILE", F.lit('{"person": null}'))
                 .when(seg == "BUILDING", F.concat(
                     F.lit('{"person": {"email": "c'), k, F.lit('@example.com", "email_status": "verified", '
                                                                '"first_name": "First'), k,
@@ -323,7 +327,7 @@ class Fixture:
         return c.select(
             F.lower(seg).alias("first_name"), F.col("c_name").alias("last_name"),
             F.concat(F.lit("n"), _s("c_nationkey"), F.lit(".example.com")).alias("domain"),
-            F.when(F.col("c_acctbal") < 0, F.lit(503)).otherwise(F.lit(200)).alias("status_code"),
+            F.when(F.col("c_acctbal") < 0, F.lit(503)).when(F.col("c_custkey") % 31 != 0, F.lit(200)).alias("status_code"),
             body.alias("body"))
 
     # ---- usage -------------------------------------------------------------------

@@ -166,8 +166,12 @@ contacts AS (SELECT lower(c_mktsegment) AS first_name, upper(c_name) AS last_nam
 CTE["responses"] = """responses AS (
   SELECT lower(c_mktsegment) AS first_name, c_name AS last_name,
          'n' || CAST(c_nationkey AS VARCHAR) || '.example.com' AS domain,
-         CASE WHEN c_acctbal < 0 THEN 503 ELSE 200 END AS status_code,
-         CASE c_mktsegment
+         CASE WHEN c_acctbal < 0 THEN 503 WHEN c_custkey % 31 <> 0 THEN 200 END AS status_code,
+         CASE WHEN c_custkey % 11 = 0 THEN '<html>busy</html>'
+           WHEN c_custkey % 11 = 1 THEN '["person"]'
+           WHEN c_custkey % 11 = 2 THEN '{"person": ""}'
+           WHEN c_custkey % 11 = 3 THEN '{"person": {"email": null, "email_status": null, "first_name": null, "title": null}}'
+           ELSE CASE c_mktsegment
            WHEN 'AUTOMOBILE' THEN '{"person": null}'
            WHEN 'BUILDING' THEN '{"person": {"email": "c' || CAST(c_custkey AS VARCHAR)
                 || '@example.com", "email_status": "verified", "first_name": "First' || CAST(c_custkey AS VARCHAR)
@@ -177,25 +181,29 @@ CTE["responses"] = """responses AS (
                 || '@example.com", "email_status": "guessed", "title": "Dev", "organization": {}}}'
            WHEN 'HOUSEHOLD' THEN '{"person": {"title": "VP", "organization": {"name": "Acme"}}}'
            ELSE '{"person": {"email": "m' || CAST(c_custkey AS VARCHAR) || '@example.com"}}'
-         END AS body FROM customer),
+         END END AS body FROM customer),
 parsed AS (
   SELECT first_name, last_name, domain, status_code, kind,
          CASE WHEN kind = 'match' THEN coalesce(json_extract_string(body, '$.person.email'), '') END AS m_email,
          CASE WHEN kind = 'match' THEN
            CASE WHEN json_extract_string(body, '$.person.email_status') = 'verified' THEN 'high'
-                ELSE coalesce(json_extract_string(body, '$.person.email_status'), 'unknown') END END AS m_confidence,
-         CASE WHEN kind = 'match' THEN coalesce(json_extract_string(body, '$.person.first_name'), first_name) END
-           AS m_first_name,
-         CASE WHEN kind = 'match' THEN coalesce(json_extract_string(body, '$.person.last_name'), last_name) END
-           AS m_last_name,
-         CASE WHEN kind = 'match' THEN coalesce(json_extract_string(body, '$.person.title'), '') END AS m_title,
+                WHEN json_exists(body, '$.person.email_status') THEN json_extract_string(body, '$.person.email_status')
+                ELSE 'unknown' END END AS m_confidence,
+         CASE WHEN kind = 'match' THEN CASE WHEN json_exists(body, '$.person.first_name')
+           THEN json_extract_string(body, '$.person.first_name') ELSE first_name END END AS m_first_name,
+         CASE WHEN kind = 'match' THEN CASE WHEN json_exists(body, '$.person.last_name')
+           THEN json_extract_string(body, '$.person.last_name') ELSE last_name END END AS m_last_name,
+         CASE WHEN kind = 'match' THEN CASE WHEN json_exists(body, '$.person.title')
+           THEN json_extract_string(body, '$.person.title') ELSE '' END END AS m_title,
          CASE WHEN kind = 'match' THEN coalesce(json_extract_string(body, '$.person.organization.name'), '') END
            AS m_company
-  FROM (SELECT *, CASE WHEN status_code <> 200 THEN 'error'
-                       WHEN json_extract(body, '$.person') IS NULL
-                            OR CAST(json_extract(body, '$.person') AS VARCHAR) IN ('null', '{}', '[]', 'false', '0', '""')
-                         THEN 'no_match'
-                       ELSE 'match' END AS kind FROM responses))"""
+  FROM (SELECT first_name, last_name, domain, status_code, kind, CASE WHEN kind = 'match' THEN js END AS body FROM (
+          SELECT *, CASE WHEN status_code IS NULL OR status_code <> 200 OR js IS NULL OR json_type(js) <> 'OBJECT' THEN 'error'
+                         WHEN json_extract(js, '$.person') IS NULL
+                              OR CAST(json_extract(js, '$.person') AS VARCHAR) IN ('null', '{}', '[]', 'false', '0', '""')
+                           THEN 'no_match'
+                         ELSE 'match' END AS kind
+          FROM (SELECT *, CASE WHEN json_valid(body) THEN body END AS js FROM responses))))"""
 
 
 def _with(*names: str) -> str:
@@ -458,6 +466,17 @@ WHERE month_pos <= {fx.ADMIT_MONTHLY}"""
     sql["stream_usage"] = """
 SELECT strftime(ts, '%Y-%m') AS month, 'u' || CAST(user_id AS VARCHAR) AS payer, count(DISTINCT event_id) AS usage_count
 FROM events WHERE event_type = 'purchase' GROUP BY 1, 2"""
+    sql["stream_usage_batches"] = sql["stream_usage"]
+    sql["stream_ranks_batches"] = _with("rank_rows", "rank_total") + f""",
+arrived AS (
+  SELECT 0 AS epoch, * FROM rank_rows
+  UNION ALL
+  SELECT 1, domain, CASE WHEN pr_rank % 2 = 0 THEN 1 ELSE harmonic_rank + 1 END, harmonic_val, pr_rank, pr_val, n_hosts
+  FROM rank_rows WHERE pr_rank % 3 = 0)
+SELECT domain, harmonic_rank, harmonic_val, pr_rank, pr_val, n_hosts, dr_score, fetched_at FROM (
+  SELECT a.*, {_dr('a.harmonic_rank', 't.n')} AS dr_score, {_ts(fx.RANKS_AT)} AS fetched_at,
+         row_number() OVER (PARTITION BY a.domain ORDER BY a.epoch DESC) AS rn
+  FROM arrived a, rank_total t WHERE a.harmonic_rank <= t.n) WHERE rn = 1"""
     sql["stream_crawls"] = _with("vertices", "edges") + f""",
 targets_s AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) || '.example.com' AS target FROM supplier),
 {_crawl('s', 'targets_s', 'edges', fx.REL3, fx.STREAM_AT)}

@@ -33,31 +33,35 @@ RANK_LINE_SCHEMA = T.StructType([
 ])
 
 # Line grammars. Each dump line is validated by one regex, then split once.
+# Blanks around a number; a tab always ends a field, so it is not one of them.
+_B = r"[ \x0b\f\r]*"
 # DuckDB-style dump fields: empty (NULL) or an integer with optional blanks and sign.
-_DUMP_INT = r"(?:\s*[+-]?\d+\s*)?"
+_DUMP_INT = rf"(?:{_B}[+-]?\d+{_B})?"
 _DUMP_STR = r"[^\t]*"
 # Python int()/float() grammar: digit groups may be joined by single underscores.
 _DP = r"\d(?:_?\d)*"
-_PY_INT = rf"\s*[+-]?{_DP}\s*"
-_PY_FLOAT = (rf"\s*[+-]?(?:(?:{_DP}\.(?:{_DP})?|\.{_DP}|{_DP})(?:[eE][+-]?{_DP})?"
-             r"|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*")
+_PY_INT = rf"{_B}[+-]?{_DP}{_B}"
+_PY_FLOAT = (rf"{_B}[+-]?(?:(?:{_DP}\.(?:{_DP})?|\.{_DP}|{_DP})(?:[eE][+-]?{_DP})?"
+             r"|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?|[nN][aA][nN])" + _B)
 RANK_LINE_PATTERN = "^" + "\t".join([_PY_INT, _PY_FLOAT, _PY_INT, _PY_FLOAT, r"[^\t]*", _PY_INT]) + r"(?:\t[\s\S]*)?\z"
 _BLANKS = " \t\n\r\f\u000b"
-COMPRESSED_SUFFIXES = (".gz", ".bz2", ".zst", ".deflate", ".lz4", ".snappy")
+# Compressed formats that cannot be split (bz2 can).
+COMPRESSED_SUFFIXES = (".gz", ".zst", ".deflate", ".lz4", ".snappy")
 
 
 def read_text_lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """Lines of a text file/folder split on '\\n' only (as Python iterates a file).
 
     A single compressed file arrives as one partition, so it is spread out right
-    after the scan to keep the parsing and everything after it parallel.
+    after the scan to keep the parsing and everything after it parallel -- by a hash
+    of the line, since a round-robin exchange would first sort the whole file in its one task.
     """
     df = spark.read.option("lineSep", "\n").text(path)
     if path.rstrip("/").endswith(COMPRESSED_SUFFIXES):
-        n = partitions or spark.sparkContext.defaultParallelism
-        df = df.repartition(n)
+        n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(n, "value")
     elif partitions:
-        df = df.repartition(partitions)
+        df = df.repartition(partitions, "value")
     return df
 
 
@@ -72,10 +76,11 @@ def _parse_dump(lines: DataFrame, kinds: list[tuple[str, str]], strict: bool, wh
     the fields are then split out once. An integer that overflows 64 bits drops the line."""
     pattern = "^" + "\t".join(_DUMP_INT if k == "long" else _DUMP_STR for _, k in kinds) + r"\z"
     v = F.col("value")
+    parts = F.split(v, "\t", -1)
+    fits = v.rlike(pattern) & (F.size(parts) == len(kinds))
     if strict:
-        guard = F.when(~v.rlike(pattern), F.raise_error(F.concat(F.lit(f"malformed {what} line: "), v)))
+        guard = F.when(~fits, F.raise_error(F.concat(F.lit(f"malformed {what} line: "), v)))
         lines = lines.where(F.coalesce(guard.cast("boolean"), F.lit(True)))
-    parts = F.split(v, "\t", -1)
     cols, overflow = [], []
     for i, (name, kind) in enumerate(kinds):
         field = F.get(parts, i)
@@ -85,7 +90,7 @@ def _parse_dump(lines: DataFrame, kinds: list[tuple[str, str]], strict: bool, wh
             overflow.append(F.col(name).isNotNull() | ~F.col(f"_set{i}"))
         else:
             cols.append(F.nullif(field, F.lit("")).alias(name))
-    parsed = lines.where(v.rlike(pattern)).select(*cols)
+    parsed = lines.where(fits).select(*cols)
     for ok in overflow:
         parsed = parsed.where(ok)
     return parsed.select(*[name for name, _ in kinds])

@@ -2,9 +2,9 @@
 
 New text files are parsed (F9), cut to the top N (P4) and scored (F6) per
 micro-batch and appended to a rank log (one folder per epoch, rewritten on
-replay). Last-write-wins per domain (K8) keeps the row with the largest
-harmonic rank, which does not depend on arrival order, so it is applied when
-the table is read.
+replay). A later batch replaces a domain's row, better or worse; inside one batch
+last-write-wins (K8) keeps the row with the largest harmonic rank, as in a rank-sorted
+dump. Both are applied when the table is read.
 """
 
 from __future__ import annotations
@@ -38,6 +38,6 @@ def run_rank_stream(lines: DataFrame, log_root: str, checkpoint: str, limit=DEFA
 
 
 def read_rank_log(spark: SparkSession, log_root: str) -> DataFrame:
-    rows = spark.read.parquet(log_root.rstrip("/")).drop("epoch")
-    return dedupe_last(rows, ["domain"], ["harmonic_rank", "harmonic_val", "pr_rank", "pr_val", "n_hosts"]) \
+    rows = spark.read.parquet(log_root.rstrip("/"))
+    return dedupe_last(rows, ["domain"], ["epoch", "harmonic_rank", "harmonic_val", "pr_rank", "pr_val", "n_hosts"]) \
         .select(*RANK_COLS).where(F.col("domain").isNotNull())

@@ -1,11 +1,12 @@
 """ST1: running usage counters per (month, payer) with Structured Streaming.
 
-Events are de-duplicated on event_id within the watermark (bounded state), then
-counted per month and payer. Months have no fixed length, so a month key is
-grouped on instead of a time window; that state holds one row per
-(month, payer) and stays small. Each micro-batch writes the full counter table
-(complete mode) to its own epoch folder, so a replayed batch rewrites the same
-folder and readers take the newest committed one.
+Every charged call counts once, however late it arrives: a micro-batch is reduced
+to one row per event_id, ids that earlier epochs have stored are taken out (an
+anti-join on month and id: an event keeps its
+time, so only the months of the batch are read), and the rest is written to the epoch's
+own folder of the call log, partitioned by month. A replayed batch rewrites its own
+folder, and only folders of other epochs count as known, so replays change nothing.
+The counters are one aggregation over the log.
 """
 
 from __future__ import annotations
@@ -15,40 +16,42 @@ from pyspark.sql import functions as F
 
 from linkweave.functions.timekeys import month_of
 
-DEFAULT_WATERMARK = "1 day"
+CALL_SCHEMA = "event_id long, payer string, month string, epoch int"
 
 
-def usage_counts(events: DataFrame, watermark: str = DEFAULT_WATERMARK) -> DataFrame:
-    """Streaming (or batch) usage log -> (month, payer, usage_count) over charged calls."""
-    # Watermarks need an instant; stored times are UTC wall clock (NTZ), so read them as UTC.
-    charged = events.where(F.col("charged")).select(
-        "event_id", "ts", "payer", F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
-        .alias("event_time"))
-    deduped = charged.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["event_id"])
-    return (deduped.groupBy(month_of(F.col("ts")).alias("month"), "payer")
-            .agg(F.count(F.lit(1)).alias("usage_count")))
+def charged_calls(events: DataFrame) -> DataFrame:
+    """Streaming (or batch) usage log -> (event_id, payer, month) of the charged calls."""
+    return events.where(F.col("charged")).select("event_id", "payer", month_of(F.col("ts")).alias("month"))
 
 
-def run_usage_stream(counts: DataFrame, out: str, checkpoint: str) -> str:
-    """Run ``counts`` to completion (availableNow) and return the folder of the final table."""
+def run_usage_stream(calls: DataFrame, out: str, checkpoint: str) -> None:
+    """Append new ``charged_calls`` to the call log under ``out`` until the source is drained (availableNow)."""
     out = out.rstrip("/")
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch_id:012d}")
-
-    q = (counts.writeStream.outputMode("complete").foreachBatch(write)
+        spark = batch.sparkSession
+        fresh = batch.groupBy("month", "event_id").agg(F.min("payer").alias("payer"))
+        if has_epochs(spark, out):
+            known = read_calls(spark, out).where(F.col("epoch") != epoch_id).select("month", "event_id")
+            fresh = fresh.join(known, ["month", "event_id"], "left_anti")
+        fresh.write.mode("overwrite").partitionBy("month").parquet(f"{out}/epoch={epoch_id}")
+
+    q = (calls.writeStream.foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return latest_epoch(counts.sparkSession, out)
 
 
-def latest_epoch(spark: SparkSession, out: str) -> str | None:
-    jvm = spark.sparkContext._jvm
-    jp = jvm.org.apache.hadoop.fs.Path(out)
+def read_calls(spark: SparkSession, out: str) -> DataFrame:
+    """The call log: event_id, payer, month, epoch."""
+    return spark.read.schema(CALL_SCHEMA).parquet(out.rstrip("/"))
+
+
+def usage_counts(spark: SparkSession, out: str) -> DataFrame:
+    """(month, payer, usage_count) over the call log."""
+    return read_calls(spark, out).groupBy("month", "payer").agg(F.count(F.lit(1)).alias("usage_count"))
+
+
+def has_epochs(spark: SparkSession, out: str) -> bool:
+    jp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
     fs = jp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(jp):
-        return None
-    done = [st.getPath().toString() for st in fs.listStatus(jp)
-            if st.getPath().getName().startswith("epoch=")
-            and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]
-    return sorted(done)[-1] if done else None
+    return bool(fs.exists(jp)) and any(s.getPath().getName().startswith("epoch=") for s in fs.listStatus(jp))
