@@ -1,4 +1,7 @@
-"""DR score and authority score, literal cases of the reference tests."""
+"""DR score and authority score."""
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from linkweave.functions import authority_or_null, authority_score, derive_dr
@@ -9,31 +12,30 @@ def _dr(spark, ranks, total=109_000_000):
     return [row["d"] for row in df.select(derive_dr(F.col("r"), total).alias("d")).collect()]
 
 
-def test_dr_literals(spark):
-    assert _dr(spark, [1]) == [100]
-    assert _dr(spark, [109_000_000]) == [0]
-    assert all(x >= 85 for x in _dr(spark, list(range(1, 11))))
-    assert 58 <= _dr(spark, [1000])[0] <= 68
-    assert _dr(spark, [0, -5]) == [100, 100]
-    assert _dr(spark, [10 ** 12]) == [0]
-    falling = _dr(spark, [1, 10, 100, 1000, 10 ** 4, 10 ** 5, 10 ** 6, 5 * 10 ** 6])
-    assert falling == sorted(falling, reverse=True) and len(set(falling)) == len(falling)
-    assert _dr(spark, [63, 1000, 1_000_000, 5_000_000]) == [78, 63, 25, 17]
+def test_dr_ends(spark):
+    assert _dr(spark, [1, 0, -40, 109_000_000, 10 ** 15]) == [100, 100, 100, 0, 0]
     assert _dr(spark, [24, 1234]) == [83, 62]  # the formula, not the published examples
 
 
-def test_dr_matches_python_formula(spark):
-    import math
-
-    def py(rank, total=109_000_000):
-        if rank <= 0:
-            return 100
-        if rank >= total:
-            return 0
-        return max(0, min(100, int(round(100.0 * (1.0 - math.log10(rank) / math.log10(total))))))
-
-    ranks = list(range(-3, 3000, 7)) + [10 ** k for k in range(9)]
-    assert _dr(spark, ranks) == [py(r) for r in ranks]
+@pytest.mark.parametrize("total", [109_000_000, 5_000, 40])
+def test_dr_changes_at_the_boundary_ranks(spark, total):
+    """A score s covers the ranks between total ** ((99.5 - s) / 100) and total ** ((100.5 - s) / 100)."""
+    ranks, want = [], []
+    for score in range(1, 100):
+        edge = total ** ((100.5 - score) / 100)  # scores above this rank are below `score`
+        below, above = math.floor(edge - 1e-6), math.ceil(edge + 1e-6)
+        if 1 < below and above < total and below >= total ** ((99.5 - score) / 100) + 1e-6:
+            ranks += [below]
+            want += [score]
+        if above < total and above <= total ** ((101.5 - score) / 100) - 1e-6 and score > 1:
+            ranks += [above]
+            want += [score - 1]
+    assert len(ranks) > 5 and _dr(spark, ranks, total) == want
+
+
+def test_dr_never_rises_with_the_rank(spark):
+    got = _dr(spark, [3 ** k for k in range(17)])
+    assert all(a > b for a, b in zip(got, got[1:]))
 
 
 def test_dr_null_and_column_total(spark):

@@ -17,7 +17,7 @@ def _lines(spark, values):
 def test_vertex_lines_drop_bad_rows(spark):
     lines = _lines(spark, ["1\tcom.a\t3", "x\tcom.bad\t1", "2\tcom.short", "", "3\tcom.extra\t3\t4",
                            "4\t\t5", "\tcom.noid\t6", "7\tcom.float\t1.5", " 8 \tcom.space\t 9 ",
-                           "99999999999999999999\tcom.overflow\t1"])
+                           "99999999999999999999\tcom.overflow\t1", "1\tcom.x\t\t5", "\t1\tcom.x\t5"])
     out = parse_vertex_lines(lines)
     got = {(r.id, r.rev_domain, r.num_hosts) for r in out.collect()}
     assert got == {(1, "com.a", 3), (4, None, 5), (None, "com.noid", 6), (8, "com.space", 9)}
@@ -26,7 +26,7 @@ def test_vertex_lines_drop_bad_rows(spark):
 
 
 def test_edge_lines(spark):
-    out = parse_edge_lines(_lines(spark, ["1\t2", "1", "1\t2\t3", "a\t2", "", "4\t", " 5 \t6", "7\t8.0"]))
+    out = parse_edge_lines(_lines(spark, ["1\t2", "1", "1\t2\t3", "a\t2", "", "4\t", " 5 \t6", "7\t8.0", "1\t\t2", "\t1\t2", "1\t2\t"]))
     assert {(r.from_id, r.to_id) for r in out.collect()} == {(1, 2), (4, None), (5, 6)}
 
 
@@ -51,9 +51,6 @@ def test_gzip_dump_is_read_and_spread(spark, tmp_dir):
     assert {(r.id, r.num_hosts) for r in read_vertices(spark, vp).collect()} == {(1, 2), (2, 3)}
 
 
-KEPT = "2\t3.2672742E7\t3\t0.00895321110515939\tcom.facebook\t3608"
-
-
 @pytest.mark.parametrize("line", ["#harmonicc_pos\tharmonicc_val", "", "\n", "1\t2.0\t3",
                                   "x\t1.0\t2\t0.1\tcom.a\t3", "1\tabc\t2\t0.1\tcom.a\t3",
                                   "1\t1.0d\t2\t0.1\tcom.a\t3", "1.5\t1.0\t2\t0.1\tcom.a\t3",
@@ -63,9 +60,10 @@ def test_rank_line_dropped(spark, line):
 
 
 def test_rank_line_kept(spark):
-    r = parse_rank_lines(_lines(spark, [KEPT])).first()
-    assert (r.domain, r.harmonic_rank, r.harmonic_val, r.pr_rank, r.pr_val, r.n_hosts) == \
-        ("facebook.com", 2, 3.2672742e7, 3, 0.00895321110515939, 3608)
+    fields = (41, 7.5e6, 38, 0.0625, "museum.dune.www", 12)
+    r = parse_rank_lines(_lines(spark, ["\t".join(map(str, fields))])).first()
+    assert (r.harmonic_rank, r.harmonic_val, r.pr_rank, r.pr_val, r.n_hosts) == (*fields[:4], fields[5])
+    assert r.domain == "www.dune.museum"
 
 
 @pytest.mark.parametrize("line,expected", [
@@ -83,16 +81,18 @@ def test_rank_line_special_floats(spark):
     assert r.harmonic_val == float("inf") and r.pr_val != r.pr_val
 
 
-def test_ingest_end_to_end(spark, tmp_dir):
-    p = os.path.join(tmp_dir, "ranks.txt.gz")
+def test_ingest_cuts_at_the_limit(spark, tmp_dir):
+    n, limit = 30, 7
+    p = os.path.join(tmp_dir, "scores.gz")
     with gzip.open(p, "wt") as fh:
-        fh.write("#harmonicc_pos\tharmonicc_val\tpr_pos\tpr_val\thost_rev\tn_hosts\n")
-        fh.write("1\t1.0\t1\t0.1\tcom.google\t10\n")
-        fh.write("2\t0.9\t2\t0.09\tcom.facebook\t9\n")
-        fh.write("3\t0.8\t3\t0.08\tcom.twitter\t8\n")
-        fh.write("4\t0.7\t4\t0.07\tcom.linkedin\t7\n")
-    out = ingest_ranks(read_rank_lines(spark, p), limit=2, as_of="2026-01-01 00:00:00")
-    assert rows(out, "domain", "harmonic_rank", "dr_score") == [("facebook.com", 2, 96), ("google.com", 1, 100)]
+        fh.write("#made up header\n")
+        for rank in range(n, 0, -1):  # worst first: the cut does not rely on the order of the dump
+            fh.write(f"{rank}\t{n / rank}\t{rank + 1}\t{1 / rank}\tcoop.site{rank}\t{rank * 2}\n")
+    out = {r.domain: r for r in ingest_ranks(read_rank_lines(spark, p), limit=limit, total=n, as_of="2026-01-01 00:00:00").collect()}
+    assert set(out) == {f"site{r}.coop" for r in range(1, limit + 1)}
+    assert all(r.n_hosts == 2 * r.harmonic_rank for r in out.values())
+    scores = [out[f"site{r}.coop"].dr_score for r in range(1, limit + 1)]
+    assert scores[0] == 100 and scores == sorted(scores, reverse=True)
 
 
 def test_ingest_last_write_wins_and_unsorted_input(spark):
