@@ -35,22 +35,34 @@ def confidence_of(status) -> Column:
             .otherwise(F.coalesce(s, F.lit(UNKNOWN_STATUS))))
 
 
+def _number(score) -> Column:
+    """The score as a number; text with a type letter after the digits is none."""
+    typed_text = as_col(score).cast("string").rlike("[dDfF]\\s*$")
+    return F.when(~typed_text, as_col(score).try_cast("double"))
+
+
 def confidence_label(score) -> Column:
-    """>=0.8 High, >=0.5 Medium, any other non-zero number Low, else ''.
+    """>=0.8 High, >=0.5 Medium, anything else that is truthy Low, else ''.
 
-    Text is read as a number when it parses as one (as the page does).
+    Text is compared as a number when it parses as one (a number followed by a type letter
+    does not); any other non-empty text, such as `high`, is truthy and Low, as on the page.
     """
-    x = as_col(score).try_cast("double") if not isinstance(score, (int, float)) else F.lit(float(score))
+    if isinstance(score, (int, float)):
+        x, truthy = F.lit(float(score)), F.lit(score == score and score != 0)
+    else:
+        number = _number(score)
+        x = F.when(~F.isnan(number), number)
+        is_text = F.typeof(as_col(score)) == "string"
+        truthy = F.when(is_text, as_col(score).cast("string") != "").otherwise(x.isNotNull() & (x != 0))
     return (F.when(x >= HIGH_AT, F.lit(LABEL_HIGH))
             .when(x >= MEDIUM_AT, F.lit(LABEL_MEDIUM))
-            .when(x.isNotNull() & (x != 0) & ~F.isnan(x), F.lit(LABEL_LOW))
+            .when(truthy, F.lit(LABEL_LOW))
             .otherwise(F.lit("")))
 
 
 def confidence_pct(score) -> Column:
     """percent display, JavaScript Math.round (half up)."""
-    x = as_col(score).try_cast("double")
-    return F.floor(x * 100 + 0.5).cast("long")
+    return F.floor(_number(score) * 100 + 0.5).cast("long")
 
 
 def contact_key(first, last, domain) -> list[Column]:

@@ -1,9 +1,9 @@
 """Link gap (Q3: J9, U1, U3, A2, A3, O4, F8): linkers of a competitor that do not link to you.
 
-Pairs are answered together: both sides resolve to their latest crawl, the
-competitor's linker set is anti-joined with yours on (pair, linking_domain) --
-a key that cannot be skewed by a popular target -- and the rest is enriched
-with set joins instead of one lookup per domain.
+Pairs are answered together: both sides resolve to their latest crawl. Your own linker
+set stands once per target, whatever the number of its pairs, and the competitor's linkers
+are anti-joined with it on (yours, linking_domain) -- a key that cannot be skewed by a
+popular target. The rest is enriched with set joins instead of one lookup per domain.
 """
 
 from __future__ import annotations
@@ -31,33 +31,39 @@ def _side(pairs: DataFrame, latest: DataFrame, side: str) -> DataFrame:
                       side)
 
 
-def _linkers(pairs_rel: DataFrame, backlinks: DataFrame, side: str, cols: list[str], small: bool) -> DataFrame:
+def _linkers(wanted: DataFrame, backlinks: DataFrame, side: str, cols: list[str], small: bool) -> DataFrame:
+    """Backlinks of the ``wanted`` (side, release) rows; a size-checked list is broadcast, so the backlinks
+    are never shuffled by a (possibly very popular) target; otherwise AQE splits a skewed target partition."""
     b = backlinks.select(F.col("target").alias(side), F.col("release").alias(f"{side}_release"), *cols)
-    # A size-checked pair list is broadcast, so the backlinks are never shuffled by a
-    # (possibly very popular) target; otherwise AQE splits a skewed target partition.
-    return b.join(broadcast_when(pairs_rel, small), [side, f"{side}_release"])
+    return b.join(broadcast_when(wanted, small), [side, f"{side}_release"])
 
 
-def gap_sets(pairs: DataFrame, crawls: DataFrame, backlinks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(resolved pairs, own linker sets, competitor linker sets) per pair."""
-    latest = latest_crawl(crawls)
+def resolve_pairs(pairs: DataFrame, crawls: DataFrame) -> tuple[DataFrame, bool]:
+    """(pairs whose sides are both crawled, with their releases; whether they are few)."""
     p = normalise_pairs(pairs)
+    latest = latest_crawl(crawls)
     # Each side resolves to at most one latest crawl, so the resolved list is no larger than the input.
-    small = is_small(p)
-    resolved = _side(_side(p, latest, "yours"), latest, "competitor")
-    own = (_linkers(resolved, backlinks, "yours", ["linking_domain"], small)
-           .select(*PAIR, "linking_domain").distinct())
-    comp = (_linkers(resolved, backlinks, "competitor", ["linking_domain", "num_hosts", "page_rank"], small)
-            .select(*PAIR, "linking_domain", "num_hosts", "page_rank"))
-    return resolved.select(*PAIR), own, comp
+    return _side(_side(p, latest, "yours"), latest, "competitor"), is_small(p)
+
+
+def own_linkers(resolved: DataFrame, backlinks: DataFrame, side: str, small: bool) -> DataFrame:
+    """(side, linking_domain): the linker set of every target on one side, once per target."""
+    targets = resolved.select(side, f"{side}_release").distinct()
+    return _linkers(targets, backlinks, side, ["linking_domain"], small).select(side, "linking_domain").distinct()
+
+
+def gap_rows(resolved: DataFrame, backlinks: DataFrame, small: bool) -> DataFrame:
+    """Competitor linkers that do not link to you, per pair."""
+    theirs = (_linkers(resolved, backlinks, "competitor", ["linking_domain", "num_hosts", "page_rank"], small)
+              .select(*PAIR, "linking_domain", "num_hosts", "page_rank"))
+    return theirs.join(own_linkers(resolved, backlinks, "yours", small), ["yours", "linking_domain"], "left_anti")
 
 
 def gap(pairs: DataFrame, crawls: DataFrame, backlinks: DataFrame, majestic: DataFrame,
         tranco: DataFrame) -> DataFrame:
     """Q3 opportunities: one row per (pair, domain) the competitor has and you lack."""
-    _, own, comp = gap_sets(pairs, crawls, backlinks)
-    missing = comp.join(own, [*PAIR, "linking_domain"], "left_anti")
-    enriched = with_tranco(with_majestic(missing, majestic), tranco)
+    resolved, small = resolve_pairs(pairs, crawls)
+    enriched = with_tranco(with_majestic(gap_rows(resolved, backlinks, small), majestic), tranco)
     return enriched.select(*PAIR, F.col("linking_domain").alias("domain"), "num_hosts",
                            authority_or_null(F.col("num_hosts")).alias("authority_score"),
                            "page_rank", F.col("global_rank").alias("majestic_rank"), "tranco_rank")
@@ -76,17 +82,17 @@ def order_gap(df: DataFrame) -> DataFrame:
 def gap_summary(pairs: DataFrame, crawls: DataFrame, backlinks: DataFrame) -> DataFrame:
     """Q3 header (A2, A3): set sizes and gap count per resolvable pair.
 
-    Both linker sets are tagged and reduced together on (pair, linking_domain),
-    then per pair -- two aggregations instead of three set operations.
+    Set sizes are counted once per target and side, the gap once per pair.
     """
-    resolved, own, comp = gap_sets(pairs, crawls, backlinks)
-    tagged = (own.select(*PAIR, "linking_domain", F.lit(1).alias("o"), F.lit(0).alias("c"))
-              .unionByName(comp.select(*PAIR, "linking_domain", F.lit(0).alias("o"), F.lit(1).alias("c"))))
-    per_domain = tagged.groupBy(*PAIR, "linking_domain").agg(F.max("o").alias("o"), F.max("c").alias("c"))
-    counts = per_domain.groupBy(*PAIR).agg(
-        F.sum("o").alias("your_backlinks"), F.sum("c").alias("competitor_backlinks"),
-        F.sum(F.col("c") * (F.lit(1) - F.col("o"))).alias("gap_count"))
-    out = resolved.join(counts, PAIR, "left")
+    resolved, small = resolve_pairs(pairs, crawls)
+
+    def sizes(side: str, name: str) -> DataFrame:
+        return own_linkers(resolved, backlinks, side, small).groupBy(side).agg(F.count(F.lit(1)).alias(name))
+
+    gaps = (gap_rows(resolved, backlinks, small).select(*PAIR, "linking_domain").distinct()
+            .groupBy(*PAIR).agg(F.count(F.lit(1)).alias("gap_count")))
+    out = (resolved.select(*PAIR).join(sizes("yours", "your_backlinks"), "yours", "left")
+           .join(sizes("competitor", "competitor_backlinks"), "competitor", "left").join(gaps, PAIR, "left"))
     return out.select(*PAIR, *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
                                for c in ("your_backlinks", "competitor_backlinks", "gap_count")])
 

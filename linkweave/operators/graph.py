@@ -1,13 +1,13 @@
 """Graph operators: resolve targets (J1/P1), edges into targets (J2/P2/P3), inbound linkers.
 
-Plan shape at scale, for a size-checked target list:
-  * up to INLINE_TARGETS names become an IN filter on the vertex scan (Parquet
-    statistics prune files and row groups of the name-sorted vertex table);
-  * the resolved ids are broadcast into the edge scan on (bucket, to_id), and
-    dynamic partition pruning reads only the targets' bucket directories;
+Plan shape at scale; every target list, short or long, takes the same joins:
+  * targets meet the vertices on (name_bucket, rev_domain); a list proven small is broadcast,
+    and dynamic partition pruning reads only the name buckets of the targets;
+  * the resolved ids meet the edges on (bucket, to_id) the same way, so only the targets'
+    bucket directories are read;
   * the inbound edges are written once and, when few enough, broadcast past a
     single scan of the vertex table (which is never shuffled or broadcast).
-Larger target lists take the same joins as shuffle joins (AQE splits skew).
+A list beyond the bound takes the same joins as shuffle joins (AQE splits skew).
 """
 
 from __future__ import annotations
@@ -20,11 +20,8 @@ from linkweave.operators.joins import DEFAULT_BROADCAST_ROWS, broadcast_when, is
 from linkweave.session import materialize
 
 DEFAULT_BUCKETS = 1000
-# Up to this many targets the names are inlined as a literal IN filter on the vertex scan:
-# Parquet then prunes row groups on rev_domain, and the edge scan gets dynamic partition
-# pruning on `bucket` (only the targets' bucket directories are read). Larger lists are
-# broadcast (when size-checked) and joined instead.
-INLINE_TARGETS = 10_000
+# Directories of the stored vertex table, by a hash of the reversed name (a constant of the layout).
+NAME_BUCKETS = 128
 
 
 def bucket_of(id_col, n: int = DEFAULT_BUCKETS):
@@ -33,46 +30,27 @@ def bucket_of(id_col, n: int = DEFAULT_BUCKETS):
     return F.pmod(c, F.lit(n)).cast("int")
 
 
-def _inline_targets(targets: DataFrame, limit: int) -> list[str] | None:
-    """Reversed names of the distinct targets when there are at most ``limit``, else None."""
-    if limit <= 0:
-        return None
-    got = (targets.select(reverse_domain(F.col("target")).alias("rev")).distinct()
-           .limit(limit + 1).collect())
-    return None if len(got) > limit else sorted(r.rev for r in got)
-
-
-def _sql_string(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _in_list(col: str, values: list[str]):
-    """`col IN (...)` built as one SQL expression (one call instead of one per literal)."""
-    if not values:
-        return F.lit(False)
-    return F.expr(f"`{col}` IN ({', '.join(_sql_string(v) for v in values)})")
+def name_bucket_of(rev_domain):
+    """Directory of a reversed name in the stored vertex table."""
+    return F.pmod(F.xxhash64(rev_domain), F.lit(NAME_BUCKETS)).cast("int")
 
 
 def resolve_targets(targets: DataFrame, vertices: DataFrame,
-                    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, small: bool | None = None,
-                    inline_limit: int = INLINE_TARGETS) -> DataFrame:
-    """(target) -> (target, target_id). Unknown targets drop out (zero results).
+                    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, small: bool | None = None) -> DataFrame:
+    """(target) -> (target, target_id). Unknown, NULL and empty targets drop out (zero results).
 
     Duplicate vertex names give several ids; all of them contribute. ``small``
-    skips the size check when the caller has already made it. Reversing a
-    reversed name gives the name back, so an inlined lookup needs no join.
+    skips the size check when the caller has already made it.
     """
-    v = vertices.select(F.col("id").alias("target_id"), "rev_domain")
-    if small is None:
-        small = is_small(targets, max_broadcast_rows)
-    # Only a list already proven small is distinct-ed and collected for inlining.
-    revs = _inline_targets(targets, inline_limit) if small else None
-    if revs is not None:
-        return (v.where(_in_list("rev_domain", revs))
-                .select(reverse_domain(F.col("rev_domain")).alias("target"), "target_id"))
-    t = targets.select("target").distinct().select("target", reverse_domain(F.col("target")).alias("rev_domain"))
-    t = broadcast_when(t, small)
-    return v.join(t, "rev_domain").select("target", "target_id")
+    on = ["rev_domain"]
+    t = (targets.where(F.col("target") != "").select("target").distinct()
+         .select("target", reverse_domain(F.col("target")).alias("rev_domain")))
+    if "name_bucket" in vertices.columns:
+        on = ["name_bucket", "rev_domain"]
+        t = t.withColumn("name_bucket", name_bucket_of(F.col("rev_domain")))
+    v = vertices.select(F.col("id").alias("target_id"), *on)
+    t = broadcast_when(t, is_small(targets, max_broadcast_rows) if small is None else small)
+    return v.join(t, on).select("target", "target_id")
 
 
 def edges_into(edges: DataFrame, resolved: DataFrame, n_buckets: int = DEFAULT_BUCKETS,
@@ -101,21 +79,20 @@ def bucket_range(edges: DataFrame, first: int, end: int) -> DataFrame:
 
 
 def inbound(edges: DataFrame, vertices: DataFrame, targets: DataFrame,
-            n_buckets: int = DEFAULT_BUCKETS, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-            inline_limit: int = INLINE_TARGETS) -> DataFrame:
+            n_buckets: int = DEFAULT_BUCKETS, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """For each target, the linking domains and their host counts.
 
     Output: target, linking_domain, num_hosts. Linker ids without a vertex drop
     out (inner join). A (target, linking_domain) pair appears once; duplicate
     edges or duplicate vertex names keep the largest host count.
 
-    The size check is made once on the target list: vertex names are unique, so
-    the resolved (target, id) set is no larger than the list. Beyond the bound,
-    the inbound edges meet the vertices in a shuffle join on the linker id.
+    The target list and the resolved ids are counted one after the other (a name may
+    have several ids). Beyond the bound, the inbound edges meet the vertices in a
+    shuffle join on the linker id.
     """
     small = is_small(targets, max_broadcast_rows)
-    resolved = resolve_targets(targets, vertices, max_broadcast_rows, small, inline_limit)
-    into = edges_into(edges, resolved, n_buckets, max_broadcast_rows, small)
+    resolved = resolve_targets(targets, vertices, max_broadcast_rows, small)
+    into = edges_into(edges, resolved, n_buckets, max_broadcast_rows, None if small else False)
     v = vertices.select(F.col("id").alias("from_id"), "rev_domain", "num_hosts")
     if small:
         # Few targets: materialise their inbound edges once (a table in the shared

@@ -7,39 +7,25 @@ from pyspark.sql import functions as F
 
 # Row bound under which a user-supplied side (targets, pairs, keys) is broadcast.
 DEFAULT_BROADCAST_ROWS = 200_000
-# Plan-size bound (bytes) under which no counting job is needed.
-DEFAULT_BROADCAST_BYTES = 8 * 1024 * 1024
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimized plan (an upper bound for scans, filters, projections)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate available: treat as unbounded
-        return 1 << 62
+def is_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
+    """True when ``df`` is proven to have at most ``max_rows`` rows.
 
-
-def is_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-             max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
-    """True when ``df`` is proven small: by the plan's size estimate, else by a bounded count.
-
-    The count reads at most ``max_rows + 1`` rows, so it stays cheap on a large input.
+    The proof is a count of at most ``max_rows + 1`` rows, so it stays cheap on a large
+    input. The planner's size estimate is no proof: it knows nothing of what a
+    generator or a well-compressed file expands to.
     """
-    if max_rows <= 0:
-        return False
-    if estimated_bytes(df) <= max_bytes:
-        return True
-    return df.limit(max_rows + 1).count() <= max_rows
+    return max_rows > 0 and df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                       max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` when it is proven small, else return it unchanged.
 
     Beyond the bound the join stays a shuffle join (AQE may still pick a
     broadcast from runtime statistics).
     """
-    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def broadcast_when(df: DataFrame, small: bool) -> DataFrame:

@@ -1,9 +1,8 @@
 """Linkers nested into response pages, one row per (target, page).
 
-A target's linkers are cut into pages of at most ``page_size`` entries by hash
-of the linker name, so no single row (or task) has to hold a whole popular
-target. Each page is ordered by the O2 keys; ``order_keys`` are kept in the
-struct so a reader can merge pages back into the response order.
+A page holds ``page_size`` neighbours of the response order (the last one fewer), so no
+single row has to hold a whole popular target, and pages one after the other are the
+response.
 """
 
 from __future__ import annotations
@@ -14,18 +13,13 @@ from pyspark.sql import functions as F
 DEFAULT_PAGE_SIZE = 10_000
 
 
-def nest_backlinks(rows: DataFrame, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """rows: target, linking_domain, num_hosts, dr_score, ... (one row per linker)."""
-    counts = rows.groupBy("target").agg(F.count(F.lit(1)).alias("backlink_count"))
-    with_pages = rows.join(counts, "target").withColumn(
-        "n_pages", F.greatest(F.lit(1), F.ceil(F.col("backlink_count") / F.lit(page_size))).cast("int"))
-    paged = with_pages.withColumn("page", F.pmod(F.xxhash64("linking_domain"), F.col("n_pages")).cast("int"))
-    fields = [c for c in rows.columns if c != "target"]
-    # Sort key first: DR (NULL last via flag), hosts, name.
-    entry = F.struct(
-        F.col("dr_score").isNull().alias("k_dr_null"),
-        (-F.coalesce(F.col("dr_score"), F.lit(0))).alias("k_dr"),
-        (-F.col("num_hosts")).alias("k_hosts"),
-        *[F.col(c) for c in fields])
-    return (paged.groupBy("target", "backlink_count", "page")
-            .agg(F.sort_array(F.collect_list(entry)).alias("backlinks")))
+def nest_backlinks(rows: DataFrame, counts: DataFrame, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
+    """rows: target, pos (1, 2, ... in response order), linking_domain, ... ; counts: target, backlink_count.
+
+    -> target, backlink_count, page (from 0), backlinks (array of structs in order).
+    """
+    page = F.floor((F.col("pos") - 1) / F.lit(page_size)).cast("int")
+    entry = F.struct("pos", *[c for c in rows.columns if c not in ("target", "pos")])
+    pages = (rows.withColumn("page", page).groupBy("target", "page")
+             .agg(F.sort_array(F.collect_list(entry)).alias("backlinks")))
+    return pages.join(counts, "target").select("target", "backlink_count", "page", "backlinks")

@@ -6,10 +6,11 @@ charged (true for calls that count against the quota).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.functions.timekeys import month_of
+from linkweave.operators.ordering import with_positions
 
 # --- Fixed values (the reference's default limits) ------------------------------
 MONTHLY_LIMIT = 500
@@ -45,18 +46,15 @@ def admit(log: DataFrame, monthly: int = MONTHLY_LIMIT, per_payer: int = PER_PAY
     A call is refused when its month already has `monthly` admitted calls or its
     payer already has `per_payer` in that month; refused calls count nothing.
     That equals: per (month, payer) keep the first `per_payer` calls (calls without
-    a payer all pass), then per month keep the first `monthly` survivors. Both
-    steps are `row_number() <= k` filters, which Spark plans as partial group
-    limits before the shuffle, so no month or payer is moved whole.
+    a payer all pass), then per month keep the first `monthly` survivors. Both ranks
+    come from ``with_positions`` (a range-partitioned sort and per-partition
+    offsets), so no month or payer is ranked in one task, whatever the limits.
+    Calls without a time belong to no month and are not admitted.
     """
-    c = _charged(log)
-    order = [F.col("ts"), F.col("event_id")]
-    by_payer = Window.partitionBy("month", "payer").orderBy(*order)
-    payer_ok = (c.where(F.col("payer").isNotNull())
-                .withColumn("_rn", F.row_number().over(by_payer))
-                .where(F.col("_rn") <= per_payer).drop("_rn"))
-    survivors = payer_ok.unionByName(c.where(F.col("payer").isNull()))
-    by_month = Window.partitionBy("month").orderBy(*order)
-    return (survivors.withColumn("month_pos", F.row_number().over(by_month))
-            .where(F.col("month_pos") <= monthly)
+    c = _charged(log).where(F.col("month").isNotNull())
+    order = [F.col("ts").asc(), F.col("event_id").asc()]
+    paid = with_positions(c.where(F.col("payer").isNotNull()), ["month", "payer"], order, "payer_pos")
+    survivors = (paid.where(F.col("payer_pos") <= per_payer).drop("payer_pos")
+                 .unionByName(c.where(F.col("payer").isNull())))
+    return (with_positions(survivors, ["month"], order, "month_pos").where(F.col("month_pos") <= monthly)
             .select("event_id", "ts", "month", "payer", F.col("month_pos").cast("int").alias("month_pos")))

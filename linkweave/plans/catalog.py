@@ -12,25 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.functions.contacts import confidence_label, confidence_pct, payer_of
-from linkweave.functions.domains import loose_domain, reverse_domain, url_to_domain, valid_domain
+from linkweave.functions.domains import invalid_domains, loose_domain, reverse_domain, url_to_domain, valid_domain
 from linkweave.functions.scores import authority_or_null, authority_score, derive_dr
 from linkweave.operators.crawls import latest_crawl, list_domains, merge_seed, upsert_crawls
 from linkweave.operators.contacts import contacts_to_fetch, enrich_contacts, lookup_rows
 from linkweave.operators.dedupe import key_violations
 from linkweave.operators.enrich import backlink_order
 from linkweave.operators.gap import gap, gap_order, gap_missing, gap_summary
-from linkweave.operators.graph import bucket_range, inbound, inbound_order
+from linkweave.operators.graph import bucket_of, bucket_range, inbound, inbound_order
 from linkweave.operators.ordering import with_positions
 from linkweave.operators.ranks import ingest_ranks
 from linkweave.operators.usage import admit, usage_by_month, usage_by_payer, usage_merge
 from linkweave.plans import fixtures as fx
 from linkweave.plans.convert import convert_graph
-from linkweave.plans.reports import (backlinks_report, bundle_report, ensure_crawled, nested_report,
+from linkweave.plans.reports import (backlinks_report, bundle_report, bundle_rows, ensure_crawled, nested_report,
                                      preview_report)
 from linkweave.session import literal_rows, scratch_path
-from linkweave.sinks.layout import store_status
+from linkweave.sinks.layout import store_status, write_edges, write_missing_buckets
 from linkweave.sinks.store import write_once
-from linkweave.sources.responses import parse_match_responses
+from linkweave.sources.responses import match_answers, parse_match_responses
 from linkweave.sources.tables import read_graph
 from linkweave.sources.text import parse_rank_lines, read_edges, read_rank_lines, read_vertices
 from linkweave.streaming.crawls import read_crawl_log, run_crawl_stream
@@ -53,6 +53,8 @@ REVERSE_LITERALS = [(-1, "a..b."), (-2, ""), (-3, "com"), (-4, "uk.co.bbc")]
 SCORE_LITERALS = [("zero.example", 0, 0), ("negative.example", -5, -1), ("huge.example", 10 ** 12, 10 ** 15)]
 VERTEX_BAD_LINES = ["x\tcom.bad\t1", "1\tcom.short", "", "2\tcom.extra\t3\t4", "3\t\t4", "\tcom.noid\t5",
                     "7\tcom.float\t1.5", " 8 \tcom.space\t 9 ", "1\tcom.tab\t\t5", "\t9\tcom.tab"]
+SLICE = (3, 17)  # bucket range of P3
+RESUME_BUCKETS = 12
 EDGE_BAD_LINES = ["1", "1\t2\t3", "a\t2", "", "4\t", " 5 \t6", "7\t8.0", "1\t\t2", "\t1\t2", "1\t2\t"]
 
 
@@ -137,6 +139,58 @@ def q_bucketed_edges(spark, sf_dir):
                  F.min("to_id").alias("min_to_id"), F.max("to_id").alias("max_to_id")))
 
 
+def q_stored_vertices(spark, sf_dir):
+    return read_graph(spark, _converted_store(spark, sf_dir))[0].select("id", "rev_domain", "num_hosts")
+
+
+def q_stored_edges(spark, sf_dir):
+    return read_graph(spark, _converted_store(spark, sf_dir))[1].select("bucket", "from_id", "to_id")
+
+
+def q_bucket_slice(spark, sf_dir):
+    """P3 with a range that leaves out most targets at any scale factor."""
+    _, edges = read_graph(spark, _converted_store(spark, sf_dir))
+    return bucket_range(edges, *SLICE).select("bucket", "from_id", "to_id")
+
+
+def q_inbound_bucketed(spark, sf_dir):
+    """J1-J3 on the converted store: targets and edges through their partition columns."""
+    vertices, edges = read_graph(spark, _converted_store(spark, sf_dir))
+    t = _fx(spark, sf_dir).targets.select(valid_domain(F.col("target")).alias("target"))  # the invalid one is NULL here
+    return with_positions(inbound(edges, vertices, t, fx.BUCKETS), ["target"], inbound_order())
+
+
+def q_resume_edges(spark, sf_dir):
+    """K5: a conversion that stopped -- some buckets complete, one half written, a stale task folder -- and its resume."""
+    f = _fx(spark, sf_dir)
+    edges = read_edges(spark, _dumps(spark, sf_dir)[1])
+
+    def write(path: str) -> None:
+        b = bucket_of("to_id", RESUME_BUCKETS)
+        write_edges(edges.where(b < RESUME_BUCKETS // 2), f"{path}/edges", RESUME_BUCKETS)
+        half = edges.where((b == RESUME_BUCKETS - 1) & (F.pmod("from_id", F.lit(2)) == 0))
+        half.select("from_id", "to_id", b.alias("bucket")).write.mode("append").partitionBy("bucket").parquet(f"{path}/edges")
+        spark.range(1).write.parquet(f"{path}/edges/_temporary/0")
+        write_missing_buckets(edges, f"{path}/edges", RESUME_BUCKETS)
+        write_missing_buckets(edges, f"{path}/edges", RESUME_BUCKETS)  # nothing is left to do
+
+    path = write_once(spark, f.shared_root("resume"), write)
+    return spark.read.schema("from_id long, to_id long, bucket int").parquet(f"{path}/edges").select("bucket", "from_id", "to_id")
+
+
+def q_store_status_checked(spark, sf_dir):
+    """The parts of the status that do not depend on the run, of a store and of one that is not there."""
+    store = _converted_store(spark, sf_dir)
+    out = None
+    for name, path in (("here", store), ("nowhere", f"{store}-missing")):
+        s = store_status(spark, path, fx.BUCKETS).select(
+            F.lit(name).alias("store"), "available", "edge_bucket_count", (F.col("edge_files") >= F.col("edge_bucket_count")).alias("files_ok"),
+            (F.col("vertices_parquet_mb") >= 0).alias("has_vertices"), (F.col("edges_total_gb") >= 0).alias("has_edges"),
+            (F.col("edges_last_modified_unix") > 0).alias("has_time"))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
 def q_store_status(spark, sf_dir):
     return store_status(spark, _converted_store(spark, sf_dir), fx.BUCKETS)
 
@@ -181,9 +235,21 @@ def q_bundle(spark, sf_dir):
     return bundle_report(f.crawls, f.ranks)
 
 
+def q_bundle_rows(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    return bundle_rows(f.crawls, f.backlinks, f.ranks, f.majestic, f.tranco)
+
+
 def q_backlinks_nested(spark, sf_dir):
     f = _fx(spark, sf_dir)
-    return nested_report(backlinks_report(f.crawls, f.backlinks, f.ranks, f.majestic, f.tranco), page_size=200)
+    return nested_report(backlinks_report(f.crawls, f.backlinks, f.ranks, f.majestic, f.tranco), f.crawls, page_size=200)
+
+
+def q_backlinks_nested_flat(spark, sf_dir):
+    """A9 unnested again: every entry with its page and its place in the page."""
+    nested = q_backlinks_nested(spark, sf_dir)
+    return nested.select("target", "backlink_count", "page", F.posexplode("backlinks").alias("slot", "b")).select(
+        "target", "backlink_count", "page", "slot", "b.pos", "b.linking_domain", "b.num_hosts", "b.dr_score", "b.tranco_rank")
 
 
 def q_preview(spark, sf_dir):
@@ -279,6 +345,24 @@ def q_match_responses(spark, sf_dir):
     return parsed.drop("body")
 
 
+def q_match_answers(spark, sf_dir):
+    """The answer of a fresh lookup."""
+    return match_answers(parse_match_responses(_fx(spark, sf_dir).match_responses))
+
+
+def q_list_domains_ordered(spark, sf_dir):
+    """O5 as data: the place of every stored crawl in the list."""
+    order = [F.desc("crawled_at"), F.asc("domain"), F.asc("release")]
+    whole = list_domains(_fx(spark, sf_dir).crawls).withColumn("list", F.lit("all"))
+    return with_positions(whole, ["list"], order).drop("list")
+
+
+def q_rejected_targets(spark, sf_dir):
+    """Names that validation refuses, among urls of the pages and the crawl targets."""
+    f = _fx(spark, sf_dir)
+    return invalid_domains(f.targets.unionByName(f.table("pages").select(F.col("url").alias("target"))))
+
+
 def q_lookup_rows(spark, sf_dir):
     parsed = parse_match_responses(_fx(spark, sf_dir).match_responses)
     return lookup_rows(parsed, created_at=fx.LOOKUP_BASE)
@@ -354,6 +438,16 @@ def q_stream_crawls(spark, sf_dir):
     return read_crawl_log(spark, f"{base}/log")[0]
 
 
+def q_stream_crawls_backlinks(spark, sf_dir):
+    """ST2: the backlinks that the crawl feed stored."""
+    f = _fx(spark, sf_dir)
+    base = scratch_path(spark, "stream-crawls-backlinks")
+    feed = spark.readStream.schema(f.table("supplier").schema).option("pathGlobFilter", "supplier.parquet").parquet(f.sf_dir)
+    targets = feed.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".example.com")).alias("target"))
+    run_crawl_stream(targets, f.vertices, f.edges, f"{base}/log", fx.REL3, fx.STREAM_AT, f"{base}/checkpoint")
+    return read_crawl_log(spark, f"{base}/log")[1]
+
+
 def q_stream_ranks(spark, sf_dir):
     f = _fx(spark, sf_dir)
     base = scratch_path(spark, "stream-ranks")
@@ -388,6 +482,12 @@ QUERIES: dict[str, Query] = {
     "scan_vertices_text": q_scan_vertices_text,
     "scan_edges_text": q_scan_edges_text,
     "bucketed_edges": q_bucketed_edges,
+    "stored_vertices": q_stored_vertices,
+    "stored_edges": q_stored_edges,
+    "bucket_slice": q_bucket_slice,
+    "inbound_bucketed": q_inbound_bucketed,
+    "resume_edges": q_resume_edges,
+    "store_status_checked": q_store_status_checked,
     "store_status": q_store_status,
     "inbound": q_inbound,
     "inbound_raw": q_inbound_raw,
@@ -395,7 +495,9 @@ QUERIES: dict[str, Query] = {
     "backlinks": q_backlinks,
     "backlinks_on_demand": q_backlinks_on_demand,
     "bundle": q_bundle,
+    "bundle_rows": q_bundle_rows,
     "backlinks_nested": q_backlinks_nested,
+    "backlinks_nested_flat": q_backlinks_nested_flat,
     "preview": q_preview,
     "gap": q_gap,
     "gap_summary": q_gap_summary,
@@ -410,6 +512,9 @@ QUERIES: dict[str, Query] = {
     "enrich_contacts": q_enrich_contacts,
     "contacts_to_fetch": q_contacts_to_fetch,
     "match_responses": q_match_responses,
+    "match_answers": q_match_answers,
+    "list_domains_ordered": q_list_domains_ordered,
+    "rejected_targets": q_rejected_targets,
     "lookup_rows": q_lookup_rows,
     "confidence_labels": q_confidence_labels,
     "payer_of": q_payer_of,
@@ -421,5 +526,6 @@ QUERIES: dict[str, Query] = {
     "stream_usage_batches": q_stream_usage_batches,
     "stream_ranks_batches": q_stream_ranks_batches,
     "stream_crawls": q_stream_crawls,
+    "stream_crawls_backlinks": q_stream_crawls_backlinks,
     "stream_ranks": q_stream_ranks,
 }

@@ -3,7 +3,7 @@
 One pass and one shuffle: the edge dump is parsed in parallel (a single gzip
 file is re-spread right after its scan), bucketed by `to_id mod n` and written
 with one file per bucket. Re-running resumes: a committed vertex table is kept
-and only edge buckets without data are written.
+and only edge buckets that are not recorded as complete are written.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def convert_graph(spark: SparkSession, vertices_src: str, edges_src: str, out: s
     if not _exists(spark, f"{out}/vertices/_SUCCESS"):
         write_vertices(read_vertices(spark, vertices_src, partitions=partitions), f"{out}/vertices", mode="overwrite")
     edges = read_edges(spark, edges_src, partitions=partitions)
-    if _exists(spark, f"{out}/edges/_SUCCESS"):
+    if _exists(spark, f"{out}/edges/_SUCCESS") and _exists(spark, f"{out}/edges_buckets/_SUCCESS"):
         return out
     if _exists(spark, f"{out}/edges"):
         write_missing_buckets(edges, f"{out}/edges", n_buckets)

@@ -258,6 +258,13 @@ SELECT page_id, url, h AS host,
             THEN {loose} END AS valid_host,
        {loose} AS loose_host
 FROM hosts"""
+    sql["rejected_targets"] = f"""
+WITH typed AS (
+  SELECT 'S' || CAST(s_suppkey AS VARCHAR) || '.Example.COM.' AS target FROM supplier
+  UNION ALL SELECT {_q(fx.UNKNOWN_TARGET)} UNION ALL SELECT {_q(fx.INVALID_TARGET)} UNION ALL SELECT url FROM pages),
+norm AS (SELECT target, regexp_replace(lower(regexp_replace(target, '^\\s+|\\s+$', '', 'g')), '\\.+$', '') AS t FROM typed)
+SELECT target FROM norm WHERE t IS NULL OR length(t) > 253
+  OR NOT regexp_matches(t, '^[a-zA-Z0-9]([a-zA-Z0-9\\-]*[a-zA-Z0-9])?(\\.[a-zA-Z0-9]([a-zA-Z0-9\\-]*[a-zA-Z0-9])?)*$')"""
     sql["reverse_domains"] = _with("vertices") + f"""
 SELECT id, rev_domain, {_rev('rev_domain')} AS domain FROM (
   SELECT id, rev_domain FROM vertices
@@ -285,11 +292,30 @@ dumped AS (SELECT from_id, to_id FROM edges UNION ALL SELECT 5, 6)   -- the one
 SELECT CAST(to_id % {fx.BUCKETS} AS INTEGER) AS bucket, count(*) AS n_edges, count(DISTINCT to_id) AS n_targets,
        min(to_id) AS min_to_id, max(to_id) AS max_to_id
 FROM dumped WHERE to_id % {fx.BUCKETS} < {fx.BUCKETS // 2} GROUP BY 1"""
+    dumped = _with("edges") + ",\ndumped AS (SELECT from_id, to_id FROM edges UNION ALL SELECT 4, NULL UNION ALL SELECT 5, 6)"
+    stored = "SELECT CAST(to_id % {n} AS INTEGER) AS bucket, from_id, to_id FROM dumped"
+    sql["stored_vertices"] = sql["scan_vertices_text"]
+    sql["stored_edges"] = dumped + stored.format(n=fx.BUCKETS)
+    sql["bucket_slice"] = (dumped + stored.format(n=fx.BUCKETS)
+                           + f" WHERE to_id % {fx.BUCKETS} >= {cat.SLICE[0]} AND to_id % {fx.BUCKETS} < {cat.SLICE[1]}")
+    sql["resume_edges"] = dumped + stored.format(n=cat.RESUME_BUCKETS)
+    sql["store_status_checked"] = dumped + f"""
+SELECT 'here' AS store, true AS available, count(DISTINCT to_id % {fx.BUCKETS}) AS edge_bucket_count, true AS files_ok,
+       true AS has_vertices, true AS has_edges, true AS has_time FROM dumped
+UNION ALL SELECT 'nowhere', false, 0, true, NULL, NULL, NULL"""
     sql["inbound"] = _with("vertices", "edges", "targets1") + f"""
 SELECT *, row_number() OVER (PARTITION BY target ORDER BY num_hosts DESC, linking_domain ASC) AS pos FROM (
 SELECT t.target, {_rev('v.rev_domain')} AS linking_domain, max(v.num_hosts) AS num_hosts
 FROM targets1 t JOIN vertices tv ON tv.rev_domain = {_rev('t.target')}
 JOIN edges e ON e.to_id = tv.id JOIN vertices v ON v.id = e.from_id
+GROUP BY t.target, linking_domain)"""
+    sql["inbound_bucketed"] = _with("vertices", "edges", "targets1") + f""",
+dumped_edges AS (SELECT from_id, to_id FROM edges UNION ALL SELECT 5, 6),
+dumped_vertices AS (SELECT id, rev_domain, num_hosts FROM vertices UNION ALL SELECT 8, 'com.space', 9)
+SELECT *, row_number() OVER (PARTITION BY target ORDER BY num_hosts DESC, linking_domain ASC) AS pos FROM (
+SELECT t.target, {_rev('v.rev_domain')} AS linking_domain, max(v.num_hosts) AS num_hosts
+FROM targets1 t JOIN dumped_vertices tv ON tv.rev_domain = {_rev('t.target')}
+JOIN dumped_edges e ON e.to_id = tv.id JOIN dumped_vertices v ON v.id = e.from_id
 GROUP BY t.target, linking_domain)"""
     sql["inbound_raw"] = _with("vertices", "edges", "targets1") + f""",
 -- the dumps also hold malformed lines; of those, edge (5, 6) and vertices (3, NULL, 4),
@@ -321,6 +347,16 @@ SELECT b.target, b.release, l.crawled_at, b.linking_domain, b.num_hosts, r.dr_sc
 FROM od_latest l JOIN od_links b ON b.target = l.target AND b.release = l.release
 LEFT JOIN ranks r ON r.domain = b.linking_domain
 LEFT JOIN majestic m ON m.domain = b.linking_domain LEFT JOIN tranco t ON t.domain = b.linking_domain"""
+    sql["bundle_rows"] = _with(*STORE, *RANKS, "latest", "latest_links", "report") + """
+SELECT p.*, r.dr_score AS target_dr_score, r.harmonic_rank AS target_harmonic_rank, r.pr_val AS target_pagerank,
+       r.n_hosts AS target_n_hosts
+FROM report p LEFT JOIN ranks r ON r.domain = p.target"""
+    sql["backlinks_nested_flat"] = _with(*STORE, *RANKS, "latest", "latest_links", "report") + """,
+placed AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY dr_score DESC NULLS LAST, num_hosts DESC,
+                                        linking_domain ASC) AS pos FROM report)
+SELECT target, count(*) OVER (PARTITION BY target) AS backlink_count, CAST((pos - 1) // 200 AS INTEGER) AS page,
+       CAST((pos - 1) % 200 AS INTEGER) AS slot, pos, linking_domain, num_hosts, dr_score, tranco_rank
+FROM placed"""
     sql["bundle"] = _with(*STORE, *RANKS, "latest") + """
 SELECT l.target, l.release, l.crawled_at, l.result_count AS backlink_count, r.dr_score AS target_dr_score,
        r.harmonic_rank AS target_harmonic_rank, r.pr_val AS target_pagerank, r.n_hosts AS target_n_hosts
@@ -371,6 +407,10 @@ WHERE p.yours NOT IN (SELECT target FROM crawls) OR p.competitor NOT IN (SELECT
     sql["list_domains"] = _with(*STORE) + """
 SELECT target AS domain, release, crawled_at, result_count AS backlink_count,
        (SELECT count(*) FROM crawls) AS total
+FROM crawls"""
+    sql["list_domains_ordered"] = _with(*STORE) + """
+SELECT target AS domain, release, crawled_at, result_count AS backlink_count, (SELECT count(*) FROM crawls) AS total,
+       row_number() OVER (ORDER BY crawled_at DESC, target, release) AS pos
 FROM crawls"""
     upsert = _with(*STORE, "targets3", "crawl3")
     sql["upsert_crawls"] = upsert + """
@@ -427,6 +467,11 @@ SELECT c.first_name, c.last_name, c.domain FROM contacts c
 WHERE NOT EXISTS (SELECT 1 FROM lookups l WHERE lower(l.first_name) = lower(c.first_name)
                   AND lower(l.last_name) = lower(c.last_name) AND lower(l.domain) = lower(c.domain))"""
     sql["match_responses"] = _with("responses") + "SELECT * FROM parsed"
+    sql["match_answers"] = _with("responses") + """
+SELECT nullif(m_email, '') AS email, m_email <> '' AS email_found,
+       CASE WHEN m_email <> '' THEN m_confidence ELSE 'unavailable' END AS confidence,
+       m_first_name AS first_name, m_last_name AS last_name, m_title AS title, m_company AS company, domain, false AS cached
+FROM parsed WHERE kind = 'match'"""
     sql["lookup_rows"] = _with("responses") + f"""
 SELECT first_name, last_name, domain,
        CASE WHEN kind = 'match' AND m_email <> '' THEN m_email ELSE '' END AS email,
@@ -438,7 +483,7 @@ FROM parsed WHERE kind IN ('match', 'no_match')"""
     sql["confidence_labels"] = """
 SELECT c_custkey,
        CASE WHEN s >= 0.8 THEN 'High' WHEN s >= 0.5 THEN 'Medium'
-            WHEN s IS NOT NULL AND s <> 0 AND NOT isnan(s) THEN 'Low' ELSE '' END AS label,
+            WHEN s IS NOT NULL THEN 'Low' ELSE '' END AS label,   -- the score is text there, and any text is truthy
        CAST(floor(s * 100 + 0.5) AS BIGINT) AS pct
 FROM (SELECT c_custkey, c_acctbal / 10000.0 AS s FROM customer)"""
     sql["payer_of"] = _with("usage_log") + """
@@ -481,6 +526,7 @@ SELECT domain, harmonic_rank, harmonic_val, pr_rank, pr_val, n_hosts, dr_score,
 targets_s AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) || '.example.com' AS target FROM supplier),
 {_crawl('s', 'targets_s', 'edges', fx.REL3, fx.STREAM_AT)}
 SELECT * FROM c_s"""
+    sql["stream_crawls_backlinks"] = sql["stream_crawls"].replace("SELECT * FROM c_s", "SELECT * FROM bl_s")
     sql["stream_ranks"] = sql["parse_ranks"]
     return sql
 

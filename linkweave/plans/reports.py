@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from linkweave.operators.crawls import (crawl_and_store, latest_backlinks, latest_crawl,
                                         normalise_targets, upsert_crawls)
-from linkweave.operators.enrich import (backlink_projection, target_profile, with_majestic, with_ranks,
+from linkweave.operators.enrich import (backlink_order, backlink_projection, target_profile, with_majestic, with_ranks,
                                         with_tranco)
 from linkweave.operators.graph import DEFAULT_BUCKETS
 from linkweave.operators.joins import broadcast_if_small
 from linkweave.operators.nest import DEFAULT_PAGE_SIZE, nest_backlinks
+from linkweave.operators.ordering import with_positions
 from linkweave.operators.preview import PREVIEW_EXCLUDE, preview
 
 
@@ -48,9 +49,17 @@ def bundle_report(crawls: DataFrame, ranks: DataFrame) -> DataFrame:
     return target_profile(head, ranks)
 
 
-def nested_report(report: DataFrame, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """Q1 rows nested into bounded pages per target."""
-    return nest_backlinks(report.drop("release", "crawled_at"), page_size)
+def bundle_rows(crawls: DataFrame, backlinks: DataFrame, ranks: DataFrame, majestic: DataFrame,
+                tranco: DataFrame) -> DataFrame:
+    """Q2 in full: every linker row of Q1 with the target's own profile beside it."""
+    return target_profile(backlinks_report(crawls, backlinks, ranks, majestic, tranco), ranks)
+
+
+def nested_report(report: DataFrame, crawls: DataFrame, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
+    """Q1 rows nested into bounded pages per target; the total is the crawl's stored count."""
+    rows = with_positions(report.drop("release", "crawled_at"), ["target"], backlink_order())
+    counts = latest_crawl(crawls).select("target", F.col("result_count").alias("backlink_count"))
+    return nest_backlinks(rows, counts, page_size)
 
 
 def preview_report(crawls: DataFrame, backlinks: DataFrame, ranks: DataFrame, exclude=None,

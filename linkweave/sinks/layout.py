@@ -14,19 +14,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.functions.timekeys import bytes_to
-from linkweave.operators.graph import DEFAULT_BUCKETS, bucket_of
+from linkweave.operators.graph import DEFAULT_BUCKETS, bucket_of, name_bucket_of
 
 PARQUET_OPTIONS = {"compression": "zstd"}
 
 
+def _fs(spark: SparkSession, path: str):
+    jp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jp, jp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jp, fs = _fs(spark, path)
+    return bool(fs.exists(jp))
+
+
 def _refuse_self_overwrite(df: DataFrame, path: str) -> None:
-    """Overwriting a folder the plan itself reads deletes the input mid-job (data loss); refuse it."""
-    sc = df.sparkSession.sparkContext
-    jp = sc._jvm.org.apache.hadoop.fs.Path(path)
-    target = jp.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(jp).toUri().toString().rstrip("/")
-    for f in df.inputFiles():
-        if f.rstrip("/") == target or f.startswith(target + "/"):
-            raise ValueError(f"refusing to overwrite {path}: the DataFrame reads from it; write a new folder")
+    """Overwriting a folder the plan itself reads deletes the input mid-job (data loss); refuse it.
+
+    Only the root folders of the plan's scans are compared, never the list of files.
+    """
+    jp, fs = _fs(df.sparkSession, path)
+    target = fs.makeQualified(jp).toUri().toString().rstrip("/")
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() != "LogicalRelation" or not hasattr(leaf.relation(), "location"):
+            continue
+        roots = leaf.relation().location().rootPaths()
+        for j in range(roots.size()):
+            root = roots.apply(j).toUri().toString().rstrip("/")
+            root = root if ":" in root.split("/")[0] else "file:" + root
+            if (root + "/").startswith(target + "/") or (target + "/").startswith(root + "/"):
+                raise ValueError(f"refusing to overwrite {path}: the DataFrame reads from it; write a new folder")
 
 
 def _writer(df: DataFrame, mode: str, path: str | None = None):
@@ -39,14 +60,14 @@ def _writer(df: DataFrame, mode: str, path: str | None = None):
 
 
 def write_vertices(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """K1: vertices as ZSTD Parquet, range-partitioned and sorted by rev_domain.
+    """K1: vertices as ZSTD Parquet under ``name_bucket=<hash of the name>/``, sorted by rev_domain.
 
-    Each file then covers a disjoint name range, so a target lookup (an IN filter
-    on rev_domain) reads only the files and row groups whose min/max bracket a
-    target, even when a gzip source had to be re-spread after its scan.
+    A join on (name_bucket, rev_domain) reads only the directories of the names asked for,
+    and row groups that cannot hold them are skipped by their minimum and maximum.
     """
-    v = df.select("id", "rev_domain", "num_hosts")
-    _writer(v.repartitionByRange("rev_domain").sortWithinPartitions("rev_domain"), mode, path).parquet(path)
+    v = df.select("id", "rev_domain", "num_hosts", name_bucket_of(F.col("rev_domain")).alias("name_bucket"))
+    v = v.hint("rebalance", "name_bucket").sortWithinPartitions("name_bucket", "rev_domain")
+    _writer(v, mode, path).partitionBy("name_bucket").parquet(path)
 
 
 def with_bucket(edges: DataFrame, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
@@ -54,32 +75,64 @@ def with_bucket(edges: DataFrame, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame
     return edges.select("from_id", "to_id", bucket_of("to_id", n_buckets).alias("bucket"))
 
 
+def _bucketed(b: DataFrame) -> DataFrame:
+    return b.hint("rebalance", "bucket").sortWithinPartitions("bucket", "to_id", "from_id")
+
+
 def write_edges(edges: DataFrame, path: str, n_buckets: int = DEFAULT_BUCKETS, mode: str = "errorifexists") -> None:
-    """K2-K4: edges partitioned by bucket, one (or, for a huge bucket, a few) sorted file(s) each."""
-    b = with_bucket(edges, n_buckets).hint("rebalance", "bucket").sortWithinPartitions("bucket", "to_id", "from_id")
-    _writer(b, mode, path).partitionBy("bucket").parquet(path)
+    """K2-K4: edges partitioned by bucket, one (or, for a huge bucket, a few) sorted file(s) each.
+
+    When the edges are committed, the buckets are recorded with their row counts (see ``recorded_buckets``).
+    """
+    _writer(_bucketed(with_bucket(edges, n_buckets)), mode, path).partitionBy("bucket").parquet(path)
+    _record(edges.sparkSession, path, n_buckets, None)
 
 
-def existing_buckets(spark: SparkSession, path: str) -> DataFrame:
-    """Bucket numbers that already have data under ``path`` (empty when the path does not exist)."""
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(jpath):
-        return spark.createDataFrame([], "bucket int")
-    return spark.read.parquet(path).select("bucket").distinct()
+def _record_path(path: str) -> str:
+    return path.rstrip("/") + "_buckets"
+
+
+def _record(spark: SparkSession, path: str, n_buckets: int, done: DataFrame | None) -> None:
+    counts = _edges_at(spark, path).groupBy("bucket").agg(F.count(F.lit(1)).alias("n_edges"))
+    if done is not None:
+        counts = counts.join(F.broadcast(done), counts["bucket"].eqNullSafe(done["done"]), "left_anti")
+    counts = counts.withColumn("n_buckets", F.lit(n_buckets))
+    counts.coalesce(1).write.mode("append" if done is not None else "overwrite").parquet(_record_path(path))
+
+
+def _edges_at(spark: SparkSession, path: str) -> DataFrame:
+    """Committed edges; the schema is given, so a folder without any file is an empty table."""
+    return spark.read.schema("from_id long, to_id long, bucket int").parquet(path)
+
+
+def recorded_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """Buckets that are completely written: (bucket, n_edges, n_buckets), at most one row per bucket.
+
+    The record is written after the bucket's files are committed, so a bucket that a lost
+    driver left half written is not in it.
+    """
+    schema = "bucket int, n_edges long, n_buckets int"
+    if not _exists(spark, _record_path(path) + "/_SUCCESS"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(_record_path(path))
 
 
 def write_missing_buckets(edges: DataFrame, path: str, n_buckets: int = DEFAULT_BUCKETS) -> None:
-    """K5: resume a conversion -- append only the buckets not present yet.
+    """K5: resume a conversion -- write every bucket that is not recorded as complete.
 
-    The set of existing buckets is bounded by n_buckets, so it is broadcast.
+    Directories of those buckets are replaced as a whole (dynamic partition overwrite), so
+    what an interrupted run left in them is neither kept nor doubled; a NULL target's bucket is
+    a bucket like any other. The record holds at most n_buckets + 1 rows, so it is broadcast.
     """
     spark = edges.sparkSession
-    done = F.broadcast(existing_buckets(spark, path))
-    todo = with_bucket(edges, n_buckets).join(done, "bucket", "left_anti")
-    b = todo.hint("rebalance", "bucket").sortWithinPartitions("bucket", "to_id", "from_id")
-    _writer(b.select("from_id", "to_id", "bucket"), "append").partitionBy("bucket").parquet(path)
+    done = recorded_buckets(spark, path).select(F.col("bucket").alias("done"))
+    todo = with_bucket(edges, n_buckets)
+    todo = todo.join(F.broadcast(done), todo["bucket"].eqNullSafe(done["done"]), "left_anti")
+    w = _bucketed(todo.select("from_id", "to_id", "bucket")).write.mode("overwrite")
+    for k, v in PARQUET_OPTIONS.items():
+        w = w.option(k, v)
+    w.option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    _record(spark, path, n_buckets, done)
 
 
 def compact(df: DataFrame, path: str, by: str = "bucket", mode: str = "errorifexists") -> None:
@@ -98,40 +151,35 @@ def append_lookups(df: DataFrame, path: str) -> None:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
+    """Size, time and bucket of the Parquet files under a folder; none if it is not there."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "length long, modificationTime timestamp, bucket int")
     return (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
             .option("pathGlobFilter", "*.parquet").load(path)
-            .select("path", "length", "modificationTime"))
+            .select("length", "modificationTime",
+                    F.regexp_extract("path", r"/bucket=(\d+)/", 1).try_cast("int").alias("bucket")))
 
 
 def store_status(spark: SparkSession, root: str, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """One status row for a graph store.
 
     File listing is done by Spark (only path, size and time; file contents are
-    never read). ``available`` needs a committed vertex table and committed
-    edges whose bucket directories cover every bucket that has data.
+    never read). ``available`` needs a committed vertex table, committed edges with a
+    bucket record of the same ``n_buckets``, and files for every recorded bucket. A store
+    that is not there is not available and has NULL sizes.
     """
     root = root.rstrip("/")
-    vfiles = _files(spark, f"{root}/vertices")
+    committed = all(_exists(spark, f"{root}/{p}/_SUCCESS") for p in ("vertices", "edges", "edges_buckets"))
+    vfiles, efiles = _files(spark, f"{root}/vertices"), _files(spark, f"{root}/edges")
+    recorded = recorded_buckets(spark, f"{root}/edges").where("bucket IS NOT NULL")
+    missing = recorded.join(efiles.select("bucket").distinct(), "bucket", "left_anti")
+    e = efiles.agg(F.count(F.lit(1)).alias("edge_files"), F.count_distinct("bucket").alias("edge_bucket_count"),
+                   F.sum("length").alias("e_bytes"), F.max("modificationTime").alias("e_mtime"))
     v_bytes = vfiles.agg(F.sum("length")).scalar()
-    v_files = vfiles.agg(F.count(F.lit(1))).scalar()
-    e = (_files(spark, f"{root}/edges")
-         .withColumn("bucket", F.regexp_extract("path", r"/bucket=(\d+)/", 1).try_cast("int"))
-         .agg(F.count(F.lit(1)).alias("edge_files"),
-              F.count_distinct("bucket").alias("edge_bucket_count"),
-              F.sum("length").alias("e_bytes"),
-              F.max("modificationTime").alias("e_mtime"),
-              F.max("bucket").alias("max_bucket")))
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-
-    def committed(p: str) -> bool:
-        jp = jvm.org.apache.hadoop.fs.Path(p + "/_SUCCESS")
-        return bool(jp.getFileSystem(conf).exists(jp))
-
-    v_ok, e_ok = committed(f"{root}/vertices"), committed(f"{root}/edges")
+    lost = missing.agg(F.count(F.lit(1))).scalar()
+    other_layout = recorded.where(F.col("n_buckets") != n_buckets).agg(F.count(F.lit(1))).scalar()
     return e.select(
-        (F.lit(v_ok and e_ok) & (v_files > 0) & (F.col("edge_bucket_count") > 0)
-         & (F.col("max_bucket") < n_buckets)).alias("available"),
+        (F.lit(committed) & (F.col("edge_bucket_count") > 0) & (lost == 0) & (other_layout == 0)).alias("available"),
         bytes_to(v_bytes, "MB", 1).alias("vertices_parquet_mb"),
         F.col("edge_bucket_count"),
         F.col("edge_files"),

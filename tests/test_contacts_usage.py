@@ -70,9 +70,12 @@ def test_answers_that_are_no_answer(spark):
 
 
 def test_confidence_label_and_pct(spark):
-    df = spark.createDataFrame([("0.9",), ("0.5",), ("0.2",), ("0",), ("",), (None,), ("-0.1",), ("0.125",)], "s string")
+    df = spark.createDataFrame([("0.9",), ("0.5",), ("0.2",), ("0",), ("",), (None,), ("-0.1",), ("0.125",), ("high",), ("0.9d",)], "s string")
     out = [(r.l, r.p) for r in df.select(confidence_label(F.col("s")).alias("l"), confidence_pct(F.col("s")).alias("p")).collect()]
-    assert out == [("High", 90), ("Medium", 50), ("Low", 20), ("", 0), ("", None), ("", None), ("Low", -10), ("Low", 13)]
+    assert out == [("High", 90), ("Medium", 50), ("Low", 20), ("Low", 0), ("", None), ("", None), ("Low", -10), ("Low", 13),
+                   ("Low", None), ("Low", None)]
+    numbers = spark.createDataFrame([(0.0,), (0.3,), (float("nan"),), (None,)], "s double")
+    assert [r.l for r in numbers.select(confidence_label(F.col("s")).alias("l")).collect()] == ["", "Low", "", ""]
 
 
 def test_payer_of(spark):

@@ -1,6 +1,8 @@
 """J1-J3, K1-K5, K11, Q9, Q10, K6, K9, W1, A1, A11 on small hand-made graphs."""
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from linkweave.operators.crawls import (crawl_and_store, latest_crawl, list_domains, merge_seed,
@@ -171,21 +173,91 @@ def test_inbound_plan_prunes_buckets_and_never_shuffles_edges(spark, tmp_dir):
     into.collect()
     plan = into._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruningexpression(bucket" in plan            # only the targets' buckets are read
-    assert "PushedFilters: [In(rev_domain" in plan              # target lookup pruned by Parquet statistics
     assert "SortMergeJoin" not in plan                           # edges go through broadcast joins only
 
 
-def test_inline_lookup_handles_quotes_and_large_lists(spark):
-    from linkweave.operators.graph import resolve_targets
+@pytest.mark.parametrize("n", [2, 50, 1500])
+def test_target_lookup_reads_only_the_names_buckets(spark, tmp_dir, n):
+    """One path for every list length; the vertex scan is cut to the name buckets of the targets."""
+    from linkweave.operators.graph import NAME_BUCKETS
+    from linkweave.sinks.layout import write_vertices
+    v = spark.range(4000).selectExpr("id", "concat('com.d', id) AS rev_domain", "id AS num_hosts")
+    write_vertices(v, f"{tmp_dir}/vertices")
+    targets = spark.range(n).selectExpr("concat('d', id, '.com') AS target").unionByName(
+        spark.createDataFrame([(None,), ("",), ("nobody.com",)], "target string"))
+    found = resolve_targets(targets, spark.read.parquet(f"{tmp_dir}/vertices"))
+    assert rows(found, "target_id") == sorted([(i,) for i in range(n)], key=repr)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruningexpression(name_bucket" in plan
+    read = _scan_rows(found)
+    assert read == 4000 if n > 10 * NAME_BUCKETS else n <= read <= 4000 * min(1, (n + 1) * 3 / NAME_BUCKETS)
+
+
+def _scan_rows(df):
+    """Rows that came out of the plan's file scans (from the metrics of the executed plan)."""
+    def walk(node):
+        total = 0
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if hasattr(node, "plan") and node.getClass().getSimpleName().endswith("QueryStageExec"):
+            return walk(node.plan())
+        if node.getClass().getSimpleName() == "FileSourceScanExec":
+            total += node.metrics().apply("numOutputRows").value()
+        for i in range(node.children().size()):
+            total += walk(node.children().apply(i))
+        return total
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_lookup_handles_quotes_and_shuffle_joins(spark):
     v = spark.createDataFrame([(1, "com.o'neil", 1), (2, "com.back\\slash", 1), (3, "com.plain", 1)],
                               "id long, rev_domain string, num_hosts long")
     t = spark.createDataFrame([("o'neil.com",), ("back\\slash.com",), ("plain.com",)], "target string")
-    assert set(rows(resolve_targets(t, v), "target", "target_id")) == {
-        ("back\\slash.com", 2), ("o'neil.com", 1), ("plain.com", 3)}
-    # Above the inline limit the same answer comes from a broadcast join.
-    assert rows(resolve_targets(t, v, inline_limit=1), "target", "target_id") == rows(resolve_targets(t, v), "target", "target_id")
-    assert set(rows(resolve_targets(t, v, inline_limit=0, max_broadcast_rows=0), "target")) == {
-        ("back\\slash.com",), ("o'neil.com",), ("plain.com",)}
+    want = {("back\\slash.com", 2), ("o'neil.com", 1), ("plain.com", 3)}
+    assert set(rows(resolve_targets(t, v), "target", "target_id")) == want
+    assert set(rows(resolve_targets(t, v, max_broadcast_rows=0), "target", "target_id")) == want
+
+
+def test_smallness_is_counted_not_estimated(spark):
+    from linkweave.operators.joins import broadcast_if_small, is_small
+    exploded = spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(300_000))).alias("x"))
+    assert not is_small(exploded) and is_small(exploded, 300_000)
+    assert "BroadcastHint" not in broadcast_if_small(exploded)._jdf.queryExecution().analyzed().toString()
+
+
+def test_resume_replaces_half_written_buckets(spark, tmp_dir):
+    e = spark.createDataFrame([(i, i % 4) for i in range(40)] + [(100, None)], "from_id long, to_id long")
+    path = f"{tmp_dir}/edges"
+    write_edges(e.where("to_id = 0"), path, 4)                                       # bucket 0 is complete
+    e.where("to_id = 1 AND from_id < 16").select("from_id", "to_id", F.lit(1).alias("bucket")) \
+        .write.mode("append").partitionBy("bucket").parquet(path)                     # bucket 1 is half written
+    for _ in range(3):
+        write_missing_buckets(e, path, 4)
+        back = spark.read.schema("from_id long, to_id long, bucket int").parquet(path)
+        assert rows(back, "from_id", "to_id") == rows(e, "from_id", "to_id")
+
+
+def test_resume_after_a_run_that_left_only_a_task_folder(spark, tmp_dir):
+    e = spark.createDataFrame([(i, i % 4) for i in range(12)], "from_id long, to_id long")
+    os.makedirs(f"{tmp_dir}/edges/_temporary/0")
+    write_missing_buckets(e, f"{tmp_dir}/edges", 4)
+    assert spark.read.parquet(f"{tmp_dir}/edges").count() == 12
+
+
+def test_status_of_missing_and_incomplete_stores(spark, tmp_dir):
+    s = store_status(spark, f"{tmp_dir}/nothing", n_buckets=4).first()
+    assert (s.available, s.edge_bucket_count, s.vertices_parquet_mb, s.edges_total_gb) == (False, 0, None, None)
+    with open(f"{tmp_dir}/v.txt", "w") as fh:
+        fh.write("1\tcom.a\t5\n2\tcom.b\t10\n")
+    with open(f"{tmp_dir}/e.txt", "w") as fh:
+        fh.write("2\t1\n1\t2\n")
+    out = convert_graph(spark, f"{tmp_dir}/v.txt", f"{tmp_dir}/e.txt", f"{tmp_dir}/store", n_buckets=4)
+    assert store_status(spark, out, n_buckets=4).first().available
+    assert not store_status(spark, out, n_buckets=8).first().available        # another layout
+    for f in os.listdir(f"{out}/edges/bucket=1"):
+        os.remove(f"{out}/edges/bucket=1/{f}")
+    assert not store_status(spark, out, n_buckets=4).first().available        # a recorded bucket has lost its files
 
 
 def test_ensure_crawled_only_crawls_new_targets(spark):
@@ -222,8 +294,8 @@ def test_duplicate_vertex_names_all_contribute(spark):
                               "id long, rev_domain string, num_hosts long")
     e = spark.createDataFrame([(2, 1), (3, 7), (4, 7)], "from_id long, to_id long")
     t = spark.createDataFrame([("t.com",)], "target string")
-    for limit in (10, 0):   # inlined lookup and broadcast-join lookup
-        got = rows(inbound(e, v, t, inline_limit=limit), "target", "linking_domain", "num_hosts")
+    for limit in (10, 0):   # broadcast joins and shuffle joins
+        got = rows(inbound(e, v, t, max_broadcast_rows=limit), "target", "linking_domain", "num_hosts")
         assert got == [("t.com", "a.org", 9), ("t.com", "b.org", 2)]
 
 

@@ -66,7 +66,7 @@ def test_no_python_udf_in_any_plan(results):
 
 
 def test_topk_windows_use_partial_group_limit(results):
-    for key in ("preview", "admit"):
+    for key in ("preview",):
         plan = results[key]._jdf.queryExecution().executedPlan().toString()
         results[key].collect()
         final = results[key]._jdf.queryExecution().executedPlan().toString()

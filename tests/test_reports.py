@@ -38,7 +38,7 @@ def test_backlinks_enrichment_and_bundle(spark):
     assert got == [("t.com", "r2", "a.org", 90, 0.5, 15, None, 11), ("t.com", "r2", "b.org", None, None, 0, 7, None)]
     head = bundle_report(c, ranks).collect()
     assert [(r.target, r.backlink_count, r.target_dr_score, r.target_n_hosts) for r in head] == [("t.com", 2, 70, 4)]
-    nested = nested_report(rep, page_size=1).collect()
+    nested = nested_report(rep, c, page_size=1).collect()
     assert sum(len(r.backlinks) for r in nested) == 2 and {r.backlink_count for r in nested} == {2}
 
 
