@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from linkweave.llm import decontaminate, jaccard_join, langid, mixing, token_output
 from linkweave.llm.queries import END_ID, tokenizer_file
-from linkweave.llm.tables import table
+from linkweave.llm.tables import ship_package, table
 from linkweave.session import materialize, release_scratch, scratch_path, scratch_tables
 
 
@@ -64,6 +64,7 @@ def _tidy(stage: Stage) -> Stage:
     """The stage, with the scratch tables of the stage before it deleted first."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
         app = spark.sparkContext.applicationId
         release_scratch(spark, _DONE.pop(app, []))
         before = set(scratch_tables(spark))

@@ -2,42 +2,60 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.llm import (chunk_dedup, decontaminate, embedding_dedup, hmm, html_extract, jaccard_join, langid, line_dedup,
                            mixing, token_output)
-from linkweave.llm.tables import hash_fold, table
+from linkweave.llm.tables import hash_fold, ship_package, table
 from linkweave.session import scratch_path
 
 END_ID = 0
 
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+@_shipped
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and hidden Markov score of every whole text."""
     return hmm.score(hmm.hold_out(table(spark, sf_dir, "documents")), "hmm_held_out")
 
 
+@_shipped
 def op2_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of every document that an earlier document holds already."""
     return chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+@_shipped
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector: cosine 0.9 or more in double precision."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@_shipped
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document: 3-word shingles, similarity 0.9 or more."""
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+@_shipped
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item and its containment."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@_shipped
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages")
@@ -59,6 +77,7 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@_shipped
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position, length and checksum of every document's ids, decoded from the written shards."""
     path = scratch_path(spark, "token-shards")
@@ -66,6 +85,7 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digests(spark.read.parquet(path))
 
 
+@_shipped
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every whole text, learnt from three of four folds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -75,24 +95,16 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+@_shipped
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document before and after the global line deduplication."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {
-    "op1_lm_score": op1_lm_score,
-    "op2_chunk_dedup": op2_chunk_dedup,
-    "op3_embedding_dedup": op3_embedding_dedup,
-    "op4_jaccard_join": op4_jaccard_join,
-    "op5_decontaminate": op5_decontaminate,
-    "op6_html_extract": op6_html_extract,
-    "op7_mix_sources": op7_mix_sources,
-    "op8_token_output": op8_token_output,
-    "op9_language_id": op9_language_id,
-    "op10_line_dedup": op10_line_dedup,
-}
+QUERIES = {q.__name__: q for q in (
+    op1_lm_score, op2_chunk_dedup, op3_embedding_dedup, op4_jaccard_join, op5_decontaminate, op6_html_extract,
+    op7_mix_sources, op8_token_output, op9_language_id, op10_line_dedup)}
 
 _TOKENS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 

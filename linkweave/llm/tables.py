@@ -2,10 +2,42 @@
 
 from __future__ import annotations
 
+import io
+import pathlib
+import zipfile
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.session import materialize
+import linkweave
+from linkweave.session import materialize, scratch_path
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, wherever the driver was started from.
+
+    Once per application the package's sources go as a zip to the shared scratch folder,
+    and Spark adds it to the workers' path.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = pathlib.Path(linkweave.__file__).parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    path = scratch_path(spark, "package") + ".zip"
+    jp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = jp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(jp)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +49,32 @@ def hash_fold(id_col: str, modulo: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(modulo)
 
 
+FILTER_BITS = 27
+
+
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A bit per hashed id, in 2 ** FILTER_BITS bits (16 MB) however many ids there are.
+
+    A task that holds the filter can leave out most rows that are not listed; rows that
+    pass by chance must be sorted out by a join afterwards.
+    """
+    bit = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+    rows = (ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits")).toArrow())
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def with_filter_bit(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with the filter place of ``column`` (for ``passes``)."""
+    return df.withColumn("filter_bit", F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS)))
+
+
+def passes(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of undirected ``edges(a, b)``: one row ``(node, component)`` per node on an edge,
     ``component`` the smallest node reachable.
