@@ -17,6 +17,7 @@ from linkweave.functions.domains import valid_domain
 from linkweave.functions.timekeys import as_of as as_of_col
 from linkweave.operators.graph import DEFAULT_BUCKETS, inbound
 from linkweave.operators.joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small
+from linkweave.session import materialize
 
 CRAWL_COLS = ["target", "release", "crawled_at", "result_count"]
 BACKLINK_COLS = ["target", "release", "linking_domain", "num_hosts", "page_rank"]
@@ -39,12 +40,17 @@ def crawl_counts(targets: DataFrame, backlinks: DataFrame, release: str, crawled
 def crawl_and_store(targets: DataFrame, vertices: DataFrame, edges: DataFrame, release: str,
                     as_of=None, n_buckets: int = DEFAULT_BUCKETS,
                     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Q10: crawl every target of ``targets`` on one graph release -> (crawls, backlinks)."""
+    """Q10: crawl every target of ``targets`` on one graph release -> (crawls, backlinks).
+
+    The backlinks are written once to the shared scratch folder and the crawl rows are counted
+    from there, so the graph joins run once for both.
+    """
     t = normalise_targets(targets)
     links = inbound(edges, vertices, t, n_buckets, max_broadcast_rows)
     backlinks = links.select("target", F.lit(release).alias("release"), "linking_domain",
                              F.col("num_hosts").cast("long").alias("num_hosts"),
                              F.lit(None).cast("double").alias("page_rank"))
+    backlinks = materialize(backlinks, "crawled-links")
     return crawl_counts(t, backlinks, release, as_of), backlinks
 
 

@@ -61,9 +61,21 @@ def _write_crawls(crawls: DataFrame, path: str) -> None:
 
 
 def _write_backlinks(backlinks: DataFrame, path: str) -> None:
-    # Rebalance: even files, and a hot target is split by AQE instead of landing in one task.
-    (backlinks.select(*BACKLINK_COLS).hint("rebalance").sortWithinPartitions("target")
-     .write.option("compression", "zstd").partitionBy("release").parquet(path))
+    # Files cover disjoint (release, target) ranges, so a one-target report reads one or two of them; the
+    # linker in the range key spreads a hot target over several files.
+    _clustered(backlinks.select(*BACKLINK_COLS)).write.option("compression", "zstd").partitionBy("release").parquet(path)
+
+
+def _clustered(backlinks: DataFrame) -> DataFrame:
+    by = ["release", "target", "linking_domain"]
+    return backlinks.repartitionByRange(*by).sortWithinPartitions(*by)
+
+
+def _claim(spark: SparkSession, path: str) -> bool:
+    """Create a marker file that must not exist yet; False if another writer was first."""
+    jp, fs = _fs(spark, path)
+    fs.mkdirs(jp.getParent())
+    return bool(fs.createNewFile(jp))
 
 
 def _rename(spark: SparkSession, src: str, dst: str) -> None:
@@ -97,11 +109,14 @@ def write_crawl_runs(root: str, runs: list[dict], existing: tuple[DataFrame, Dat
     Each run is a dict with targets, vertices, edges, release, as_of (one release per run).
     The backlinks of all runs are written first; the crawl rows (with zero-result
     crawls) are then counted from the written backlinks instead of re-running the
-    graph joins. With ``existing`` (crawls, backlinks) the runs replace their
-    (target, release) keys in it.
+    graph joins. With ``existing`` (crawls, backlinks; the newest version when the call
+    starts) the runs replace their (target, release) keys in it. Of two writers that start
+    from one version only the first commits; the other raises and has to start again from
+    the new version (``append_crawl_runs`` lets both commit).
     """
     spark = runs[0]["vertices"].sparkSession
     path = _new_version_path(root)
+    base = latest_version(spark, root) if existing is not None else None
     links = None
     for r in runs:
         t = normalise_targets(r["targets"])
@@ -121,11 +136,17 @@ def write_crawl_runs(root: str, runs: list[dict], existing: tuple[DataFrame, Dat
         crawls, backlinks = new_c, new_b
     else:
         crawls, backlinks = upsert_crawls(existing[0], existing[1], new_c, new_b)
-    _write_crawls(crawls, f"{path}/crawls")
     if existing is None:
+        _write_crawls(crawls, f"{path}/crawls")
         _rename(spark, staged, f"{path}/backlinks")
-    else:
-        _write_backlinks(backlinks, f"{path}/backlinks")
+        return path
+    _write_backlinks(backlinks, f"{path}/backlinks")
+    claim = f"{root.rstrip('/')}/_claims/after-{(base or 'none').rstrip('/').split('/')[-1]}"
+    if not _claim(spark, claim):
+        raise RuntimeError(f"another writer has replaced the version this one started from ({claim}); start again from the newest")
+    _write_crawls(crawls, f"{path}/crawls")
+    jp, fs = _fs(spark, staged)
+    fs.delete(jp, True)
     return path
 
 
@@ -171,7 +192,7 @@ def append_crawl_runs(log_root: str, runs: list[dict], n_buckets: int = DEFAULT_
     spark = runs[0]["vertices"].sparkSession
     root = log_root.rstrip("/")
     epoch = int(time.time() * 1000)
-    while _fs(spark, f"{root}/crawls/epoch={epoch}")[1].exists(_fs(spark, f"{root}/crawls/epoch={epoch}")[0]):
+    while not _claim(spark, f"{root}/_claims/epoch-{epoch}"):  # an epoch belongs to one writer
         epoch += 1
     write_crawl_epoch(root, epoch, runs, n_buckets)
     return epoch
@@ -190,7 +211,7 @@ def write_crawl_epoch(log_root: str, epoch: int, runs: list[dict], n_buckets: in
             F.col("num_hosts").cast("long").alias("num_hosts"), F.lit(None).cast("double").alias("page_rank"))
         links = b if links is None else links.unionByName(b)
     b_path = f"{root}/backlinks/epoch={epoch}"
-    links.write.mode("overwrite").parquet(b_path)
+    _clustered(links).write.mode("overwrite").parquet(b_path)
     written = spark.read.parquet(b_path)
     crawls = None
     for t, r in targets:

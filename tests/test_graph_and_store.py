@@ -341,3 +341,35 @@ def test_append_crawl_runs_replaces_by_key_without_copying(spark, tmp_dir):
     c, b = read_crawl_log(spark, log)
     assert rows(c, "target", "result_count") == [("self.com", 1), ("target.com", 1)]
     assert rows(b.where("target = 'target.com'"), "linking_domain") == [("linker.org",)]
+
+
+def test_two_writers_of_one_store(spark, tmp_dir):
+    from linkweave.sinks.store import append_crawl_runs, read_latest
+    from linkweave.streaming.crawls import read_crawl_log
+    v, e = _graph(spark)
+    run = lambda name, day: [dict(targets=spark.createDataFrame([(name,)], "target string"), vertices=v, edges=e,
+                                  release="r1", as_of=f"2026-01-0{day} 00:00:00")]
+    root = f"{tmp_dir}/store"
+    write_crawl_runs(root, run("self.com", 1))
+    base = read_latest(spark, root)
+    import linkweave.sinks.store as store
+    real = store.latest_version
+    start = real(spark, root)
+    store.latest_version = lambda *_: start          # both writers start from the first version
+    try:
+        write_crawl_runs(root, run("target.com", 2), existing=base)
+        with pytest.raises(RuntimeError, match="another writer"):
+            write_crawl_runs(root, run("unknown.com", 3), existing=base)
+    finally:
+        store.latest_version = real
+    assert rows(read_latest(spark, root)[0], "target") == [("self.com",), ("target.com",)]
+    write_crawl_runs(root, run("unknown.com", 3), existing=read_latest(spark, root))
+    assert rows(read_latest(spark, root)[0], "target") == [("self.com",), ("target.com",), ("unknown.com",)]
+
+    log, real_time = f"{tmp_dir}/log", store.time.time
+    store.time.time = lambda: 1.0                     # the same millisecond
+    try:
+        epochs = [append_crawl_runs(log, run(n, 4)) for n in ("self.com", "target.com")]
+    finally:
+        store.time.time = real_time
+    assert epochs == [1000, 1001] and rows(read_crawl_log(spark, log)[0], "target") == [("self.com",), ("target.com",)]
