@@ -27,13 +27,17 @@ def _bits(values: np.ndarray) -> np.ndarray:
     """Number of bits of each value."""
     high = values >> _U(32)
     out = np.frexp((values & _U(0xFFFFFFFF)).astype(np.float64))[1]
-    return np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, out)
+    if high.any():
+        out = np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, out)
+    return out.astype(np.uint8)
 
 
-def _fitting(bits: np.ndarray, here: np.ndarray, stop: np.ndarray, window: int, selectors: range) -> np.ndarray:
-    """The first of the selectors (by descending count) whose width holds the values that follow; else the escape."""
-    at = here[:, None] + np.arange(window)
-    widest = np.where(at < stop[:, None], bits[np.minimum(at, len(bits) - 1)], 0)
+def _fitting(bits: np.ndarray, here: np.ndarray, window: int, selectors: range) -> np.ndarray:
+    """The first of the selectors (by descending count) whose width holds the values that follow; else the escape.
+
+    Near a block's end the next block's values are looked at as well, which costs a few bits there and nothing else.
+    """
+    widest = bits[here[:, None] + np.arange(window)]
     np.maximum.accumulate(widest, axis=1, out=widest)
     choice = np.full(len(here), ESCAPE, np.int64)
     for s in reversed(selectors):
@@ -55,16 +59,16 @@ def encode(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Words of all sequences, words per block, values too wide for a word, and how many of those each sequence has."""
     values, lengths = values.astype(_U), lengths.astype(np.int64)
     start, end, seq = block_bounds(lengths)
-    bits = _bits(values)
+    bits = np.append(_bits(values), np.zeros(COUNTS[0], np.uint8))
     steps = []
     p, live = start.copy(), np.arange(len(start))
     n_words = np.zeros(len(start), np.int64)
     while len(live):  # the next word of every block that has values left
         here, stop = p[live], end[live]
-        choice = _fitting(bits, here, stop, NARROW_COUNT, range(NARROW, len(WIDTHS)))
+        choice = _fitting(bits, here, NARROW_COUNT, range(NARROW, len(WIDTHS)))
         dense = np.flatnonzero(choice == NARROW)  # as many as fit there: look further ahead
         if len(dense):
-            choice[dense] = _fitting(bits, here[dense], stop[dense], int(COUNTS[0]), range(NARROW + 1))
+            choice[dense] = _fitting(bits, here[dense], int(COUNTS[0]), range(NARROW + 1))
         steps.append((live, here, choice))
         n_words[live] += 1
         after = np.minimum(here + np.append(COUNTS, 1)[choice], stop)
@@ -83,13 +87,15 @@ def encode(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
         if not len(rows):
             continue
         n, w = int(COUNTS[s]), int(WIDTHS[s])
-        word = np.full(len(rows), _U(s) << _U(60))
-        if w:
-            a, stop = at[rows], end[block[rows]]
-            for j in range(n):
-                inside = a + j < stop
-                word |= np.where(inside, padded[a + j], _U(0)) << _U(w * j)
-        words[rows] = word
+        last = at[rows] + n > end[block[rows]]  # words that the block's end leaves partly empty
+        for part, full in ((rows[~last], True), (rows[last], False)):
+            word = np.full(len(part), _U(s) << _U(60))
+            if w:
+                a, stop = at[part], end[block[part]]
+                for j in range(n):
+                    v = padded[a + j]
+                    word |= (v if full else np.where(a + j < stop, v, _U(0))) << _U(w * j)
+            words[part] = word
     wide = np.flatnonzero(sel == ESCAPE)
     of = seq[block[wide]]
     n_wide = np.bincount(of, minlength=len(lengths)) if len(wide) else np.zeros(len(lengths), np.int64)

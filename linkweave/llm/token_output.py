@@ -95,6 +95,9 @@ class PieceTable:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that start with a space
+        self.opens[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -109,30 +112,27 @@ class PieceTable:
 
     def _learn(self, keys: list[int], texts: list[bytes]) -> None:
         plain = [t.decode() for t in texts]
-        ids: list = [None] * len(plain)
-        runs = [i for i, t in enumerate(plain) if t[0] == " " and t[1:].isalpha()]
-        for lo in range(0, len(runs), 200):  # many " word" pieces in one call: each is a pre-token of its own
-            part = runs[lo:lo + 200]
-            got = self.tokenizer.encode("".join(plain[i] for i in part), add_special_tokens=False)
-            where = np.array(got.word_ids)
-            cut = np.flatnonzero(np.diff(where)) + 1
-            if len(cut) + 1 == len(part):
-                at, flat = [0, *cut.tolist(), len(where)], got.ids
-                for i, a, b in zip(part, at, at[1:]):
-                    ids[i] = flat[a:b]
-        rest = [i for i, x in enumerate(ids) if x is None]
-        for i, x in zip(rest, self.encode([plain[i] for i in rest])):
-            ids[i] = x
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        k, total = len(self.rows), int(n.sum())
+        spaced = [t[0] == " " and t[1:].isalpha() for t in plain]
+        run = [i for i, ok in enumerate(spaced) if ok]
+        # many " word" pieces in one call: the space starts a pre-token and stands nowhere else in it
+        joined = ["".join(plain[i] for i in run[lo:lo + 1000]) for lo in range(0, len(run), 1000)]
+        flat = np.fromiter(chain.from_iterable(self.encode(joined)), np.uint32)
+        first = np.flatnonzero(self.opens[flat])
+        if len(first) != len(run):
+            run, flat, first = [], flat[:0], first[:0]
+        alone = [i for i, ok in enumerate(spaced) if not ok] if run else list(range(len(plain)))
+        other = self.encode([plain[i] for i in alone])
+        n = np.concatenate([np.diff(np.append(first, len(flat))), np.fromiter(map(len, other), np.int64, len(other))])
+        flat = np.concatenate([flat, np.fromiter(chain.from_iterable(other), np.uint32)])
+        k, total = len(self.rows), len(flat)
         while len(self.first) < k + len(keys):
             self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
         while len(self.flat) < self.used + total:
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.flat[self.used:self.used + total] = flat
         self.count[k:k + len(keys)] = n
         self.first[k:k + len(keys)] = self.used + np.cumsum(n) - n
-        self.rows.update(zip(keys, range(k, k + len(keys))))
+        self.rows.update(zip([keys[i] for i in chain(run, alone)], range(k, k + len(keys))))
         self.used += total
 
     def ids(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
