@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.llm.words import seeds, word_hashes
+from linkweave.llm.nets import Adam, sigmoid
+from linkweave.llm.words import word_hashes
 
 PATH_DIMS = 192
 WORD_DIMS = 32
@@ -178,10 +179,6 @@ def features(page: list[tuple[tuple[str, ...], str]]) -> np.ndarray:
     return x
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
-
-
 class BlockLSTM:
     """Bidirectional LSTM with a logistic output per block."""
 
@@ -205,7 +202,7 @@ class BlockLSTM:
         state, cell = np.zeros((batch, h), np.float32), np.zeros((batch, h), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             a = fed[t] + state @ u
-            gate = _sigmoid(a[:, :3 * h])
+            gate = sigmoid(a[:, :3 * h])
             new = np.tanh(a[:, 3 * h:])
             i, f, o = gate[:, :h], gate[:, h:2 * h], gate[:, 2 * h:]
             m = mask[t][:, None]
@@ -220,14 +217,14 @@ class BlockLSTM:
     def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """(T, B) chance of being main text for blocks ``x`` (T, B, INPUT)."""
         both = np.concatenate([self._run(x, mask, "f"), self._run(x, mask, "b"), x], axis=2)
-        return _sigmoid((both @ self.params["w"])[:, :, 0] + self.params["o"])
+        return sigmoid((both @ self.params["w"])[:, :, 0] + self.params["o"])
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross entropy over the blocks and its gradients by backpropagation through time."""
         h = self.hidden
         kept: dict[str, list] = {"f": [], "b": []}
         both = np.concatenate([*[self._run(x, mask, d, kept[d]) for d in "fb"], x], axis=2)
-        p = _sigmoid((both @ self.params["w"])[:, :, 0] + self.params["o"])
+        p = sigmoid((both @ self.params["w"])[:, :, 0] + self.params["o"])
         n = mask.sum()
         loss = -(mask * (y * np.log(p + 1e-7) + (1 - y) * np.log(1 - p + 1e-7))).sum() / n
         d_out = ((p - y) * mask / n).astype(np.float32)
@@ -254,20 +251,15 @@ class BlockLSTM:
 
     def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS, seed: int = 4, rate: float = 0.02) -> BlockLSTM:
         rng = np.random.default_rng(seed)
-        mean = {k: np.zeros_like(v) for k, v in self.params.items()}
-        square = {k: np.zeros_like(v) for k, v in self.params.items()}
-        for step in range(1, steps + 1 if pages else 1):
+        adam = Adam(self.params, steps, rate)
+        for _ in range(steps if pages else 0):
             chosen = [pages[i] for i in rng.integers(0, len(pages), TRAIN_BATCH)]
             x, mask = padded([p[0] for p in chosen])
             y = np.zeros(mask.shape, np.float32)
             for j, (_, label) in enumerate(chosen):
                 y[:len(label), j] = label
             _, grads = self.gradients(x, mask, y)
-            now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
-            for k, g in grads.items():
-                mean[k] = 0.9 * mean[k] + 0.1 * g
-                square[k] = 0.99 * square[k] + 0.01 * g * g
-                self.params[k] -= (now * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            adam.step(grads)
         return self
 
     def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:

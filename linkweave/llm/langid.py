@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkweave.llm.nets import Adam, sigmoid
 from linkweave.llm.words import PIECE, buffers, pieces
 
 HIDDEN = 8
@@ -40,10 +41,6 @@ TRAIN_WINDOW = 64
 UNDETERMINED = "und"
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
-
-
 class ByteGRU:
     """``params[d]``: input table (256 x 3H), recurrent weights (H x 3H) and candidate bias of direction ``d``."""
 
@@ -67,7 +64,7 @@ class ByteGRU:
         state = np.zeros((batch, h), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             a, r = table[x[t]], state @ u
-            gate = _sigmoid(a[:, :2 * h] + r[:, :2 * h])
+            gate = sigmoid(a[:, :2 * h] + r[:, :2 * h])
             inner = r[:, 2 * h:] + bias
             new = np.tanh(a[:, 2 * h:] + gate[:, h:] * inner)
             if keep is not None:
@@ -125,9 +122,8 @@ class ByteGRU:
         """Adam on random windows of the sample."""
         rng = np.random.default_rng(seed)
         usable = np.array([i for i, t in enumerate(texts) if t])
-        mean = {k: np.zeros_like(v) for k, v in self.params.items()}
-        square = {k: np.zeros_like(v) for k, v in self.params.items()}
-        for step in range(1, steps + 1 if len(usable) else 1):
+        adam = Adam(self.params, steps, rate)
+        for _ in range(steps if len(usable) else 0):
             rows = rng.choice(usable, TRAIN_BATCH)
             x = np.full((TRAIN_WINDOW, TRAIN_BATCH), 32, np.uint8)
             for j, i in enumerate(rows):
@@ -135,11 +131,7 @@ class ByteGRU:
                 part = texts[i][at:at + TRAIN_WINDOW]
                 x[:len(part), j] = np.frombuffer(part, np.uint8)
             _, grads = self.gradients(x, labels[rows])
-            now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
-            for k, g in grads.items():
-                mean[k] = 0.9 * mean[k] + 0.1 * g
-                square[k] = 0.99 * square[k] + 0.01 * g * g
-                self.params[k] -= (now * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            adam.step(grads)
         return self
 
     def document_probabilities(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
