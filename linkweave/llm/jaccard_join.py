@@ -13,7 +13,7 @@ breaks the ties and makes the Voronoi regions.
   linked sets always meet in one. Inside a region sizes are windows too:
   ``|d(A, 0) - d(B, 0)|`` bounds give ``t |A| <= |B| <= |A| / t``, and the parity vector (one bit
   per hash class, 256 classes) gives ``|A xor B| >= hamming``, by the triangle inequality of
-  the symmetric difference.
+  the symmetric difference; for long sets the counts per class give ``|A xor B| >= L1``.
 * **Exactness.** What passes is compared set against set in integers
   (``den * |A and B| >= num * |A or B|``); nothing is estimated.
 * **Recursion.** In a region of at most ``small`` members all pairs within the windows are
@@ -41,11 +41,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.llm.tables import components
+from linkweave.llm.tables import FILTER_BITS, components, filter_place, id_filter, passes
 from linkweave.llm.words import list_column, mix64, pieces, shingles, signed, word_hashes
 from linkweave.session import materialize
 
-ORDER_BITS = 20
+ORDER_BITS = 18
+BINS = 256
+BINNED = 400
 SMALL = 48
 BLOCK = 256
 _U = np.uint64
@@ -89,12 +91,15 @@ def profiles(docs: DataFrame, k: int, order_bits: int = ORDER_BITS) -> DataFrame
 
 
 def replicas(docs: DataFrame, k: int, num: int, den: int, load: np.ndarray, order_bits: int) -> DataFrame:
-    """``(doc_id, n, d1, parity, pivots)``: the first pivots of every set, as many as the window takes."""
+    """``(doc_id, n, d1, parity, bins, pivots)``: the first pivots of every set, as many as the window takes.
+
+    ``bins``: shingles per hash class, for sets of ``BINNED`` shingles or more (else empty).
+    """
     shared = docs.sparkSession.sparkContext.broadcast(load)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            ids, n, d1, par, keys = [], [], [], [], []
+            n, d1, par, bins, keys = [], [], [], [], []
             rank = shared.value
             with np.errstate(over="ignore"):
                 for s in _sets(b, k):
@@ -103,6 +108,7 @@ def replicas(docs: DataFrame, k: int, num: int, den: int, load: np.ndarray, orde
                     d1.append(int(mix64(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U)))
                     counts = np.bincount((s & _U(255)).astype(np.int64), minlength=256)
                     par.append(np.packbits((counts & 1).astype(np.uint8)).view(np.int64))
+                    bins.append(counts.astype(np.int32) if size >= BINNED else counts[:0].astype(np.int32))
                     take = size + (-num * size // den) + 1 if size else 0  # size - ceil(num * size / den) + 1
                     if take < size:
                         weight = rank[(s >> _U(64 - order_bits)).astype(np.int64)]
@@ -114,11 +120,12 @@ def replicas(docs: DataFrame, k: int, num: int, den: int, load: np.ndarray, orde
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(signed(np.array(d1, _U))),
                  *[pa.array(np.ascontiguousarray(par[:, i])) for i in range(4)],
+                 list_column(np.concatenate(bins), np.array([len(x) for x in bins])),
                  list_column(signed(np.concatenate(keys)), np.array([len(x) for x in keys]))],
-                ["doc_id", "n", "d1", *PARITY, "pivots"])
+                ["doc_id", "n", "d1", *PARITY, "bins", "pivots"])
 
     return docs.mapInArrow(scan, "doc_id bigint, n bigint, d1 bigint, par0 bigint, par1 bigint, par2 bigint, "
-                                 "par3 bigint, pivots array<bigint>")
+                                 "par3 bigint, bins array<int>, pivots array<bigint>")
 
 
 def within_windows(num: int, den: int, a: str = "", b: str = "o_") -> Column:
@@ -129,6 +136,18 @@ def within_windows(num: int, den: int, a: str = "", b: str = "o_") -> Column:
             & (F.lit(den + num) * apart <= F.lit(den - num) * (na + nb)))
 
 
+def within_bins(pairs: DataFrame, placed: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose bin counts lie close enough: ``|A xor B| >= sum |bins(A) - bins(B)|``.
+
+    Parity tells too little about sets of many hundred shingles; their counts do.
+    """
+    a, b = (placed.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins_{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b")
+    apart = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    near = F.lit(den + num) * apart <= F.lit(den - num) * (F.col("na") + F.col("nb"))
+    return both.where((F.size("bins_a") == 0) | (F.size("bins_b") == 0) | near).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str) -> DataFrame:
     """The pairs ``(a, b)`` whose sets ``sets(node, shingle_set)`` reach the similarity."""
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingle_set").alias("sa")), "a")
@@ -139,17 +158,48 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str) -
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int, name: str) -> DataFrame:
-    """``(node, shingle_set)`` for the listed nodes only."""
+    """``(node, shingle_set)`` for the listed nodes only.
+
+    Texts are not shuffled: a filter of fixed size tells the tasks which rows to read, and the
+    join after it leaves out what passed by chance.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(nodes.select(filter_place("node").alias("place"))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
+        for whole in pieces(batches):
+            b = whole.filter(pa.array(passes(shared.value, whole.column("place").to_numpy())))
+            if not b.num_rows:
+                continue
             found = list(_sets(b, k))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), list_column(signed(np.concatenate(found)), np.array([len(s) for s in found]))],
                 ["node", "shingle_set"])
 
-    wanted = docs.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return materialize(wanted.mapInArrow(scan, "node bigint, shingle_set array<bigint>"), name)
+    read = (docs.where("doc_id IS NOT NULL").withColumn("place", filter_place("doc_id"))
+            .mapInArrow(scan, "node bigint, shingle_set array<bigint>"))
+    return materialize(read.join(nodes.select("node").distinct(), "node", "left_semi"), name)
+
+
+def shared_rows(placed: DataFrame, shared: DataFrame) -> DataFrame:
+    """``(region, node, members)`` of the regions with more than one member.
+
+    Most pivots are alone in their region. A filter of fixed size keeps those rows out of the
+    shuffle (a region is a hash already, so its low bits are its place); the join leaves out
+    what passes by chance.
+    """
+    low = F.lit((1 << FILTER_BITS) - 1)
+    bits = placed.sparkSession.sparkContext.broadcast(id_filter(shared.select(F.col("region").bitwiseAND(low).alias("place"))))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pivots = b.column("pivots")
+            region = pivots.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(b.num_rows), np.diff(pivots.offsets.to_numpy()))
+            keep = np.flatnonzero(passes(bits.value, region & ((1 << FILTER_BITS) - 1)))
+            node = b.column("node").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(region[keep]), pa.array(node[row[keep]])], ["region", "node"])
+
+    return placed.select("node", "pivots").mapInArrow(scan, "region bigint, node bigint").join(shared, "region")
 
 
 def block_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
@@ -195,28 +245,29 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     scanned = materialize(profiles(docs, k, order_bits), "jaccard-profiles")
     own = scanned.where("n IS NOT NULL").select("doc_id", "n", "d1", "d2")
     loads = scanned.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("load").alias("load")).toArrow()
-    load = np.zeros(1 << order_bits, np.int64)  # one counter per bucket, whatever the corpus
-    load[loads.column("bucket").to_numpy()] = loads.column("load").to_numpy()
+    load = np.zeros(1 << order_bits, np.uint32)  # one counter per bucket
+    load[loads.column("bucket").to_numpy()] = np.minimum(loads.column("load").to_numpy(), 2**32 - 1)
 
     classes = own.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"))
     nodes = materialize(classes.where("node IS NOT NULL"), "jaccard-classes")
-    placed = (replicas(docs, k, num, den, load, order_bits)
-              .join(nodes.select(F.col("node").alias("doc_id"), "d1", "n"), ["doc_id", "d1", "n"], "left_semi"))
-    regions = placed.select("doc_id", "n", *PARITY, F.explode("pivots").alias("region")).withColumnRenamed("doc_id", "node")
-    slim = materialize(regions.select("region", "node", "n", *PARITY), "jaccard-regions")
-    shared = (slim.groupBy("region").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("pivot"))
-              .where("members > 1"))
-    met = materialize(slim.join(shared, "region"), "jaccard-met")
+    placed = materialize(
+        replicas(docs, k, num, den, load, order_bits)
+        .join(nodes.select(F.col("node").alias("doc_id"), "d1", "n"), ["doc_id", "d1", "n"], "left_semi")
+        .withColumnRenamed("doc_id", "node"), "jaccard-replicas")
+    shared = materialize(placed.select(F.explode("pivots").alias("region")).groupBy("region")
+                         .agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "jaccard-shared")
+    met = materialize(shared_rows(placed, shared).join(placed.select("node", "n", *PARITY), "node"), "jaccard-met")
 
     other = [F.col(c).alias(f"o_{c}") for c in ("node", "n", *PARITY)]
     few = met.where(F.col("members") <= small)
     close = (few.join(few.select("region", *other), "region")
              .where("node > o_node").where(within_windows(num, den)).select(F.col("node").alias("a"), F.col("o_node").alias("b")))
     many = met.where(F.col("members") > small)
-    centre = many.where("node = pivot").select("region", *other)
+    first = many.groupBy("region").agg(F.min("node").alias("pivot"))
+    centre = many.join(first, "region").where("node = pivot").select("region", *other)
     star = (many.join(centre, "region").where("node > o_node").where(within_windows(num, den))
             .select(F.col("node").alias("a"), F.col("o_node").alias("b")))
-    pairs = materialize(close.union(star).distinct(), "jaccard-pairs")
+    pairs = materialize(within_bins(close.union(star).distinct(), placed, num, den).distinct(), "jaccard-pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
     sets = shingle_sets(docs, ends, k, "jaccard-sets")
     links = verified(pairs, sets, num, den, "jaccard-links")
@@ -227,7 +278,8 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
                     .where("low < high").select("region"))
     blocks = F.ceil(F.col("members") / F.lit(block)).cast("bigint")
     rest = named.join(open_regions, "region", "left_semi").withColumn("blocks", blocks)
-    across = materialize(block_pairs(rest, num, den).where("a <> b").distinct(), "jaccard-across")
+    across = materialize(within_bins(block_pairs(rest, num, den).where("a <> b").distinct(), placed, num, den).distinct(),
+                         "jaccard-across")
     if not across.isEmpty():
         ends = across.select(F.col("a").alias("node")).union(across.select(F.col("b").alias("node"))).distinct()
         missing = ends.join(sets.select("node"), "node", "left_anti")

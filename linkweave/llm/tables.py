@@ -52,25 +52,23 @@ def hash_fold(id_col: str, modulo: int) -> Column:
 FILTER_BITS = 27
 
 
-def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A bit per hashed id, in 2 ** FILTER_BITS bits (16 MB) however many ids there are.
+def filter_place(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+
+
+def id_filter(places: DataFrame) -> np.ndarray:
+    """A bit per listed place (column ``place``, below 2 ** FILTER_BITS), in 2 ** FILTER_BITS bits (16 MB) however many ids there are.
 
     A task that holds the filter can leave out most rows that are not listed; rows that
     pass by chance must be sorted out by a join afterwards.
     """
-    bit = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
-    rows = (ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits")).toArrow())
+    rows = (places.groupBy(F.shiftright("place", 6).alias("word"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, CAST(place & 63 AS INT))")).alias("bits")).toArrow())
     out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def with_filter_bit(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with the filter place of ``column`` (for ``passes``)."""
-    return df.withColumn("filter_bit", F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS)))
-
-
 def passes(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (bits[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1) == 1
 
