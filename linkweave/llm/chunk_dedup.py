@@ -135,26 +135,27 @@ def drop_spans(docs: DataFrame, spans_found: DataFrame) -> DataFrame:
     """The rows of ``docs`` with the spans cut out of ``text`` (characters cut by a chunk boundary go with the span)."""
     cuts = spans_found.groupBy(F.col("doc_id").alias("cut_id")).agg(
         F.array_sort(F.collect_list(F.struct("start_byte", "end_byte"))).alias("cut_spans"))
-
-    names = list(docs.columns)
+    low = [c.lower() for c in docs.columns]
+    kept_as = [f"c{i}" for i in range(len(low))]  # own names inside, so no column of the table can clash
+    plain = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, kept_as)])
+    text = kept_as[low.index("text")]
+    joined = plain.join(cuts, F.col(kept_as[low.index("doc_id")]) == F.col("cut_id"), "left").drop("cut_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, gone in zip(b.column("text").to_pylist(), b.column("cut_spans").to_pylist()):
-                if text is not None and gone:
-                    data, kept, at = text.encode(), [], 0
+            for t, gone in zip(b.column(text).to_pylist(), b.column("cut_spans").to_pylist()):
+                if t is not None and gone:
+                    data, kept, at = t.encode(), [], 0
                     for s in gone:
                         kept.append(data[at:s["start_byte"]])
                         at = s["end_byte"]
-                    text = b"".join([*kept, data[at:]]).decode(errors="ignore")
-                out.append(text)
-            at = b.schema.get_field_index("text")
-            b = b.set_column(at, "text", pa.array(out, pa.string()))
-            yield b.select(names)
-
-    joined = docs.join(cuts, docs["doc_id"] == cuts["cut_id"], "left").select(*[docs[c] for c in docs.columns], "cut_spans")
-    return joined.mapInArrow(cut, docs.schema)
+                    t = b"".join([*kept, data[at:]]).decode(errors="ignore")
+                out.append(t)
+            columns = [pa.array(out, pa.string()) if k == text else b.column(k) for k in kept_as]
+            yield pa.RecordBatch.from_arrays(columns, kept_as)
+
+    return joined.mapInArrow(cut, plain.schema).toDF(*docs.columns)
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
