@@ -19,9 +19,10 @@ breaks the ties and makes the Voronoi regions.
 * **Recursion.** In a region of at most ``small`` members all pairs within the windows are
   compared. A larger region takes its smallest member as pivot document and links
   what lies within reach of it; members that are by then in one component need no
-  further comparison (a link between them changes nothing). Regions with more than
-  one component are cut into blocks, and block pairs are joined again, each in a
-  task of its own, on pairs across components only.
+  further comparison (a link between them changes nothing). A region with more than one
+  component takes further pivots, one a round, from outside its largest component. What
+  is still open after ``ROUNDS`` rounds is cut into blocks, and block pairs are joined, each in
+  a task of its own, on pairs across components only.
 * Equal sets form one class before anything is joined; a class is one node.
 
 A document without words links with nothing. Rows that repeat a ``doc_id`` follow their
@@ -48,6 +49,7 @@ from linkweave.session import materialize
 ORDER_BITS = 18
 BINS = 256
 BINNED = 400
+ROUNDS = 4
 SMALL = 48
 BLOCK = 256
 _U = np.uint64
@@ -202,6 +204,26 @@ def shared_rows(placed: DataFrame, shared: DataFrame) -> DataFrame:
     return placed.select("node", "pivots").mapInArrow(scan, "region bigint, node bigint").join(shared, "region")
 
 
+def open_regions(many: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the regions that still hold more than one component, with ``component`` and the region's largest, ``main``."""
+    named = many.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = named.groupBy("region", "component").agg(F.count(F.lit(1)).alias("size"))
+    main = (sizes.groupBy("region").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("size", "component")).alias("main"))
+            .where("parts > 1").select("region", "main"))
+    return named.join(main, "region")
+
+
+def star_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """The next pivot document of every open region, a member outside its largest component, against the members that
+    are not yet in the pivot's component."""
+    pivot = (rows.where("component <> main").groupBy("region")
+             .agg(F.min_by("node", F.struct(F.xxhash64("node"), F.col("node"))).alias("pivot")))
+    centre = (rows.join(pivot, "region").where("node = pivot")
+              .select("region", *[F.col(c).alias(f"o_{c}") for c in ("node", "component", "n", *PARITY)]))
+    met = rows.join(centre, "region").where("component <> o_component").where(within_windows(num, den))
+    return met.select(F.greatest("node", "o_node").alias("a"), F.least("node", "o_node").alias("b")).distinct()
+
+
 def block_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs across components inside regions: ``members(region, node, component, n, par*, blocks)``.
 
@@ -268,24 +290,32 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     star = (many.join(centre, "region").where("node > o_node").where(within_windows(num, den))
             .select(F.col("node").alias("a"), F.col("o_node").alias("b")))
     pairs = materialize(within_bins(close.union(star).distinct(), placed, num, den).distinct(), "jaccard-pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    sets = shingle_sets(docs, ends, k, "jaccard-sets")
-    links = verified(pairs, sets, num, den, "jaccard-links")
-    found = components(links, "jaccard-components")
+    links, sets, found = None, None, None
+
+    def compare(pairs: DataFrame, name: str) -> None:
+        """Verify the pairs, reading only sets that are not at hand yet, and join the components anew."""
+        nonlocal links, sets, found
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        fresh = shingle_sets(docs, ends if sets is None else ends.join(sets.select("node"), "node", "left_anti"), k, f"jaccard-sets-{name}")
+        sets = fresh if sets is None else sets.union(fresh)
+        new = verified(pairs, sets, num, den, f"jaccard-links-{name}")
+        links = new if links is None else links.union(new)
+        found = materialize(components(links, f"jaccard-components-{name}"), f"jaccard-found-{name}")
+
+    compare(pairs, "first")
+    for i in range(ROUNDS):
+        rows = open_regions(many, found)
+        pairs = materialize(within_bins(star_pairs(rows, num, den), placed, num, den).distinct(), f"jaccard-star-{i}")
+        if pairs.isEmpty():
+            break
+        compare(pairs, f"star-{i}")
 
-    named = many.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_regions = (named.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-                    .where("low < high").select("region"))
     blocks = F.ceil(F.col("members") / F.lit(block)).cast("bigint")
-    rest = named.join(open_regions, "region", "left_semi").withColumn("blocks", blocks)
+    rest = open_regions(many, found).withColumn("blocks", blocks)
     across = materialize(within_bins(block_pairs(rest, num, den).where("a <> b").distinct(), placed, num, den).distinct(),
                          "jaccard-across")
     if not across.isEmpty():
-        ends = across.select(F.col("a").alias("node")).union(across.select(F.col("b").alias("node"))).distinct()
-        missing = ends.join(sets.select("node"), "node", "left_anti")
-        more = shingle_sets(docs, missing, k, "jaccard-sets-more")
-        links = links.union(verified(across, sets.union(more), num, den, "jaccard-links-more"))
-        found = components(links, "jaccard-components-all")
+        compare(across, "blocks")
     known = (nodes.join(found, "node", "left")
              .select("d1", "d2", "n", F.coalesce("component", "node").alias("component")))
     return (own.join(known, ["d1", "d2", "n"], "left")
