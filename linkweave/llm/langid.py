@@ -186,7 +186,7 @@ def predict(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for b in pieces(batches, 4 * PIECE, text):
+        for b in pieces(batches, 2 * PIECE, text):
             p = net.document_probabilities(*buffers(b.column(text)))
             best = p.argmax(axis=1)
             lettered = b.column("lang_lettered").to_numpy(zero_copy_only=False).astype(bool)

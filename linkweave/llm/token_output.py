@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkweave.llm import simple8b
-from linkweave.llm.words import PIECE, buffers, list_column, pieces, span_hashes
+from linkweave.llm.words import PIECE, buffers, give_back, list_column, pieces, span_hashes
 
 RECORD = ("doc_id bigint, shard int, shard_start bigint, n_tokens bigint, "
           "block_words array<int>, words binary, wide binary")
@@ -261,6 +261,7 @@ def _records(batches: Iterator[pa.RecordBatch], ids: int = 4 * PIECE) -> Iterato
             cut = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), b.num_rows]
             for lo, hi in zip(cut, cut[1:]):
                 yield b.slice(lo, hi - lo)
+    give_back()
 
 
 def read_tokens(records: DataFrame) -> DataFrame:
