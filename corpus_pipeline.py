@@ -47,7 +47,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).where("mix_kept").select(*docs.columns)
+    return mixing.sample(docs)
 
 
 def write_token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

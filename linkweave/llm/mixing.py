@@ -42,7 +42,8 @@ def draw(doc_id: Column) -> Column:
 
 
 def with_cells(docs: DataFrame) -> DataFrame:
-    """The rows with ``mix_source``, ``mix_lang``, ``mix_topic`` and ``mix_tokens`` (names that clash are replaced)."""
+    """The table's columns as ``c0, c1, ...`` (so none can clash) with ``mix_source``, ``mix_lang``, ``mix_topic``,
+    ``mix_tokens`` and ``mix_draw``."""
     low = {c.lower(): c for c in docs.columns}
 
     def col(name: str) -> Column:
@@ -50,12 +51,11 @@ def with_cells(docs: DataFrame) -> DataFrame:
 
     tokens = n_tokens(col("text"))
     register = F.when(tokens < 128, "brief").when(tokens < 1024, "standard").otherwise("long")
-    return docs.withColumns({
-        "mix_source": F.coalesce(col("source"), F.lit("unknown")),
-        "mix_lang": F.coalesce(col("lang"), F.lit("unknown")),
-        "mix_topic": F.coalesce(col("topic"), F.lit("unknown")) if "topic" in low else register,
-        "mix_tokens": tokens,
-    })
+    topic = F.coalesce(col("topic"), F.lit("unknown")) if "topic" in low else register
+    return docs.select(
+        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)],
+        F.coalesce(col("source"), F.lit("unknown")).alias("mix_source"), F.coalesce(col("lang"), F.lit("unknown")).alias("mix_lang"),
+        topic.alias("mix_topic"), tokens.alias("mix_tokens"), draw(col("doc_id")).alias("mix_draw"))
 
 
 def tempered(cells: DataFrame, temper: float) -> DataFrame:
@@ -96,8 +96,8 @@ def sampling_rates(cells: DataFrame) -> DataFrame:
     return per.withColumn("rate", F.col("per_token") / F.lit(top)).drop("per_token")
 
 
-def mix(docs: DataFrame, targets: DataFrame | None = None, temper: float = 0.7, rounds: int = 12) -> DataFrame:
-    """Every row with its cell, ``mix_weight`` (the cell's share of the mix), ``mix_rate`` and ``mix_kept``."""
+def _drawn(docs: DataFrame, targets: DataFrame | None, temper: float, rounds: int) -> DataFrame:
+    """``with_cells`` plus ``mix_weight`` (the cell's share of the mix), ``mix_rate`` and ``mix_kept``."""
     marked = with_cells(docs)
     cells = materialize(
         marked.groupBy(F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"))
@@ -107,6 +107,19 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, temper: float = 0.7,
                           F.col("topic").alias("mix_topic"), F.col("weight").alias("mix_weight"), F.col("rate").alias("mix_rate"))
     out = marked.join(rates, ["mix_source", "mix_lang", "mix_topic"], "left")
     rate = F.when(F.col("mix_tokens") > 0, F.coalesce("mix_rate", F.lit(0.0))).otherwise(F.lit(0.0))
-    low = {c.lower(): c for c in docs.columns}
-    drawn = draw(F.col(f"`{low['doc_id']}`") if "doc_id" in low else F.lit(""))
-    return out.withColumns({"mix_rate": rate, "mix_weight": F.coalesce("mix_weight", F.lit(0.0)), "mix_kept": drawn < rate})
+    return out.withColumns({"mix_rate": rate, "mix_weight": F.coalesce("mix_weight", F.lit(0.0)), "mix_kept": F.col("mix_draw") < rate})
+
+
+MIX_COLUMNS = ["mix_source", "mix_lang", "mix_topic", "mix_tokens", "mix_weight", "mix_rate", "mix_kept"]
+
+
+def mix(docs: DataFrame, targets: DataFrame | None = None, temper: float = 0.7, rounds: int = 12) -> DataFrame:
+    """Every row with its cell, weight, rate and draw (columns of the table with the names of ``MIX_COLUMNS`` are replaced)."""
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in MIX_COLUMNS]
+    return _drawn(docs, targets, temper, rounds).select(*own, *MIX_COLUMNS)
+
+
+def sample(docs: DataFrame, targets: DataFrame | None = None, temper: float = 0.7, rounds: int = 12) -> DataFrame:
+    """The rows of ``docs`` that the draw keeps, with all their columns."""
+    kept = _drawn(docs, targets, temper, rounds).where("mix_kept")
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
