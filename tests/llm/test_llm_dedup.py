@@ -54,6 +54,34 @@ def test_repeated_passage_is_found_and_shifts_do_not_matter(spark):
     assert (whole.start_byte, whole.end_byte) == (0, len(data[3][1]))
 
 
+def test_every_passage_of_just_over_fifty_words_is_found(spark):
+    """Several hundred passages of 51 words, down to one letter a word, in hosts that differ."""
+    rnd = random.Random(21)
+    noise = lambda n: " ".join(f"{rnd.choice('abcdefgh')}{rnd.randrange(10**6)}" for _ in range(n))
+    data, want = [], {}
+    for i in range(400):
+        letters = 1 + i % 8
+        passage = " ".join("".join(rnd.choices("eitaonsr", k=rnd.randint(1, letters))) for _ in range(51))
+        host = noise(rnd.randint(0, 30))
+        data.append((i, noise(rnd.randint(1, 30)) + "\n" + passage + "\n" + noise(20), None, None, None))
+        data.append((1000 + i, host + "\t" + passage + "\t" + noise(20), None, None, None))
+        want[1000 + i] = (i, len(host) + 1, len(host) + 1 + len(passage), 51)
+    got = chunk_dedup.repeated_spans(H.documents(spark, data)).collect()
+    assert {r.doc_id: (r.first_doc_id, r.start_byte, r.end_byte, r.n_words) for r in got} == want and len(got) == len(want)
+    short = [(d, t.replace(t.split()[-21], "cut", 1), *rest) for d, t, *rest in data if d >= 1000]
+    assert chunk_dedup.repeated_spans(H.documents(spark, data[::2] + short), min_words=52).count() == 0
+
+
+def test_passage_under_a_repeated_doc_id_and_runs_of_one_byte(spark):
+    passage = " ".join(H.SHARED.split()[:51])
+    data = [(1, "one text " + passage + " ends", None, None, None), (1, "quite another text of this name", None, None, None),
+            (2, "x" * 5000, None, None, None), (3, "y " + "x" * 5000 + " z", None, None, None),
+            (4, "other words", None, None, None), (4, "A " + passage + ". B", None, None, None)]
+    got = chunk_dedup.repeated_spans(H.documents(spark, data)).collect()
+    assert [(r.doc_id, r.first_doc_id, r.n_words) for r in got] == [(4, 1, 50)]  # the last word goes on with a full stop
+    assert len(chunk_dedup.seed_starts(np.frombuffer(b"x" * 50_000, np.uint8), np.array([0, 50_000]))) < 3000
+
+
 def test_chunk_bounds_resist_insertions():
     rnd = random.Random(1)
     text = " ".join(f"{rnd.randrange(10**5)}" for _ in range(4000)).encode()
