@@ -1,17 +1,21 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, verified by exact containment.
+"""Benchmark decontamination: size-partitioned MinHash containment search, exact for short items, verified by exact containment.
 
 Items (short) are searched inside documents (long). A MinHash of a whole long document
 says nothing about a short item, so both sides are partitioned by size: an item with ``q``
-shingles belongs to the class of the power of two ``u >= q`` (16 at least); for every class in
+shingles belongs to the class of the power of two ``u >= q`` (32 at least); for every class in
 use a document is read as windows of ``2u`` shingles, one every ``u``, so any place where
 an item stands lies whole in one window and the Jaccard similarity of the two is at least
-about ``t q / 2u``, a quarter or so, however long the document. ``PERMUTATIONS``
+about ``t q / 2u``, 0.2 or more, however long the document. ``PERMUTATIONS``
 minima per window with bands of one row then meet with practical certainty
 (0.8 ** 64 is 6e-7). Block minima of small classes combine to those of larger ones.
 
-The items' minima are known to the tasks as a bit filter of fixed size (two bits per
-minimum; a fuller filter lets through more candidates and loses none). Windows that pass are
-joined with the items on (class, permutation, minimum), and every candidate pair is
+An item of up to ``EXACT`` shingles is found by its own shingles instead, without chance: a document
+that holds ``m = ceil(t q)`` of them holds one of any ``q - m + 1``, so that many are its keys,
+and every shingle of a document is looked up.
+
+The items' keys are known to the tasks as a bit filter of fixed size (two bits per
+key; a fuller filter lets through more candidates and loses none). Windows and shingles that pass are
+joined with the items on (class, permutation, minimum) or the shingle, and every candidate pair is
 verified on the whole sets: containment = |item and document| / |item| >= ``threshold``.
 
 Shingles are five words, A-Z lower-cased; a text with fewer words is one shingle, so a
@@ -23,6 +27,7 @@ result row. A null id stays null in the result. Empty tables give an empty resul
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -37,6 +42,7 @@ from linkweave.session import materialize
 SHINGLE = 5
 PERMUTATIONS = 64
 LEAST_CLASS = 4
+EXACT = 1 << LEAST_CLASS
 FILTER_BITS = 27
 _U = np.uint64
 _MUL = seeds(PERMUTATIONS, 501)
@@ -44,7 +50,8 @@ _ADD = seeds(PERMUTATIONS, 502)
 
 
 def size_class(q: int) -> int:
-    return max(LEAST_CLASS, (q - 1).bit_length())
+    """The class of an item of more than ``EXACT`` shingles."""
+    return (q - 1).bit_length()
 
 
 def _key(minima: np.ndarray, cls: int, perm: int | np.ndarray) -> np.ndarray:
@@ -69,8 +76,12 @@ def sequence(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(h + _U(w))
 
 
-def item_table(items: DataFrame, k: int) -> DataFrame:
-    """``(item_id, item_set, keys)``: distinct shingles and the keys of the item's minima."""
+def _own_keys(shingle: np.ndarray) -> np.ndarray:
+    return _key(shingle, 0, 0)  # 0 is no size class
+
+
+def item_table(items: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """``(item_id, item_set, keys)``: distinct shingles and the keys of a short item's shingles or a longer one's minima."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -80,8 +91,12 @@ def item_table(items: DataFrame, k: int) -> DataFrame:
                 for a, z in zip(first[:-1].tolist(), first[1:].tolist()):
                     s = shingles(words[a:z], k)
                     sets.append(s)
-                    low = (s[:, None] * _MUL + _ADD).min(axis=0) if len(s) else s
-                    keys.append(_key(low, size_class(len(s)), np.arange(len(low))))
+                    if len(s) <= EXACT:
+                        least = max(1, math.ceil(t * len(s)))
+                        keys.append(_own_keys(s[:max(0, len(s) - least + 1)]))
+                    else:
+                        low = (s[:, None] * _MUL + _ADD).min(axis=0)
+                        keys.append(_key(low, size_class(len(s)), np.arange(len(low))))
             yield pa.RecordBatch.from_arrays(
                 [b.column("item_id"), list_column(signed(np.concatenate(sets)), np.array([len(s) for s in sets])),
                  list_column(signed(np.concatenate(keys)), np.array([len(s) for s in keys]))],
@@ -112,8 +127,8 @@ def _has(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (bits[(place >> _U(6)).astype(np.int64)] >> (place & _U(63))) & _U(1) == 1
 
 
-def candidates(docs: DataFrame, bits: np.ndarray, classes: list[int], k: int) -> DataFrame:
-    """``(doc_id, keys, doc_set)`` of the documents with a window that passes the filter."""
+def candidates(docs: DataFrame, bits: np.ndarray, classes: list[int], short: bool, k: int) -> DataFrame:
+    """``(doc_id, keys, doc_set)`` of the documents with a window, or with ``short`` items a shingle, that passes the filter."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,9 +146,16 @@ def candidates(docs: DataFrame, bits: np.ndarray, classes: list[int], k: int) ->
                 at = (np.cumsum(length) - length).repeat(n_blocks)
                 starts = at + (np.arange(n_blocks.sum()) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)) * base
                 hits: list[tuple[np.ndarray, np.ndarray]] = []
+                if short:
+                    key = _own_keys(flat)
+                    one, other = _places(key)
+                    on = np.flatnonzero(_has(known, one))
+                    on = on[_has(known, other[on])]
+                    hits.append((np.repeat(np.arange(len(seqs)), length)[on], key[on]))
                 levels = {}
+                top = max(classes, default=0)
                 nb, doc = n_blocks, np.repeat(np.arange(len(seqs)), n_blocks)
-                for cls in range(LEAST_CLASS, max(classes) + 1):  # how blocks of one class pair up to the next
+                for cls in range(LEAST_CLASS, top + 1):  # how blocks of one class pair up to the next
                     levels[cls] = doc
                     first_block = np.cumsum(nb) - nb
                     nth = np.arange(len(doc)) - first_block[doc]
@@ -141,9 +163,9 @@ def candidates(docs: DataFrame, bits: np.ndarray, classes: list[int], k: int) ->
                     levels[cls, "pair"] = pair
                     nb = -(-nb // 2)
                     doc = doc[pair]
-                for p in range(PERMUTATIONS):
+                for p in range(PERMUTATIONS if classes else 0):
                     low = np.minimum.reduceat(flat * _MUL[p] + _ADD[p], starts)
-                    for cls in range(LEAST_CLASS, max(classes) + 1):
+                    for cls in range(LEAST_CLASS, top + 1):
                         doc = levels[cls]
                         if cls in classes:
                             two = low.copy()
@@ -157,7 +179,7 @@ def candidates(docs: DataFrame, bits: np.ndarray, classes: list[int], k: int) ->
                                 hits.append((doc[on], key[on]))
                         pair = levels[cls, "pair"]
                         low = np.minimum.reduceat(low, pair)
-            if not hits:
+            if not sum(len(h[0]) for h in hits):
                 continue
             doc = np.concatenate([h[0] for h in hits])
             key = np.concatenate([h[1] for h in hits])
@@ -176,13 +198,14 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, k: i
     """``(doc_id, item_id, n_common, n_item, containment)`` for every document and item in it."""
     t = Fraction(str(threshold))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = item_table(items, k)
+    known = item_table(items, k, t)
     keys = known.select("item", F.explode("keys").alias("key"))
     sizes = [r[0] for r in known.select(F.size("item_set")).distinct().collect()]  # as many as there are item lengths
     if not sizes:
         return docs.sparkSession.createDataFrame(
             [], "doc_id bigint, item_id bigint, n_common bigint, n_item bigint, containment double")
-    found = candidates(docs, bit_filter(keys.select("key")), sorted({size_class(q) for q in sizes}), k)
+    classes = sorted({size_class(q) for q in sizes if q > EXACT})
+    found = candidates(docs, bit_filter(keys.select("key")), classes, min(sizes) <= EXACT, k)
     found = found.withColumn("row", F.xxhash64("doc_id", "doc_set"))
     pairs = found.select("row", F.explode("keys").alias("key")).join(keys, "key").select("row", "item").distinct()
     both = (pairs.join(found.select("row", "doc_id", "doc_set"), "row")

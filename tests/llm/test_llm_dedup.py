@@ -137,6 +137,26 @@ def test_contaminated_equals_exact_containment(spark):
     assert clean.columns == H.documents(spark, docs).columns
 
 
+def test_every_short_item_is_found_in_long_documents(spark):
+    """Items of 1 to 16 shingles, verbatim or with the last word changed, far inside longer documents; short items alone too."""
+    rnd = random.Random(14)
+    noise = lambda n: " ".join(f"n{rnd.randrange(10**7)}" for _ in range(n))
+    tests = [(i, " ".join(f"t{rnd.randrange(10**6)}" for _ in range(5 + i % 16 if i >= 200 else 5))) for i in range(400)]
+    docs, want = [], set()
+    for i, t in tests:
+        q = len(t.split()) - 4
+        docs.append((i, noise(200) + " " + t + " " + noise(200), None, None, None))
+        want.add((i, i, q, q))
+        docs.append((1000 + i, noise(90) + " " + " ".join(t.split()[:-1]) + " changed " + noise(90), None, None, None))
+        if 10 * (q - 1) >= 8 * q:
+            want.add((1000 + i, i, q - 1, q))
+    long_item = (900, noise(70))
+    docs.append((5000, noise(100) + " " + long_item[1], None, None, None))
+    for extra, more in (([], set()), ([long_item], {(5000, 900, 66, 66)})):
+        got = decontaminate.contaminated(H.documents(spark, docs), items(spark, tests + extra)).collect()
+        assert {(r[0], r[1], r[2], r[3]) for r in got} == want | more and len(got) == len(want | more)
+
+
 def test_contaminated_odd_tables(spark):
     some = items(spark, [(1, "One"), (2, None)])
     assert decontaminate.contaminated(H.empty_documents(spark), some).count() == 0
