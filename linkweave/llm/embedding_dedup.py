@@ -11,7 +11,8 @@
   (and at the query's own vertex), then expands every vertex found in range until nothing new
   in range turns up.
 * **Verification.** A pair is a link if its cosine in double precision reaches the threshold; a pair
-  that several tasks see is counted in the first of them only.
+  that several tasks see is counted in the first of them only. So that the first does not miss what another
+  finds, every task completes the search by comparing its blocks exactly: only pairs without a shard in common are missed.
 
 A task returns a link count and the smallest linked vector's component per vector, never
 pairs: a dense group costs rows in proportion to its vectors. Components over tasks are
@@ -98,7 +99,7 @@ def robust_prune(x: np.ndarray, near: int = NEAR, far: int = FAR, alpha: float =
 
 
 def united(own: np.ndarray, n: int, limit: int = 64) -> np.ndarray:
-    """Adjacency with the reverse edges added, up to ``limit`` per vertex."""
+    """Adjacency with the reverse edges added, up to ``limit`` per vertex; bounds the search alone, ``complete`` finds the rest."""
     src = np.repeat(np.arange(n), own.shape[1])
     dst = own.ravel()
     ok = (dst >= 0) & (dst != src)
@@ -175,6 +176,12 @@ def range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, own: np.
     return hit
 
 
+def complete(x: np.ndarray, linked: np.ndarray, threshold: float) -> None:
+    """Add the pairs that the search has missed, by exact comparison in slices of 512 rows."""
+    for lo in range(0, len(x), 512):
+        linked[lo:lo + 512] |= x[lo:lo + 512] @ x.T >= threshold
+
+
 def clean(vectors: DataFrame) -> DataFrame:
     """``(vec_id, vector, usable)``: unit vectors in double precision."""
     wide = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("raw"))
@@ -275,6 +282,7 @@ def search(work: DataFrame, graph: DataFrame, dims: int, threshold: float) -> Da
         graph = np.full((n, int(nth.max()) + 1 if len(nth) else 1), -1)
         graph[src, nth] = pos
         linked = range_search(x, united(graph, n), x, np.arange(n), threshold)
+        complete(x, linked, threshold)
         np.fill_diagonal(linked, False)
         linked |= linked.T
         lo, hi = key[1].as_py(), key[2].as_py()

@@ -229,6 +229,19 @@ def test_embeddings(spark):
     assert found.recall >= 0.9 and found.n_queries > 20 and found.true_links > 0
 
 
+def test_pairs_that_the_graph_misses_count_once(spark):
+    """Without any edge the search reaches next to nothing; the links are whole and counted in one of the two tasks."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(6, 8)), 20, axis=0) + rng.normal(size=(120, 8)) * .05
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(shard, 0, 0, 0, i, x[i].tolist(), [0, 1], 1) for shard in (0, 1) for i in range(120)]
+    work = spark.createDataFrame(rows, "shard long, lo long, hi long, own long, node long, vector array<double>, shards array<long>, copies long")
+    none = spark.createDataFrame([], "node long, neighbours array<long>")
+    got = embedding_dedup.search(work, none, 8, 0.9).groupBy("node").sum("n_links").collect()
+    want = (x @ x.T >= 0.9).sum(axis=1) - 1
+    assert {r[0]: r[1] for r in got} == dict(enumerate(want.tolist())) and want.min() > 0
+
+
 def test_embeddings_odd_tables(spark):
     kind = "vec_id long, embedding array<float>"
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], kind)).count() == 0
