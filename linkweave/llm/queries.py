@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm import (chunk_dedup, decontaminate, embedding_dedup, hmm, html_extract, jaccard_join, langid, line_dedup,
-                           mixing, token_output)
+from linkweave.llm import (align, chunk_dedup, collocations, decontaminate, embedding_dedup, hmm, html_extract, jaccard_join,
+                           langid, line_dedup, mixing, token_output, url_filter)
 from linkweave.llm.tables import hash_fold, ship_package, table
 from linkweave.session import scratch_path
 
@@ -102,9 +102,35 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def piece_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@_shipped
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of every document's ids under two tokenizers, with corpus-wide counts of the linked id pairs."""
+    out = align.align(table(spark, sf_dir, "documents"), tokenizer_file(), piece_file())
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@_shipped
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of two to four words of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, covered=80, top=2000)
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url; without a rule the verdict of its host in the link graph."""
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.rule_table(spark, url_filter.RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {q.__name__: q for q in (
     op1_lm_score, op2_chunk_dedup, op3_embedding_dedup, op4_jaccard_join, op5_decontaminate, op6_html_extract,
-    op7_mix_sources, op8_token_output, op9_language_id, op10_line_dedup)}
+    op7_mix_sources, op8_token_output, op9_language_id, op10_line_dedup, op11_token_alignment, op12_collocations,
+    op13_url_filter)}
 
 _TOKENS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -202,9 +228,85 @@ FROM documents d LEFT JOIN n ON d.doc_id = n.id
 LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON d.doc_id = r.a
 """
 
+_PHRASES_SQL = r"""
+WITH cut AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM cut),
+total AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+f AS MATERIALIZED (
+  SELECT lang, size, phrase, count(*)::HUGEINT AS n FROM (
+    SELECT lang, k AS size, unnest(list_transform(range(1, greatest(len(words) - k + 1, 0) + 1),
+      lambda i: array_to_string(words[i:i + k - 1], ' '))) AS phrase
+    FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(words) >= k) GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+  SELECT lang, size, phrase, n AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head,
+    array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+  FROM f, (SELECT unnest([1, 2, 3]) AS k) WHERE k < size),
+scored AS (
+  SELECT c.*, h.n AS l, t.n AS r, 2000000 * c.a // (h.n + t.n) AS score
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.rest),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM weakest x WHERE NOT EXISTS (
+    SELECT 1 FROM f y WHERE y.lang = x.lang AND y.size > x.size AND 100 * y.n >= 80 * x.a
+      AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ')))
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN total USING (lang)
+WHERE rank <= 2000
+"""
+
+
+def _urls_sql(rules: list[tuple[str, str, str]], damping: float, rounds: int, limit: float) -> str:
+    """Rules as a list of values; the rounds as a recursive table of both walks."""
+    values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rules)
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE rules(rule_host, rule_path, verdict) AS (VALUES {values}),
+p AS (
+  SELECT page_id, row_number() OVER () AS row, html, coalesce({low.format("regexp_extract(url, '://([^/?#]*)', 1)")}, '') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+ruled AS (
+  SELECT row, rule_host || rule_path AS rule, verdict FROM p JOIN rules
+    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY length(rule_host || rule_path) DESC, verdict DESC) = 1),
+hosts AS (
+  SELECT host, count(*) AS pages, count(*) FILTER (verdict = 'allow') AS allowed, count(*) FILTER (verdict = 'block') AS blocked
+  FROM p LEFT JOIN ruled USING (row) WHERE host <> '' GROUP BY host),
+ends AS (
+  SELECT DISTINCT row, host AS src, {low.format("unnest(regexp_extract_all(html, '@LINK@', 1))")} AS dst FROM p),
+links AS (SELECT src, dst, count(*) AS n FROM ends WHERE src <> '' AND src <> dst GROUP BY ALL),
+ways AS (SELECT 'trust' AS kind, src AS host, dst AS too, n FROM links UNION ALL SELECT 'distrust', dst, src, n FROM links),
+steps AS MATERIALIZED (SELECT kind, host, too, n / sum(n) OVER (PARTITION BY kind, host) AS share FROM ways),
+known AS (SELECT host FROM hosts UNION SELECT src FROM links UNION SELECT dst FROM links),
+seeds AS MATERIALIZED (
+  SELECT kind, host, coalesce(CASE WHEN kind = 'trust' THEN allowed ELSE blocked END, 0)::DOUBLE AS seed
+  FROM known CROSS JOIN (SELECT unnest(['trust', 'distrust']) AS kind) LEFT JOIN hosts USING (host)),
+moves AS MATERIALIZED (
+  SELECT kind, host, too, share FROM steps
+  UNION ALL SELECT kind, host, host, 1.0 FROM seeds ANTI JOIN steps USING (kind, host)
+  UNION ALL SELECT kind, host, host, 0.0 FROM seeds SEMI JOIN steps USING (kind, host)),
+walk AS (
+  SELECT 0 AS i, kind, host, seed AS mass FROM seeds
+  UNION ALL
+  SELECT any_value(i) + 1, w.kind, m.too, any_value(s.seed) * {1 - damping} + {damping} * sum(w.mass * m.share)
+  FROM walk w JOIN moves m ON m.kind = w.kind AND m.host = w.host JOIN seeds s ON s.kind = w.kind AND s.host = m.too
+  WHERE i < {rounds} GROUP BY w.kind, m.too),
+judged AS (
+  SELECT host, round(coalesce(sum(mass) FILTER (kind = 'distrust'), 0) - coalesce(sum(mass) FILTER (kind = 'trust'), 0)
+    - {limit} * any_value(pages), 9) > 0 AS over
+  FROM walk JOIN hosts USING (host) WHERE i = {rounds} GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN over THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN ruled USING (row) LEFT JOIN judged USING (host)
+""".replace("@LINK@", url_filter.LINK.replace("*+", "*").replace("++", "+").replace("'", "''"))
+
+
 ORACLE_SQL = {
     "op4_jaccard_join": _CLASSES_SQL,
     "op5_decontaminate": _CONTAINED_SQL,
     "op7_mix_sources": _mixing_sql(),
     "op10_line_dedup": _LINES_SQL,
+    "op12_collocations": _PHRASES_SQL,
+    "op13_url_filter": _urls_sql(url_filter.RULES, url_filter.DAMPING, url_filter.ROUNDS, url_filter.LIMIT),
 }

@@ -19,7 +19,7 @@ TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversati
 def test_every_operator_is_registered():
     names = entry.queries()
     assert set(QUERIES) <= set(names) and "pipeline" in names
-    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("key", sorted(ORACLE_SQL))
