@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from linkweave.functions.timekeys import bytes_to
 from linkweave.operators.graph import DEFAULT_BUCKETS, bucket_of, name_bucket_of
+from linkweave.sinks import parts
+from linkweave.sources.tables import MAJESTIC_SCHEMA, RANKS_SCHEMA, TRANCO_SCHEMA
 
 PARQUET_OPTIONS = {"compression": "zstd"}
 
@@ -145,6 +147,33 @@ def write_ranks(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     _writer(df.repartitionByRange("domain").sortWithinPartitions("domain"), mode, path).parquet(path)
 
 
+RANK_TABLES = {"ranks": RANKS_SCHEMA, "majestic": MAJESTIC_SCHEMA, "tranco": TRANCO_SCHEMA}
+
+
+def publish_rank_tables(root: str, tables: dict[str, DataFrame]) -> parts.Manifest:
+    """K7: put new rank tables in force in one step (all of ``tables`` together).
+
+    The tables are written aside and one manifest switches to them, so a reader sees the old tables or the new
+    ones, whole, also one that started before and ends after the switch. Raises if another writer has published meanwhile.
+    A table that is not given is empty from then on.
+    """
+    spark = next(iter(tables.values())).sparkSession
+
+    def write(name: str) -> None:
+        for table, df in tables.items():
+            (df.select(*RANK_TABLES[table].fieldNames()).repartitionByRange("domain").sortWithinPartitions("domain")
+             .write.option("compression", "zstd").parquet(parts.folder(root, table, name)))
+
+    return parts.replace(spark, root, write)
+
+
+def read_published_ranks(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ranks, majestic, tranco) of one publication."""
+    now = parts.current(spark, root).parts
+    ranks, majestic, tranco = (parts.read(spark, root, table, schema, now) for table, schema in RANK_TABLES.items())
+    return ranks, majestic, tranco
+
+
 def append_lookups(df: DataFrame, path: str) -> None:
     """Append contact lookups (positive and negative) to the cache table."""
     _writer(df, "append").parquet(path)

@@ -14,11 +14,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkweave.operators.crawls import (BACKLINK_COLS, CRAWL_COLS, crawl_counts, normalise_targets,
                                         upsert_crawls)
 from linkweave.operators.graph import DEFAULT_BUCKETS, inbound
-from linkweave.sources.tables import BACKLINKS_SCHEMA, read_backlinks, read_crawls
+from linkweave.sinks import parts
+from linkweave.sources.tables import BACKLINKS_SCHEMA, CRAWLS_SCHEMA, read_backlinks, read_crawls
 
 
 def _fs(spark: SparkSession, path: str):
@@ -178,16 +180,19 @@ def _committed_folders(spark: SparkSession, root: str) -> list[str]:
                   and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_COMMITTED")))
 
 
+LOG_CRAWLS_SCHEMA = T.StructType([*CRAWLS_SCHEMA.fields, T.StructField("epoch", T.LongType())])
+LOG_BACKLINKS_SCHEMA = T.StructType([*BACKLINKS_SCHEMA.fields, T.StructField("epoch", T.LongType())])
+LOG_TABLES = ["crawls", "backlinks"]
+
+
 def append_crawl_runs(log_root: str, runs: list[dict], n_buckets: int = DEFAULT_BUCKETS) -> int:
     """Q10 + K6 without copying the store: append the runs as one epoch of the crawl log.
 
-    Same layout as the streaming crawl feed (``streaming.crawls``): backlinks and
-    crawl rows under ``epoch=<n>``; ``streaming.crawls.read_crawl_log`` gives, per
-    (target, release), the newest epoch -- the replace semantics of K6 -- so the
-    cost of a run is the size of the run, not of the store. Backlinks are written
-    before the crawl rows, and the reader picks epochs from the crawl rows, so a
-    run that dies half-way is invisible. Epochs here are millisecond stamps; do not
-    mix this writer with a streaming feed (whose epochs are batch ids) on one log.
+    Same layout as the streaming crawl feed (``streaming.crawls``): one part per epoch in
+    ``sinks.parts``; ``crawl_log`` gives, per (target, release), the newest epoch -- the replace
+    semantics of K6 -- so the cost of a run is the size of the run, not of the store. A part is in force
+    from its manifest on, so a run that dies half-way is invisible. Epochs here are millisecond
+    stamps; do not mix this writer with a streaming feed (whose epochs are batch ids) on one log.
     """
     spark = runs[0]["vertices"].sparkSession
     root = log_root.rstrip("/")
@@ -198,23 +203,64 @@ def append_crawl_runs(log_root: str, runs: list[dict], n_buckets: int = DEFAULT_
     return epoch
 
 
-def write_crawl_epoch(log_root: str, epoch: int, runs: list[dict], n_buckets: int = DEFAULT_BUCKETS) -> None:
-    """Write the runs as epoch ``epoch`` of a crawl log; rewriting the same epoch is idempotent."""
+def write_crawl_epoch(log_root: str, epoch: int, runs: list[dict], n_buckets: int = DEFAULT_BUCKETS) -> bool:
+    """Add the runs as epoch ``epoch`` of a crawl log and merge full levels; an epoch that is there already changes nothing."""
     spark = runs[0]["vertices"].sparkSession
     root = log_root.rstrip("/")
-    links, targets = None, []
-    for r in runs:
-        t = normalise_targets(r["targets"])
-        targets.append((t, r))
-        b = inbound(r["edges"], r["vertices"], t, n_buckets).select(
-            "target", F.lit(r["release"]).alias("release"), "linking_domain",
-            F.col("num_hosts").cast("long").alias("num_hosts"), F.lit(None).cast("double").alias("page_rank"))
-        links = b if links is None else links.unionByName(b)
-    b_path = f"{root}/backlinks/epoch={epoch}"
-    _clustered(links).write.mode("overwrite").parquet(b_path)
-    written = spark.read.parquet(b_path)
-    crawls = None
-    for t, r in targets:
-        c = crawl_counts(t, written.where(F.col("release") == r["release"]), r["release"], r["as_of"])
-        crawls = c if crawls is None else crawls.unionByName(c)
-    crawls.write.mode("overwrite").parquet(f"{root}/crawls/epoch={epoch}")
+
+    def write(name: str, _: parts.Manifest) -> None:
+        links, targets = None, []
+        for r in runs:
+            t = normalise_targets(r["targets"])
+            targets.append((t, r))
+            b = inbound(r["edges"], r["vertices"], t, n_buckets).select(
+                "target", F.lit(r["release"]).alias("release"), "linking_domain",
+                F.col("num_hosts").cast("long").alias("num_hosts"), F.lit(None).cast("double").alias("page_rank"))
+            links = b if links is None else links.unionByName(b)
+        stamp = F.lit(epoch).cast("long").alias("epoch")
+        _clustered(links).select("*", stamp).write.parquet(parts.folder(root, "backlinks", name))
+        written = parts.read(spark, root, "backlinks", LOG_BACKLINKS_SCHEMA, [parts.Part(name)])
+        crawls = None
+        for t, r in targets:
+            c = crawl_counts(t, written.where(F.col("release") == r["release"]), r["release"], r["as_of"])
+            crawls = c if crawls is None else crawls.unionByName(c)
+        crawls.select("*", stamp).write.parquet(parts.folder(root, "crawls", name))
+
+    added = parts.add(spark, root, epoch, write)
+    compact_crawl_log(spark, root)
+    return added
+
+
+def _newest(spark: SparkSession, root: str, of: list[parts.Part] | tuple[parts.Part, ...]) -> tuple[DataFrame, DataFrame]:
+    """(crawls, backlinks) of some parts with their epochs, newest epoch per (target, release)."""
+    c = parts.read(spark, root, "crawls", LOG_CRAWLS_SCHEMA, of)
+    b = parts.read(spark, root, "backlinks", LOG_BACKLINKS_SCHEMA, of)
+    if len(of) == 1:  # one epoch, or merged already
+        return c, b
+    key = ["target", "release", "epoch"]
+    win = c.groupBy("target", "release").agg(F.max("epoch").alias("epoch"))
+    return c.join(win, key).select(*c.columns), b.join(win, key).select(*b.columns)
+
+
+def crawl_log(spark: SparkSession, log_root: str) -> tuple[DataFrame, DataFrame]:
+    """(crawls, backlinks) of the log, newest epoch per (target, release); both from one manifest."""
+    c, b = _newest(spark, log_root, parts.current(spark, log_root).parts)
+    return c.select(*CRAWL_COLS), b.select(*BACKLINK_COLS)
+
+
+def compact_crawl_log(spark: SparkSession, log_root: str, fanout: int = parts.FANOUT, whole: bool = False) -> None:
+    """Merge the parts of full levels (``whole``: all parts); what a newer epoch has replaced is left out."""
+    def write(old: list[parts.Part], name: str) -> None:
+        c, b = _newest(spark, log_root, old)
+        _clustered(b).write.option("compression", "zstd").parquet(parts.folder(log_root, "backlinks", name))
+        c.write.option("compression", "zstd").parquet(parts.folder(log_root, "crawls", name))
+
+    if whole:
+        parts.fold(spark, log_root, write)
+    else:
+        parts.merge(spark, log_root, write, fanout)
+
+
+def vacuum_crawl_log(spark: SparkSession, log_root: str, keep_seconds: float = parts.KEEP_SECONDS) -> int:
+    """Delete merged and abandoned parts that no reader of the last ``keep_seconds`` can use."""
+    return parts.vacuum(spark, log_root, LOG_TABLES, keep_seconds)

@@ -1,20 +1,18 @@
 """ST2: continuous crawl-and-store from a feed of target names.
 
-Each micro-batch crawls its targets on the graph and appends the result to a
-crawl log under ``epoch=<id>`` (a replayed batch overwrites its own epoch, so
-the sink is idempotent). The store is read back with K6 semantics -- for each
-(target, release) the newest epoch wins -- so nothing already stored is ever
-rewritten.
+Each micro-batch crawls its targets on the graph and adds the result to a crawl log as one
+part (``sinks.parts``); a replayed batch finds its epoch there and changes nothing. Full levels of
+parts are merged after each batch, so the log is read from a number of folders that grows
+with the logarithm of the batches. The store is read back with K6 semantics: for each (target, release) the
+newest epoch wins. ``sinks.store.vacuum_crawl_log`` removes what merging has replaced.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from linkweave.operators.crawls import BACKLINK_COLS, CRAWL_COLS
 from linkweave.operators.graph import DEFAULT_BUCKETS
-from linkweave.sinks.store import write_crawl_epoch
+from linkweave.sinks.store import crawl_log, write_crawl_epoch
 
 
 def run_crawl_stream(targets: DataFrame, vertices: DataFrame, edges: DataFrame, log_root: str, release: str,
@@ -23,7 +21,6 @@ def run_crawl_stream(targets: DataFrame, vertices: DataFrame, edges: DataFrame,
     log_root = log_root.rstrip("/")
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        # A replayed batch rewrites its own epoch (idempotent sink).
         write_crawl_epoch(log_root, epoch_id, [dict(targets=batch, vertices=vertices, edges=edges,
                                                     release=release, as_of=as_of)], n_buckets)
 
@@ -34,9 +31,4 @@ def run_crawl_stream(targets: DataFrame, vertices: DataFrame, edges: DataFrame,
 
 def read_crawl_log(spark: SparkSession, log_root: str) -> tuple[DataFrame, DataFrame]:
     """(crawls, backlinks) of the log, newest epoch per (target, release)."""
-    log_root = log_root.rstrip("/")
-    c = spark.read.parquet(f"{log_root}/crawls")
-    b = spark.read.parquet(f"{log_root}/backlinks")
-    win = c.groupBy("target", "release").agg(F.max("epoch").alias("epoch"))
-    return (c.join(win, ["target", "release", "epoch"]).select(*CRAWL_COLS),
-            b.join(win, ["target", "release", "epoch"]).select(*BACKLINK_COLS))
+    return crawl_log(spark, log_root)

@@ -1,12 +1,12 @@
 """ST1: running usage counters per (month, payer) with Structured Streaming.
 
-Every charged call counts once, however late it arrives: a micro-batch is reduced
-to one row per event_id, ids that earlier epochs have stored are taken out (an
-anti-join on month and id: an event keeps its
-time, so only the months of the batch are read), and the rest is written to the epoch's
-own folder of the call log, partitioned by month. A replayed batch rewrites its own
-folder, and only folders of other epochs count as known, so replays change nothing.
-The counters are one aggregation over the log.
+Every charged call counts once, however late it arrives. A micro-batch is reduced to one row per
+event_id; ids that the call log holds already are taken out by an anti-join with the months of the
+batch only: the log is partitioned by month, an event keeps its time, and the batch's distinct months (a
+bounded list, see ``MAX_MONTHS``) are literals in the scan's partition filter. The new calls and their
+counts are one part of the log (``sinks.parts``), so calls and stored totals (A6) change together, a
+replayed batch changes nothing, and parts are merged in levels. The counters are read from the stored
+totals, never from the calls.
 """
 
 from __future__ import annotations
@@ -15,8 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.functions.timekeys import month_of
+from linkweave.operators.usage import usage_merge
+from linkweave.sinks import parts
 
-CALL_SCHEMA = "event_id long, payer string, month string, epoch int"
+CALL_SCHEMA = "event_id long, payer string, month string"
+TOTAL_SCHEMA = "month string, payer string, usage_count long"
+# Beyond so many months in one batch the log is read without a month filter.
+MAX_MONTHS = 600
 
 
 def charged_calls(events: DataFrame) -> DataFrame:
@@ -27,31 +32,60 @@ def charged_calls(events: DataFrame) -> DataFrame:
 def run_usage_stream(calls: DataFrame, out: str, checkpoint: str) -> None:
     """Append new ``charged_calls`` to the call log under ``out`` until the source is drained (availableNow)."""
     out = out.rstrip("/")
-
-    def write(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.groupBy("month", "event_id").agg(F.min("payer").alias("payer"))
-        if has_epochs(spark, out):
-            known = read_calls(spark, out).where(F.col("epoch") != epoch_id).select("month", "event_id")
-            fresh = fresh.join(known, ["month", "event_id"], "left_anti")
-        fresh.write.mode("overwrite").partitionBy("month").parquet(f"{out}/epoch={epoch_id}")
-
-    q = (calls.writeStream.foreachBatch(write)
+    q = (calls.writeStream.foreachBatch(lambda batch, epoch: add_calls(batch, out, epoch))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def read_calls(spark: SparkSession, out: str) -> DataFrame:
-    """The call log: event_id, payer, month, epoch."""
-    return spark.read.schema(CALL_SCHEMA).parquet(out.rstrip("/"))
+def add_calls(batch: DataFrame, out: str, epoch: int) -> bool:
+    """Store the calls of ``batch`` that the log does not hold yet, and their counts, as epoch ``epoch``; False if it is there."""
+    spark = batch.sparkSession
 
+    def write(name: str, manifest: parts.Manifest) -> None:
+        rows = batch.groupBy("month", "event_id").agg(F.min("payer").alias("payer")).persist()
+        try:
+            known = known_calls(spark, out, manifest, months_of(rows)).select(F.col("month").alias("m"), F.col("event_id").alias("e"))
+            fresh = rows.join(known, F.col("month").eqNullSafe(F.col("m")) & F.col("event_id").eqNullSafe(F.col("e")), "left_anti")
+            calls = parts.folder(out, "calls", name)
+            fresh.select("event_id", "payer", "month").hint("rebalance", "month").write.partitionBy("month").parquet(calls)
+        finally:
+            rows.unpersist()
+        new = parts.read(spark, out, "calls", CALL_SCHEMA, [parts.Part(name)])
+        new.groupBy("month", "payer").agg(F.count(F.lit(1)).alias("usage_count")).write.parquet(parts.folder(out, "totals", name))
+
+    added = parts.add(spark, out, epoch, write)
+    parts.merge(spark, out, lambda old, name: _merge(spark, out, old, name))
+    return added
+
+
+def _merge(spark: SparkSession, out: str, old: list[parts.Part], name: str) -> None:
+    calls = parts.read(spark, out, "calls", CALL_SCHEMA, old)
+    calls.hint("rebalance", "month").write.partitionBy("month").parquet(parts.folder(out, "calls", name))
+    totals = parts.read(spark, out, "totals", TOTAL_SCHEMA, old)
+    usage_merge(totals, totals.limit(0), ["month", "payer"]).write.parquet(parts.folder(out, "totals", name))
 
-def usage_counts(spark: SparkSession, out: str) -> DataFrame:
-    """(month, payer, usage_count) over the call log."""
-    return read_calls(spark, out).groupBy("month", "payer").agg(F.count(F.lit(1)).alias("usage_count"))
 
+def months_of(rows: DataFrame, at_most: int = MAX_MONTHS) -> list[str | None] | None:
+    """The distinct months of a batch, or None if there are more than ``at_most``."""
+    found = [r.month for r in rows.select("month").distinct().limit(at_most + 1).collect()]
+    return found if len(found) <= at_most else None
 
-def has_epochs(spark: SparkSession, out: str) -> bool:
-    jp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-    fs = jp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(jp)) and any(s.getPath().getName().startswith("epoch=") for s in fs.listStatus(jp))
+
+def known_calls(spark: SparkSession, out: str, manifest: parts.Manifest, months: list[str | None] | None) -> DataFrame:
+    """The stored calls of ``months`` (None: of all); other months' folders are pruned when the plan is made."""
+    calls = parts.read(spark, out, "calls", CALL_SCHEMA, manifest.parts)
+    if months is None:
+        return calls
+    wanted = F.col("month").isin([m for m in months if m is not None])
+    return calls.where(wanted | F.col("month").isNull() if None in months else wanted)
+
+
+def read_calls(spark: SparkSession, out: str) -> DataFrame:
+    """The call log: event_id, payer, month."""
+    return parts.read(spark, out, "calls", CALL_SCHEMA, parts.current(spark, out).parts)
+
+
+def usage_counts(spark: SparkSession, out: str) -> DataFrame:
+    """(month, payer, usage_count): the stored totals of all parts in force."""
+    totals = parts.read(spark, out, "totals", TOTAL_SCHEMA, parts.current(spark, out).parts)
+    return totals.groupBy("month", "payer").agg(F.sum("usage_count").cast("long").alias("usage_count"))
