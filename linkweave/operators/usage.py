@@ -6,16 +6,18 @@ charged (true for calls that count against the quota).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.functions.timekeys import month_of
 from linkweave.operators.ordering import with_positions
+from linkweave.sinks import parts
 
 # --- Fixed values (the reference's default limits) ------------------------------
 MONTHLY_LIMIT = 500
 PER_PAYER_MONTHLY_LIMIT = 100
 # -------------------------------------------------------------------------------
+TOTAL_SCHEMA = "month string, payer string, usage_count long"
 
 
 def _charged(log: DataFrame) -> DataFrame:
@@ -40,6 +42,32 @@ def usage_merge(totals: DataFrame, increments: DataFrame, keys: list[str]) -> Da
             .groupBy(*keys).agg(F.sum("usage_count").cast("long").alias("usage_count")))
 
 
+def stored_totals(spark: SparkSession, root: str) -> DataFrame:
+    """(month, payer, usage_count) of the totals table under ``root``."""
+    totals = parts.read(spark, root, "totals", TOTAL_SCHEMA, parts.current(spark, root).parts)
+    return totals.groupBy("month", "payer").agg(F.sum("usage_count").cast("long").alias("usage_count"))
+
+
+def add_to_totals(increments: DataFrame, root: str, epoch: int) -> bool:
+    """A6 with exactly-once merging: add the counts (month, payer, usage_count) of epoch ``epoch`` to the stored totals.
+
+    The table knows the epochs that its totals contain, also after parts have been summed up, so an epoch that comes again
+    (False) adds nothing and a late one is added once.
+    """
+    spark = increments.sparkSession
+
+    def write(name: str, _: parts.Manifest) -> None:
+        usage_merge(increments, increments.limit(0), ["month", "payer"]).write.parquet(parts.folder(root, "totals", name))
+
+    def summed(old: list[parts.Part], name: str) -> None:
+        rows = parts.read(spark, root, "totals", TOTAL_SCHEMA, old)
+        usage_merge(rows, rows.limit(0), ["month", "payer"]).write.parquet(parts.folder(root, "totals", name))
+
+    added = parts.add(spark, root, epoch, write)
+    parts.merge(spark, root, summed)
+    return added
+
+
 def admit(log: DataFrame, monthly: int = MONTHLY_LIMIT, per_payer: int = PER_PAYER_MONTHLY_LIMIT) -> DataFrame:
     """The charged calls a sequential counter would admit, in (ts, event_id) order.
 

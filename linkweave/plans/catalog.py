@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from linkweave.functions.contacts import confidence_label, confidence_pct, payer_of
 from linkweave.functions.domains import invalid_domains, loose_domain, reverse_domain, url_to_domain, valid_domain
 from linkweave.functions.scores import authority_or_null, authority_score, derive_dr
+from linkweave.functions.timekeys import month_of
 from linkweave.operators.crawls import latest_crawl, list_domains, merge_seed, upsert_crawls
 from linkweave.operators.contacts import contacts_to_fetch, enrich_contacts, lookup_rows
 from linkweave.operators.dedupe import key_violations
@@ -22,19 +23,24 @@ from linkweave.operators.gap import gap, gap_order, gap_missing, gap_summary
 from linkweave.operators.graph import bucket_of, bucket_range, inbound, inbound_order
 from linkweave.operators.ordering import with_positions
 from linkweave.operators.ranks import ingest_ranks
-from linkweave.operators.usage import admit, usage_by_month, usage_by_payer, usage_merge
+from linkweave.operators.usage import add_to_totals, admit, stored_totals, usage_by_month, usage_by_payer, usage_merge
 from linkweave.plans import fixtures as fx
 from linkweave.plans.convert import convert_graph
 from linkweave.plans.reports import (backlinks_report, bundle_report, bundle_rows, ensure_crawled, nested_report,
                                      preview_report)
 from linkweave.session import literal_rows, scratch_path
-from linkweave.sinks.layout import store_status, write_edges, write_missing_buckets
-from linkweave.sinks.store import write_once
+from linkweave.sinks import parts
+from linkweave.sinks.contact_cache import (CACHE_SCHEMA, append_to_cache, enrich_from_cache, fold_cache,
+                                           to_fetch_from_cache)
+from linkweave.sinks.layout import (publish_rank_tables, read_published_ranks, store_status, write_edges,
+                                    write_missing_buckets)
+from linkweave.sinks.rank_ingest import ingest_rank_dump, run_log
+from linkweave.sinks.store import vacuum_crawl_log, write_crawl_epoch, write_once
 from linkweave.sources.responses import match_answers, parse_match_responses
 from linkweave.sources.tables import read_graph
 from linkweave.sources.text import parse_rank_lines, read_edges, read_rank_lines, read_vertices
 from linkweave.streaming.crawls import read_crawl_log, run_crawl_stream
-from linkweave.streaming.ranks import rank_line_stream, read_rank_log, run_rank_stream
+from linkweave.streaming.ranks import fold_rank_log, rank_line_stream, read_rank_log, run_rank_stream
 from linkweave.streaming.usage import charged_calls, run_usage_stream, usage_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +61,7 @@ VERTEX_BAD_LINES = ["x\tcom.bad\t1", "1\tcom.short", "", "2\tcom.extra\t3\t4", "
                     "7\tcom.float\t1.5", " 8 \tcom.space\t 9 ", "1\tcom.tab\t\t5", "\t9\tcom.tab"]
 SLICE = (3, 17)  # bucket range of P3
 RESUME_BUCKETS = 12
+CACHE_N = 32  # buckets of the contact cache
 EDGE_BAD_LINES = ["1", "1\t2\t3", "a\t2", "", "4\t", " 5 \t6", "7\t8.0", "1\t\t2", "\t1\t2", "1\t2\t"]
 
 
@@ -134,7 +141,7 @@ def _converted_store(spark, sf_dir) -> str:
 def q_bucketed_edges(spark, sf_dir):
     store = _converted_store(spark, sf_dir)
     _, edges = read_graph(spark, store)
-    return (bucket_range(edges, 0, fx.BUCKETS // 2).groupBy("bucket")
+    return (edges.groupBy("bucket")
             .agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct("to_id").alias("n_targets"),
                  F.min("to_id").alias("min_to_id"), F.max("to_id").alias("max_to_id")))
 
@@ -340,6 +347,38 @@ def q_contacts_to_fetch(spark, sf_dir):
     return contacts_to_fetch(f.contacts, f.lookups)
 
 
+def _contact_cache(spark, sf_dir) -> str:
+    """The lookups arrive in five batches, one of them twice; some are merged, the last is not."""
+    f = _fx(spark, sf_dir)
+
+    def write(path: str) -> None:
+        batch = F.pmod(F.xxhash64("email", "last_name", "created_at"), F.lit(5))
+        for epoch in (0, 1, 0, 2, 3, 4):
+            append_to_cache(f.lookups.where(batch == epoch), path, epoch, CACHE_N)
+
+    return write_once(spark, f.shared_root("contact-cache"), write)
+
+
+def q_contact_cache(spark, sf_dir):
+    """J11 and W5 against the keyed cache."""
+    return enrich_from_cache(_fx(spark, sf_dir).contacts, _contact_cache(spark, sf_dir), CACHE_N)
+
+
+def q_contact_cache_to_fetch(spark, sf_dir):
+    """J12 against the keyed cache."""
+    return to_fetch_from_cache(_fx(spark, sf_dir).contacts, _contact_cache(spark, sf_dir), CACHE_N)
+
+
+def q_contact_cache_folded(spark, sf_dir):
+    """The cache after everything has been folded: one row per contact key."""
+    root = scratch_path(spark, "contact-cache-folded")
+    lookups = _fx(spark, sf_dir).lookups
+    for epoch, part in enumerate((lookups.where("email = ''"), lookups.where("email <> ''"))):
+        append_to_cache(part, root, epoch, CACHE_N)
+    fold_cache(spark, root)
+    return parts.read(spark, root, "lookups", CACHE_SCHEMA, parts.current(spark, root).parts).drop("bucket")
+
+
 def q_match_responses(spark, sf_dir):
     parsed = parse_match_responses(_fx(spark, sf_dir).match_responses)
     return parsed.drop("body")
@@ -394,6 +433,18 @@ def q_usage_merge(spark, sf_dir):
     return usage_merge(totals, increments, ["month"])
 
 
+def q_usage_totals(spark, sf_dir):
+    """Stored totals over epochs that arrive out of order, one of them three times, before and after a merge."""
+    f = _fx(spark, sf_dir)
+    root = scratch_path(spark, "usage-totals")
+    log = f.usage_log
+    for epoch in (0, 1, 1, 4, 3, 5, 1, 2):
+        part = log.where(F.pmod("event_id", F.lit(6)) == epoch)
+        counts = part.where(F.col("charged")).groupBy(month_of(F.col("ts")).alias("month"), "payer").agg(F.count(F.lit(1)).alias("usage_count"))
+        add_to_totals(counts, root, epoch)
+    return stored_totals(spark, root)
+
+
 def q_admit(spark, sf_dir):
     return admit(_fx(spark, sf_dir).usage_log, monthly=fx.ADMIT_MONTHLY, per_payer=fx.ADMIT_PER_PAYER)
 
@@ -427,6 +478,51 @@ def q_stream_usage_batches(spark, sf_dir):
     return usage_counts(spark, f"{base}/out")
 
 
+def _crawl_epochs(spark, sf_dir) -> str:
+    """ST2/K6: ten epochs of the crawl log. Five parts of the targets on the early graph, four of them again on the
+    whole one, the first a third time on the early one; full levels are merged, replaced parts removed."""
+    f = _fx(spark, sf_dir)
+
+    def write(path: str) -> None:
+        for epoch in range(10):
+            part = F.pmod("s_suppkey", F.lit(5)) == (0 if epoch == 9 else epoch % 5)
+            write_crawl_epoch(path, epoch, [dict(targets=f.supplier_targets(part), vertices=f.vertices,
+                                                 edges=f.edges if 5 <= epoch < 9 else f.early_edges, release=fx.REL3, as_of=fx.STREAM_AT)])
+        vacuum_crawl_log(spark, path, keep_seconds=0)
+
+    return write_once(spark, f.shared_root("crawl-epochs"), write)
+
+
+def q_crawl_epochs(spark, sf_dir):
+    return read_crawl_log(spark, _crawl_epochs(spark, sf_dir))[0]
+
+
+def q_crawl_epochs_backlinks(spark, sf_dir):
+    return read_crawl_log(spark, _crawl_epochs(spark, sf_dir))[1]
+
+
+def q_ranks_replaced(spark, sf_dir):
+    """K7: a reader that started before a replacement and one that started after it."""
+    f = _fx(spark, sf_dir)
+    root = scratch_path(spark, "ranks-replaced")
+    publish_rank_tables(root, {"ranks": f.ranks_computed})
+    before = read_published_ranks(spark, root)[0]
+    publish_rank_tables(root, {"ranks": before.where("n_hosts > 10").withColumn("dr_score", F.col("dr_score") + 1), "tranco": f.tranco_computed})
+    ranks, _, tranco = read_published_ranks(spark, root)
+    out = before.select(F.lit("before").alias("seen"), "domain", "dr_score")
+    return (out.unionByName(ranks.select(F.lit("after").alias("seen"), "domain", "dr_score"))
+            .unionByName(tranco.select(F.lit("tranco").alias("seen"), "domain", F.col("tranco_rank").cast("int").alias("dr_score"))))
+
+
+def q_ingest_summary(spark, sf_dir):
+    """A10: the run log of two ingests of the rank dump, the second with a lower limit."""
+    f = _fx(spark, sf_dir)
+    root = scratch_path(spark, "rank-ingest")
+    for limit in (f.rank_total, 100):
+        ingest_rank_dump(read_rank_lines(spark, f.rank_dump), root, limit=limit, total=f.rank_total, as_of=fx.RANKS_AT)
+    return run_log(spark, root)
+
+
 def q_stream_crawls(spark, sf_dir):
     f = _fx(spark, sf_dir)
     base = scratch_path(spark, "stream-crawls")
@@ -471,6 +567,7 @@ def q_stream_ranks_batches(spark, sf_dir):
         rows.select(line.alias("value")).write.text(f"{base}/landing/batch={i}")
         feed = spark.readStream.option("lineSep", "\n").option("recursiveFileLookup", "true").text(f"{base}/landing")
         run_rank_stream(feed, f"{base}/log", f"{base}/checkpoint", limit=total, total=total, as_of=fx.RANKS_AT)
+    fold_rank_log(spark, f"{base}/log")
     return read_rank_log(spark, f"{base}/log")
 
 
@@ -511,6 +608,9 @@ QUERIES: dict[str, Query] = {
     "key_violations": q_key_violations,
     "enrich_contacts": q_enrich_contacts,
     "contacts_to_fetch": q_contacts_to_fetch,
+    "contact_cache": q_contact_cache,
+    "contact_cache_to_fetch": q_contact_cache_to_fetch,
+    "contact_cache_folded": q_contact_cache_folded,
     "match_responses": q_match_responses,
     "match_answers": q_match_answers,
     "list_domains_ordered": q_list_domains_ordered,
@@ -521,10 +621,15 @@ QUERIES: dict[str, Query] = {
     "usage_by_month": q_usage_by_month,
     "usage_by_payer": q_usage_by_payer,
     "usage_merge": q_usage_merge,
+    "usage_totals": q_usage_totals,
     "admit": q_admit,
     "stream_usage": q_stream_usage,
     "stream_usage_batches": q_stream_usage_batches,
     "stream_ranks_batches": q_stream_ranks_batches,
+    "crawl_epochs": q_crawl_epochs,
+    "crawl_epochs_backlinks": q_crawl_epochs_backlinks,
+    "ranks_replaced": q_ranks_replaced,
+    "ingest_summary": q_ingest_summary,
     "stream_crawls": q_stream_crawls,
     "stream_crawls_backlinks": q_stream_crawls_backlinks,
     "stream_ranks": q_stream_ranks,

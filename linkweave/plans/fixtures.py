@@ -21,9 +21,9 @@ from linkweave.functions.timekeys import as_of as as_of_col
 from linkweave.operators.crawls import crawl_and_store
 from linkweave.operators.ranks import ranks_from_rows
 from linkweave.session import checkpoint_dir, literal_rows
-from linkweave.sinks.layout import write_ranks
+from linkweave.sinks import parts
+from linkweave.sinks.layout import publish_rank_tables, read_published_ranks
 from linkweave.sinks.store import latest_version, read_version, write_crawl_runs, write_once
-from linkweave.sources.tables import read_rank_tables
 
 # --- Fixture parameters (shared with the SQL oracle) -----------------------------
 PART_ID_OFFSET = 1_000_000_000_000
@@ -238,12 +238,11 @@ class Fixture:
 
     @cached_property
     def rank_tables(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """ranks, majestic and tranco written once as Parquet tables (K7) and read back."""
-        def write(path: str) -> None:
-            write_ranks(self.ranks_computed, f"{path}/ranks")
-            write_ranks(self.majestic_computed, f"{path}/majestic")
-            write_ranks(self.tranco_computed, f"{path}/tranco")
-        return read_rank_tables(self.spark, write_once(self.spark, self.shared_root("rank-tables"), write))
+        """ranks, majestic and tranco published once per session (K7) and read back."""
+        root = self.shared_root("rank-tables")
+        if not parts.current(self.spark, root).parts:
+            publish_rank_tables(root, {"ranks": self.ranks_computed, "majestic": self.majestic_computed, "tranco": self.tranco_computed})
+        return read_published_ranks(self.spark, root)
 
     @cached_property
     def recrawl(self) -> tuple[DataFrame, DataFrame]:

@@ -288,10 +288,10 @@ SELECT from_id, to_id FROM edges
 UNION ALL SELECT CAST(from_id AS BIGINT), CAST(to_id AS BIGINT)
 FROM {_values([(4, None), (5, 6)], ['from_id', 'to_id'])}"""
     sql["bucketed_edges"] = _with("edges") + f""",
-dumped AS (SELECT from_id, to_id FROM edges UNION ALL SELECT 5, 6)   -- the one malformed-looking line that parses
+dumped AS (SELECT from_id, to_id FROM edges UNION ALL SELECT 4, NULL UNION ALL SELECT 5, 6)   -- malformed-looking lines that parse
 SELECT CAST(to_id % {fx.BUCKETS} AS INTEGER) AS bucket, count(*) AS n_edges, count(DISTINCT to_id) AS n_targets,
        min(to_id) AS min_to_id, max(to_id) AS max_to_id
-FROM dumped WHERE to_id % {fx.BUCKETS} < {fx.BUCKETS // 2} GROUP BY 1"""
+FROM dumped GROUP BY 1"""
     dumped = _with("edges") + ",\ndumped AS (SELECT from_id, to_id FROM edges UNION ALL SELECT 4, NULL UNION ALL SELECT 5, 6)"
     stored = "SELECT CAST(to_id % {n} AS INTEGER) AS bucket, from_id, to_id FROM dumped"
     sql["stored_vertices"] = sql["scan_vertices_text"]
@@ -466,6 +466,12 @@ FROM j"""
 SELECT c.first_name, c.last_name, c.domain FROM contacts c
 WHERE NOT EXISTS (SELECT 1 FROM lookups l WHERE lower(l.first_name) = lower(c.first_name)
                   AND lower(l.last_name) = lower(c.last_name) AND lower(l.domain) = lower(c.domain))"""
+    sql["contact_cache"] = sql["enrich_contacts"]
+    sql["contact_cache_to_fetch"] = sql["contacts_to_fetch"]
+    sql["contact_cache_folded"] = _with("lookups") + """
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY lower(first_name), lower(last_name), lower(domain)
+                               ORDER BY created_at, email, confidence, title, company) AS rn FROM lookups) WHERE rn = 1"""
     sql["match_responses"] = _with("responses") + "SELECT * FROM parsed"
     sql["match_answers"] = _with("responses") + """
 SELECT nullif(m_email, '') AS email, m_email <> '' AS email_found,
@@ -499,6 +505,7 @@ SELECT month, CAST(sum(usage_count) AS BIGINT) AS usage_count FROM (
   UNION ALL
   SELECT strftime(ts, '%Y-%m'), count(*) FROM usage_log WHERE charged AND o_orderstatus = 'O' GROUP BY 1)
 GROUP BY month"""
+    sql["usage_totals"] = _with("usage_log") + "SELECT month, payer, count(*) AS usage_count FROM charged GROUP BY month, payer"
     sql["admit"] = _with("usage_log") + f""",
 payer_ok AS (
   SELECT event_id, ts, month, payer FROM (
@@ -522,6 +529,32 @@ SELECT domain, harmonic_rank, harmonic_val, pr_rank, pr_val, n_hosts, dr_score,
   SELECT a.*, {_dr('a.harmonic_rank', 't.n')} AS dr_score, {_ts(fx.RANKS_AT)} AS fetched_at,
          row_number() OVER (PARTITION BY a.domain ORDER BY a.epoch DESC) AS rn
   FROM arrived a, rank_total t WHERE a.harmonic_rank <= t.n) WHERE rn = 1"""
+    epochs = _with("vertices", "edges", "early_edges") + f""",
+targets_n AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) || '.example.com' AS target, s_suppkey % 5 IN (0, 4) AS early FROM supplier),
+targets_e AS (SELECT target FROM targets_n WHERE early),
+targets_w AS (SELECT target FROM targets_n WHERE NOT early),
+{_crawl('e', 'targets_e', 'early_edges', fx.REL3, fx.STREAM_AT)},
+{_crawl('w', 'targets_w', 'edges', fx.REL3, fx.STREAM_AT)}
+"""
+    sql["crawl_epochs"] = epochs + "SELECT * FROM c_e UNION ALL SELECT * FROM c_w"
+    sql["crawl_epochs_backlinks"] = epochs + "SELECT * FROM bl_e UNION ALL SELECT * FROM bl_w"
+    sql["ranks_replaced"] = _with("rank_rows", "rank_total", "ranks", "tranco") + """
+SELECT 'before' AS seen, domain, dr_score FROM ranks
+UNION ALL SELECT 'after', domain, dr_score + 1 FROM ranks WHERE n_hosts > 10
+UNION ALL SELECT 'tranco', domain, CAST(tranco_rank AS INTEGER) FROM tranco"""
+    literal = len(fx.RANK_LITERAL_LINES)
+    sql["ingest_summary"] = _with("rank_rows", "rank_total") + f""",
+lines AS (
+  SELECT domain, harmonic_rank FROM rank_rows
+  UNION ALL SELECT 's' || CAST(s_suppkey AS VARCHAR) || '.example.com', s_suppkey * 2 + 3 FROM supplier
+  UNION ALL SELECT domain, harmonic_rank FROM {_literal_rank_rows()}),
+runs AS (SELECT 0 AS run, n AS most FROM rank_total UNION ALL SELECT 1, 100),
+bad AS (SELECT {literal} - (SELECT count(*) FROM {_literal_rank_rows()}) AS n)
+SELECT CAST(run AS BIGINT) AS run, {_ts(fx.RANKS_AT)} AS ingested_at, count(*) + any_value(bad.n) AS rows_read, any_value(bad.n) AS malformed,
+       count(*) FILTER (harmonic_rank > most) AS over_limit,
+       count(*) FILTER (harmonic_rank <= most) - count(DISTINCT domain) FILTER (harmonic_rank <= most) AS replaced,
+       count(DISTINCT domain) FILTER (harmonic_rank <= most) AS kept
+FROM lines, runs, bad GROUP BY run"""
     sql["stream_crawls"] = _with("vertices", "edges") + f""",
 targets_s AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) || '.example.com' AS target FROM supplier),
 {_crawl('s', 'targets_s', 'edges', fx.REL3, fx.STREAM_AT)}

@@ -15,11 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.functions.timekeys import month_of
-from linkweave.operators.usage import usage_merge
+from linkweave.operators.usage import TOTAL_SCHEMA, stored_totals, usage_merge
 from linkweave.sinks import parts
 
 CALL_SCHEMA = "event_id long, payer string, month string"
-TOTAL_SCHEMA = "month string, payer string, usage_count long"
 # Beyond so many months in one batch the log is read without a month filter.
 MAX_MONTHS = 600
 
@@ -87,5 +86,4 @@ def read_calls(spark: SparkSession, out: str) -> DataFrame:
 
 def usage_counts(spark: SparkSession, out: str) -> DataFrame:
     """(month, payer, usage_count): the stored totals of all parts in force."""
-    totals = parts.read(spark, out, "totals", TOTAL_SCHEMA, parts.current(spark, out).parts)
-    return totals.groupBy("month", "payer").agg(F.sum("usage_count").cast("long").alias("usage_count"))
+    return stored_totals(spark, out)
