@@ -3,7 +3,8 @@
 Pairs are answered together: both sides resolve to their latest crawl. Your own linker
 set stands once per target, whatever the number of its pairs, and the competitor's linkers
 are anti-joined with it on (yours, linking_domain) -- a key that cannot be skewed by a
-popular target. The rest is enriched with set joins instead of one lookup per domain.
+popular target. The rest is enriched with set joins instead of one lookup per domain. Counts come from
+bitmaps of linker ids (``gap_summary``).
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from linkweave.functions.scores import authority_or_null
 from linkweave.operators.crawls import latest_crawl
 from linkweave.operators.enrich import with_majestic, with_tranco
 from linkweave.operators.joins import broadcast_when, is_small
+from linkweave.session import materialize
 
 PAIR = ["yours", "competitor"]
 
@@ -79,22 +81,58 @@ def order_gap(df: DataFrame) -> DataFrame:
     return df.orderBy(*PAIR, F.desc(F.coalesce(F.col("num_hosts"), F.lit(0))), "domain")
 
 
+def linker_sets(resolved: DataFrame, backlinks: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
+    """(sizes, bitmaps) of the linker sets of all targets on either side, from one scan of the backlinks.
+
+    ``sizes(target, size)``: linkers of every target. ``bitmaps(target, bucket, bits)``: those linkers that link to
+    another target of the list as well, as bitmaps of 32,768 ids; only they can be common to two sets. Ids
+    are given in order of popularity, so most sets lie in the first few buckets.
+    """
+    side = lambda s: resolved.select(F.col(s).alias("target"), F.col(f"{s}_release").alias("target_release"))
+    wanted = side("yours").union(side("competitor")).distinct()
+    links = materialize(_linkers(wanted, backlinks, "target", ["linking_domain"], small)
+                        .select("target", "linking_domain").distinct(), "gap-links")
+    sizes = links.groupBy("target").agg(F.count(F.lit(1)).alias("size"))
+    shared = links.groupBy("linking_domain").agg(F.count(F.lit(1)).alias("targets")).where("targets > 1")
+    order = [F.desc("targets"), F.asc("linking_domain")]
+    # numbers without gaps inside a partition; written once, so that every reader sees the same numbers
+    ids = materialize(shared.repartitionByRange(*order).sortWithinPartitions(*order)
+                      .select("linking_domain", F.monotonically_increasing_id().alias("id")), "gap-ids")
+    bits = (links.join(ids, "linking_domain").groupBy("target", F.bitmap_bucket_number("id").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits")))
+    return sizes, materialize(bits, "gap-bitmaps")
+
+
 def gap_summary(pairs: DataFrame, crawls: DataFrame, backlinks: DataFrame) -> DataFrame:
     """Q3 header (A2, A3): set sizes and gap count per resolvable pair.
 
-    Set sizes are counted once per target and side, the gap once per pair.
+    The gap is the competitor's set without what both have, and both have ``|own| + |theirs| - |own or theirs|``: a pair
+    costs one bitmap union per bucket, not a copy of its linkers' names.
     """
     resolved, small = resolve_pairs(pairs, crawls)
-
-    def sizes(side: str, name: str) -> DataFrame:
-        return own_linkers(resolved, backlinks, side, small).groupBy(side).agg(F.count(F.lit(1)).alias(name))
-
-    gaps = (gap_rows(resolved, backlinks, small).select(*PAIR, "linking_domain").distinct()
-            .groupBy(*PAIR).agg(F.count(F.lit(1)).alias("gap_count")))
-    out = (resolved.select(*PAIR).join(sizes("yours", "your_backlinks"), "yours", "left")
-           .join(sizes("competitor", "competitor_backlinks"), "competitor", "left").join(gaps, PAIR, "left"))
-    return out.select(*PAIR, *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-                               for c in ("your_backlinks", "competitor_backlinks", "gap_count")])
+    resolved = materialize(resolved, "gap-pairs")
+    sizes, bitmaps = linker_sets(resolved, backlinks, small)
+    asked = broadcast_when(resolved.select(*PAIR), small)
+    either = None
+    for side in PAIR:
+        part = bitmaps.withColumnRenamed("target", side).join(asked, side).select(*PAIR, "bucket", "bits")
+        either = part if either is None else either.union(part)
+    union = (either.groupBy(*PAIR, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+             .groupBy(*PAIR).agg(F.sum(F.bitmap_count("bits")).alias("either")))
+    shared = bitmaps.groupBy("target").agg(F.sum(F.bitmap_count("bits")).alias("shared"))
+    sets = materialize(sizes.join(shared, "target", "left").select("target", "size", F.coalesce("shared", F.lit(0)).alias("shared")), "gap-sets")
+
+    def of(side: str, prefix: str) -> DataFrame:
+        return sets.select(F.col("target").alias(side), F.col("size").alias(f"{prefix}_size"), F.col("shared").alias(f"{prefix}_shared"))
+
+    out = (resolved.select(*PAIR).join(of("yours", "own"), "yours", "left").join(of("competitor", "their"), "competitor", "left")
+           .join(union, PAIR, "left"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    common = n("own_shared") + n("their_shared") - n("either")
+    # a pair of a target with itself has everything in common, also the linkers that no other target has
+    gap_count = F.when(F.col("yours") == F.col("competitor"), F.lit(0)).otherwise(n("their_size") - common)
+    return out.select(*PAIR, n("own_size").cast("long").alias("your_backlinks"), n("their_size").cast("long").alias("competitor_backlinks"),
+                      gap_count.cast("long").alias("gap_count"))
 
 
 def gap_missing(pairs: DataFrame, crawls: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ Plan shape at scale; every target list, short or long, takes the same joins:
     bucket directories are read;
   * the inbound edges are written once and, when few enough, broadcast past a
     single scan of the vertex table (which is never shuffled or broadcast).
-A list beyond the bound takes the same joins as shuffle joins (AQE splits skew).
+A list beyond the bound takes the same joins as shuffle joins (AQE splits skew), the vertices
+reduced by a bit filter of the linker ids; a handful of names also goes into the scan as literals.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from linkweave.session import materialize
 DEFAULT_BUCKETS = 1000
 # Directories of the stored vertex table, by a hash of the reversed name (a constant of the layout).
 NAME_BUCKETS = 128
+# Lists of so few names are pushed into the scan as literals (Spark pushes an IN of up to ten values).
+MAX_LITERAL_NAMES = 10
+# Size of the bit filter on linker ids: 2 ** 20 rows of 64 bits at most.
+FILTER_BITS = 26
 
 
 def bucket_of(id_col, n: int = DEFAULT_BUCKETS):
@@ -49,6 +54,11 @@ def resolve_targets(targets: DataFrame, vertices: DataFrame,
         on = ["name_bucket", "rev_domain"]
         t = t.withColumn("name_bucket", name_bucket_of(F.col("rev_domain")))
     v = vertices.select(F.col("id").alias("target_id"), *on)
+    named = [r.rev_domain for r in t.select("rev_domain").limit(MAX_LITERAL_NAMES + 1).collect()]
+    if len(named) <= MAX_LITERAL_NAMES:
+        # A handful of names goes to the scan as literals: row groups whose Bloom filter (see
+        # ``sinks.layout.write_vertices``) holds none of them are not read.
+        v = v.where(F.col("rev_domain").isin(named))
     t = broadcast_when(t, is_small(targets, max_broadcast_rows) if small is None else small)
     return v.join(t, on).select("target", "target_id")
 
@@ -73,6 +83,23 @@ def edges_into(edges: DataFrame, resolved: DataFrame, n_buckets: int = DEFAULT_B
     return e.join(r, cond).select("target", "from_id")
 
 
+def only_listed(df: DataFrame, column: str, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """``df`` without most of the rows whose ``column`` is not among ``ids`` (one column of that name).
+
+    A filter of ``2 ** bits`` bits, one per hash of an id, as rows of 64 bits each: at most ``2 ** (bits - 6)`` rows, so its
+    broadcast is bounded whatever the number of ids. Rows that pass by chance are left to the join that
+    follows; a filter that would be half full or more is not made.
+    """
+    if ids.select(F.approx_count_distinct(column)).first()[0] > 1 << (bits - 1):
+        return df
+    place = F.pmod(F.xxhash64(column), F.lit(1 << bits))
+    bit = place.bitwiseAND(F.lit(63))
+    words = (ids.select(F.shiftright(place, 6).alias("_word"), bit.cast("int").alias("_bit"))
+             .groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits")))
+    kept = df.withColumns({"_word": F.shiftright(place, 6), "_bit": bit.cast("int")}).join(F.broadcast(words), "_word")
+    return kept.where(F.getbit(F.col("_bits"), F.col("_bit")) == 1).select(*df.columns)
+
+
 def bucket_range(edges: DataFrame, first: int, end: int) -> DataFrame:
     """Edges of buckets first <= bucket < end (a partition filter on a bucketed store)."""
     return edges.where(F.col("bucket").between(first, end - 1))
@@ -88,18 +115,20 @@ def inbound(edges: DataFrame, vertices: DataFrame, targets: DataFrame,
 
     The target list and the resolved ids are counted one after the other (a name may
     have several ids). Beyond the bound, the inbound edges meet the vertices in a
-    shuffle join on the linker id.
+    shuffle join on the linker id, from which a bit filter keeps nearly all vertices that link to no target.
     """
     small = is_small(targets, max_broadcast_rows)
     resolved = resolve_targets(targets, vertices, max_broadcast_rows, small)
     into = edges_into(edges, resolved, n_buckets, max_broadcast_rows, None if small else False)
     v = vertices.select(F.col("id").alias("from_id"), "rev_domain", "num_hosts")
-    if small:
-        # Few targets: materialise their inbound edges once (a table in the shared
-        # checkpoint folder), then stream the vertex table past them when they are few enough
-        # to broadcast -- the 1e8-row vertex table is then scanned once and never shuffled.
-        into = materialize(into, "inbound-edges")
-        into = broadcast_when(into, into.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows)
+    # The inbound edges are written once (a table in the shared checkpoint folder). When they are few
+    # enough to broadcast, the vertex table streams past them: scanned once and never shuffled. Beyond that
+    # it is reduced to the linkers by a bit filter before it is shuffled.
+    into = materialize(into, "inbound-edges")
+    few = into.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
+    into = broadcast_when(into, few)
+    if not few:
+        v = only_listed(v, "from_id", into.select("from_id"))
     joined = into.join(v, "from_id")
     return (joined.groupBy("target", reverse_domain(F.col("rev_domain")).alias("linking_domain"))
             .agg(F.max("num_hosts").alias("num_hosts")))

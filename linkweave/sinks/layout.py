@@ -61,15 +61,22 @@ def _writer(df: DataFrame, mode: str, path: str | None = None):
     return w
 
 
+def _with_bloom(writer, column: str):
+    """A Parquet Bloom filter on ``column``, as large as the row group's values need."""
+    return (writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+            .option(f"parquet.bloom.filter.adaptive.enabled#{column}", "true"))
+
+
 def write_vertices(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """K1: vertices as ZSTD Parquet under ``name_bucket=<hash of the name>/``, sorted by rev_domain.
 
     A join on (name_bucket, rev_domain) reads only the directories of the names asked for,
-    and row groups that cannot hold them are skipped by their minimum and maximum.
+    and row groups that cannot hold them are skipped by their minimum and maximum. Names given as
+    literals are also looked up in a Bloom filter per row group, so a name that is not there costs footers only.
     """
     v = df.select("id", "rev_domain", "num_hosts", name_bucket_of(F.col("rev_domain")).alias("name_bucket"))
     v = v.hint("rebalance", "name_bucket").sortWithinPartitions("name_bucket", "rev_domain")
-    _writer(v, mode, path).partitionBy("name_bucket").parquet(path)
+    _with_bloom(_writer(v, mode, path), "rev_domain").partitionBy("name_bucket").parquet(path)
 
 
 def with_bucket(edges: DataFrame, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
@@ -144,7 +151,7 @@ def compact(df: DataFrame, path: str, by: str = "bucket", mode: str = "errorifex
 
 def write_ranks(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K7: (re)create a rank table; sorted by domain so domain lookups prune row groups."""
-    _writer(df.repartitionByRange("domain").sortWithinPartitions("domain"), mode, path).parquet(path)
+    _with_bloom(_writer(df.repartitionByRange("domain").sortWithinPartitions("domain"), mode, path), "domain").parquet(path)
 
 
 RANK_TABLES = {"ranks": RANKS_SCHEMA, "majestic": MAJESTIC_SCHEMA, "tranco": TRANCO_SCHEMA}
@@ -161,8 +168,8 @@ def publish_rank_tables(root: str, tables: dict[str, DataFrame]) -> parts.Manife
 
     def write(name: str) -> None:
         for table, df in tables.items():
-            (df.select(*RANK_TABLES[table].fieldNames()).repartitionByRange("domain").sortWithinPartitions("domain")
-             .write.option("compression", "zstd").parquet(parts.folder(root, table, name)))
+            rows = df.select(*RANK_TABLES[table].fieldNames()).repartitionByRange("domain").sortWithinPartitions("domain")
+            _with_bloom(rows.write.option("compression", "zstd"), "domain").parquet(parts.folder(root, table, name))
 
     return parts.replace(spark, root, write)
 
