@@ -18,8 +18,7 @@ ESCAPE = 15
 # Fixed values of the format: values per word and bits per value of selectors 0 to 14.
 COUNTS = np.array([120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
-NARROW = 7  # the selectors up to this one hold NARROW_COUNT values or more
-NARROW_COUNT = int(COUNTS[NARROW])
+NARROW = 7  # the selectors up to this one hold eight values or more
 _U = np.uint64
 
 
@@ -45,6 +44,21 @@ def _fitting(bits: np.ndarray, here: np.ndarray, window: int, selectors: range)
     return choice
 
 
+def _everywhere(bits: np.ndarray, n: int) -> np.ndarray:
+    """``_fitting`` for the selectors from ``NARROW`` on at all of the first ``n`` places, by maxima over windows of doubled length."""
+    window = {1: bits}
+    for size in (2, 4, 8):
+        half = window[size // 2]
+        window[size] = np.maximum(half[:-(size // 2)], half[size // 2:])
+    choice = np.full(n, ESCAPE, np.uint8)
+    for s in reversed(range(NARROW, len(WIDTHS))):
+        count = int(COUNTS[s])
+        size = 1 << (count.bit_length() - 1)
+        widest = np.maximum(window[size][:n], window[size][count - size:count - size + n])
+        np.copyto(choice, np.uint8(s), where=widest <= WIDTHS[s])
+    return choice
+
+
 def block_bounds(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, sequence) of every block of sequences that lie one after the other."""
     n = -(-lengths // BLOCK)
@@ -63,9 +77,10 @@ def encode(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     steps = []
     p, live = start.copy(), np.arange(len(start))
     n_words = np.zeros(len(start), np.int64)
+    fits = _everywhere(bits, len(values))
     while len(live):  # the next word of every block that has values left
         here, stop = p[live], end[live]
-        choice = _fitting(bits, here, NARROW_COUNT, range(NARROW, len(WIDTHS)))
+        choice = fits[here].astype(np.int64)
         dense = np.flatnonzero(choice == NARROW)  # as many as fit there: look further ahead
         if len(dense):
             choice[dense] = _fitting(bits, here[dense], int(COUNTS[0]), range(NARROW + 1))

@@ -37,6 +37,7 @@ from linkweave.llm.words import PIECE, buffers, give_back, list_column, pieces,
 RECORD = ("doc_id bigint, shard int, shard_start bigint, n_tokens bigint, "
           "block_words array<int>, words binary, wide binary")
 KNOWN_PIECES = 1_200_000
+SLOTS = 1 << 22
 
 _L, _N, _S, _O, _X = 0, 1, 2, 3, 4
 _CLASS = np.full(256, _X, np.uint8)
@@ -88,7 +89,8 @@ def _piece_starts(raw: np.ndarray, c: np.ndarray, offsets: np.ndarray) -> np.nda
 
 
 class PieceTable:
-    """Ids of pre-tokens seen so far, filled through the tokenizers library and emptied when it grows too large."""
+    """Ids of pre-tokens seen so far, filled through the tokenizers library; when it grows too large, only those
+    that more than one batch has asked for are kept."""
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
@@ -100,58 +102,107 @@ class PieceTable:
         self.opens[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True
         self.clear()
 
-    def clear(self) -> None:
-        self.rows: dict[int, int] = {}
-        self.first = np.zeros(1 << 16, np.int64)
-        self.count = np.zeros(1 << 16, np.int64)
+    def clear(self, room: int = 0) -> None:
+        self._index(np.zeros(0, np.uint64), room)
+        self.first, self.count, self.asked = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint8)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
+    def _index(self, hashes: np.ndarray, room: int = 0) -> None:
+        """An open-addressing table from the hashes to the rows 0, 1, ..., with room for so many more."""
+        self.hashes = hashes
+        size = max(SLOTS, 1 << (2 * room).bit_length())
+        self.slots, self.slot_rows = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+        self._enter(hashes, np.arange(len(hashes), dtype=np.int32))
+
+    def _enter(self, hashes: np.ndarray, rows: np.ndarray) -> None:
+        mask = len(self.slots) - 1
+        at = (hashes & np.uint64(mask)).astype(np.int64)
+        while len(hashes):
+            free = self.slots[at] == 0
+            self.slots[at[free]] = hashes[free]  # of several that want one slot the last one gets it
+            got = self.slots[at] == hashes
+            self.slot_rows[at[got]] = rows[got]
+            hashes, rows, at = hashes[~got], rows[~got], (at[~got] + 1) & mask
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of every hash, -1 where it is not known."""
+        out = np.full(len(hashes), -1, np.int32)
+        mask = len(self.slots) - 1
+        at = (hashes & np.uint64(mask)).astype(np.int64)
+        live = np.arange(len(hashes))
+        while len(live):
+            seen = self.slots[at]
+            hit = seen == hashes[live]
+            out[live[hit]] = self.slot_rows[at[hit]]
+            on = ~hit & (seen != 0)
+            live, at = live[on], (at[on] + 1) & mask
+        return out
+
+    def _make_room(self) -> None:
+        kept = np.flatnonzero(self.asked > 1)
+        if len(kept) > KNOWN_PIECES // 2:
+            return self.clear()
+        n = self.count[kept].astype(np.int64)
+        self.flat = self.flat[np.repeat(self.first[kept] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        self.first, self.count, self.asked, self.used = np.cumsum(n) - n, self.count[kept], np.ones(len(kept), np.uint8), len(self.flat)
+        self._index(self.hashes[kept])
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: list[int], texts: list[bytes]) -> None:
-        plain = [t.decode() for t in texts]
-        spaced = [t[0] == " " and t[1:].isalpha() for t in plain]
-        run = [i for i, ok in enumerate(spaced) if ok]
+    def _learn(self, hashes: np.ndarray, texts: list[bytes], word: np.ndarray) -> None:
+        """Add pieces; ``word``: a space and letters."""
+        run = np.flatnonzero(word)
         # many " word" pieces in one call: the space starts a pre-token and stands nowhere else in it
-        joined = ["".join(plain[i] for i in run[lo:lo + 1000]) for lo in range(0, len(run), 1000)]
+        joined = [b"".join([texts[i] for i in run[lo:lo + 1000].tolist()]).decode() for lo in range(0, len(run), 1000)]
         flat = np.fromiter(chain.from_iterable(self.encode(joined)), np.uint32)
         first = np.flatnonzero(self.opens[flat])
         if len(first) != len(run):
-            run, flat, first = [], flat[:0], first[:0]
-        alone = [i for i, ok in enumerate(spaced) if not ok] if run else list(range(len(plain)))
-        other = self.encode([plain[i] for i in alone])
+            run, flat, first = run[:0], flat[:0], first[:0]
+        alone = np.flatnonzero(~word) if len(run) else np.arange(len(texts))
+        other = self.encode([texts[i].decode() for i in alone.tolist()])
         n = np.concatenate([np.diff(np.append(first, len(flat))), np.fromiter(map(len, other), np.int64, len(other))])
         flat = np.concatenate([flat, np.fromiter(chain.from_iterable(other), np.uint32)])
-        k, total = len(self.rows), len(flat)
-        while len(self.first) < k + len(keys):
-            self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
-        while len(self.flat) < self.used + total:
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used:self.used + total] = flat
-        self.count[k:k + len(keys)] = n
-        self.first[k:k + len(keys)] = self.used + np.cumsum(n) - n
-        self.rows.update(zip([keys[i] for i in chain(run, alone)], range(k, k + len(keys))))
-        self.used += total
-
-    def ids(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces, ids per piece)."""
-        h, at, back = np.unique(span_hashes(raw, starts, ends, lower=False), return_index=True, return_inverse=True)
-        keys = h.tolist()
-        if len(self.rows) + len(keys) > KNOWN_PIECES:
-            self.clear()
-        known = self.rows
-        missing = [i for i, k in enumerate(keys) if k not in known]
-        if missing:
-            data = raw.tobytes()
-            s, e = starts[at[missing]].tolist(), ends[at[missing]].tolist()
-            self._learn([keys[i] for i in missing], [data[a:b] for a, b in zip(s, e)])
-        row = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))[back]
-        n = self.count[row]
+        while len(self.flat) < self.used + len(flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat) + 1)
+        self.flat[self.used:self.used + len(flat)] = flat
+        order = np.concatenate([run, alone])
+        self._enter(hashes[order], (len(self.count) + np.arange(len(order))).astype(np.int32))
+        self.hashes = np.append(self.hashes, hashes[order])
+        self.first = np.append(self.first, self.used + np.cumsum(n) - n)
+        self.count = np.append(self.count, n.astype(np.int32))
+        self.asked = np.append(self.asked, np.zeros(len(n), np.uint8))
+        self.used += len(flat)
+
+    def ids(self, raw: np.ndarray, c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, ids per piece); ``c``: the classes of the bytes."""
+        h = span_hashes(raw, starts, ends, lower=False)
+        h[h == 0] = 1  # 0 marks a free slot
+        for make_room in (self._make_room, lambda: self.clear(len(h)), None):
+            row = self._find(h)
+            missing = np.flatnonzero(row < 0)
+            new, at = np.unique(h[missing], return_index=True)
+            if make_room is None or len(self.count) + len(new) <= KNOWN_PIECES:
+                break
+            make_room()
+        if len(new):
+            self._add(raw, c, starts, ends, new, missing[at])
+            row = self._find(h)
+        seen = np.zeros(len(self.asked), bool)
+        seen[row] = True
+        self.asked[seen] = np.minimum(self.asked[seen], 1) + 1
+        n = self.count[row].astype(np.int64)
         shift = self.first[row] - (np.cumsum(n) - n)
         return self.flat[np.repeat(shift, n) + np.arange(int(n.sum()))], n
 
+    def _add(self, raw, c, starts, ends, hashes, at) -> None:
+        data = raw.tobytes()
+        s, e = starts[at], ends[at]
+        letters = np.concatenate([[0], np.cumsum(c == _L, dtype=np.int64)])
+        word = (raw[s] == 32) & (letters[e] - letters[s] == e - s - 1) & (e - s > 1)
+        self._learn(hashes, [data[a:b] for a, b in zip(s.tolist(), e.tolist())], word)
+
 
 _TABLES: dict[str, PieceTable] = {}
 
@@ -186,7 +237,7 @@ def encode_column(col: pa.Array, tokenizer_file: str, end_id: int) -> tuple[np.n
         quick, at = raw, offsets
     if len(quick):
         starts = _piece_starts(quick, c, at)
-        ids, n = table.ids(quick, starts, np.append(starts[1:], len(quick)))
+        ids, n = table.ids(quick, c, starts, np.append(starts[1:], len(quick)))
         total = np.concatenate([[0], np.cumsum(n)])
         lengths = np.diff(total[np.searchsorted(starts, at, side="left")])
     else:

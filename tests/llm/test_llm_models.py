@@ -299,3 +299,16 @@ def test_token_records_round_trip(spark, tmp_dir):
     assert all(zlib.crc32(np.array(ids[d, n], "<u4").tobytes()) == c for d, _, n, c in want)
     token_output.write_tokens(H.empty_documents(spark), f"{tmp_dir}/none", tokenizer_file())
     assert token_output.digests(spark.read.parquet(f"{tmp_dir}/none")).count() == 0
+
+
+def test_piece_table_makes_room(monkeypatch):
+    texts = pa.array([" ".join(f"word{chr(97 + i % 26)}{chr(97 + j % 26)}{'x' * (i % 3)} don't {i * j}" for j in range(30)) for i in range(40)])
+    want, n_want = token_output.encode_column(texts, tokenizer_file(), 0)
+    for known, slots in ((60, 256), (3, 16), (100_000, 1 << 18)):
+        monkeypatch.setattr(token_output, "KNOWN_PIECES", known)
+        monkeypatch.setattr(token_output, "SLOTS", slots)
+        monkeypatch.setattr(token_output, "_TABLES", {})
+        parts = [token_output.encode_column(texts[i:i + 4], tokenizer_file(), 0) for i in range(0, 40, 4)]
+        assert np.array_equal(np.concatenate([p[0] for p in parts]), want) and np.array_equal(np.concatenate([p[1] for p in parts]), n_want)
+        table = token_output.piece_table(tokenizer_file())
+        assert len(table.count) <= max(known, 500)
