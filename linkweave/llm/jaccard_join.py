@@ -20,9 +20,9 @@ breaks the ties and makes the Voronoi regions.
   compared. A larger region takes its smallest member as pivot document and links
   what lies within reach of it; members that are by then in one component need no
   further comparison (a link between them changes nothing). A region with more than one
-  component takes further pivots, one a round, from outside its largest component. What
-  is still open after ``ROUNDS`` rounds is cut into blocks, and block pairs are joined, each in
-  a task of its own, on pairs across components only.
+  component takes further pivots from outside its largest component, ``PIVOTS`` a round, each
+  from a component of its own. What is still open after ``ROUNDS`` rounds is cut into blocks, and block
+  pairs are joined, each in a task of its own, on pairs across components only, with all windows inside the task.
 * Equal sets form one class before anything is joined; a class is one node.
 
 A document without words links with nothing. Rows that repeat a ``doc_id`` follow their
@@ -39,17 +39,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkweave.llm.tables import FILTER_BITS, components, filter_place, id_filter, passes
+from linkweave.llm.tables import FILTER_BITS, filter_place, id_filter, joined_components, passes
 from linkweave.llm.words import list_column, mix64, pieces, shingles, signed, word_hashes
 from linkweave.session import materialize
 
 ORDER_BITS = 18
 BINS = 256
 BINNED = 400
-ROUNDS = 4
+ROUNDS = 2
+PIVOTS = 8
 SMALL = 48
 BLOCK = 256
 _U = np.uint64
@@ -179,11 +180,13 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int, name: str) -> DataFr
 
     read = (docs.where("doc_id IS NOT NULL").withColumn("place", filter_place("doc_id"))
             .mapInArrow(scan, "node bigint, shingle_set array<bigint>"))
-    return materialize(read.join(nodes.select("node").distinct(), "node", "left_semi"), name)
+    out = materialize(read.join(nodes.select("node").distinct(), "node", "left_semi"), name)
+    shared.destroy()
+    return out
 
 
 def shared_rows(placed: DataFrame, shared: DataFrame) -> DataFrame:
-    """``(region, node, members)`` of the regions with more than one member.
+    """``(region, node, n, par*, members)`` of the regions with more than one member, written once.
 
     Most pivots are alone in their region. A filter of fixed size keeps those rows out of the
     shuffle (a region is a hash already, so its low bits are its place); the join leaves out
@@ -201,7 +204,10 @@ def shared_rows(placed: DataFrame, shared: DataFrame) -> DataFrame:
             node = b.column("node").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(region[keep]), pa.array(node[row[keep]])], ["region", "node"])
 
-    return placed.select("node", "pivots").mapInArrow(scan, "region bigint, node bigint").join(shared, "region")
+    rows = placed.select("node", "pivots").mapInArrow(scan, "region bigint, node bigint").join(shared, "region")
+    out = materialize(rows.join(placed.select("node", "n", *PARITY), "node"), "jaccard-met")
+    bits.destroy()
+    return out
 
 
 def open_regions(many: DataFrame, found: DataFrame) -> DataFrame:
@@ -214,10 +220,13 @@ def open_regions(many: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def star_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """The next pivot document of every open region, a member outside its largest component, against the members that
-    are not yet in the pivot's component."""
-    pivot = (rows.where("component <> main").groupBy("region")
-             .agg(F.min_by("node", F.struct(F.xxhash64("node"), F.col("node"))).alias("pivot")))
+    """The next pivot documents of every open region, members of different components outside its largest one, against
+    the members that are not yet in the pivot's component."""
+    by_part = (rows.where("component <> main").groupBy("region", "component")
+               .agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node"))).alias("first")))
+    order = Window.partitionBy("region").orderBy("first")
+    pivot = (by_part.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PIVOTS)
+             .select("region", F.col("first.node").alias("pivot")))
     centre = (rows.join(pivot, "region").where("node = pivot")
               .select("region", *[F.col(c).alias(f"o_{c}") for c in ("node", "component", "n", *PARITY)]))
     met = rows.join(centre, "region").where("component <> o_component").where(within_windows(num, den))
@@ -225,9 +234,10 @@ def star_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def block_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs across components inside regions: ``members(region, node, component, n, par*, blocks)``.
+    """Pairs across components inside regions: ``members(region, node, component, n, par*, bins, blocks)``.
 
-    A region of ``blocks`` blocks becomes block pairs, so a task holds two blocks at most.
+    A region of ``blocks`` blocks becomes block pairs, so a task holds two blocks at most. Pairs outside the size, parity or
+    bin windows never leave the task.
     """
     import pandas as pd
 
@@ -235,7 +245,7 @@ def block_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     spread = (members.withColumn("own", own)
               .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
               .select("region", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
-                      "own", "node", "component", "n", *PARITY))
+                      "own", "node", "component", "n", *PARITY, "bins"))
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
         lo, hi = part["lo"].iloc[0], part["hi"].iloc[0]
@@ -245,6 +255,8 @@ def block_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
         size = [x["n"].to_numpy() for x in (left, right)]
         comp = [x["component"].to_numpy() for x in (left, right)]
         node = [x["node"].to_numpy() for x in (left, right)]
+        binned = [np.array([len(v) > 0 for v in x["bins"]], bool) for x in (left, right)]
+        bins = [np.stack([v if len(v) else np.zeros(BINS, np.int32) for v in x["bins"]]) if len(x) else None for x in (left, right)]
         a, b = [], []
         for i in range(len(left)):
             total = size[0][i] + size[1]
@@ -252,6 +264,9 @@ def block_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
             ok = ((comp[1] != comp[0][i]) & (den * np.minimum(size[0][i], size[1]) >= num * np.maximum(size[0][i], size[1]))
                   & ((den + num) * apart <= (den - num) * total))
             j = np.flatnonzero(ok)
+            if binned[0][i] and len(j):
+                far = (den + num) * np.abs(bins[1][j] - bins[0][i]).sum(axis=1, dtype=np.int64) > (den - num) * total[j]
+                j = j[~(far & binned[1][j])]
             a.append(np.full(len(j), node[0][i]))
             b.append(node[1][j])
         a, b = np.concatenate(a) if a else np.zeros(0, np.int64), np.concatenate(b) if b else np.zeros(0, np.int64)
@@ -278,7 +293,7 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
         .withColumnRenamed("doc_id", "node"), "jaccard-replicas")
     shared = materialize(placed.select(F.explode("pivots").alias("region")).groupBy("region")
                          .agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "jaccard-shared")
-    met = materialize(shared_rows(placed, shared).join(placed.select("node", "n", *PARITY), "node"), "jaccard-met")
+    met = shared_rows(placed, shared)
 
     other = [F.col(c).alias(f"o_{c}") for c in ("node", "n", *PARITY)]
     few = met.where(F.col("members") <= small)
@@ -290,17 +305,15 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     star = (many.join(centre, "region").where("node > o_node").where(within_windows(num, den))
             .select(F.col("node").alias("a"), F.col("o_node").alias("b")))
     pairs = materialize(within_bins(close.union(star).distinct(), placed, num, den).distinct(), "jaccard-pairs")
-    links, sets, found = None, None, None
+    sets, found = None, None
 
     def compare(pairs: DataFrame, name: str) -> None:
-        """Verify the pairs, reading only sets that are not at hand yet, and join the components anew."""
-        nonlocal links, sets, found
+        """Verify the pairs, reading only sets that are not at hand yet, and join the components by the new links."""
+        nonlocal sets, found
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         fresh = shingle_sets(docs, ends if sets is None else ends.join(sets.select("node"), "node", "left_anti"), k, f"jaccard-sets-{name}")
         sets = fresh if sets is None else sets.union(fresh)
-        new = verified(pairs, sets, num, den, f"jaccard-links-{name}")
-        links = new if links is None else links.union(new)
-        found = materialize(components(links, f"jaccard-components-{name}"), f"jaccard-found-{name}")
+        found = joined_components(found, verified(pairs, sets, num, den, f"jaccard-links-{name}"), f"jaccard-components-{name}")
 
     compare(pairs, "first")
     for i in range(ROUNDS):
@@ -311,9 +324,8 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
         compare(pairs, f"star-{i}")
 
     blocks = F.ceil(F.col("members") / F.lit(block)).cast("bigint")
-    rest = open_regions(many, found).withColumn("blocks", blocks)
-    across = materialize(within_bins(block_pairs(rest, num, den).where("a <> b").distinct(), placed, num, den).distinct(),
-                         "jaccard-across")
+    rest = open_regions(many, found).withColumn("blocks", blocks).join(placed.select("node", "bins"), "node")
+    across = materialize(block_pairs(rest, num, den).where("a <> b").distinct(), "jaccard-across")
     if not across.isEmpty():
         compare(across, "blocks")
     known = (nodes.join(found, "node", "left")

@@ -79,12 +79,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Alternates the large-star and small-star steps; every step is a grouped
     minimum and a join, so no component is ever gathered in one task. Each round
-    is written to the shared scratch folder, which cuts the lineage.
+    is written to the shared scratch folder, which cuts the lineage. Done when no node that others
+    point to points to a smaller one itself.
     """
     cur = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                       .distinct(), f"{name}-0")
-    before = None
     for i in range(1, 200):
+        # stars: every node points to one node, which points nowhere
+        low = cur.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("far"))
+        if low.where("m <> far").isEmpty() and cur.join(low.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            break
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         large = (both.where("v > u").join(low, "u")
@@ -94,10 +98,21 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
                  .union(down.select("u", F.col("m").alias("v")))
                  .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
         cur = materialize(small, f"{name}-{i}")
-        now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    nodes = cur.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+    else:
+        raise RuntimeError("components have not settled in 199 rounds")
+    nodes = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = nodes.select(F.col("component").alias("node"), "component").distinct()
     return nodes.union(roots)
+
+
+def joined_components(found: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
+    """Components ``(node, component)`` after more ``links(a, b)``: only the components so far are joined, not their nodes."""
+    if found is None:
+        return materialize(components(links, name), f"{name}-found")
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    known = found.union(ends.join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
+    of = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    joined = components(between, name).select(F.col("node").alias("component"), F.col("component").alias("smallest"))
+    return materialize(known.join(joined, "component", "left").select("node", F.coalesce("smallest", "component").alias("component")),
+                       f"{name}-found")
