@@ -13,7 +13,8 @@ columns of ``documents``:
 5. ``token_output``: the ids of what is left as Simple-8b records, and per document its position,
    length and checksum, decoded from the records.
 
-An empty table passes all stages. ``run(spark, sf_dir)`` applies them to ``documents``.
+An empty table passes all stages. Null and empty texts go with stage 1; texts of any length are worked on whole; other
+columns, whatever their names, stay until stage 5. ``run(spark, sf_dir)`` applies the stages to ``documents``.
 Scratch tables of a stage are deleted when the next one starts, as its result is written by then.
 """
 
@@ -37,9 +38,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = jaccard_join.jaccard_classes(docs, k=5, num=80, den=100)
     first = classes.where("doc_id = component_id").select("doc_id").distinct()
+    name = "pipeline_nth"
+    while name in docs.columns:
+        name += "_"
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    once = docs.join(first, "doc_id", "left_semi").withColumn("pipeline_nth", nth).where("pipeline_nth = 1")
-    return once.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    once = docs.join(first, "doc_id", "left_semi").withColumn(name, nth).where(F.col(name) == 1)
+    return once.select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
