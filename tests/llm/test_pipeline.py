@@ -88,3 +88,12 @@ def test_run(spark):
     assert 0 < len(rows) < 200 and rows[0].start == 0 and all(a.doc_id < b.doc_id for a, b in zip(rows, rows[1:]))
     digest = lambda rows: hashlib.sha256(repr([tuple(r) for r in rows]).encode()).hexdigest()
     assert digest(corpus_pipeline.run(spark, SF).orderBy("start").collect()) == digest(rows)
+
+
+def test_near_duplicates_keep_any_column_names(spark):
+    data = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, "another text of a few words here"), (None, "a b c d e f g")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "doc_id AS pipeline_nth", "text AS `a.b`", "1 AS `c``d`")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(map(str, out.collect())) == sorted(
+        str(r) for r in docs.distinct().collect() if r.doc_id != 2)
