@@ -1,7 +1,6 @@
 """Jaccard join, chunk spans, decontamination, line runs and embeddings against brute force."""
 import hashlib
 import random
-import re
 from collections import Counter
 
 import helpers as H
@@ -167,7 +166,7 @@ def test_contaminated_odd_tables(spark):
 
 
 def lines_by_hand(data, min_chars, min_docs):
-    key = lambda line: H.lower(re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\Z", "", line))
+    key = lambda line: H.lower(line.strip(" \t\n\x0b\x0c\r"))
     holders = {}
     for d, t in data:
         for line in (t or "").split("\n"):
@@ -181,11 +180,11 @@ def lines_by_hand(data, min_chars, min_docs):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("batches,fanout", [(1, 2), (5, 2), (9, 3)])
-def test_line_dedup(spark, batches, fanout):
+@pytest.mark.parametrize("batches,fanout,heavy", [(1, 2, 1), (5, 2, 10_000), (9, 3, 4)])
+def test_line_dedup(spark, batches, fanout, heavy):
     data = H.rows() + [(3, "  A LINE that is long enough to be counted as a key by itself", None, None, None),
                        (None, "A line that is long enough to be counted as a key by itself", None, None, None)]
-    got = sorted(map(tuple, line_dedup.dedup_lines(H.documents(spark, data), 20, 5, batches, fanout).collect()), key=repr)
+    got = sorted(map(tuple, line_dedup.dedup_lines(H.documents(spark, data), 20, 5, batches, fanout, heavy).collect()), key=repr)
     assert got == lines_by_hand([(r[0], r[1]) for r in data], 20, 5)
     assert sum(r[2] for r in got) > 5
 
@@ -199,6 +198,31 @@ def test_line_dedup_empty_and_runs(spark):
     assert {r.key: (r.holder, r.n_docs) for r in runs.totals().collect()} == {"a": (9, 4), "b": (9, 1), "c": (8, 2), "d": (1, 1)}
 
 
+def test_line_runs_are_not_shuffled(spark):
+    runs = line_dedup.LineRuns(fanout=4)
+    batches = [spark.createDataFrame([("a", i), (str(i), i)], "key string, doc_id long") for i in (9, 8, 7)]
+    for batch in batches[:2]:
+        runs.add(batch)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the runs of a test are small
+    try:
+        plan = runs.judged(batches[2])._jdf.queryExecution().executedPlan().toString()
+        merged = runs.totals()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" in plan, plan  # the batch's distinct rows and its keys
+    assert "Exchange" not in merged, merged
+
+
+def test_line_dedup_repeated_ids_and_long_blanks(spark):
+    line = "this line stands in every one of the documents"
+    long = "x" + " " * 1_000_000 + "y"
+    data = [(i, f"{i}\n{line}\n{line.upper()}\nend", None, None, None) for i in range(6)]
+    data += [(2, f"{line}\nanother text of the same id", None, None, None), (3, data[3][1], None, None, None),
+             (7, f"{long}\n{line} \t\n" + " " * 1_000_000 + f"{line}\n", None, None, None)]
+    got = sorted(map(tuple, line_dedup.dedup_lines(H.documents(spark, data), 20, 5, 3).collect()), key=repr)
+    assert got == lines_by_hand([(r[0], r[1]) for r in data], 20, 5)
+
+
 def test_line_dedup_query_digest(spark, tmp_dir):
     from linkweave.llm.queries import op10_line_dedup
 
