@@ -16,8 +16,11 @@ size while the word table grows with the corpus and is never gathered in one pla
 * **Training.** Every Baum-Welch pass runs over all training documents: each task turns its
   blocks into expected counts, Spark sums them, the driver holds the model (states x classes).
   Sequences are document pieces of up to ``SEGMENT`` tokens, a later piece starting from a
-  distribution of its own. The first parameters come from a pilot fit on at most
-  ``2 * PILOT_DOCS`` documents (4,000 characters of each); the passes over all data follow.
+  distribution of its own. The first parameters come from the neighbouring words of all training
+  texts: their counts by coarse class (``COARSE_BITS`` bits of the hash), summed by Spark into a
+  matrix of fixed size, are factored into states by expectation-maximisation (the best of several
+  seeded starts on the driver). Passes go on until one
+  gains less than ``SETTLED`` nats a token, ``PASSES`` at most.
 * **Scoring.** A whole document is one sequence. The forward recursion runs over all pieces
   side by side, later pieces once per entering state, and the pieces are then chained, so the
   likelihood is exact and a very long text costs no more per token than a short one.
@@ -29,7 +32,7 @@ tokens every word is unknown. Words are told apart by a 64-bit hash. Other colum
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +47,11 @@ STATES = 8
 CLASS_BITS = 11
 SEGMENT = 256
 BLOCK_BYTES = 8 * PIECE
-PASSES = 3
-PILOT_DOCS = 1500
-PILOT_PASSES = 12
+PASSES = 7
+SETTLED = 0.002
+COARSE_BITS = 8
+FACTOR_ROUNDS = 200
+STARTS = 4
 GROUP = 2048
 END = np.uint64(0xE0D)
 _U = np.uint64
@@ -67,6 +72,23 @@ class Model:
         emit = (classes + 0.5) * rng.uniform(0.5, 1.5, (states, len(classes)))
         return Model(flat, flat, move, emit / emit.sum(axis=1, keepdims=True))
 
+    @staticmethod
+    def from_pairs(pairs: np.ndarray, states: int, classes: np.ndarray, seed: int = 7, rounds: int = FACTOR_ROUNDS) -> Model:
+        """States that explain counts of neighbouring coarse classes ``pairs`` (the end is the last of them).
+
+        ``pairs ~ B' J B``: ``J`` is the joint distribution of the states of neighbours, ``B`` their coarse emissions. A class
+        takes its state profile from its coarse class and its frequency from ``classes``.
+        """
+        if not pairs.sum():
+            return Model.first(states, classes, seed)
+        wide = len(pairs)
+        tried = [_factored(pairs, states, stay, seed + i, rounds) for i in range(STARTS) for stay in (0.0, 0.9)]
+        joint, emit = max(tried, key=lambda x: float((pairs * np.log(np.maximum(x[1].T @ x[0] @ x[1], 1e-300))).sum()))
+        held = joint.sum(axis=1)
+        coarse = coarse_of(np.arange(len(classes)), len(classes) - 1, wide - 1)
+        fine = (classes + 0.5) / np.bincount(coarse, weights=classes + 0.5, minlength=wide)[coarse] * emit[:, coarse]
+        return Model(held, held, joint / held[:, None], fine / fine.sum(axis=1, keepdims=True))
+
     @staticmethod
     def from_counts(counts: np.ndarray, states: int) -> Model:
         k = states
@@ -83,6 +105,27 @@ def class_of(words: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def _factored(pairs: np.ndarray, states: int, stay: float, seed: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(J, B)`` of one start; ``stay``: share of the joint distribution that starts on the diagonal."""
+    rng = np.random.default_rng(seed)
+    wide = len(pairs)
+    emit = (pairs.sum(axis=0) + pairs.sum(axis=1) + 0.5) * rng.uniform(0.5, 1.5, (states, wide))
+    emit /= emit.sum(axis=1, keepdims=True)
+    joint = (1 - stay) * rng.dirichlet(np.ones(states * states)).reshape(states, states) + stay * np.eye(states) / states
+    for _ in range(rounds):
+        ratio = pairs / np.maximum(emit.T @ joint @ emit, 1e-300)
+        grown = joint * (emit @ ratio @ emit.T) + 0.1
+        emit = emit * ((joint @ emit) @ ratio.T + (joint.T @ emit) @ ratio) + 0.01 / wide
+        emit /= emit.sum(axis=1, keepdims=True)
+        joint = grown / grown.sum()
+    return joint, emit
+
+
+def coarse_of(classes: np.ndarray, end: int, coarse_end: int) -> np.ndarray:
+    """Coarse class of every class; both ends have a class of their own behind the others."""
+    return np.where(classes == end, coarse_end, classes // max(1, end // coarse_end))
+
+
 def _segments(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first token, length, document, number in the document) of all pieces."""
     n = -(-lengths // size)
@@ -94,6 +137,12 @@ def _segments(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, n
 
 def expected_counts(model: Model, tokens: np.ndarray, lengths: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
     """Baum-Welch counts (start, resume, move, emit) of sequences that lie one after the other."""
+    return _expected(model, tokens, lengths, segment)[:-1]
+
+
+def _expected(model: Model, tokens: np.ndarray, lengths: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
+    """``expected_counts`` and, last, the log likelihood of the pieces."""
+    total = 0.0
     k, classes = model.emit.shape
     start, resume, move = np.zeros(k), np.zeros(k), np.zeros((k, k))
     emit = np.zeros((k, classes))
@@ -117,6 +166,7 @@ def expected_counts(model: Model, tokens: np.ndarray, lengths: np.ndarray, segme
             seen.append(token)
             alphas.append(state)
             scales.append(scale)
+            total += float(np.log(scale).sum())
         beta = np.ones((len(rows), k))
         gammas = [None] * steps
         for t in range(steps - 1, -1, -1):
@@ -133,7 +183,7 @@ def expected_counts(model: Model, tokens: np.ndarray, lengths: np.ndarray, segme
         token, gamma = np.concatenate(seen), np.concatenate(gammas)
         for s in range(k):
             emit[s] += np.bincount(token, weights=gamma[:, s], minlength=classes)
-    return np.concatenate([start, resume, (move * a).ravel(), emit.ravel()])
+    return np.concatenate([start, resume, (move * a).ravel(), emit.ravel(), [total]])
 
 
 def log_likelihoods(model: Model, tokens: np.ndarray, lengths: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
@@ -228,51 +278,59 @@ def _arrays(b: pa.RecordBatch | pa.Table, i: int, names: tuple[str, ...]) -> dic
     return out
 
 
-def baum_welch_pass(store: DataFrame, model: Model, bits: int) -> np.ndarray:
-    """Expected counts over all training documents: one vector per task, summed by Spark."""
-    shared = store.sparkSession.sparkContext.broadcast(model)
+def _summed(store: DataFrame, count: Callable[[np.ndarray, np.ndarray], np.ndarray], bits: int, size: int) -> np.ndarray:
+    """``count(classes, lengths)``, a vector of ``size`` numbers, of all training documents: one vector per task, summed by Spark."""
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total = np.zeros(size)
         for b in batches:
             for i in range(b.num_rows):
                 tokens, lengths = _training(_arrays(b, i, ("held", "lengths", "vocab", "seq")), bits)
                 if len(tokens):
-                    c = expected_counts(shared.value, tokens, lengths)
-                    total = c if total is None else total + c
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["place", "value"])
+                    total += count(tokens, lengths)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["place", "value"])
 
     rows = (store.select("held", "lengths", "vocab", "seq").mapInArrow(estimate, "place bigint, value double")
             .groupBy("place").agg(F.sum("value").alias("value")).toArrow())
-    k, classes = model.emit.shape
-    out = np.zeros(2 * k + k * k + k * classes)
+    out = np.zeros(size)
     out[rows.column("place").to_numpy()] = rows.column("value").to_numpy()
     return out
 
 
-def pilot(docs: DataFrame, held_out: str, states: int, bits: int, n_docs: int, passes: int) -> Model:
-    """First parameters from a bounded sample of training documents, chosen by a hash of the id."""
-    rows = docs.where(~F.coalesce(F.col(held_out), F.lit(False)))
-    n = max(1, docs.count())
-    share = (1 << 40) * n_docs // n
-    sample = (rows.where(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)) <= F.lit(share))
-              .select(F.substring(F.col("text").cast("string"), 1, 4000).alias("text")).limit(2 * n_docs).toArrow())
-    words, first = word_hashes(sample.column("text")) if sample.num_rows else (np.zeros(0, _U), np.zeros(1, np.int64))
-    n = np.diff(first) + 1
-    tokens = np.full(len(words) + len(n), 1 << bits)
-    tokens[np.arange(len(words)) + np.repeat(np.arange(len(n)), n - 1)] = class_of(words, bits)
-    model = Model.first(states, np.bincount(tokens, minlength=(1 << bits) + 1).astype(float))
-    for _ in range(passes if len(n) else 0):
-        model = Model.from_counts(expected_counts(model, tokens, n), states)
-    return model
+def neighbour_counts(store: DataFrame, bits: int) -> np.ndarray:
+    """How often a coarse class follows another within a training text."""
+    end, wide = 1 << bits, (1 << min(bits, COARSE_BITS)) + 1
+
+    def count(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        coarse = coarse_of(tokens, end, wide - 1)
+        within = np.ones(len(tokens), bool)
+        within[np.cumsum(lengths) - 1] = False  # nothing follows the end of a text
+        first = np.flatnonzero(within)
+        return np.bincount(coarse[first] * wide + coarse[first + 1], minlength=wide * wide)
+
+    return _summed(store, count, bits, wide * wide).reshape(wide, wide)
+
+
+def baum_welch_pass(store: DataFrame, model: Model, bits: int) -> np.ndarray:
+    """Expected counts over all training documents and, last, their log likelihood."""
+    shared = store.sparkSession.sparkContext.broadcast(model)
+    k, classes = model.emit.shape
+    out = _summed(store, lambda tokens, lengths: _expected(shared.value, tokens, lengths), bits, 2 * k + k * k + k * classes + 1)
+    shared.destroy()
+    return out
 
 
-def train(docs: DataFrame, store: DataFrame, held_out: str, states: int = STATES, bits: int = CLASS_BITS,
-          passes: int = PASSES, pilot_docs: int = PILOT_DOCS) -> Model:
-    model = pilot(docs, held_out, states, bits, pilot_docs, PILOT_PASSES)
+def train(store: DataFrame, n_class: np.ndarray, states: int = STATES, bits: int = CLASS_BITS, passes: int = PASSES,
+          settled: float = SETTLED) -> Model:
+    """Model of the training texts of ``store``; ``n_class``: their tokens per class."""
+    model, before = Model.from_pairs(neighbour_counts(store, bits), states, n_class), -np.inf
     for _ in range(passes):
-        model = Model.from_counts(baum_welch_pass(store, model, bits), states)
+        counts = baum_welch_pass(store, model, bits)
+        model, now = Model.from_counts(counts[:-1], states), counts[-1] / max(1.0, n_class.sum())
+        if now - before < settled:
+            break
+        before = now
     return model
 
 
@@ -288,7 +346,7 @@ def score(docs: DataFrame, held_out: str, states: int = STATES, bits: int = CLAS
     n_class, v_class = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     n_class[totals.column("class").to_numpy()] = totals.column("n").to_numpy()
     v_class[totals.column("class").to_numpy()] = totals.column("v").to_numpy()
-    model = train(docs, store, held_out, states, bits, passes)
+    model = train(store, n_class, states, bits, passes)
     shared = docs.sparkSession.sparkContext.broadcast((model, n_class, v_class))
 
     def judge(key: tuple, own: pa.Table, known: pa.Table) -> pa.Table:

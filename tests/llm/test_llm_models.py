@@ -10,6 +10,7 @@ import pytest
 
 from linkweave.llm import hmm, html_extract, langid, mixing, simple8b, token_output
 from linkweave.llm.queries import tokenizer_file
+from linkweave.llm.words import word_hashes
 
 
 # ---- hidden Markov model
@@ -74,6 +75,42 @@ def test_training_raises_the_likelihood():
         last, model = now, hmm.Model.from_counts(hmm.expected_counts(model, tokens, lengths), 2)
 
 
+def test_neighbour_counts_and_the_states_they_start(spark):
+    """Counts by hand, and pairs of a two-state chain that the factoring explains."""
+    data = [(1, "a b a", None, None, None), (2, None, None, None, None), (10, "b", None, None, None), (3, "b b", None, None, None)]
+    docs = hmm.hold_out(H.documents(spark, data))
+    held = {r.doc_id for r in docs.where("hmm_held_out").collect()}
+    got = hmm.neighbour_counts(hmm.blocks(docs, "hmm_held_out"), 4)
+    want = np.zeros((17, 17))
+    for d, text, *_ in data:
+        words, _ = word_hashes(pa.array([text or ""]))
+        seq = [*hmm.class_of(words, 4).tolist(), 16]
+        for x, y in zip(seq, seq[1:]):
+            want[x, y] += d not in held
+    assert (got == want).all() and got.sum() > 0
+
+    rng = np.random.default_rng(3)
+    move, emit = np.array([[0.9, 0.1], [0.2, 0.8]]), np.zeros((2, 17))
+    emit[0, :8], emit[1, 8:] = rng.dirichlet(np.ones(8) * 5), rng.dirichlet(np.ones(9) * 5)
+    held_share = np.array([2 / 3, 1 / 3])
+    pairs = 1e6 * emit.T @ (held_share[:, None] * move) @ emit
+    model = hmm.Model.from_pairs(pairs, 2, pairs.sum(axis=0))
+    told = model.emit.T @ (model.start[:, None] * model.move) @ model.emit  # emissions may overlap, so only the pairs are unique
+    assert np.allclose(told, pairs / pairs.sum(), atol=1e-3)
+
+
+def test_no_training_text_and_settled_passes(spark):
+    empty = hmm.blocks(hmm.hold_out(H.empty_documents(spark)), "hmm_held_out")
+    model = hmm.train(empty, np.zeros(17), states=2, bits=4)
+    assert np.isfinite(model.emit).all() and np.allclose(model.emit.sum(axis=1), 1)
+    store = hmm.blocks(hmm.hold_out(H.documents(spark)), "hmm_held_out")
+    counts = np.ones(17)
+    once, eager = (hmm.train(store, counts, states=2, bits=4, passes=n, settled=s) for n, s in ((2, 0.0), (9, np.inf)))
+    assert np.allclose(once.emit, eager.emit)  # the second pass gains less than the bound
+    log = [hmm.baum_welch_pass(store, m, 4)[-1] for m in (hmm.train(store, counts, states=2, bits=4, passes=n, settled=0.0) for n in (1, 4))]
+    assert log[1] >= log[0]
+
+
 def test_scores_against_counts_by_hand(spark):
     data = H.rows() + [(3, "repeated id", None, None, None), (None, "no id here", None, None, None)]
     out = hmm.score(hmm.hold_out(H.documents(spark, data)), "hmm_held_out", states=3, bits=6, passes=1).collect()
