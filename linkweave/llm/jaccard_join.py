@@ -21,8 +21,17 @@ breaks the ties and makes the Voronoi regions.
   what lies within reach of it; members that are by then in one component need no
   further comparison (a link between them changes nothing). A region with more than one
   component takes further pivots from outside its largest component, ``PIVOTS`` a round, each
-  from a component of its own. What is still open after ``ROUNDS`` rounds is cut into blocks, and block
-  pairs are joined, each in a task of its own, on pairs across components only, with all windows inside the task.
+  from a component of its own, for ``ROUNDS`` rounds.
+* **Levels.** A region that still holds more than ``small`` components belongs to a shingle that unrelated sets share, such
+  as a passage many documents quote. Its pivot moves to the end of the order, its members choose their
+  nearest pivots anew (all other sets keep theirs, as nothing before those has changed), and the new regions are joined
+  in the same way, across components only. Two linked sets meet under the new order as they did under the old one, so
+  this is exact at every level, and a shared passage brings two sets together only if they have too little else.
+  At most ``LEVELS`` levels are taken.
+* **Blocks.** The sets of the regions that are open then are dealt into blocks of about ``BLOCK`` by their first open
+  region. Two blocks that meet in a region, one of them with a set outside its largest component, are joined
+  in a task of their own: pairs with an open region in common, across components, within all windows. However many
+  regions a pair shares, it is made once.
 * Equal sets form one class before anything is joined; a class is one node.
 
 A document without words links with nothing. Rows that repeat a ``doc_id`` follow their
@@ -39,6 +48,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,12 +59,15 @@ from linkweave.session import materialize
 ORDER_BITS = 18
 BINS = 256
 BINNED = 400
-ROUNDS = 2
+ROUNDS = 1
 PIVOTS = 8
+LEVELS = 3
 SMALL = 48
 BLOCK = 256
+COLUMNS = 4096  # open regions looked at in one step of a task
 _U = np.uint64
 PARITY = ["par0", "par1", "par2", "par3"]
+LOW = (1 << FILTER_BITS) - 1  # a region is a hash already, so its low bits are its place in a filter
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -93,17 +106,23 @@ def profiles(docs: DataFrame, k: int, order_bits: int = ORDER_BITS) -> DataFrame
     return docs.mapInArrow(scan, "doc_id bigint, n bigint, d1 bigint, d2 bigint, bucket bigint, load bigint")
 
 
-def replicas(docs: DataFrame, k: int, num: int, den: int, load: np.ndarray, order_bits: int) -> DataFrame:
+def replicas(docs: DataFrame, k: int, num: int, den: int, load: np.ndarray, order_bits: int,
+             late: np.ndarray | None = None, only: np.ndarray | None = None) -> DataFrame:
     """``(doc_id, n, d1, parity, bins, pivots)``: the first pivots of every set, as many as the window takes.
 
-    ``bins``: shingles per hash class, for sets of ``BINNED`` shingles or more (else empty).
+    ``bins``: shingles per hash class, for sets of ``BINNED`` shingles or more (else empty). ``late``: filter of the
+    pivots that come after all others; ``only``: filter of the ids to read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(load)
+    shared = docs.sparkSession.sparkContext.broadcast((load, late, only))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, late, only = shared.value
         for b in pieces(batches):
+            if only is not None:
+                b = b.filter(pa.array(passes(only, b.column("place").to_numpy())))
+            if not b.num_rows:
+                continue
             n, d1, par, bins, keys = [], [], [], [], []
-            rank = shared.value
             with np.errstate(over="ignore"):
                 for s in _sets(b, k):
                     size = len(s)
@@ -115,6 +134,8 @@ def replicas(docs: DataFrame, k: int, num: int, den: int, load: np.ndarray, orde
                     take = size + (-num * size // den) + 1 if size else 0  # size - ceil(num * size / den) + 1
                     if take < size:
                         weight = rank[(s >> _U(64 - order_bits)).astype(np.int64)]
+                        if late is not None:
+                            weight = weight + (passes(late, (s & _U(LOW)).astype(np.int64)).astype(np.int64) << 32)
                         edge = np.partition(weight, take - 1)[take - 1]
                         near = np.flatnonzero(weight <= edge)  # ascending hash breaks ties
                         s = s[near[np.argsort(weight[near], kind="stable")[:take]]]
@@ -127,7 +148,8 @@ def replicas(docs: DataFrame, k: int, num: int, den: int, load: np.ndarray, orde
                  list_column(signed(np.concatenate(keys)), np.array([len(x) for x in keys]))],
                 ["doc_id", "n", "d1", *PARITY, "bins", "pivots"])
 
-    return docs.mapInArrow(scan, "doc_id bigint, n bigint, d1 bigint, par0 bigint, par1 bigint, par2 bigint, "
+    read = docs if only is None else docs.where("doc_id IS NOT NULL").withColumn("place", filter_place("doc_id"))
+    return read.mapInArrow(scan, "doc_id bigint, n bigint, d1 bigint, par0 bigint, par1 bigint, par2 bigint, "
                                  "par3 bigint, bins array<int>, pivots array<bigint>")
 
 
@@ -185,37 +207,64 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int, name: str) -> DataFr
     return out
 
 
-def shared_rows(placed: DataFrame, shared: DataFrame) -> DataFrame:
-    """``(region, node, n, par*, members)`` of the regions with more than one member, written once.
+def region_filter(regions: DataFrame) -> np.ndarray:
+    return id_filter(regions.select(F.col("region").bitwiseAND(F.lit(LOW)).alias("place")))
 
-    Most pivots are alone in their region. A filter of fixed size keeps those rows out of the
-    shuffle (a region is a hash already, so its low bits are its place); the join leaves out
-    what passes by chance.
+
+def placed_in(placed: DataFrame, bits: Broadcast) -> DataFrame:
+    """``(region, node)`` of the pivots that pass the filter of regions, which keeps all others out of the shuffle.
+
+    What passes by chance must be left out by a join.
     """
-    low = F.lit((1 << FILTER_BITS) - 1)
-    bits = placed.sparkSession.sparkContext.broadcast(id_filter(shared.select(F.col("region").bitwiseAND(low).alias("place"))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pivots = b.column("pivots")
             region = pivots.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(b.num_rows), np.diff(pivots.offsets.to_numpy()))
-            keep = np.flatnonzero(passes(bits.value, region & ((1 << FILTER_BITS) - 1)))
+            keep = np.flatnonzero(passes(bits.value, region & LOW))
             node = b.column("node").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(region[keep]), pa.array(node[row[keep]])], ["region", "node"])
 
-    rows = placed.select("node", "pivots").mapInArrow(scan, "region bigint, node bigint").join(shared, "region")
-    out = materialize(rows.join(placed.select("node", "n", *PARITY), "node"), "jaccard-met")
+    return placed.select("node", "pivots").mapInArrow(scan, "region bigint, node bigint")
+
+
+def shared_rows(placed: DataFrame, shared: DataFrame, name: str = "jaccard-met") -> DataFrame:
+    """``(region, node, n, par*, members)`` of the regions with more than one member, written once.
+
+    Most pivots are alone in their region.
+    """
+    bits = placed.sparkSession.sparkContext.broadcast(region_filter(shared))
+    rows = placed_in(placed, bits).join(shared, "region")
+    out = materialize(rows.join(placed.select("node", "n", *PARITY), "node"), name)
     bits.destroy()
     return out
 
 
+def newly_late(placed: DataFrame, late: np.ndarray, before: np.ndarray | None) -> DataFrame:
+    """``node`` of the sets with a pivot that is ``late`` but was not ``before``: only their pivots change."""
+    bits = placed.sparkSession.sparkContext.broadcast((late, before))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late, before = bits.value
+        for b in batches:
+            pivots = b.column("pivots")
+            place = pivots.flatten().to_numpy(zero_copy_only=False) & LOW
+            hit = passes(late, place)
+            if before is not None:
+                hit &= ~passes(before, place)
+            row = np.repeat(np.arange(b.num_rows), np.diff(pivots.offsets.to_numpy()))
+            yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(np.unique(row[hit])))], ["node"])
+
+    return placed.select("node", "pivots").mapInArrow(scan, "node bigint")
+
+
 def open_regions(many: DataFrame, found: DataFrame) -> DataFrame:
     """Members of the regions that still hold more than one component, with ``component`` and the region's largest, ``main``."""
     named = many.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = named.groupBy("region", "component").agg(F.count(F.lit(1)).alias("size"))
     main = (sizes.groupBy("region").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("size", "component")).alias("main"))
-            .where("parts > 1").select("region", "main"))
+            .where("parts > 1"))
     return named.join(main, "region")
 
 
@@ -233,35 +282,62 @@ def star_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     return met.select(F.greatest("node", "o_node").alias("a"), F.least("node", "o_node").alias("b")).distinct()
 
 
-def block_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs across components inside regions: ``members(region, node, component, n, par*, bins, blocks)``.
+def meeting(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which sets of the two blocks have an open region in common."""
+    out = np.zeros((len(left), len(right)), bool)
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    for lo in range(0, len(both), COLUMNS):
+        some = both[lo:lo + COLUMNS]
+        tables = []
+        for side in (left, right):
+            flat = np.concatenate(side)
+            row = np.repeat(np.arange(len(side)), [len(x) for x in side])
+            at = np.minimum(np.searchsorted(some, flat), len(some) - 1)
+            hit = some[at] == flat
+            tables.append(np.zeros((len(side), len(some)), np.float32))
+            tables[-1][row[hit], at[hit]] = 1
+        out |= tables[0] @ tables[1].T > 0
+    return out
+
+
+def block_pairs(rows: DataFrame, placed: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Distinct pairs ``(a, b)`` across components that meet in a region of ``rows`` (see ``open_regions``).
 
-    A region of ``blocks`` blocks becomes block pairs, so a task holds two blocks at most. Pairs outside the size, parity or
-    bin windows never leave the task.
+    A task holds two blocks. Pairs outside the size, parity or bin windows never leave it.
     """
     import pandas as pd
 
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    spread = (members.withColumn("own", own)
-              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-              .select("region", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
-                      "own", "node", "component", "n", *PARITY, "bins"))
+    sets = rows.groupBy("node").agg(F.min("region").alias("home"), F.collect_set("region").alias("regions"),
+                                    F.first("component").alias("component"))  # as many regions as the set has pivots
+    homes = sets.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("bigint").alias("blocks"))
+    sets = materialize(sets.join(homes, "home")
+                       .withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("blocks"))))
+                       .join(placed.select("node", "n", *PARITY, "bins"), "node")
+                       .select("block", "node", "component", "regions", "n", *PARITY, "bins"), "jaccard-blocks")
+    held = (rows.join(sets.select("node", "block"), "node").groupBy("region", "block")
+            .agg(F.max(F.col("component") != F.col("main")).alias("outside")))
+    pairs = (held.where("outside").select("region", F.col("block").alias("x"))
+             .join(held.select("region", F.col("block").alias("y")), "region")
+             .select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct())
+    ends = pairs.select("lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = part["lo"].iloc[0], part["hi"].iloc[0]
-        left = part[part["own"] == lo]
-        right = part[part["own"] == hi]
+        left = part[part["block"] == part["lo"].iloc[0]]
+        right = part[part["block"] == part["hi"].iloc[0]]
         bits = [x[PARITY].to_numpy().view(np.uint64) for x in (left, right)]
         size = [x["n"].to_numpy() for x in (left, right)]
         comp = [x["component"].to_numpy() for x in (left, right)]
         node = [x["node"].to_numpy() for x in (left, right)]
         binned = [np.array([len(v) > 0 for v in x["bins"]], bool) for x in (left, right)]
         bins = [np.stack([v if len(v) else np.zeros(BINS, np.int32) for v in x["bins"]]) if len(x) else None for x in (left, right)]
-        a, b = [], []
-        for i in range(len(left)):
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        meet = meeting(list(left["regions"]), list(right["regions"])) if len(left) and len(right) else np.zeros((0, 0), bool)
+        if part["lo"].iloc[0] == part["hi"].iloc[0]:
+            meet = np.triu(meet, 1)
+        for i in range(len(meet)):
             total = size[0][i] + size[1]
             apart = np.bitwise_count(bits[0][i] ^ bits[1]).sum(axis=1, dtype=np.int64)
-            ok = ((comp[1] != comp[0][i]) & (den * np.minimum(size[0][i], size[1]) >= num * np.maximum(size[0][i], size[1]))
+            ok = (meet[i] & (comp[1] != comp[0][i]) & (den * np.minimum(size[0][i], size[1]) >= num * np.maximum(size[0][i], size[1]))
                   & ((den + num) * apart <= (den - num) * total))
             j = np.flatnonzero(ok)
             if binned[0][i] and len(j):
@@ -269,14 +345,14 @@ def block_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
                 j = j[~(far & binned[1][j])]
             a.append(np.full(len(j), node[0][i]))
             b.append(node[1][j])
-        a, b = np.concatenate(a) if a else np.zeros(0, np.int64), np.concatenate(b) if b else np.zeros(0, np.int64)
+        a, b = np.concatenate(a), np.concatenate(b)
         return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
-    return spread.groupBy("region", "lo", "hi").applyInPandas(join, "a bigint, b bigint")
+    return sets.join(ends, "block").groupBy("lo", "hi").applyInPandas(join, "a bigint, b bigint")
 
 
 def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, order_bits: int = ORDER_BITS,
-                    small: int = SMALL, block: int = BLOCK) -> DataFrame:
+                    small: int = SMALL, block: int = BLOCK, rounds: int = ROUNDS, levels: int = LEVELS) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` per row of ``docs``; links are pairs with ``den*|A and B| >= num*|A or B|``."""
     docs = _rows(docs)
     scanned = materialize(profiles(docs, k, order_bits), "jaccard-profiles")
@@ -316,16 +392,48 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
         found = joined_components(found, verified(pairs, sets, num, den, f"jaccard-links-{name}"), f"jaccard-components-{name}")
 
     compare(pairs, "first")
-    for i in range(ROUNDS):
+    for i in range(rounds):
         rows = open_regions(many, found)
         pairs = materialize(within_bins(star_pairs(rows, num, den), placed, num, den).distinct(), f"jaccard-star-{i}")
         if pairs.isEmpty():
             break
         compare(pairs, f"star-{i}")
 
-    blocks = F.ceil(F.col("members") / F.lit(block)).cast("bigint")
-    rest = open_regions(many, found).withColumn("blocks", blocks).join(placed.select("node", "bins"), "node")
-    across = materialize(block_pairs(rest, num, den).where("a <> b").distinct(), "jaccard-across")
+    late = None
+    for i in range(levels):
+        still = materialize(open_regions(many, found).groupBy("region").agg(F.max("parts").alias("parts")), f"jaccard-open-{i}")
+        mixed = still.where(F.col("parts") > small).select("region")
+        if mixed.isEmpty():
+            break
+        before, late = late, region_filter(mixed) if late is None else late | region_filter(mixed)
+        moved = materialize(newly_late(placed, late, before), f"jaccard-moved-{i}")
+        if moved.isEmpty():
+            break
+        again = (replicas(docs, k, num, den, load, order_bits, late, id_filter(moved.select(filter_place("node").alias("place"))))
+                 .join(nodes.select(F.col("node").alias("doc_id"), "d1", "n"), ["doc_id", "d1", "n"], "left_semi")
+                 .withColumnRenamed("doc_id", "node").join(moved, "node", "left_semi"))
+        fresh = materialize(again, f"jaccard-replicas-{i}")
+        placed = placed.join(moved, "node", "left_anti").unionByName(fresh)
+        # sets that keep their pivots have met already, but for the regions that are still open
+        regions = materialize(fresh.select(F.explode("pivots").alias("region")).union(still.select("region")).distinct(), f"jaccard-regions-{i}")
+        bits = docs.sparkSession.sparkContext.broadcast(region_filter(regions))
+        shared = materialize(placed_in(placed, bits).groupBy("region").agg(F.count(F.lit(1)).alias("members"))
+                             .where("members > 1").join(regions, "region", "left_semi"), f"jaccard-shared-{i}")
+        bits.destroy()
+        met = shared_rows(placed, shared, f"jaccard-met-{i}")
+        many = met.where(F.col("members") > small)
+        few = (met.where(F.col("members") <= small).join(found, "node", "left")
+               .withColumn("component", F.coalesce("component", "node")))
+        close = (few.join(few.select("region", F.col("component").alias("o_component"), *other), "region")
+                 .where("node > o_node AND component <> o_component").where(within_windows(num, den))
+                 .select(F.col("node").alias("a"), F.col("o_node").alias("b")))
+        star = star_pairs(open_regions(many, found), num, den)
+        pairs = materialize(within_bins(close.union(star).distinct(), placed, num, den).distinct(), f"jaccard-level-{i}")
+        if not pairs.isEmpty():
+            compare(pairs, f"level-{i}")
+
+    rest = materialize(open_regions(many, found).select("region", "node", "component", "main"), "jaccard-rest")
+    across = materialize(block_pairs(rest, placed, num, den, block), "jaccard-across")
     if not across.isEmpty():
         compare(across, "blocks")
     known = (nodes.join(found, "node", "left")

@@ -26,6 +26,26 @@ def test_jaccard_hot_region_of_unlinked_documents(spark):
     assert {r[0]: (r[1], r[2]) for r in got} == H.jaccard([(r[0], r[1]) for r in data], 3, 85, 100)
 
 
+def test_jaccard_levels_lose_nothing(spark):
+    """With no bucket order to lean on, a quoted passage fills the first pivots; its regions are left a level later."""
+    rnd = random.Random(5)
+    quote = " ".join(H.SHARED.split()[:30])
+    data = [(i, quote + " " + " ".join(f"w{rnd.randrange(9000)}" for _ in range(40)), None, None, None) for i in range(60)]
+    data += [(500 + i, data[i][1] + " more", None, None, None) for i in range(10)]
+    want = H.jaccard([(r[0], r[1]) for r in data], 3, 80, 100)
+    for levels in (0, 3):
+        got = jaccard_join.jaccard_classes(H.documents(spark, data), 3, 80, 100, 1, 4, 16, levels=levels).collect()
+        assert {r[0]: (r[1], r[2]) for r in got} == want
+
+
+def test_regions_in_common():
+    rng = np.random.default_rng(2)
+    left, right = ([np.unique(rng.integers(0, 9000, rng.integers(1, 60))) for _ in range(n)] for n in (40, 30))
+    want = np.array([[bool(set(x.tolist()) & set(y.tolist())) for y in right] for x in left])
+    assert (jaccard_join.meeting(left, right) == want).all() and want.any() and not want.all()
+    assert not jaccard_join.meeting([np.array([1])], [np.array([2])]).any()
+
+
 def test_jaccard_odd_rows(spark):
     data = [(5, "a b c d", None, None, None), (5, "a b c d", None, None, None), (None, "a b c d", None, None, None),
             (None, "alone here now", None, None, None), (9, None, None, None, None), (9, "A  B\nc d", None, None, None)]
