@@ -52,7 +52,8 @@ SETTLED = 0.002
 COARSE_BITS = 8
 FACTOR_ROUNDS = 200
 STARTS = 4
-GROUP = 2048
+GROUP = 1024
+RESCALE = 8  # steps between two rescalings; smoothed emissions are above 1e-30, so eight of them stay in range
 END = np.uint64(0xE0D)
 _U = np.uint64
 
@@ -146,50 +147,54 @@ def _expected(model: Model, tokens: np.ndarray, lengths: np.ndarray, segment: in
     k, classes = model.emit.shape
     start, resume, move = np.zeros(k), np.zeros(k), np.zeros((k, k))
     emit = np.zeros((k, classes))
-    table, a = np.ascontiguousarray(model.emit.T), model.move
+    table, a, ones = np.ascontiguousarray(model.emit.T), model.move, np.ones(k)
     first, length, _, nth = _segments(lengths, segment)
     order = np.argsort(-length, kind="stable")
     for lo in range(0, len(order), GROUP):
         rows = order[lo:lo + GROUP]
         at, size, opening = first[rows], length[rows], nth[rows] == 0
         steps = int(size[0])
-        live = np.searchsorted(-size, -np.arange(steps), side="left")  # rows longer than t
-        seen, alphas, scales = [], [], []
-        state = None
+        live = np.append(np.searchsorted(-size, -np.arange(steps), side="left"), 0)  # rows longer than t
+        seen, alphas, scales = [], [], {}
         for t in range(steps):
             n = live[t]
             token = tokens[at[:n] + t]
-            b = table[token]
-            state = np.where(opening[:n, None], model.start, model.resume) * b if t == 0 else (state[:n] @ a) * b
-            scale = state.sum(axis=1, keepdims=True)
-            state = state / scale
+            state = np.where(opening[:n, None], model.start, model.resume) if t == 0 else state[:n] @ a
+            state *= table.take(token, axis=0)
+            if t % RESCALE == RESCALE - 1:
+                scales[t] = state @ ones
+                state /= scales[t][:, None]
+                total += float(np.log(scales[t]).sum())
             seen.append(token)
             alphas.append(state)
-            scales.append(scale)
-            total += float(np.log(scale).sum())
-        beta = np.ones((len(rows), k))
-        gammas = [None] * steps
+        beta = np.empty((len(rows), k))
         for t in range(steps - 1, -1, -1):
-            n = live[t]
-            if t + 1 < steps:
-                m = live[t + 1]
-                back = table[seen[t + 1]] * beta[:m] / scales[t + 1]
+            n, m = live[t], live[t + 1]
+            if m:
+                back = table.take(seen[t + 1], axis=0)
+                back *= beta[:m]
+                if t + 1 in scales:
+                    back /= scales[t + 1][:, None]
                 move += alphas[t][:m].T @ back
-                beta[:m] = back @ a.T
-            gamma = alphas[t] * beta[:n]
-            gammas[t] = gamma
+                np.matmul(back, a.T, out=beta[:m])
+            if m < n:  # sequences that end here
+                last = alphas[t][m:] @ ones
+                total += float(np.log(last).sum())
+                beta[m:n] = 1 / last[:, None]
+            alphas[t] *= beta[:n]  # posteriors from here on
+        gammas = alphas
         start += gammas[0][opening[:live[0]]].sum(axis=0)
         resume += gammas[0][~opening[:live[0]]].sum(axis=0)
-        token, gamma = np.concatenate(seen), np.concatenate(gammas)
+        token, gamma = np.concatenate(seen), np.concatenate(gammas).T
         for s in range(k):
-            emit[s] += np.bincount(token, weights=gamma[:, s], minlength=classes)
+            emit[s] += np.bincount(token, weights=gamma[s], minlength=classes)
     return np.concatenate([start, resume, (move * a).ravel(), emit.ravel(), [total]])
 
 
 def log_likelihoods(model: Model, tokens: np.ndarray, lengths: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
     """Natural log probability of every class sequence, exact."""
     k = len(model.start)
-    table, a = np.ascontiguousarray(model.emit.T), model.move
+    table, a, ones = np.ascontiguousarray(model.emit.T), model.move, np.ones(k)
     first, length, doc, nth = _segments(lengths, segment)
     # one row for an opening piece, one per entering state for a later piece
     copies = np.where(nth == 0, 1, k)
@@ -206,12 +211,15 @@ def log_likelihoods(model: Model, tokens: np.ndarray, lengths: np.ndarray, segme
         total = np.zeros(len(rows))
         for t in range(steps):
             n = live[t]
-            b = table[tokens[at[:n] + t]]
-            x = (state[:n] if t == 0 else state[:n] @ a) * b
-            scale = x.sum(axis=1)
-            state[:n] = x / scale[:, None]
-            total[:n] += np.log(scale)
-        final[rows], log[rows] = state, total
+            x = table.take(tokens[at[:n] + t], axis=0)
+            x *= state[:n] if t == 0 else state[:n] @ a
+            if t % RESCALE == RESCALE - 1:
+                scale = x @ ones
+                x /= scale[:, None]
+                total[:n] += np.log(scale)
+            state[:n] = x
+        scale = state @ ones
+        final[rows], log[rows] = state / scale[:, None], total + np.log(scale)
     row = np.cumsum(copies) - copies
     opening = np.flatnonzero(nth == 0)
     state, total = final[row[opening]].copy(), log[row[opening]].copy()

@@ -39,6 +39,16 @@ def test_forward_is_exact_over_pieces(segment):
         at += length
 
 
+def test_rare_classes_stay_in_range():
+    """Between two rescalings a run of the rarest classes does not underflow."""
+    emit = np.array([[1 - 1e-30, 1e-30, 0.0], [1 - 1e-30, 1e-30, 0.0]])
+    model = hmm.Model(np.array([0.5, 0.5]), np.array([0.5, 0.5]), np.full((2, 2), 0.5), emit)
+    tokens, lengths = np.ones(700, np.int64), np.array([3, 300, 397])
+    assert np.allclose(hmm.log_likelihoods(model, tokens, lengths), lengths * np.log(1e-30))
+    counts = hmm._expected(model, tokens, lengths)
+    assert np.isclose(counts[-1], 700 * np.log(1e-30)) and np.isclose(counts[8:14].sum(), 700)
+
+
 def test_expected_counts_by_enumeration():
     import itertools
 
