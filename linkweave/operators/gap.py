@@ -4,7 +4,7 @@ Pairs are answered together: both sides resolve to their latest crawl. Your own
 set stands once per target, whatever the number of its pairs, and the competitor's linkers
 are anti-joined with it on (yours, linking_domain) -- a key that cannot be skewed by a
 popular target. The rest is enriched with set joins instead of one lookup per domain. Counts come from
-bitmaps of linker ids (``gap_summary``).
+64-bit words of linker ids (``gap_summary``).
 """
 
 from __future__ import annotations
@@ -82,11 +82,12 @@ def order_gap(df: DataFrame) -> DataFrame:
 
 
 def linker_sets(resolved: DataFrame, backlinks: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
-    """(sizes, bitmaps) of the linker sets of all targets on either side, from one scan of the backlinks.
+    """(sizes, words) of the linker sets of all targets on either side, from one scan of the backlinks.
 
-    ``sizes(target, size)``: linkers of every target. ``bitmaps(target, bucket, bits)``: those linkers that link to
-    another target of the list as well, as bitmaps of 32,768 ids; only they can be common to two sets. Ids
-    are given in order of popularity, so most sets lie in the first few buckets.
+    ``sizes(target, size)``: linkers of every target. ``words(target, word, bits)``: those linkers that link to
+    another target of the list as well, as words of 64 ids, empty ones left out; only they can be common to two sets. A
+    set costs a row per linker at most, however many ids there are. Ids are given in order of popularity, so the popular
+    linkers of a large set share their words.
     """
     side = lambda s: resolved.select(F.col(s).alias("target"), F.col(f"{s}_release").alias("target_release"))
     wanted = side("yours").union(side("competitor")).distinct()
@@ -98,39 +99,35 @@ def linker_sets(resolved: DataFrame, backlinks: DataFrame, small: bool) -> tuple
     # numbers without gaps inside a partition; written once, so that every reader sees the same numbers
     ids = materialize(shared.repartitionByRange(*order).sortWithinPartitions(*order)
                       .select("linking_domain", F.monotonically_increasing_id().alias("id")), "gap-ids")
-    bits = (links.join(ids, "linking_domain").groupBy("target", F.bitmap_bucket_number("id").alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits")))
-    return sizes, materialize(bits, "gap-bitmaps")
+    words = (links.join(ids, "linking_domain").groupBy("target", F.shiftright("id", 6).alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, CAST(id & 63 AS INT))")).alias("bits")))
+    return sizes, materialize(words, "gap-words")
 
 
 def gap_summary(pairs: DataFrame, crawls: DataFrame, backlinks: DataFrame) -> DataFrame:
     """Q3 header (A2, A3): set sizes and gap count per resolvable pair.
 
-    The gap is the competitor's set without what both have, and both have ``|own| + |theirs| - |own or theirs|``: a pair
-    costs one bitmap union per bucket, not a copy of its linkers' names.
+    The gap is the competitor's set without what both have: a pair costs one row per word of its own set, not a copy of
+    its linkers' names.
     """
     resolved, small = resolve_pairs(pairs, crawls)
     resolved = materialize(resolved, "gap-pairs")
-    sizes, bitmaps = linker_sets(resolved, backlinks, small)
-    asked = broadcast_when(resolved.select(*PAIR), small)
-    either = None
-    for side in PAIR:
-        part = bitmaps.withColumnRenamed("target", side).join(asked, side).select(*PAIR, "bucket", "bits")
-        either = part if either is None else either.union(part)
-    union = (either.groupBy(*PAIR, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-             .groupBy(*PAIR).agg(F.sum(F.bitmap_count("bits")).alias("either")))
-    shared = bitmaps.groupBy("target").agg(F.sum(F.bitmap_count("bits")).alias("shared"))
-    sets = materialize(sizes.join(shared, "target", "left").select("target", "size", F.coalesce("shared", F.lit(0)).alias("shared")), "gap-sets")
+    sizes, words = linker_sets(resolved, backlinks, small)
+    sets = materialize(sizes, "gap-sets")
+    asked = broadcast_when(resolved.where("yours <> competitor").select(*PAIR), small)
+    own = words.select(F.col("target").alias("yours"), "word", F.col("bits").alias("own_bits")).join(asked, "yours")
+    theirs = words.select(F.col("target").alias("competitor"), "word", F.col("bits").alias("their_bits"))
+    both = F.bit_count(F.col("own_bits").bitwiseAND(F.col("their_bits")))
+    common = own.join(theirs, ["competitor", "word"]).groupBy(*PAIR).agg(F.sum(both).alias("common"))
 
     def of(side: str, prefix: str) -> DataFrame:
-        return sets.select(F.col("target").alias(side), F.col("size").alias(f"{prefix}_size"), F.col("shared").alias(f"{prefix}_shared"))
+        return sets.select(F.col("target").alias(side), F.col("size").alias(f"{prefix}_size"))
 
     out = (resolved.select(*PAIR).join(of("yours", "own"), "yours", "left").join(of("competitor", "their"), "competitor", "left")
-           .join(union, PAIR, "left"))
+           .join(common, PAIR, "left"))
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    common = n("own_shared") + n("their_shared") - n("either")
     # a pair of a target with itself has everything in common, also the linkers that no other target has
-    gap_count = F.when(F.col("yours") == F.col("competitor"), F.lit(0)).otherwise(n("their_size") - common)
+    gap_count = F.when(F.col("yours") == F.col("competitor"), F.lit(0)).otherwise(n("their_size") - n("common"))
     return out.select(*PAIR, n("own_size").cast("long").alias("your_backlinks"), n("their_size").cast("long").alias("competitor_backlinks"),
                       gap_count.cast("long").alias("gap_count"))
 

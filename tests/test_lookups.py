@@ -1,11 +1,11 @@
-"""Point lookups through Bloom filters, the bit filter of long target lists, gap counts on bitmaps, sizes of the status."""
+"""Point lookups through Bloom filters, the bit filter of long target lists, gap counts on words of ids, sizes of the status."""
 import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from linkweave.operators.gap import gap, gap_summary
+from linkweave.operators.gap import gap, gap_summary, linker_sets
 from linkweave.operators.graph import MAX_LITERAL_NAMES, inbound, only_listed, resolve_targets
 from linkweave.plans.convert import convert_graph
 from linkweave.sinks.layout import append_lookups, store_status, write_ranks, write_vertices
@@ -137,3 +137,28 @@ def test_lookups_are_appended(spark, tmp_dir):
     for n in (1, 2):
         append_lookups(row, f"{tmp_dir}/lookups")
         assert spark.read.parquet(f"{tmp_dir}/lookups").count() == n
+
+
+def test_gap_summary_keeps_sparse_linker_sets_small(spark):
+    """Sets of few linkers out of many cost a short row per linker, not a whole bitmap per range of ids."""
+    n = 70_000
+    link = lambda t: F.concat(F.lit("l"), t.cast("string"))
+    ids = spark.range(n)
+    backlinks = (ids.select(F.lit("all.com").alias("target"), link(F.col("id")).alias("linking_domain"))
+                 .union(ids.where("id % 7000 = 0").select(F.lit("few.com"), link(F.col("id"))))
+                 .union(ids.where("id % 10000 = 0").select(F.lit("other.com"), link(F.col("id"))))
+                 .union(spark.range(1).select(F.lit("few.com"), F.lit("own.com")))
+                 .select("target", F.lit("r").alias("release"), "linking_domain"))
+    names = ["all.com", "few.com", "other.com"]
+    crawls = spark.createDataFrame([(t, "r", 1, 1) for t in names], "target string, release string, crawled_at int, result_count long")
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "yours string, competitor string")
+    got = {(r.yours, r.competitor): (r.your_backlinks, r.competitor_backlinks, r.gap_count) for r in gap_summary(pairs, crawls, backlinks).collect()}
+    size = {"all.com": n, "few.com": 11, "other.com": 7}
+    gaps = {("all.com", "few.com"): 1, ("all.com", "other.com"): 0, ("few.com", "all.com"): n - 10, ("few.com", "other.com"): 6,
+            ("other.com", "all.com"): n - 7, ("other.com", "few.com"): 10}
+    assert got == {(a, b): (size[a], size[b], 0 if a == b else gaps[a, b]) for a in names for b in names}
+    resolved = pairs.withColumns({"yours_release": F.lit("r"), "competitor_release": F.lit("r")})
+    _, sets = linker_sets(resolved, backlinks, True)
+    few = sets.where("target = 'other.com'").agg(F.sum(sum((F.length(F.col(c).cast("binary")) if t == "binary" else F.lit(8))
+                                                           for c, t in sets.dtypes if c != "target"))).first()[0]
+    assert few <= 7 * 16
