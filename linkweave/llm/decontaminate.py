@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.llm.words import PIECE, list_column, mix64, pieces, seeds, shingles, signed, word_hashes
+from linkweave.operators.joins import broadcast_if_small
 from linkweave.session import materialize
 
 SHINGLE = 5
@@ -44,6 +45,7 @@ PERMUTATIONS = 64
 LEAST_CLASS = 4
 EXACT = 1 << LEAST_CLASS
 FILTER_BITS = 27
+MAX_KEYS = 2_000_000  # keys of 8 bytes that are broadcast in place of a shuffle of the texts
 _U = np.uint64
 _MUL = seeds(PERMUTATIONS, 501)
 _ADD = seeds(PERMUTATIONS, 502)
@@ -222,5 +224,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.8, k:
     text = next(c for c in docs.columns if c.lower() == "text")
     keyed = docs.withColumn("decontaminate_key", F.xxhash64(F.col(f"`{text}`").cast("string")))
     bad = contaminated(keyed.select(F.col("decontaminate_key").alias("doc_id"), F.col(f"`{text}`").alias("text")), items, threshold, k)
-    bad = bad.select(F.col("doc_id").alias("decontaminate_key")).distinct()
+    # written first: the planner would start to shuffle the texts before it knows how few keys there are
+    bad = broadcast_if_small(materialize(bad.select(F.col("doc_id").alias("decontaminate_key")).distinct(), "contaminated"), MAX_KEYS)
     return keyed.join(bad, "decontaminate_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -294,3 +294,17 @@ def test_embeddings_odd_tables(spark):
     twice = [(3, [1.0, 0.0]), (3, [1.0, 0.0]), (None, [1.0, 0.0]), (8, [0.0, 1.0])]
     got = sorted(map(tuple, embedding_dedup.near_duplicates(spark.createDataFrame(twice, kind)).collect()), key=repr)
     assert got == sorted([(3, 2, 3, True), (3, 2, 3, True), (None, 2, None, False), (8, 0, 8, True)], key=repr)
+
+
+def test_decontamination_does_not_shuffle_the_texts(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "the quick brown fox jumps over"), (3, None), (None, "")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "the quick brown fox jumps over")], "item_id bigint, text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        clean = decontaminate.decontaminate(docs, items)
+        plan = clean._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted((r.doc_id or 0) for r in clean.collect()) == [0, 1, 3]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
