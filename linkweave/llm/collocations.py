@@ -16,7 +16,7 @@ A text is lower-cased (A-Z) and split at ``[.,;:!?\\x0A-\\x0D]`` into pieces, a
   however many there are); what passes it by chance is sorted out by the exact sums. Where it fills up on
   a very large corpus, more rows are shuffled, and the result stays the same.
 * **Sums.** Spark sums the counts of all shards by the 64-bit key of the phrase; only sums of ``least`` or more
-  are looked up as text again. All later steps are joins and grouped minima on these.
+  are looked up as text again, where they stand in the texts. All later steps are joins and grouped minima on these.
 
 Null or empty text: no words. Texts of any length are read whole. Repeated rows count each. Ties: the
 smallest cut, then higher count, then the phrase in byte order. An empty table gives an empty result. ``doc_id``
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ from linkweave.session import materialize, release_scratch, scratch_tables
 
 DEPTH = 4
 SHARD_BYTES = 8 * PIECE
+SPELT = 1 << 15  # phrases in a batch of the spelling
 _U = np.uint64
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -72,7 +74,8 @@ class Words:
         self.starts = np.flatnonzero(word & (edge[:-2] | cut[:-1]))
         self.ends = np.flatnonzero(word & (edge[2:] | cut[1:])) + 1
         doc = np.searchsorted(offsets, self.starts, side="right") - 1
-        broken = np.concatenate([[0], np.cumsum(_BREAK[self.raw], dtype=np.int64)])
+        broken = np.zeros(len(self.raw) + 1, np.int32 if len(self.raw) < 1 << 31 else np.int64)
+        np.cumsum(_BREAK[self.raw], dtype=broken.dtype, out=broken[1:])
         self.opens = np.ones(len(doc), bool)
         self.opens[1:] = (doc[1:] != doc[:-1]) | (broken[self.starts[1:]] != broken[self.ends[:-1]])
         self.langs, self.lang = np.unique(np.array(langs.fill_null("und").to_pylist(), object), return_inverse=True)
@@ -86,7 +89,26 @@ class Words:
     def text(self, i: int) -> str:
         return self.raw[self.starts[i]:self.ends[i]].tobytes().decode().translate(_LOWER)
 
-
+    def between(self, first: np.ndarray, size: int) -> pa.Array:
+        """The phrases of ``size`` words from the words ``first`` on, joined by single spaces."""
+        plain = np.ones(len(first), bool)  # one space after every word but the last
+        for i in range(1, size):
+            gap = self.ends[first + i - 1]
+            plain &= (self.starts[first + i] == gap + 1) & (self.raw[np.minimum(gap, len(self.raw) - 1)] == 32)
+        lo = self.starts[first]
+        length = self.ends[first + size - 1] - lo
+        ends = np.cumsum(length)
+        data = _SMALL[self.raw[np.repeat(lo - (ends - length), length) + np.arange(length.sum())]]
+        offsets = np.concatenate([[0], ends]).astype(np.int64)
+        out = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(data)).cast(pa.string())
+        if plain.all():
+            return out
+        rest = [" ".join(self.text(w + i) for i in range(size)) for w in first[~plain].tolist()]
+        return pc.replace_with_mask(out, pa.array(~plain), pa.array(rest, pa.string()))
+
+
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
 
@@ -161,6 +183,29 @@ class Index:
         yield [a, b, c, d], key(a, b, c, d), n
 
 
+def standing(words: Words, known: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, keys, index of the first word) of the phrases in the texts that ``known`` holds, each key once.
+
+    Words are looked up where they stand, so nothing is sorted but what ``known`` holds. A phrase is listed if all
+    its parts are, as the parts of a frequent phrase are frequent.
+    """
+    n = len(words.keys)
+    at = np.arange(n)
+    held = np.zeros(n + DEPTH, bool)  # whether the phrase of the size before, from this word on, is known
+    held[:n] = True
+    for size in range(1, DEPTH + 1):
+        if size > 1:
+            at = at[held[at + 1]]
+            at = at[~words.opens[at + size - 1]]
+        key = words.keys[at] if size == 1 else phrase_keys([words.keys[at + i] for i in range(size)])
+        found = passes(known, place(key))
+        at, key = at[found], key[found]
+        held[:] = False
+        held[at] = True
+        key, first = np.unique(key, return_index=True)
+        yield size, key, at[first]
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     for b in pieces(batches, SHARD_BYTES):
         yield Words(b.column("text"), b.column("lang"))
@@ -220,21 +265,17 @@ def frequent_phrases(docs: DataFrame, least: int = 30) -> DataFrame:
     known = _filter(single, pairs, longer)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pack(size: int, lang: np.ndarray, phrase: list[str], key: np.ndarray) -> pa.RecordBatch:
+        def pack(size: int, lang: np.ndarray, phrase: pa.Array, key: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(lang.tolist(), pa.string()), pa.array(np.full(len(key), size, np.int32)), pa.array(phrase, pa.string()),
-                 pa.array(signed(key))], ["lang", "size", "phrase", "key"])
+                [pa.array(lang, pa.string()), pa.array(np.full(len(key), size, np.int32)), phrase, pa.array(signed(key))],
+                ["lang", "size", "phrase", "key"])
 
         for words in _batches(batches):
-            yield pack(0, words.langs, [""] * len(words.langs), words.lang_keys)
-            index = Index(words, known.value)
-            text = [words.text(i) for i in index.first.tolist()]
-            lang = words.langs[words.word_lang[index.first]]
-            yield pack(1, lang, text, index.keys)
-            for ids, key, _ in index.levels(known.value, DEPTH):
-                found = np.flatnonzero(passes(known.value, place(key)))
-                columns = [c[found].tolist() for c in ids]
-                yield pack(len(ids), lang[ids[0][found]], [" ".join([text[i] for i in row]) for row in zip(*columns)], key[found])
+            yield pack(0, words.langs, pa.array([""] * len(words.langs), pa.string()), words.lang_keys)
+            for size, key, at in standing(words, known.value):
+                for i in range(0, len(key), SPELT):
+                    some = at[i:i + SPELT]
+                    yield pack(size, words.langs[words.word_lang[some]], words.between(some, size), key[i:i + SPELT])
 
     spelt = rows.mapInArrow(spell, "lang string, size int, phrase string, key bigint").distinct()
     sums = single.union(pairs).union(longer)

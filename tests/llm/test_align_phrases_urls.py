@@ -187,6 +187,21 @@ def test_collocations_equal_counts_by_hand(spark, least, top):
     assert sorted(got) == collocations_by_hand(data, least, 80, top)
 
 
+def test_known_phrases_are_spelt_where_they_stand():
+    texts = pa.array(["Big\tred  dog, big red dog cat", "big red. Dog", None, ""])
+    words = collocations.Words(texts, pa.array(["x"] * 4))
+    known = np.zeros(1 << (collocations.FILTER_BITS - 6), np.uint64)
+    index = collocations.Index(words, ~known)
+    keys = [index.keys, *(key for _, key, n in index.levels(~known, 4))]
+    for key in np.concatenate(keys):
+        known[collocations.place(key) >> 6] |= np.uint64(1) << np.uint64(collocations.place(key) & 63)
+    got = {(size, phrase): int(k) for size, key, at in collocations.standing(words, known)
+           for k, phrase in zip(key, words.between(at, size).to_pylist())}
+    assert set(got) == {(1, "big"), (1, "red"), (1, "dog"), (1, "cat"), (2, "big red"), (2, "red dog"), (2, "dog cat"),
+                        (3, "big red dog"), (3, "red dog cat"), (4, "big red dog cat")}
+    assert set(got.values()) == {int(k) for k in np.concatenate(keys)}
+
+
 def test_phrases_over_many_shards(spark, monkeypatch):
     data = phrase_data()
     total, f = phrases_by_hand(data, 4)
