@@ -38,7 +38,7 @@ from linkweave.llm.words import PIECE, buffers, mix64, pieces, seeds, signed, sp
 from linkweave.session import materialize, release_scratch, scratch_tables
 
 DEPTH = 4
-SHARD_BYTES = 8 * PIECE
+SHARD_BYTES = 4 * PIECE
 SPELT = 1 << 15  # phrases in a batch of the spelling
 _U = np.uint64
 _BREAK = np.zeros(256, bool)
@@ -114,11 +114,19 @@ _LOWER = {i: i + 32 for i in range(65, 91)}
 
 def transform(seq: np.ndarray, radix: int) -> tuple[np.ndarray, np.ndarray]:
     """Burrows-Wheeler transform of a circular sequence in the order of the next four symbols, and its LF mapping."""
-    _, two = np.unique(seq * radix + np.roll(seq, -1), return_inverse=True)
-    order = np.argsort(two * (two.max() + 1) + np.roll(two, -2))
-    bwt = seq[order - 1]
-    lf = np.empty(len(seq), np.int64)
-    lf[np.argsort(bwt, kind="stable")] = np.arange(len(seq))
+    key = seq * np.int64(radix)
+    key += np.roll(seq, -1)
+    two = np.unique(key, return_inverse=True)[1]
+    np.multiply(two, two.max() + 1, out=key)
+    key += np.roll(two, -2)
+    del two
+    order = np.argsort(key)
+    del key
+    order -= 1
+    bwt = seq[order]
+    del order
+    lf = np.empty(len(seq), np.int32)
+    lf[np.argsort(bwt, kind="stable")] = np.arange(len(seq), dtype=np.int32)
     return bwt, lf
 
 
@@ -130,9 +138,13 @@ def extend(side: tuple[np.ndarray, np.ndarray], radix: int, low: np.ndarray, siz
     Returns phrase, word, count and the starts of both intervals of every extension.
     """
     bwt, lf = side
-    row = np.repeat(np.arange(len(low)), size)
-    at = np.arange(len(row)) + np.repeat(low - (np.cumsum(size) - size), size)
-    found, first, n = np.unique(row * radix + bwt[at], return_index=True, return_counts=True)
+    row = np.repeat(np.arange(len(low), dtype=np.int32), size)
+    at = np.arange(len(row), dtype=np.int32) + np.repeat((low - (np.cumsum(size) - size)).astype(np.int32), size)
+    symbols = row * np.int64(radix)
+    symbols += bwt[at]
+    del row
+    found, first, n = np.unique(symbols, return_index=True, return_counts=True)
+    del symbols
     row, word = found // radix, found % radix
     before = np.cumsum(n) - n
     smaller = before - before[np.searchsorted(row, row, side="left")]
@@ -153,8 +165,10 @@ class Index:
         run = np.cumsum(words.opens)[at]
         opens = np.ones(len(at), bool)
         opens[1:] = (at[1:] != at[:-1] + 1) | (run[1:] != run[:-1])
-        seq = np.zeros(len(at) + int(opens.sum()) + (len(at) == 0), np.int64)
+        # a batch of rows has less than 2 ** 31 bytes, so ids and places of a shard take 32 bits
+        seq = np.zeros(len(at) + int(opens.sum()) + (len(at) == 0), np.int32)
         seq[np.arange(len(at)) + np.cumsum(opens)] = ids + 1
+        del at, first, ids, run, opens
         self.radix = n + 1
         self.left, self.right = transform(seq, self.radix), transform(seq[::-1], self.radix)
         counts = np.bincount(seq, minlength=n + 1)
