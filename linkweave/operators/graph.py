@@ -27,6 +27,8 @@ NAME_BUCKETS = 128
 MAX_LITERAL_NAMES = 10
 # Size of the bit filter on linker ids: 2 ** 20 rows of 64 bits at most.
 FILTER_BITS = 26
+# A filter is made only where it can leave out three rows of four.
+FILTER_SHARE = 4
 
 
 def bucket_of(id_col, n: int = DEFAULT_BUCKETS):
@@ -88,9 +90,11 @@ def only_listed(df: DataFrame, column: str, ids: DataFrame, bits: int = FILTER_B
 
     A filter of ``2 ** bits`` bits, one per hash of an id, as rows of 64 bits each: at most ``2 ** (bits - 6)`` rows, so its
     broadcast is bounded whatever the number of ids. Rows that pass by chance are left to the join that
-    follows; a filter that would be half full or more is not made.
+    follows; a filter that would be half full or more is not made, nor one that would keep most rows of ``df``: it
+    would go through the driver and save nothing.
     """
-    if ids.select(F.approx_count_distinct(column)).first()[0] > 1 << (bits - 1):
+    listed = ids.select(F.approx_count_distinct(column)).first()[0]
+    if listed > 1 << (bits - 1) or FILTER_SHARE * listed > df.count():
         return df
     place = F.pmod(F.xxhash64(column), F.lit(1 << bits))
     bit = place.bitwiseAND(F.lit(63))
