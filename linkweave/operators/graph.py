@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.functions.domains import reverse_domain
-from linkweave.operators.joins import DEFAULT_BROADCAST_ROWS, broadcast_when, is_small
+from linkweave.operators.joins import DEFAULT_BROADCAST_ROWS, broadcast_when, is_small, tasks_for
 from linkweave.session import materialize
 
 DEFAULT_BUCKETS = 1000
@@ -129,13 +129,15 @@ def inbound(edges: DataFrame, vertices: DataFrame, targets: DataFrame,
     # enough to broadcast, the vertex table streams past them: scanned once and never shuffled. Beyond that
     # it is reduced to the linkers by a bit filter before it is shuffled.
     into = materialize(into, "inbound-edges")
-    few = into.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
+    n = into.count()  # from the files' footers
+    few = n <= max_broadcast_rows
     into = broadcast_when(into, few)
     if not few:
         v = only_listed(v, "from_id", into.select("from_id"))
-    joined = into.join(v, "from_id")
-    return (joined.groupBy("target", reverse_domain(F.col("rev_domain")).alias("linking_domain"))
-            .agg(F.max("num_hosts").alias("num_hosts")))
+    found = into.join(v, "from_id").select("target", reverse_domain(F.col("rev_domain")).alias("linking_domain"), "num_hosts")
+    if not few:  # nearly all pairs are distinct, so they are grouped after the shuffle only
+        found = found.repartition(tasks_for(edges.sparkSession, n), "target", "linking_domain")
+    return found.groupBy("target", "linking_domain").agg(F.max("num_hosts").alias("num_hosts"))
 
 
 def inbound_order() -> list:

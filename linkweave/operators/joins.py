@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Row bound under which a user-supplied side (targets, pairs, keys) is broadcast.
 DEFAULT_BROADCAST_ROWS = 200_000
+# Rows that one task sorts or groups: the number of tasks grows with the rows, a task's memory does not.
+ROWS_PER_TASK = 500_000
 
 
 def is_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
@@ -30,3 +34,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 
 def broadcast_when(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for ``rows`` rows, ``ROWS_PER_TASK`` each at most, and no fewer than there are cores.
+
+    Spark's own number is a constant of the session, so that its partitions grow with the input.
+    """
+    return max(math.ceil(rows / ROWS_PER_TASK), spark.sparkContext.defaultParallelism)
