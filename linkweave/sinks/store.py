@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from linkweave.operators.crawls import (BACKLINK_COLS, CRAWL_COLS, crawl_counts, normalise_targets,
                                         upsert_crawls)
 from linkweave.operators.graph import DEFAULT_BUCKETS, inbound
+from linkweave.operators.joins import tasks_for
+from linkweave.session import scratch_path
 from linkweave.sinks import parts
 from linkweave.sources.tables import BACKLINKS_SCHEMA, CRAWLS_SCHEMA, read_backlinks, read_crawls
 
@@ -63,14 +65,25 @@ def _write_crawls(crawls: DataFrame, path: str) -> None:
 
 
 def _write_backlinks(backlinks: DataFrame, path: str) -> None:
-    # Files cover disjoint (release, target) ranges, so a one-target report reads one or two of them; the
-    # linker in the range key spreads a hot target over several files.
-    _clustered(backlinks.select(*BACKLINK_COLS)).write.option("compression", "zstd").partitionBy("release").parquet(path)
+    _write_clustered(backlinks.select(*BACKLINK_COLS),
+                     lambda df: df.write.option("compression", "zstd").partitionBy("release").parquet(path))
 
 
-def _clustered(backlinks: DataFrame) -> DataFrame:
+def _write_clustered(backlinks: DataFrame, write) -> None:
+    """``write(df)`` of the backlinks in ranges of (release, target, linking_domain).
+
+    Files cover disjoint (release, target) ranges, so a one-target report reads one or two of them; the
+    linker in the range key spreads a hot target over several files. The rows are written plainly first: they
+    are computed once (finding the ranges would compute them again), and their number gives that of the tasks.
+    """
+    spark = backlinks.sparkSession
     by = ["release", "target", "linking_domain"]
-    return backlinks.repartitionByRange(*by).sortWithinPartitions(*by)
+    path = scratch_path(spark, "backlinks-unordered")
+    backlinks.write.parquet(path)
+    plain = spark.read.schema(backlinks.schema).parquet(path)
+    write(plain.repartitionByRange(tasks_for(spark, plain.count()), *by).sortWithinPartitions(*by))
+    jp, fs = _fs(spark, path)
+    fs.delete(jp, True)
 
 
 def _claim(spark: SparkSession, path: str) -> bool:
@@ -218,7 +231,7 @@ def write_crawl_epoch(log_root: str, epoch: int, runs: list[dict], n_buckets: in
                 F.col("num_hosts").cast("long").alias("num_hosts"), F.lit(None).cast("double").alias("page_rank"))
             links = b if links is None else links.unionByName(b)
         stamp = F.lit(epoch).cast("long").alias("epoch")
-        _clustered(links).select("*", stamp).write.parquet(parts.folder(root, "backlinks", name))
+        _write_clustered(links, lambda df: df.select("*", stamp).write.parquet(parts.folder(root, "backlinks", name)))
         written = parts.read(spark, root, "backlinks", LOG_BACKLINKS_SCHEMA, [parts.Part(name)])
         crawls = None
         for t, r in targets:
@@ -252,7 +265,7 @@ def compact_crawl_log(spark: SparkSession, log_root: str, fanout: int = parts.FA
     """Merge the parts of full levels (``whole``: all parts); what a newer epoch has replaced is left out."""
     def write(old: list[parts.Part], name: str) -> None:
         c, b = _newest(spark, log_root, old)
-        _clustered(b).write.option("compression", "zstd").parquet(parts.folder(log_root, "backlinks", name))
+        _write_clustered(b, lambda df: df.write.option("compression", "zstd").parquet(parts.folder(log_root, "backlinks", name)))
         c.write.option("compression", "zstd").parquet(parts.folder(log_root, "crawls", name))
 
     if whole:
