@@ -4,7 +4,8 @@
 digest as text), ``holder`` (the document that keeps the line) and ``n_docs`` (documents
 counted so far). The runs of a level are appends to one table bucketed and sorted by ``key`` in the
 shared scratch folder, all levels in the same number of buckets, so Spark joins and merges runs
-bucket by bucket and shuffles only the new batch. Batches of documents come in descending ``doc_id`` order. A
+bucket by bucket and shuffles only the new batch. A bucket takes about ``BUCKET_ROWS`` keys of all batches, so the
+files of a run grow with the input and not with the session's number of partitions. Batches of documents come in descending ``doc_id`` order. A
 batch is reduced to one row per key, merge-anti-joined with the runs - only keys that no run
 knows get a ``holder`` - and its rows become a new run on level 0. When ``fanout`` runs stand on
 a level they are merged (counts added) into one run of the next level, so ``b``
@@ -39,6 +40,8 @@ from linkweave.session import materialize, scratch_path
 
 BLANKS = " \t\n\x0b\x0c\r"
 HEAVY = 10_000
+BUCKET_ROWS = 500_000
+PARTS = 64
 
 
 def line_key(line: Column) -> Column:
@@ -54,11 +57,11 @@ class LineRuns:
     """Levelled runs; ``add`` takes batches whose doc_ids lie below those of all batches before.
 
     A level is one bucketed table, a run of it one append, so a bucket of all runs of a level is
-    read by one task.
+    read by one task. ``buckets``: as many as the session has shuffle partitions if not given.
     """
 
-    def __init__(self, fanout: int = 4):
-        self.fanout = fanout
+    def __init__(self, fanout: int = 4, buckets: int | None = None):
+        self.fanout, self.buckets = fanout, buckets
         self.levels: list[tuple[DataFrame | None, int]] = []  # table, runs in it
         self._places: dict[int, tuple[str, str]] = {}  # name and folder of each level's table
 
@@ -70,18 +73,21 @@ class LineRuns:
     def _merge(rows: DataFrame) -> DataFrame:
         return rows.groupBy("key").agg(F.max("holder").alias("holder"), F.sum("n_docs").alias("n_docs"))
 
-    @staticmethod
-    def _write(rows: DataFrame, name: str, path: str) -> DataFrame:
-        spark = rows.sparkSession
+    def _buckets(self, rows: DataFrame) -> int:
+        return self.buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def _write(self, rows: DataFrame, name: str, path: str) -> DataFrame:
         (rows.select("key", "holder", "n_docs").write.format("parquet").mode("append")
-         .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortBy("key")
+         .bucketBy(self._buckets(rows), "key").sortBy("key")
          .option("path", path).saveAsTable(name))
-        return spark.table(name)
+        return rows.sparkSession.table(name)
 
     def judged(self, batch: DataFrame) -> DataFrame:
         """``(key, holder, n_docs)`` of a batch: the holder is null for keys that a run knows."""
-        rows = (batch.select("key", "doc_id").distinct()
-                .groupBy("key").agg(F.max("doc_id").alias("holder"), F.count(F.lit(1)).alias("n_docs")))
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part")  # of a frequent key no task gets all documents
+        rows = (batch.select("key", "doc_id", part).repartition("key", "part").distinct()
+                .groupBy("key", "part").agg(F.max("doc_id").alias("holder"), F.count(F.lit(1)).alias("n_docs"))
+                .repartition(self._buckets(batch), "key").groupBy("key").agg(F.max("holder").alias("holder"), F.sum("n_docs").alias("n_docs")))
         for run in self.runs():  # a key has its holder in one run only
             seen = run.where("holder IS NOT NULL").select("key", F.lit(True).alias("seen"))
             rows = (rows.join(seen, "key", "left")
@@ -136,7 +142,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
             .where(F.length("line") >= min_chars)
             .select(batch.alias("batch"), "doc_id", "row", "place", F.md5("line").alias("key")))
     keys = materialize(keys, "line-keys")
-    runs = LineRuns(fanout)
+    runs = LineRuns(fanout, max(1, -(-keys.count() // BUCKET_ROWS)))
     for i in range(len(bounds), -1, -1):
         runs.add(keys.where(F.col("batch") == i))
     hot = materialize(runs.totals().where(F.col("n_docs") >= min_docs), "line-hot")

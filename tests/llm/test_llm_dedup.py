@@ -1,5 +1,6 @@
 """Jaccard join, chunk spans, decontamination, line runs and embeddings against brute force."""
 import hashlib
+import pathlib
 import random
 from collections import Counter
 
@@ -218,6 +219,22 @@ def test_line_dedup_empty_and_runs(spark):
     assert {r.key: (r.holder, r.n_docs) for r in runs.totals().collect()} == {"a": (9, 4), "b": (9, 1), "c": (8, 2), "d": (1, 1)}
 
 
+def test_line_runs_take_files_by_rows_not_by_partitions(spark, monkeypatch):
+    folders, plain, before = [], line_dedup.scratch_path, spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(line_dedup, "scratch_path", lambda s, name: folders.append(plain(s, name)) or folders[-1])
+    monkeypatch.setattr(line_dedup, "BUCKET_ROWS", 200)
+    data = [(i, f"a line that stands in many of the documents, {i % 30}\na line of a single document, which is {i}", None, None, None)
+            for i in range(300)]
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = sorted(map(tuple, line_dedup.dedup_lines(H.documents(spark, data), 20, 5, 2, 4).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == lines_by_hand([(r[0], r[1]) for r in data], 20, 5)
+    files = [p for f in folders for p in pathlib.Path(f.removeprefix("file:")).glob("part-*")]
+    assert len(folders) == 1 and 2 <= len(files) <= 6  # 600 keys in 3 buckets, two runs
+
+
 def test_line_runs_are_not_shuffled(spark):
     runs = line_dedup.LineRuns(fanout=4)
     batches = [spark.createDataFrame([("a", i), (str(i), i)], "key string, doc_id long") for i in (9, 8, 7)]
