@@ -89,8 +89,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
                       .distinct(), f"{name}-0")
     for i in range(1, 200):
         # stars: every node points to one node, which points nowhere
-        low = cur.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("far"))
-        if low.where("m <> far").isEmpty() and cur.join(low.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+        ends = (cur.select(F.col("u").alias("node"), F.col("v").alias("too"))
+                .union(cur.select(F.col("v").alias("node"), F.lit(None).alias("too"))))
+        seen = ends.groupBy("node").agg(F.min("too").alias("m"), F.max("too").alias("far"), F.max(F.col("too").isNull()).alias("end"))
+        if seen.where("m <> far OR (m IS NOT NULL AND end)").isEmpty():
             break
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -112,6 +114,8 @@ def joined_components(found: DataFrame | None, links: DataFrame, name: str) -> D
     """Components ``(node, component)`` after more ``links(a, b)``: only the components so far are joined, not their nodes."""
     if found is None:
         return materialize(components(links, name), f"{name}-found")
+    if links.isEmpty():
+        return found
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
     known = found.union(ends.join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
     of = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
