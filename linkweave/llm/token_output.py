@@ -22,6 +22,7 @@ goes through the library as it is.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -94,6 +95,8 @@ class PieceTable:
     that more than one batch has asked for are kept."""
 
     def __init__(self, tokenizer_file: str):
+        # a task has one core: the library's own threads, one per core of the machine, would each keep memory
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
 import tracemalloc
 
 import numpy as np
@@ -59,3 +62,18 @@ def test_pieces_are_learnt_in_calls_of_bounded_size(monkeypatch):
     monkeypatch.undo()
     table = token_output.piece_table(tokenizer_file())
     assert ids.tolist() == [x for t in (text, "", "last") for x in [*table.encode([t])[0], 0]] and int(n.sum()) == len(ids)
+
+
+def test_tokenizer_starts_no_threads_in_a_worker():
+    code = (
+        "import os, sys; sys.path[:0] = sys.argv[1].split(os.pathsep)\n"
+        "import pyarrow as pa\n"
+        "from linkweave.llm import token_output\n"
+        "from linkweave.llm.queries import tokenizer_file\n"
+        "before = len(os.listdir('/proc/self/task'))\n"
+        "token_output.encode_column(pa.array([f'word{i} na\u4e2dve {i}' for i in range(500)]), tokenizer_file(), 0)\n"
+        "print(len(os.listdir('/proc/self/task')) - before)\n")
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    env["RAYON_NUM_THREADS"] = "4"
+    out = subprocess.run([sys.executable, "-c", code, os.pathsep.join(sys.path)], env=env, capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip() == "0", out.stdout + out.stderr
