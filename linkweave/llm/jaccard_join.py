@@ -27,12 +27,13 @@ breaks the ties and makes the Voronoi regions.
   nearest pivots anew (all other sets keep theirs, as nothing before those has changed), and the new regions are joined
   in the same way, across components only. Two linked sets meet under the new order as they did under the old one, so
   this is exact at every level, and a shared passage brings two sets together only if they have too little else.
-  At most ``LEVELS`` levels are taken.
+  At most ``LEVELS`` levels are taken, and none after one that has left the open regions as they were.
 * **Blocks.** The sets of the regions that are open then are dealt into blocks of about ``BLOCK`` by their first open
   region. Two blocks that meet in a region, one of them with a set outside its largest component, are joined
   in a task of their own: pairs with an open region in common, across components, within all windows. However many
   regions a pair shares, it is made once.
 * Equal sets form one class before anything is joined; a class is one node.
+* A pair is compared once, in whatever regions and steps it turns up.
 
 A document without words links with nothing. Rows that repeat a ``doc_id`` follow their
 own text; a null ``doc_id`` belongs to its class but names no component (its component
@@ -62,6 +63,7 @@ BINNED = 400
 ROUNDS = 1
 PIVOTS = 8
 LEVELS = 3
+LESS = 4  # a level must take a quarter of the components out of the mixed regions, or the blocks take over
 SMALL = 48
 BLOCK = 256
 COLUMNS = 4096  # open regions looked at in one step of a task
@@ -107,42 +109,64 @@ def profiles(docs: DataFrame, k: int, order_bits: int = ORDER_BITS) -> DataFrame
 
 
 def replicas(docs: DataFrame, k: int, num: int, den: int, load: np.ndarray, order_bits: int,
-             late: np.ndarray | None = None, only: np.ndarray | None = None) -> DataFrame:
+             late: np.ndarray | None = None, before: np.ndarray | None = None, only: np.ndarray | None = None,
+             reps: np.ndarray | None = None) -> DataFrame:
     """``(doc_id, n, d1, parity, bins, pivots)``: the first pivots of every set, as many as the window takes.
 
     ``bins``: shingles per hash class, for sets of ``BINNED`` shingles or more (else empty). ``late``: filter of the
-    pivots that come after all others; ``only``: filter of the ids to read.
+    pivots that come after all others, given with those that did ``before``: then ``pivots`` holds only those that the
+    set did not have or that have become late. ``only``: filter of the ids to read; ``reps``: filter of the sets to
+    keep (see ``class_place``).
     """
-    shared = docs.sparkSession.sparkContext.broadcast((load, late, only))
+    shared = docs.sparkSession.sparkContext.broadcast((load, late, before, only, reps))
+
+    def first_pivots(s: np.ndarray, take: int, weight: np.ndarray) -> np.ndarray:
+        edge = np.partition(weight, take - 1)[take - 1]
+        near = np.flatnonzero(weight <= edge)  # ascending hash breaks ties
+        return s[near[np.argsort(weight[near], kind="stable")[:take]]]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, late, only = shared.value
+        rank, late, before, only, reps = shared.value
         for b in pieces(batches):
             if only is not None:
                 b = b.filter(pa.array(passes(only, b.column("place").to_numpy())))
             if not b.num_rows:
                 continue
-            n, d1, par, bins, keys = [], [], [], [], []
+            n, d1, par, bins, keys, kept = [], [], [], [], [], []
+            ids = b.column("doc_id").to_pylist()
             with np.errstate(over="ignore"):
-                for s in _sets(b, k):
+                for at, s in enumerate(_sets(b, k)):
                     size = len(s)
+                    digest = mix64(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U)
+                    if reps is not None and (ids[at] is None or not passes(reps, np.array([(int(digest) ^ ids[at]) & LOW]))[0]):
+                        continue
+                    kept.append(at)
                     n.append(size)
-                    d1.append(int(mix64(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U)))
+                    d1.append(int(digest))
                     counts = np.bincount((s & _U(255)).astype(np.int64), minlength=256)
                     par.append(np.packbits((counts & 1).astype(np.uint8)).view(np.int64))
                     bins.append(counts.astype(np.int32) if size >= BINNED else counts[:0].astype(np.int32))
                     take = size + (-num * size // den) + 1 if size else 0  # size - ceil(num * size / den) + 1
                     if take < size:
                         weight = rank[(s >> _U(64 - order_bits)).astype(np.int64)]
-                        if late is not None:
-                            weight = weight + (passes(late, (s & _U(LOW)).astype(np.int64)).astype(np.int64) << 32)
-                        edge = np.partition(weight, take - 1)[take - 1]
-                        near = np.flatnonzero(weight <= edge)  # ascending hash breaks ties
-                        s = s[near[np.argsort(weight[near], kind="stable")[:take]]]
+                        if late is None:
+                            s = first_pivots(s, take, weight)
+                        else:
+                            place = (s & _U(LOW)).astype(np.int64)
+                            was = passes(before, place) if before is not None else np.zeros(size, bool)
+                            now = passes(late, place)
+                            had = np.isin(s, first_pivots(s, take, weight + (was.astype(np.int64) << 32))) & ~(now & ~was)
+                            has = np.isin(s, first_pivots(s, take, weight + (now.astype(np.int64) << 32)))
+                            s = s[has & ~had]
+                    elif late is not None:
+                        place = (s & _U(LOW)).astype(np.int64)
+                        s = s[passes(late, place) & (True if before is None else ~passes(before, place))]
                     keys.append(s)
+            if not kept:
+                continue
             par = np.array(par).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(signed(np.array(d1, _U))),
+                [b.column("doc_id").take(pa.array(kept)), pa.array(n, pa.int64()), pa.array(signed(np.array(d1, _U))),
                  *[pa.array(np.ascontiguousarray(par[:, i])) for i in range(4)],
                  list_column(np.concatenate(bins), np.array([len(x) for x in bins])),
                  list_column(signed(np.concatenate(keys)), np.array([len(x) for x in keys]))],
@@ -153,6 +177,44 @@ def replicas(docs: DataFrame, k: int, num: int, den: int, load: np.ndarray, orde
                                  "par3 bigint, bins array<int>, pivots array<bigint>")
 
 
+def class_place(node: str) -> Column:
+    """Place of a set in a filter: of its row's id and its digest ``d1``."""
+    return F.col(node).bitwiseXOR(F.col("d1")).bitwiseAND(F.lit(LOW))
+
+
+def passing(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The rows whose ``place`` passes the filter."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(passes(shared.value, b.column("place").to_numpy())))
+
+    return rows.mapInArrow(scan, rows.schema)
+
+
+def representatives(docs: DataFrame, own: DataFrame, nodes: DataFrame, k: int, num: int, den: int, load: np.ndarray,
+                    order_bits: int) -> DataFrame:
+    """``replicas`` of the classes' own rows, without a shuffle of the pivots.
+
+    A filter of fixed size leaves out nearly all other rows in the scan. Those that it lets through by chance
+    are found among the narrow rows ``own`` and taken out.
+    """
+    bits = id_filter(nodes.select(class_place("node").alias("place")))
+    copies = (own.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "d1", "n")
+              .join(nodes.select(F.col("node").alias("doc_id"), "d1", "n"), ["doc_id", "d1", "n"], "left_anti")
+              .withColumn("place", class_place("doc_id")))
+    chance = materialize(passing(copies, bits).select("doc_id", "d1", "n"), "jaccard-chance")
+    found = replicas(docs, k, num, den, load, order_bits, reps=bits)
+    if not chance.isEmpty():
+        found = found.join(chance, ["doc_id", "d1", "n"], "left_anti")
+    return materialize(found.where("n > 0").withColumnRenamed("doc_id", "node"), "jaccard-replicas")
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+
 def within_windows(num: int, den: int, a: str = "", b: str = "o_") -> Column:
     """Size and parity windows of a pair: columns ``n, par*`` with the two prefixes."""
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
@@ -164,17 +226,20 @@ def within_windows(num: int, den: int, a: str = "", b: str = "o_") -> Column:
 def within_bins(pairs: DataFrame, placed: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs ``(a, b)`` whose bin counts lie close enough: ``|A xor B| >= sum |bins(A) - bins(B)|``.
 
-    Parity tells too little about sets of many hundred shingles; their counts do.
+    Parity tells too little about sets of many hundred shingles; their counts do. ``pairs`` is a written table, so that
+    only the bins of its nodes are shuffled.
     """
-    a, b = (placed.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins_{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b")
+    met = placed.where(F.size("bins") > 0).select("node", "n", "bins").join(ends_of(pairs), "node", "left_semi").distinct()
+    a, b = (met.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins_{x}")) for x in "ab")
+    both = pairs.join(a, "a", "left").join(b, "b", "left")
     apart = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
     near = F.lit(den + num) * apart <= F.lit(den - num) * (F.col("na") + F.col("nb"))
-    return both.where((F.size("bins_a") == 0) | (F.size("bins_b") == 0) | near).select("a", "b")
+    return both.where(F.col("bins_a").isNull() | F.col("bins_b").isNull() | near).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str) -> DataFrame:
     """The pairs ``(a, b)`` whose sets ``sets(node, shingle_set)`` reach the similarity."""
+    sets = sets.join(ends_of(pairs), "node", "left_semi")
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingle_set").alias("sa")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingle_set").alias("sb")), "b"))
     common = F.size(F.array_intersect("sa", "sb"))
@@ -211,10 +276,11 @@ def region_filter(regions: DataFrame) -> np.ndarray:
     return id_filter(regions.select(F.col("region").bitwiseAND(F.lit(LOW)).alias("place")))
 
 
-def placed_in(placed: DataFrame, bits: Broadcast) -> DataFrame:
+def placed_in(placed: DataFrame, bits: Broadcast, late: Broadcast | None = None) -> DataFrame:
     """``(region, node)`` of the pivots that pass the filter of regions, which keeps all others out of the shuffle.
 
-    What passes by chance must be left out by a join.
+    What passes by chance must be left out by a join. ``late``: two filters, of the pivots that are late now and of
+    those that were when these were chosen (or None); what has become late is left out.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,23 +288,23 @@ def placed_in(placed: DataFrame, bits: Broadcast) -> DataFrame:
             pivots = b.column("pivots")
             region = pivots.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(b.num_rows), np.diff(pivots.offsets.to_numpy()))
-            keep = np.flatnonzero(passes(bits.value, region & LOW))
+            keep = passes(bits.value, region & LOW)
+            if late is not None:
+                now, then = late.value
+                keep &= ~passes(now, region & LOW) | (passes(then, region & LOW) if then is not None else False)
+            keep = np.flatnonzero(keep)
             node = b.column("node").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(region[keep]), pa.array(node[row[keep]])], ["region", "node"])
 
     return placed.select("node", "pivots").mapInArrow(scan, "region bigint, node bigint")
 
 
-def shared_rows(placed: DataFrame, shared: DataFrame, name: str = "jaccard-met") -> DataFrame:
+def shared_rows(rows: DataFrame, shared: DataFrame, placed: DataFrame, name: str = "jaccard-met") -> DataFrame:
     """``(region, node, n, par*, members)`` of the regions with more than one member, written once.
 
-    Most pivots are alone in their region.
+    Most pivots are alone in their region. ``rows``: see ``placed_in``.
     """
-    bits = placed.sparkSession.sparkContext.broadcast(region_filter(shared))
-    rows = placed_in(placed, bits).join(shared, "region")
-    out = materialize(rows.join(placed.select("node", "n", *PARITY), "node"), name)
-    bits.destroy()
-    return out
+    return materialize(rows.join(shared, "region").join(placed.select("node", "n", *PARITY), "node"), name)
 
 
 def newly_late(placed: DataFrame, late: np.ndarray, before: np.ndarray | None) -> DataFrame:
@@ -363,13 +429,13 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
 
     classes = own.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"))
     nodes = materialize(classes.where("node IS NOT NULL"), "jaccard-classes")
-    placed = materialize(
-        replicas(docs, k, num, den, load, order_bits)
-        .join(nodes.select(F.col("node").alias("doc_id"), "d1", "n"), ["doc_id", "d1", "n"], "left_semi")
-        .withColumnRenamed("doc_id", "node"), "jaccard-replicas")
+    placed = representatives(docs, own, nodes, k, num, den, load, order_bits)
     shared = materialize(placed.select(F.explode("pivots").alias("region")).groupBy("region")
                          .agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "jaccard-shared")
-    met = shared_rows(placed, shared)
+    context = docs.sparkSession.sparkContext
+    bits = context.broadcast(region_filter(shared))
+    met = shared_rows(placed_in(placed, bits), shared, placed)
+    bits.destroy()
 
     other = [F.col(c).alias(f"o_{c}") for c in ("node", "n", *PARITY)]
     few = met.where(F.col("members") <= small)
@@ -380,62 +446,83 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     centre = many.join(first, "region").where("node = pivot").select("region", *other)
     star = (many.join(centre, "region").where("node > o_node").where(within_windows(num, den))
             .select(F.col("node").alias("a"), F.col("o_node").alias("b")))
-    pairs = materialize(within_bins(close.union(star).distinct(), placed, num, den).distinct(), "jaccard-pairs")
-    sets, found = None, None
-
-    def compare(pairs: DataFrame, name: str) -> None:
-        """Verify the pairs, reading only sets that are not at hand yet, and join the components by the new links."""
-        nonlocal sets, found
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets, found, done = None, None, None
+
+    def compare(pairs: DataFrame, name: str) -> bool:
+        """Verify the pairs that have not been compared yet, reading only sets that are not at hand, and join the
+        components by the new links. Whether there are any."""
+        nonlocal sets, found, done
+        pairs = pairs.distinct() if done is None else pairs.distinct().join(done, ["a", "b"], "left_anti")
+        near = materialize(pairs, f"jaccard-near-{name}")
+        if found is not None and near.isEmpty():
+            return False
+        done = near if done is None else done.union(near)
+        pairs = materialize(within_bins(near, placed, num, den), f"jaccard-pairs-{name}")
+        if found is not None and pairs.isEmpty():
+            return False
+        ends = ends_of(pairs)
         fresh = shingle_sets(docs, ends if sets is None else ends.join(sets.select("node"), "node", "left_anti"), k, f"jaccard-sets-{name}")
         sets = fresh if sets is None else sets.union(fresh)
-        found = joined_components(found, verified(pairs, sets, num, den, f"jaccard-links-{name}"), f"jaccard-components-{name}")
+        links = verified(pairs, sets, num, den, f"jaccard-links-{name}")
+        before, found = found, joined_components(found, links, f"jaccard-components-{name}")
+        return found is not before
+
+    def still_open(rows: DataFrame, name: str) -> DataFrame:
+        return materialize(open_regions(rows.select("region", "node", "n", *PARITY), found), f"jaccard-open-{name}")
 
-    compare(pairs, "first")
+    compare(close.union(star), "first")
+    opened, linked = still_open(many, "first"), True
     for i in range(rounds):
-        rows = open_regions(many, found)
-        pairs = materialize(within_bins(star_pairs(rows, num, den), placed, num, den).distinct(), f"jaccard-star-{i}")
-        if pairs.isEmpty():
+        linked = compare(star_pairs(opened, num, den), f"star-{i}")
+        if not linked:
             break
-        compare(pairs, f"star-{i}")
+        opened = still_open(opened, f"star-{i}")
 
-    late = None
+    late, layers, width = None, [(placed, None)], None
     for i in range(levels):
-        still = materialize(open_regions(many, found).groupBy("region").agg(F.max("parts").alias("parts")), f"jaccard-open-{i}")
+        still = materialize(opened.groupBy("region").agg(F.max("parts").alias("parts")), f"jaccard-still-{i}")
         mixed = still.where(F.col("parts") > small).select("region")
-        if mixed.isEmpty():
+        last, width = width, still.where(F.col("parts") > small).agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0]
+        if not width or (last is not None and LESS * width > (LESS - 1) * last):
             break
         before, late = late, region_filter(mixed) if late is None else late | region_filter(mixed)
-        moved = materialize(newly_late(placed, late, before), f"jaccard-moved-{i}")
+        moved = layers[0][0].select("node").limit(0)
+        for layer, _ in layers:
+            moved = moved.union(newly_late(layer, late, before))
+        moved = materialize(moved.distinct(), f"jaccard-moved-{i}")
         if moved.isEmpty():
             break
-        again = (replicas(docs, k, num, den, load, order_bits, late, id_filter(moved.select(filter_place("node").alias("place"))))
+        again = (replicas(docs, k, num, den, load, order_bits, late, before, id_filter(moved.select(filter_place("node").alias("place"))))
                  .join(nodes.select(F.col("node").alias("doc_id"), "d1", "n"), ["doc_id", "d1", "n"], "left_semi")
                  .withColumnRenamed("doc_id", "node").join(moved, "node", "left_semi"))
-        fresh = materialize(again, f"jaccard-replicas-{i}")
-        placed = placed.join(moved, "node", "left_anti").unionByName(fresh)
+        fresh = materialize(again.select("node", "pivots"), f"jaccard-replicas-{i}")
+        layers.append((fresh, late))
         # sets that keep their pivots have met already, but for the regions that are still open
         regions = materialize(fresh.select(F.explode("pivots").alias("region")).union(still.select("region")).distinct(), f"jaccard-regions-{i}")
-        bits = docs.sparkSession.sparkContext.broadcast(region_filter(regions))
-        shared = materialize(placed_in(placed, bits).groupBy("region").agg(F.count(F.lit(1)).alias("members"))
-                             .where("members > 1").join(regions, "region", "left_semi"), f"jaccard-shared-{i}")
-        bits.destroy()
-        met = shared_rows(placed, shared, f"jaccard-met-{i}")
-        many = met.where(F.col("members") > small)
+        held = [context.broadcast(region_filter(regions))]
+        rows = None
+        for layer, then in layers:
+            held.append(context.broadcast((late, then)))
+            part = placed_in(layer, held[0], held[-1])
+            rows = part if rows is None else rows.union(part)
+        rows = materialize(rows.join(regions, "region", "left_semi"), f"jaccard-rows-{i}")
+        for b in held:
+            b.destroy()
+        shared = rows.groupBy("region").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        met = shared_rows(rows, shared, placed, f"jaccard-met-{i}")
         few = (met.where(F.col("members") <= small).join(found, "node", "left")
                .withColumn("component", F.coalesce("component", "node")))
         close = (few.join(few.select("region", F.col("component").alias("o_component"), *other), "region")
                  .where("node > o_node AND component <> o_component").where(within_windows(num, den))
                  .select(F.col("node").alias("a"), F.col("o_node").alias("b")))
-        star = star_pairs(open_regions(many, found), num, den)
-        pairs = materialize(within_bins(close.union(star).distinct(), placed, num, den).distinct(), f"jaccard-level-{i}")
-        if not pairs.isEmpty():
-            compare(pairs, f"level-{i}")
-
-    rest = materialize(open_regions(many, found).select("region", "node", "component", "main"), "jaccard-rest")
-    across = materialize(block_pairs(rest, placed, num, den, block), "jaccard-across")
-    if not across.isEmpty():
-        compare(across, "blocks")
+        opened = still_open(met.where(F.col("members") > small), f"level-{i}")
+        # regions that no link has changed since their last pivots have nothing new to compare
+        changed = opened if linked else opened.join(still.select("region"), "region", "left_anti")
+        linked = compare(close.union(star_pairs(changed, num, den)), f"level-{i}")
+        if linked:
+            opened = still_open(opened, f"linked-{i}")
+
+    compare(block_pairs(opened.select("region", "node", "component", "main"), placed, num, den, block), "blocks")
     known = (nodes.join(found, "node", "left")
              .select("d1", "d2", "n", F.coalesce("component", "node").alias("component")))
     return (own.join(known, ["d1", "d2", "n"], "left")

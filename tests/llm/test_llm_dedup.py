@@ -6,9 +6,12 @@ from collections import Counter
 
 import helpers as H
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from linkweave.llm import chunk_dedup, decontaminate, embedding_dedup, jaccard_join, line_dedup
+from linkweave.session import scratch_tables
 
 
 @pytest.mark.parametrize("k,num,den,small,block", [(3, 90, 100, 48, 256), (5, 80, 100, 2, 3), (2, 8, 10, 1, 4)])
@@ -39,6 +42,69 @@ def test_jaccard_levels_lose_nothing(spark):
         assert {r[0]: (r[1], r[2]) for r in got} == want
 
 
+def quoting(n, words, seed=7):
+    """Documents that quote one passage at length and share nothing else."""
+    rnd = random.Random(seed)
+    quote = " ".join(H.SHARED.split()[:30])
+    return [(i, quote + " " + " ".join(f"w{rnd.randrange(90000)}" for _ in range(words)), None, None, None) for i in range(n)]
+
+
+def test_jaccard_levels_end_when_nothing_changes(spark):
+    """Sets with hardly a shingle beside the passage cannot leave its regions: a second level is not taken, no pair is compared twice."""
+    data = quoting(40, 4)
+    before = set(scratch_tables(spark))
+    got = jaccard_join.jaccard_classes(H.documents(spark, data), 3, 80, 100, 1, 4, 16).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == H.jaccard([(r[0], r[1]) for r in data], 3, 80, 100)
+    made = [t for t in scratch_tables(spark) if t not in before]
+    assert sum("/jaccard-moved-" in t for t in made) == 1
+    near = [tuple(r) for t in made if "/jaccard-near-" in t for r in spark.read.parquet(t).collect()]
+    assert near and len(near) == len(set(near))
+
+
+def test_jaccard_late_pivots_add_to_those_before(spark):
+    """The pivots kept from before and those added are, together and without repeats, the first pivots under the new order."""
+    data = [(100 + r[0], *r[1:]) for r in quoting(1, 0)] + quoting(20, 40)
+    docs = jaccard_join._rows(H.documents(spark, data))
+    load = np.zeros(2, np.uint32)
+    pivots = lambda df: {r.doc_id: np.array(r.pivots, np.int64) for r in df.collect()}
+    bits = lambda some: jaccard_join.region_filter(spark.createDataFrame([(int(x),) for x in some], "region bigint"))
+    passes = lambda f, x: jaccard_join.passes(f, x & jaccard_join.LOW)
+    layers = [(pivots(jaccard_join.replicas(docs, 3, 80, 100, load, 1)), None)]
+    held = sorted({x for v in layers[0][0].values() for x in v.tolist()})
+    texts = pa.RecordBatch.from_pydict({"text": [r[1] for r in data]})
+    sets = dict(zip([r[0] for r in data], jaccard_join._sets(texts, 3)))
+    first, second = bits(held[::3]), bits(held[::3] + held[1::5])
+    for late, before in ((first, None), (second, first)):
+        layers.append((pivots(jaccard_join.replicas(docs, 3, 80, 100, load, 1, late, before)), late))
+        for doc, s in sets.items():
+            take = len(s) - -(-80 * len(s) // 100) + 1
+            now = passes(late, s.view(np.int64))
+            want = np.concatenate([s[~now], s[now]])[:take].view(np.int64)
+            got = []
+            for layer, then in layers:
+                gone = passes(late, layer[doc]) & (~passes(then, layer[doc]) if then is not None else True)
+                got += layer[doc][~gone].tolist()
+            assert sorted(got) == sorted(want.tolist())
+
+
+def test_jaccard_pivots_of_copies_are_left_out(spark):
+    """Only a class's own row keeps pivots, although ids repeat and a full filter lets every row through."""
+    data = [(i, f"a{i % 4} b c d e f{i % 4}", None, None, None) for i in range(12)] + [(0, "quite another text here", None, None, None)]
+    docs = jaccard_join._rows(H.documents(spark, data + [(None, "a0 b c d e f0", None, None, None)]))
+    own = jaccard_join.profiles(docs, 3, 4).where("n IS NOT NULL").select("doc_id", "n", "d1", "d2")
+    nodes = own.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node")).where("node < 4 AND node IS NOT NULL")
+    load = np.zeros(16, np.uint32)
+    whole = jaccard_join.id_filter
+    for filled in (False, True):
+        if filled:
+            jaccard_join.id_filter = lambda places: np.full_like(whole(places), ~np.uint64(0))
+        try:
+            placed = jaccard_join.representatives(docs, own, nodes, 3, 90, 100, load, 4)
+        finally:
+            jaccard_join.id_filter = whole
+        assert sorted(r.node for r in placed.collect()) == [0, 0, 1, 2, 3]
+
+
 def test_regions_in_common():
     rng = np.random.default_rng(2)
     left, right = ([np.unique(rng.integers(0, 9000, rng.integers(1, 60))) for _ in range(n)] for n in (40, 30))
