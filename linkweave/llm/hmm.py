@@ -12,6 +12,8 @@ size while the word table grows with the corpus and is never gathered in one pla
 
 * **Blocks.** Documents are tokenised once into blocks of about ``BLOCK_BYTES`` of text: local
   vocabulary, training counts and the token sequence as local ids. All later passes read blocks.
+  A block is several rows, one per ``PIECE`` of text and one per ``SLICE`` of its words, in bytes
+  instead of arrays: a task of Spark holds what it reads and sends several times over.
 * **Word counts** are summed over all blocks by Spark and joined back to each block.
 * **Training.** Every Baum-Welch pass runs over all training documents: each task turns its
   blocks into expected counts, Spark sums them, the driver holds the model (states x classes).
@@ -40,13 +42,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.llm.tables import hash_fold
-from linkweave.llm.words import PIECE, pieces, signed, word_hashes
+from linkweave.llm.words import PIECE, give_back, pieces, signed, word_hashes
 from linkweave.session import materialize
 
 STATES = 8
 CLASS_BITS = 11
 SEGMENT = 256
 BLOCK_BYTES = 8 * PIECE
+SLICE = 1 << 15
 PASSES = 7
 SETTLED = 0.002
 COARSE_BITS = 8
@@ -242,48 +245,127 @@ def _list(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
 
-def blocks(docs: DataFrame, held_out: str) -> DataFrame:
-    """One row per block: documents, lengths, local vocabulary with training counts, tokens as local ids."""
+def packed(ids: np.ndarray, size: int) -> bytes:
+    """Ids below ``size`` in two bytes each and a plane of bits for every further bit."""
+    further = range(16, max(16, (size - 1).bit_length()))
+    return b"".join([ids.astype("<u2").tobytes(), *(np.packbits((ids >> j & 1).astype(np.uint8)).tobytes() for j in further)])
+
+
+def unpacked(raw: pa.Buffer | bytes, n: int) -> np.ndarray:
+    """The ``n`` ids of ``packed``."""
+    ids = np.frombuffer(raw, "<u2", n).astype(np.int64)
+    for j, plane in enumerate(np.frombuffer(raw, np.uint8, offset=2 * n).reshape(-1, max(1, -(-n // 8)))):
+        ids |= np.unpackbits(plane, count=n).astype(np.int64) << (16 + j)
+    return ids
+
+
+class _Block:
+    """The pieces of a block: each has ids of its own until the words of all are known."""
+
+    def __init__(self) -> None:
+        self.size, self.pieces = 0, []
+
+    def add(self, b: pa.RecordBatch) -> None:
+        words, first = word_hashes(b.column("text"))
+        n = np.diff(first) + 1
+        tokens = np.full(len(words) + len(n), END, _U)
+        tokens[np.arange(len(words)) + np.repeat(np.arange(len(n)), n - 1)] = words
+        vocab, seq = np.unique(tokens, return_inverse=True)
+        held = b.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        count = np.bincount(seq[~np.repeat(held, n)], minlength=len(vocab))
+        doc_ids = b.column("doc_id").take(pa.array(np.arange(len(n))))  # a slice would hold the whole batch
+        self.pieces.append((doc_ids, held, n, vocab, count, seq.astype(np.int32)))
+        self.size += b.column("text").nbytes
+
+    def rows(self, number: int, bits: int) -> Iterator[pa.RecordBatch]:
+        """A row for each piece, then the words in slices."""
+        words = np.unique(np.concatenate([p[3] for p in self.pieces]))
+        vocab = np.append(words[words != END], END)  # in the order of the classes
+        per_class = np.bincount(class_of(vocab, bits), minlength=(1 << bits) + 1).astype("<u4").tobytes()
+        counts = np.zeros(len(vocab), np.int64)
+        for doc_ids, held, lengths, own, count, seq in self.pieces:
+            ids = np.searchsorted(vocab[:-1], own)
+            ids[own == END] = len(vocab) - 1
+            counts[ids] += count
+            yield _row(block=pa.array([number]), doc_ids=pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids),
+                       held=_list(held, pa.bool_()), lengths=_list(lengths, pa.int64()), per_class=pa.array([per_class]),
+                       seq=pa.array([packed(ids[seq], len(vocab))]))
+        for lo in range(0, len(vocab), SLICE):
+            yield _row(block=pa.array([number]), first=pa.array([lo]), vocab=pa.array([signed(vocab[lo:lo + SLICE]).astype("<i8").tobytes()]),
+                       counts=pa.array([counts[lo:lo + SLICE].astype("<i8").tobytes()]))
+
+
+_STORE = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
+                    ("lengths", pa.list_(pa.int64())), ("per_class", pa.binary()), ("seq", pa.binary()), ("first", pa.int64()),
+                    ("vocab", pa.binary()), ("counts", pa.binary())])
+
+
+def _row(**given: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(1, f.type)) for f in _STORE], schema=_STORE)
+
+
+def blocks(docs: DataFrame, held_out: str, bits: int = CLASS_BITS) -> DataFrame:
+    """Rows of two kinds, few and of bounded size (but for a longer text), as a task holds a batch of them several times over.
+
+    A row per piece: documents, lengths, local ids of the tokens and how many of the block's words are in each class (of
+    ``bits`` bits; local ids are in the order of the classes). A row per slice of a block's words: first local id, hashes and training counts.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
-        for b in pieces(batches, BLOCK_BYTES):
-            words, first = word_hashes(b.column("text"))
-            n = np.diff(first) + 1
-            tokens = np.full(len(words) + len(n), END, _U)
-            tokens[np.arange(len(words)) + np.repeat(np.arange(len(n)), n - 1)] = words
-            vocab, seq = np.unique(tokens, return_inverse=True)
-            held = b.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            count = np.bincount(seq[~np.repeat(held, n)], minlength=len(vocab))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), b.column("doc_id")),
-                 _list(held, pa.bool_()), _list(n, pa.int64()), _list(signed(vocab), pa.int64()),
-                 _list(count, pa.int64()), _list(seq.astype(np.int32), pa.int32())],
-                ["block", "doc_ids", "held", "lengths", "vocab", "counts", "seq"])
-            number += 1
+        number, block = TaskContext.get().partitionId() << 32, _Block()
+        for b in pieces(batches, PIECE):
+            block.add(b)
+            if block.size >= BLOCK_BYTES:
+                yield from block.rows(number, bits)
+                number, block = number + 1, _Block()
+        if block.pieces:
+            yield from block.rows(number, bits)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"))
     return materialize(rows.mapInArrow(
-        scan, "block bigint, doc_ids array<bigint>, held array<boolean>, lengths array<bigint>, vocab array<bigint>, "
-              "counts array<bigint>, seq array<int>"), "hmm-blocks")
+        scan, "block bigint, doc_ids array<bigint>, held array<boolean>, lengths array<bigint>, per_class binary, seq binary, "
+              "first bigint, vocab binary, counts binary"), "hmm-blocks")
+
 
+def words_of(store: DataFrame) -> DataFrame:
+    """``(block, place, word, own)``: every block's words by local id, with their training counts."""
 
-def _training(block: dict, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class sequence and lengths of a block's training documents."""
-    classes = class_of(block["vocab"].view(_U), bits)[block["seq"]]
-    keep = ~block["held"]
-    return classes[np.repeat(keep, block["lengths"])], block["lengths"][keep]
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                words, own = (np.frombuffer(b.column(c)[i].as_buffer(), "<i8") for c in ("vocab", "counts"))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(words), b.column("block")[i].as_py())), pa.array(b.column("first")[i].as_py() + np.arange(len(words))),
+                     pa.array(words), pa.array(own)], ["block", "place", "word", "own"])
+        give_back()
 
+    return (store.where("vocab IS NOT NULL").select("block", "first", "vocab", "counts")
+            .mapInArrow(listed, "block bigint, place bigint, word bigint, own bigint"))
 
-def _arrays(b: pa.RecordBatch | pa.Table, i: int, names: tuple[str, ...]) -> dict:
-    out = {}
-    for name in names:
-        value = b.column(name)[i].values
-        out[name] = np.array(value.to_numpy(zero_copy_only=False))
-    return out
+
+def _tokens(b: pa.RecordBatch | pa.Table, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Local ids of a piece's tokens, class of every local id, lengths and held-out marks of its documents."""
+    held, lengths = (np.array(b.column(c)[i].values.to_numpy(zero_copy_only=False)) for c in ("held", "lengths"))
+    per_class = np.frombuffer(b.column("per_class")[i].as_buffer(), "<u4")
+    return (unpacked(b.column("seq")[i].as_buffer(), int(lengths.sum())), np.repeat(np.arange(len(per_class)), per_class), lengths, held)
+
+
+def _coarser(classes: np.ndarray, had: int, bits: int) -> np.ndarray:
+    """Classes of ``bits`` bits from those of ``had`` bits; the end stays the last."""
+    if bits > had:
+        raise ValueError(f"blocks with classes of {had} bits cannot be read with {bits}")
+    return classes >> (had - bits)
+
+
+def _training(b: pa.RecordBatch, i: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class sequence and lengths of a piece's training documents."""
+    ids, classes, lengths, held = _tokens(b, i)
+    keep = ~held
+    had = (len(b.column("per_class")[i].as_buffer()) // 4 - 1).bit_length() - 1
+    return _coarser(classes[ids[np.repeat(keep, lengths)]], had, bits), lengths[keep]
 
 
 def _summed(store: DataFrame, count: Callable[[np.ndarray, np.ndarray], np.ndarray], bits: int, size: int) -> np.ndarray:
@@ -293,13 +375,14 @@ def _summed(store: DataFrame, count: Callable[[np.ndarray, np.ndarray], np.ndarr
         total = np.zeros(size)
         for b in batches:
             for i in range(b.num_rows):
-                tokens, lengths = _training(_arrays(b, i, ("held", "lengths", "vocab", "seq")), bits)
+                tokens, lengths = _training(b, i, bits)
                 if len(tokens):
                     total += count(tokens, lengths)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["place", "value"])
+        give_back()
 
-    rows = (store.select("held", "lengths", "vocab", "seq").mapInArrow(estimate, "place bigint, value double")
+    rows = (store.where("seq IS NOT NULL").select("held", "lengths", "per_class", "seq").mapInArrow(estimate, "place bigint, value double")
             .groupBy("place").agg(F.sum("value").alias("value")).toArrow())
     out = np.zeros(size)
     out[rows.column("place").to_numpy()] = rows.column("value").to_numpy()
@@ -344,9 +427,8 @@ def train(store: DataFrame, n_class: np.ndarray, states: int = STATES, bits: int
 
 def score(docs: DataFrame, held_out: str, states: int = STATES, bits: int = CLASS_BITS, passes: int = PASSES) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` per row, trained on rows not held out."""
-    store = blocks(docs, held_out)
-    entries = store.select("block", F.arrays_zip("vocab", "counts").alias("entries")).select("block", F.posexplode("entries").alias("place", "entry"))
-    words = entries.select("block", "place", F.col("entry.vocab").alias("word"), F.col("entry.counts").alias("own"))
+    store = blocks(docs, held_out, bits)
+    words = words_of(store)
     counts = materialize(words.groupBy("word").agg(F.sum("own").alias("count")), "hmm-words")
     number = F.when(F.col("word") == F.lit(int(END)), F.lit(1 << bits)).otherwise(F.shiftrightunsigned("word", 64 - bits))
     totals = (counts.where("count > 0").groupBy(number.alias("class"))
@@ -362,25 +444,25 @@ def score(docs: DataFrame, held_out: str, states: int = STATES, bits: int = CLAS
         total, distinct = n_class.sum(), v_class.sum()
         parts = []
         for i in range(own.num_rows):
-            block = _arrays(own, i, ("held", "lengths", "vocab", "seq"))
-            count = np.zeros(len(block["vocab"]))
-            count[known.column("place").to_numpy()] = known.column("count").to_numpy()
-            cls, lengths = class_of(block["vocab"].view(_U), bits), block["lengths"]
-            base = np.log10((count + 0.1) / (total + 0.1 * (distinct + 1)))
-            within = np.log((count + 0.1) / (n_class[cls] + 0.1 * (v_class[cls] + 1)))
-            within[cls == len(n_class) - 1] = 0.0  # the end's class holds the end alone
+            ids, cls, lengths, held = _tokens(own, i)
+            if not parts:  # the pieces of a block share their words
+                count = np.zeros(len(cls))
+                count[known.column("place").to_numpy()] = known.column("count").to_numpy()
+                base = np.log10((count + 0.1) / (total + 0.1 * (distinct + 1)))
+                within = np.log((count + 0.1) / (n_class[cls] + 0.1 * (v_class[cls] + 1)))
+                within[cls == len(n_class) - 1] = 0.0  # the end's class holds the end alone
             first = np.cumsum(lengths) - lengths
-            per_doc = lambda x: np.add.reduceat(x[block["seq"]], first)
-            log = log_likelihoods(model, cls[block["seq"]], lengths) + per_doc(within)
+            per_doc = lambda x: np.add.reduceat(x[ids], first)
+            log = log_likelihoods(model, cls[ids], lengths) + per_doc(within)
             parts.append(pa.table({
-                "doc_id": own.column("doc_ids")[i].values, "held_out": pa.array(block["held"]), "n_tokens": pa.array(lengths),
+                "doc_id": own.column("doc_ids")[i].values, "held_out": pa.array(held), "n_tokens": pa.array(lengths),
                 "n_known": pa.array(per_doc((count > 0).astype(np.int64))),
                 "train_tokens": pa.array(np.full(len(lengths), int(total))),
                 "base_score": pa.array(per_doc(base)), "score": pa.array(log / np.log(10))}))
         return pa.concat_tables(parts)
 
     looked_up = words.select("word", "block", "place").join(counts, "word").select(F.col("block").alias("in_block"), "place", "count")
-    return (store.select("block", "doc_ids", "held", "lengths", "vocab", "seq").groupBy("block")
+    return (store.where("seq IS NOT NULL").select("block", "doc_ids", "held", "lengths", "per_class", "seq").groupBy("block")
             .cogroup(looked_up.groupBy("in_block"))
             .applyInArrow(judge, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
                                  "base_score double, score double"))

@@ -6,11 +6,13 @@ import os
 import subprocess
 import sys
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from linkweave.llm import collocations, token_output
+from linkweave.llm import collocations, hmm, token_output
 from linkweave.llm.queries import tokenizer_file
+from linkweave.llm.words import pieces
 
 MB = 1 << 20
 
@@ -77,3 +79,53 @@ def test_tokenizer_starts_no_threads_in_a_worker():
     env["RAYON_NUM_THREADS"] = "4"
     out = subprocess.run([sys.executable, "-c", code, os.pathsep.join(sys.path)], env=env, capture_output=True, text=True, timeout=120)
     assert out.stdout.strip() == "0", out.stdout + out.stderr
+
+
+def test_rows_of_blocks_are_small(spark):
+    """Three pieces with more words than two bytes can number; a task holds each of their rows several times over."""
+    rng = np.random.default_rng(5)
+    names = np.array([f"{x:x}" for x in np.unique(rng.integers(1 << 16, 1 << 24, 90_000))])
+    data = [(i, " ".join(names[rng.integers(0, len(names), 1_300)].tolist())) for i in range(360)]
+    docs = hmm.hold_out(spark.createDataFrame(data, "doc_id long, text string").coalesce(1))
+    rows = hmm.blocks(docs, "hmm_held_out").toArrow()
+    assert max(rows.slice(i, 1).nbytes for i in range(rows.num_rows)) < 700_000
+    held = {r.doc_id for r in docs.where("hmm_held_out").collect()}
+    count = Counter(w for d, text in data if d not in held for w in text.split())
+    train = sum(count.values()) + len(data) - len(held)
+    out = {r.doc_id: r for r in hmm.score(docs, "hmm_held_out", states=2, bits=5, passes=1).collect()}
+    assert out.keys() == dict(data).keys()
+    for d, text in data:
+        words = text.split()
+        base = sum(np.log10((n + 0.1) / (train + 0.1 * (len(count) + 2))) for n in [*(count[w] for w in words), len(data) - len(held)])
+        r = out[d]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words) + 1, sum(count[w] > 0 for w in words) + 1, train)
+        assert abs(r.base_score - base) < 1e-6 and np.isfinite(r.score) and r.score < 0
+
+
+def test_block_of_texts_takes_little_memory():
+    batch = texts(8 * MB, 120_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column("text"), pa.array([False] * batch.num_rows)],
+                                       ["doc_id", "text", "held_out"])
+    found = []
+
+    def work() -> None:
+        found.clear()
+        block = hmm._Block()
+        for b in pieces(iter([batch]), hmm.PIECE):
+            block.add(b)
+        for row in block.rows(0, 11):
+            if row.column("seq")[0].is_valid:
+                tokens, lengths = hmm._training(row, 0, 11)
+                found.append((len(tokens), int(lengths.sum())))
+
+    assert peak_mb(work) < 60
+    assert sum(n for n, _ in found) == sum(n for _, n in found) == batch.num_rows * 431
+
+
+def test_packed_ids_come_back():
+    rng = np.random.default_rng(6)
+    for size in (1, 2, 65_536, 65_537, 300_000, 1 << 25):
+        for n in (1, 7, 8, 1_000):
+            ids = np.append(rng.integers(0, size, n - 1), size - 1)
+            raw = hmm.packed(ids, size)
+            assert (hmm.unpacked(raw, n) == ids).all() and len(raw) <= 2 * n + (max(16, (size - 1).bit_length()) - 16) * (n + 7) // 8 + 9
